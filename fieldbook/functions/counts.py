@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MOST = 250.0
 
@@ -60,7 +61,7 @@ def poisson_below(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.minimum(total, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def implied_mean(line: pd.Series, prob: pd.Series) -> pd.Series:
     """The Poisson mean in [0.01, 250] for which P(X > line) is prob; null for prob outside (0, 1). Apply it to distinct pairs."""
     x, p = line.to_numpy(float), prob.to_numpy(float)
@@ -77,7 +78,7 @@ def implied_mean(line: pd.Series, prob: pd.Series) -> pd.Series:
     return pd.Series(out).astype("Float64").mask(np.isnan(out))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def poisson_quantile(q: pd.Series, mean: pd.Series) -> pd.Series:
     """The least count k with P(X <= k) >= q; null where an input is null or the mean is negative."""
     x, m = q.to_numpy(float), mean.to_numpy(float)
