@@ -84,7 +84,7 @@ def trigram_matches(left: DataFrame, right: DataFrame, key: str, least: float =
     """
 
     def grams(df: DataFrame, name: str) -> DataFrame:
-        padded = F.concat(F.lit("  "), F.col(key), F.lit(" "))
+        padded = F.concat(F.lit("  "), F.col(name), F.lit(" "))
         g = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3))))
         return df.select(F.col(key).alias(name)).distinct().withColumn("g", g)
 
