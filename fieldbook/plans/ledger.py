@@ -128,15 +128,16 @@ def dated_cutoffs(picks: DataFrame, least_train: int = LEAST_SPORT) -> DataFrame
     flat = by_day.select("level", *KEYS, "settled", *[x for i in range(len(GRID) + 1) for x in (F.sum(F.col("_grid")[i]["n"]).over(w).alias(f"n{i}"), F.sum(F.col("_grid")[i]["wins"]).over(w).alias(f"w{i}"))])
     grid = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("wins")) for i in range(len(GRID) + 1)])
     tables = choose_keeping_gaps(flat.select("level", *KEYS, "settled", grid.alias("_grid")))
-    # a table holds from the day after it settled to the next settle day of its key
+    # a table holds from the day after it settled to the next settle day of its key; each such day is a row
     until = F.lead("settled").over(W.partitionBy("level", *KEYS).orderBy("settled"))
-    tables = tables.withColumn("until", until).withColumn("until", F.coalesce("until", F.lit("9999-12-31").cast("date")))
-    total = picks.where("settled is not null").groupBy("settled").agg(F.count("*").alias("n"))
+    last = picks.agg(F.max("decided").alias("_last"))
+    tables = tables.withColumn("_until", until).join(F.broadcast(last)).withColumn("_until", F.least(F.coalesce("_until", "_last"), "_last"))
+    held = F.explode(F.sequence(F.date_add("settled", 1), "_until"))
+    tables = tables.where("cutoff is not null and _until > settled").select("level", *KEYS, "cutoff", held.alias("decided"))
+    total = picks.where("settled is not null").groupBy("settled").agg(F.count("*").alias("n"))  # a row for each day
     total = total.withColumn("_total", F.sum("n").over(W.orderBy("settled").rowsBetween(W.unboundedPreceding, 0)))
-    start = total.where(F.col("_total") >= least_train).agg(F.min("settled").alias("start"))
-    days = picks.select("decided").distinct().join(start, F.col("decided") > F.col("start"))
-    # few rows on both sides: days, and settle days of each key
-    return days.join(tables, (F.col("decided") > F.col("settled")) & (F.col("decided") <= F.col("until"))).where("cutoff is not null").select("decided", "level", *KEYS, "cutoff")
+    start = total.where(F.col("_total") >= least_train).agg(F.min("settled").alias("_start"))
+    return tables.join(F.broadcast(start)).where(F.col("decided") > F.col("_start")).select("decided", "level", *KEYS, "cutoff")
 
 
 def choose_keeping_gaps(grid: DataFrame) -> DataFrame:
