@@ -12,11 +12,14 @@ differs in at most D parts, so it agrees in p - D or more (pigeonhole). Parts ar
 content into buckets; one numpy pass over a bucket finds the sets that share a part:
 
 * A part that few sets share gives each pair of them as a candidate.
-* A part that more than `few` sets share, or that is empty, is weak. A set with fewer weak parts than p - D
-  is found by a part that is not weak. The others, the weak sets, are linked within their weak
-  parts to the part's smallest set first (near copies of one text join here, with a pair for each, not
-  for each two). What then is still apart within a weak part is compared in blocks,
-  pair by pair, but for sets already in one component.
+* A part that more than `FEW` sets share, or that is empty, is weak. A set of which fewer parts are weak than
+  its links must agree in is found by a part that is not weak. The others are the weak sets. Two of
+  them that link share at least m weak parts, so each needs its rarest ones only, all but m - 1. In
+  each such part its most typical set (with the most weak parts) is the centre, and the others
+  are candidates with it: near copies of one text join here, with a pair for each, not for each two.
+  Sets that share such a part and are in different components even then are compared in blocks by
+  dense parity sketches of the whole sets, of a few bits for each shingle; pairs whose Hamming
+  distance is no more than d are candidates, too.
 
 Candidates are verified on the sets themselves. Copies are one set throughout. Components come
 from large-star/small-star rounds over the verified links.
@@ -36,11 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 from xxhash import xxh3_64_intdigest
 
 from fieldbook.llm.common import arrow_map, partitions, saved
 
-FEW, BLOCK, FLUSH = 8, 256, 2_000_000
+FEW, BLOCK, FLUSH, BITS = 8, 1024, 2_000_000, 8
 #: Sets of at most so many rows of ids go to each task; larger lists are joined by a shuffle.
 SMALL = 2_000_000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -79,14 +83,21 @@ def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = low[-1] - 1
         most.append((a + a * 100 // percent) * (100 - percent) // (100 + percent))
         d = most[-1]
-        parts.append(d + 1 + max(-(-15 * (d + 1) // 100), min(d, 8)))
+        parts.append(d + 1 + max(d // 4, min(d, 8)))
     return np.array(low), np.array(most), np.array(parts)
 
 
+def most_apart(size: int, g: int, percent: int) -> int:
+    """Largest symmetric difference of a set with a partner in band group g."""
+    edge = int(bands(percent)[0][g + 1])
+    partner = size * 100 // percent if size < edge else edge - 1
+    return (size + partner) * (100 - percent) // (100 + percent)
+
+
 def signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
     """For each of the set's band groups: the group, the number of empty parts, the parts' signatures.
 
-    Empty parts have a signature only for a set that has p - D or more of them.
+    Empty parts have a signature only for a set that may agree with another in nothing else.
     """
     low, most, parts = bands(percent)
     band = int(np.searchsorted(low, len(s), side="right")) - 1
@@ -100,7 +111,7 @@ def signatures(s: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]
         value = np.bitwise_xor.reduceat(mix(s), start)
         empty = p - len(start)
         name = part[start]
-        if empty >= p - most[g]:
+        if empty >= p - most_apart(len(s), g, percent):
             rest = np.setdiff1d(np.arange(p, dtype=np.uint64), name)
             name, value = np.r_[name, rest], np.r_[value, np.zeros(len(rest), np.uint64)]
         out.append((g, empty, mix(value ^ mix(name + np.uint64((g + 1) << 32)))))
@@ -206,19 +217,23 @@ def linkable(x: np.ndarray, y: np.ndarray, g: np.ndarray, low: np.ndarray, perce
     return (a * 100 >= b * percent) & (a >= low[g]) & (a < low[g + 1])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link. rep: key, doc_id of one row that has the set."""
-    need = saved(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(rep, "key").select("doc_id", "key"))
+def texts_of(keys: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """key and text of one or more rows that may have the key's set. rep: key, doc_id of one row that has it."""
+    need = saved(keys.distinct().join(rep, "key").select("key", F.col("doc_id").alias("_id")))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    need = need.withColumnRenamed("doc_id", "_id")
-    own = own.join(F.broadcast(need) if need.count() <= SMALL else need, F.col("doc_id") == F.col("_id"))
+    return own.join(F.broadcast(need) if need.count() <= SMALL else need, F.col("doc_id") == F.col("_id")).select("key", "text")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose sets link."""
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, rep, text_col, id_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             found = [(k, s) for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if key_of(s := shingles(t.as_py(), words)) == k]
             yield {"key": [k for k, _ in found], "s": [s.tobytes() for _, s in found]}
 
-    full = arrow_map(own.select("key", "text"), hashed, "key bigint, s binary").dropDuplicates(["key"])
+    full = arrow_map(own, hashed, "key bigint, s binary").dropDuplicates(["key"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -257,24 +272,64 @@ def named(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("component", key)).drop("component")
 
 
-def weak_pairs(weak: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that share a weak part and are in different components yet: block against block, each once."""
-    low = bands(percent)[0]
-    apart = weak.groupBy("part").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).where("x <> y").select("part", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = weak.join(apart, "part").withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    rows = rows.select("part", "grp", "key", "size", "comp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("part", "grp", "key", "size", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+def weak_parts(found: DataFrame, percent: int) -> DataFrame:
+    """part, grp, key, size, weight of the weak sets, in the parts that they need: all but the m - 1 that most of them share."""
+    low, _, parts = bands(percent)
+    at = lambda values, i: F.element_at(F.array(*[F.lit(int(v)) for v in values]), i + 1)
+    rows = found.where("kind = 1").select(F.col("a").alias("key"), "grp", "size", "empty", F.struct("grp", "b").alias("part"))
+    edge = at(low[:-1], F.col("grp") + 1)
+    partner = F.when(F.col("size") < edge, F.floor(F.col("size") * 100 / percent)).otherwise(edge - 1)
+    need = at(parts, F.col("grp")) - F.floor((F.col("size") + partner) * (100 - percent) / (100 + percent)) - F.col("empty")
+    sets = rows.groupBy("key", "grp").agg(F.count("*").alias("weight"), F.max(need).alias("need")).where(F.col("weight") >= F.col("need"))
+    own = saved(rows.join(sets, ["key", "grp"]).drop("empty"))
+    common = own.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1")
+    nth = F.row_number().over(W.partitionBy("key", "grp").orderBy(F.desc("_n"), "part"))
+    return saved(own.join(common, "part").withColumn("_r", nth).where(F.col("_r") >= F.col("need")).select("part", "grp", "key", "size", "weight"))
+
+
+def stars(weak: DataFrame, percent: int) -> DataFrame:
+    """Each weak set with the centre of each of its parts."""
+    centre = weak.groupBy("part").agg(F.max_by(F.struct("key", "size"), F.struct("weight", "key")).alias("_c")).select("part", F.col("_c.key").alias("_key"), F.col("_c.size").alias("_size"))
+    near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * percent
+    return weak.join(centre, "part").where(near & (F.col("key") != F.col("_key"))).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+
+
+def dense_sketch(s: np.ndarray, g: int, percent: int) -> bytes:
+    """The parity of the shingles at each of the band group's bits."""
+    width = 64 * -(-BITS * int(bands(percent)[0][g]) // 64)
+    at = (mix(s ^ M2) % np.uint64(width)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def weak_pairs(weak: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
+    """Pairs of weak sets of different components that share a part and whose dense sketches are near enough."""
+    apart = weak.groupBy("part").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x <> _y").select("part", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    open_ = saved(weak.join(apart, "part"))
+    asked = open_.select("key", "grp").distinct().groupBy("key").agg(F.collect_set("grp").alias("grps"))
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            rows = [(k, g, dense_sketch(s, g, percent)) for k, t, gs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) if key_of(s := shingles(t.as_py(), words)) == k for g in gs]
+            yield {"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "bits": [r[2] for r in rows]}
+
+    bits = arrow_map(texts_of(asked.select("key"), docs, rep, text_col, id_col).join(asked, "key").select("key", "text", "grps"), sketched, "key bigint, grp int, bits binary").dropDuplicates(["key", "grp"])
+    rows = open_.join(bits, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.select("part", "key", "size", "comp", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("part", "key", "size", "comp", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
-        grp, key, size, comp, block, i, j = (table[c].to_numpy() for c in ("grp", "key", "size", "comp", "block", "i", "j"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(comp[right] != comp[x]) & (grp[right] == grp[x]) & (key[right] > key[x])] if i[0] == j[0] else right[(comp[right] != comp[x]) & (grp[right] == grp[x])]
-            y = y[linkable(size[x], size[y], grp[y], low, percent)]
+        key, size, comp, block, i, j = (table[c].to_numpy() for c in ("key", "size", "comp", "block", "i", "j"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(key), -1)
+        right = np.flatnonzero(block == j)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in np.flatnonzero(block == i):
+            y = right[comp[right] != comp[x]]
+            y = y[key[y] > key[x]] if i[0] == j[0] else y
+            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1) <= (size[y] + size[x]) * (100 - percent) // (100 + percent)]
+            y = y[np.minimum(size[x], size[y]) * 100 >= np.maximum(size[x], size[y]) * percent]
             a.append(np.minimum(key[x], key[y]))
             b.append(np.maximum(key[x], key[y]))
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return rows.groupBy("part", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
@@ -282,7 +337,6 @@ def weak_pairs(weak: DataFrame, percent: int) -> DataFrame:
 def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id among the documents that links reach) of each row."""
     spark = docs.sparkSession
-    _, most, parts = bands(percent)
     named_docs = docs.where(F.col(id_col).isNotNull())
     own = saved(sets(docs, id_col, text_col, words))
     rep = own.where("key <> 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
@@ -290,14 +344,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     found = saved(shared(dealt(named_docs, text_col, words, percent, n).repartitionById(n, F.col("bucket")), percent).distinct())
     pairs = found.where("kind = 0").select("a", "b").distinct()
 
-    least = F.element_at(F.array(*[F.lit(int(p - d)) for p, d in zip(parts, most, strict=True)]), F.col("grp") + 1)
-    count = found.where("kind = 1").groupBy(F.col("a").alias("key"), "grp").agg(F.count("*").alias("n"), F.max("empty").alias("empty")).where(F.col("n") + F.col("empty") >= least).select("key", "grp")
-    weak = saved(found.where("kind = 1").select(F.col("a").alias("key"), "grp", "size", F.struct("grp", "b").alias("part")).join(count, ["key", "grp"]))
-    star = weak.groupBy("part").agg(F.min("key").alias("a"), F.min_by("size", "key").alias("size_a"))
-    star = weak.join(star, "part").where("key > a").where((F.least("size", "size_a") * 100 >= F.greatest("size", "size_a") * percent)).select("a", F.col("key").alias("b"))
-    links = saved(verified(saved(pairs.unionByName(star).distinct()), named_docs, rep, text_col, id_col, words, percent))
+    weak = weak_parts(found, percent)
+    links = saved(verified(saved(pairs.unionByName(stars(weak, percent)).distinct()), named_docs, rep, text_col, id_col, words, percent))
     comps = components(links)
-    rest = saved(weak_pairs(named(weak, comps, "key"), percent))
+    rest = saved(weak_pairs(named(weak, comps, "key"), named_docs, rep, text_col, id_col, words, percent))
     if not rest.isEmpty():
         comps = components(links.unionByName(verified(rest, named_docs, rep, text_col, id_col, words, percent)))
 
