@@ -1,3 +1,61 @@
 """DuckDB SQL of the text queries that SQL can say."""
 
-ORACLE_SQL: dict[str, str] = {}
+from fieldbook.llm.common import WORD
+from fieldbook.llm.secret_scan import BASE, MORE, Rule
+
+OP1 = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') as w from documents),
+ s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as sh from w),
+ u as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+ links as (select a.doc_id as x, b.doc_id as y from u a join u b using (g) where a.doc_id < b.doc_id group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+ both_ as (select x, y from links union all select y, x from links),
+ reach as (select x as node, x as root from both_ union select b.y, r.root from reach r join both_ b on b.x = r.node)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, least(s.doc_id, coalesce(min(root), s.doc_id)) as component_id from s left join reach on node = s.doc_id group by s.doc_id, sh
+"""
+
+OP2 = rf"""
+with t as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as w from documents),
+ l as (select *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) as lines from t),
+ i as (select doc_id, unnest(range(1, len(w) - 1)) as i, w from t where len(w) >= 3),
+ g as (select doc_id, i, count(*) over (partition by doc_id, w[i], w[i + 1], w[i + 2]) as n from i),
+ r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by 1),
+ f as (select l.doc_id, source, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+   cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(string_split(text, chr(10))) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from l left join r on r.doc_id = l.doc_id),
+ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 30 * n_lines as soft_failed from f),
+ h as (select source, cast(count(*) as double) as n, cast(count(*) filter (base_failed or soft_failed) as double) as k from b group by 1),
+ p as (select least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) as m, sum(n * (k / n) * (k / n)) / sum(n) as v, greatest(count(*) / sum(1 / n), 1) as inside from h),
+ q as (select m, least(greatest(m * (1 - m) / greatest(v - m * m - m * (1 - m) / inside, 1e-6) - 1, 2), 1e6) as weight from p),
+ o as (select source, (k + m * weight) / (n + weight) as rate, n + weight as total from h, q),
+ d as (select source, case when rate - 2 * sqrt(rate * (1 - rate) / (total + 1)) > 0.6 then 'reject' when rate > 0.02 then 'strict' else 'trust' end as verdict from o)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and verdict <> 'reject' and (verdict = 'trust' or not soft_failed) as kept from b join d on d.source is not distinct from b.source
+"""
+
+
+def found(rule: Rule, rank: int) -> str:
+    """A list of (start, rank, end, kind) of a rule's matches: pieces between matches and matches alternate."""
+    pattern = rule.pattern.replace("'", "''")
+    lengths = lambda e: f"list_transform({e}, lambda x: length(x))"
+    m, p = lengths(f"regexp_extract_all(text, '{pattern}', 0)"), lengths(f"regexp_split_to_array(text, '{pattern}')")
+    g = lengths(f"regexp_extract_all(text, '{pattern}', {rule.group})")
+    at = f"list_sum(({p})[:i]) + coalesce(list_sum(({m})[:i - 1]), 0)"
+    one = f"{{'s': cast({at} as bigint), 'r': {rank}, 'e': cast({at} + ({m})[i] as bigint), 'k': '{rule.kind}'}}"
+    return f"list_transform(list_filter(range(1, len({m}) + 1), lambda i: ({g})[i] >= {rule.least}), lambda i: {one})"
+
+
+def joined(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda x: x.k || ':' || x.s || ':' || x.e), ','), '')"
+
+
+OP6 = f"""
+with t as (select doc_id, coalesce(text, '') as text from documents), f as (select doc_id, {", ".join(f"{found(r, i)} as {r.kind}" for i, r in enumerate(BASE + MORE))} from t)
+select doc_id, {", ".join(f"cast(len({r.kind}) as bigint) as n_{r.kind}" for r in BASE)}, sha256({joined("list_concat(list_concat(assign, access), hex)")}) as base_sha256,
+ {joined("flatten([" + ", ".join(r.kind for r in BASE + MORE) + "])")} as spans from f
+"""
+
+OP10 = """
+with t as (select page_id, encode(coalesce(html, '')) as b from pages), d as (select page_id, cast(octet_length(b) as bigint) as payload_bytes, sha256(b) as payload_digest from t),
+ f as (select *, case when payload_bytes >= 100 then min(page_id) over (partition by payload_digest, payload_bytes >= 100) end as first from d)
+select page_id, payload_bytes, payload_digest, case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to from f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op6_secret_scan": OP6, "op10_warc": OP10}

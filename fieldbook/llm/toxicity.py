@@ -55,33 +55,39 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, dims: int = DIMS, rounds: int = 60, penalty: float = 1e-3) -> Linear:
-    """Logistic regression; features are scaled by their naive Bayes log-ratio, which finds the few that tell."""
+def telling(flat: np.ndarray, y: np.ndarray, at: np.ndarray, rate: float, dims: int, least: float = 4.0) -> np.ndarray:
+    """Numbers of the features that stand in positive rows far more, or less, often than chance has it (in deviations)."""
+    n, pos = np.bincount(flat, minlength=dims), np.bincount(flat, y[at], dims)
+    z = (pos - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
+    return np.flatnonzero((n > 4) & (np.abs(z) > least))
+
+
+def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, dims: int = DIMS, rounds: int = 300, penalty: float = 1e-3) -> Linear:
+    """Logistic regression with a ridge over the features that tell something, by gradient steps scaled by their past size."""
     rate = min(max(y.mean(), 1e-4), 1 - 1e-4) if len(y) else 1e-4
-    intercept = float(np.log(rate / (1 - rate)))
-    k = before.shape[1]
+    intercept, k = float(np.log(rate / (1 - rate))), before.shape[1]
     if not len(y) or y.min() == y.max():
         return Linear(intercept, np.zeros(dims), np.zeros(k))
-    size = np.array([len(r) for r in rows])
-    flat, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
-    pos, all_ = np.bincount(flat, y[at], dims) + 0.5, np.bincount(flat, minlength=dims) + 1.0
-    ratio = np.log(pos / (y.sum() + 1)) - np.log((all_ - pos + 0.5) / (len(y) - y.sum() + 1))
-    ratio *= all_ > 4  # what a few rows have tells nothing
-    value = ratio[flat]
-    w, step, memory = np.zeros(dims + k + 1), 0.5, np.zeros(dims + k + 1)
+    flat, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    chosen = telling(flat, y, at, rate, dims)
+    place = np.full(dims, -1)
+    place[chosen] = np.arange(len(chosen))
+    keep = place[flat] >= 0
+    flat, at, d = place[flat[keep]], at[keep], len(chosen)
+    w = np.zeros(d + k + 1)
     w[-1] = intercept
-    importance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5
-    importance /= importance.mean()
-    scale = np.full(dims + k + 1, 1e-8)
+    memory, scale = np.zeros_like(w), np.full_like(w, 1e-8)
     for _ in range(rounds):
-        z = w[-1] + np.bincount(at, value * w[flat], len(rows)) + before @ w[dims : dims + k]
-        g = importance * (sigmoid(z) - y) / len(y)
-        grad = np.r_[np.bincount(flat, value * g[at], dims), before.T @ g, g.sum()]
-        grad[:-1] += penalty * w[:-1] / 10
-        scale += grad * grad
-        memory = 0.7 * memory + grad / np.sqrt(scale)
-        w -= step * 0.3 * memory
-    return Linear(float(w[-1]), w[:dims] * ratio, w[dims : dims + k])
+        z = w[-1] + np.bincount(at, w[flat], len(rows)) + before @ w[d : d + k]
+        g = (sigmoid(z) - y) / len(y)
+        grad = np.r_[np.bincount(flat, g[at], d), before.T @ g, g.sum()]
+        grad[:-1] += penalty * w[:-1]
+        scale = 0.9 * scale + 0.1 * grad * grad
+        memory = 0.9 * memory + 0.1 * grad
+        w -= 0.05 * memory / (np.sqrt(scale) + 1e-8)
+    weights = np.zeros(dims)
+    weights[chosen] = w[:d]
+    return Linear(float(w[-1]), weights, w[d : d + k])
 
 
 @dataclass
@@ -108,11 +114,11 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
     i = int(f1.argmax())
-    return float((p[order[i]] + (p[order[i + 1]] if i + 1 < len(p) else 0.0)) / 2)
+    return float(np.clip((p[order[i]] + (p[order[i + 1]] if i + 1 < len(p) else 0.0)) / 2, 0.05, 0.95))
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3, dims: int = DIMS) -> Chain:
-    fold = np.arange(len(rows)) % folds
+    fold = np.random.default_rng(0).permutation(len(rows)) % folds
     before = np.zeros((len(rows), 0))
     models, limits = [], []
     for k in range(len(names)):

@@ -86,7 +86,7 @@ class Tree:
         return best, dist
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 4.0) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 1.5) -> DataFrame:
     """query_id, rank, vec_id, score of the k candidates with the largest inner products that the search finds."""
 
     def clean(df: DataFrame) -> DataFrame:
