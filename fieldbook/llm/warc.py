@@ -100,7 +100,9 @@ class WarcReader(DataSourceReader):
         files = [x.path for x in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if x.type == pafs.FileType.File and x.path.endswith(".warc")]
         return [Part(p, 0, None) for p in sorted(files)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no archive
+            return
         schema = to_arrow_schema(SCHEMA)
         fs, _ = opened(self.path)
         rows: list[dict] = []
