@@ -100,7 +100,7 @@ def hosts(marked: DataFrame, *, reject_above: float = 0.6, strict_above: float =
     return table.select("host", "n", "failures", rate.alias("rate"), verdict.alias("verdict"))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, symbol_percent: int = 10, line_percent: int = 30, **limits: float) -> DataFrame:
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, symbol_percent: int = 10, line_percent: int = 50, **limits: float) -> DataFrame:
     """doc_id, host, the measures, base_failed, soft_failed, verdict (of the host) and kept of each row."""
     marked = measured(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("soft_failed", soft_failed(symbol_percent, line_percent))
     marked = saved(marked)

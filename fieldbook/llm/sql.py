@@ -21,7 +21,7 @@ with t as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all
  r as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by 1),
  f as (select l.doc_id, source, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(string_split(text, chr(10))) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from l left join r on r.doc_id = l.doc_id),
- b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 30 * n_lines as soft_failed from f),
+ b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, 100 * n_symbols > 10 * word_chars or 100 * n_dup_lines > 50 * n_lines as soft_failed from f),
  h as (select source, cast(count(*) as double) as n, cast(count(*) filter (base_failed or soft_failed) as double) as k from b group by 1),
  p as (select least(greatest(sum(k) / sum(n), 1e-6), 1 - 1e-6) as m, sum(n * (k / n) * (k / n)) / sum(n) as v, greatest(count(*) / sum(1 / n), 1) as inside from h),
  q as (select m, least(greatest(m * (1 - m) / greatest(v - m * m - m * (1 - m) / inside, 1e-6) - 1, 2), 1e6) as weight from p),
