@@ -137,10 +137,12 @@ def kelly_stakes(p: np.ndarray, b: np.ndarray, cap: float = 0.10, rounds: int =
     """Stakes that maximize the mean of log growth over the outcomes, each at most `cap`, together at most 1; projected gradient, halved."""
     f = np.zeros(len(p))
     for _ in range(rounds):
-        grad = p * b / (1 + f * b) - (1 - p) / (1 - f)
+        old, grad = f, p * b / (1 + f * b) - (1 - p) / (1 - f)
         f = np.clip(f + 0.02 * grad, 0, cap)
         if f.sum() > 1:
             f = f / f.sum()
+        if np.abs(f - old).max() < 1e-10:
+            break
     return f / 2
 
 

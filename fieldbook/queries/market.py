@@ -78,10 +78,11 @@ def parlay_sql(size: int, pay: float) -> str:
     return f"select a.decided, {size} as size, [{', '.join(f'{n}.leg_id' for n in names)}] as legs, {joint_sql(names)} as joint, {pay} * {joint_sql(names)} - 1 as ev from l a {joins}"
 
 
-@query("h07_parlays", f"with {TOP}, p as ({parlay_sql(2, 3.0)} union all {parlay_sql(3, 6.0)}) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 6) as joint, round(ev, 6) as ev from p")
+@query("h07_parlays", f"with {TOP}, p as ({parlay_sql(2, 3.0)} union all {parlay_sql(3, 6.0)}) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 10) as joint, round(ev, 10) as ev from p")
 def h07(s, d):
     out = mk.parlays(legs(s, d), "decided", (2, 3))
-    return rounded(out.withColumn("legs", F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")))
+    joined = F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")
+    return out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), F.round("joint", 10).alias("joint"), F.round("ev", 10).alias("ev"))
 
 
 @query("h08_joint_probability", f"with {TOP}, p as ({parlay_sql(4, 10.0)}) select decided, count(*) as n, round(max(joint), 6) as best, round(min(joint), 6) as worst from p group by 1")
