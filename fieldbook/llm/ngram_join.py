@@ -21,7 +21,7 @@ content into buckets; one numpy pass over a bucket finds the sets that share a p
   dense parity sketches of the whole sets, of a few bits for each shingle; pairs whose Hamming
   distance is no more than d are candidates, too.
 
-Candidates are verified on the sets themselves. Copies are one set throughout. Components come
+Candidates whose dense sketches are near enough are verified on the sets themselves. Copies are one set throughout. Components come
 from large-star/small-star rounds over the verified links.
 
 Sets are told apart by 64 bits of their content; two different ones among n collide with a chance of
@@ -130,21 +130,21 @@ def sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
 
 
 def dealt(docs: DataFrame, text_col: str, words: int, percent: int, n: int) -> DataFrame:
-    """Signatures in rows of one bucket each: 32 bits of each one, and which of the row's sets has it."""
+    """Signatures in rows of one bucket each: 32 bits of each one, set by set, and how many each of the row's sets has."""
 
     def flush(held: list) -> Iterator[dict]:
-        keys, sizes, groups, empty = (np.array(x, t) for x, t in zip(zip(*[h[:4] for h in held], strict=True), (np.int64, np.int64, np.int32, np.int32), strict=True))
+        keys, sizes, groups, empty = (np.array(x, t) for x, t in zip(zip(*[h[:4] for h in held], strict=True), ("<i8", "<i4", "u1", "<i4"), strict=True))
         sig = np.concatenate([h[4] for h in held])
         who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[4]) for h in held])
         bucket = (sig >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
         order = np.argsort(bucket, kind="stable")
         at = np.searchsorted(bucket[order], np.arange(n + 1, dtype=np.uint64))
-        out: dict[str, list] = {k: [] for k in ("bucket", "sig", "who", "key", "size", "grp", "empty")}
+        out: dict[str, list] = {k: [] for k in ("bucket", "sig", "n", "key", "size", "grp", "empty")}
         for i in range(n):
             if at[i] < at[i + 1]:
                 own = order[at[i] : at[i + 1]]
-                mine, local = np.unique(who[own], return_inverse=True)
-                row = (i, (sig[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), local.astype("<u4").tobytes(), keys[mine].tobytes(), sizes[mine].tobytes(), groups[mine].tobytes(), empty[mine].tobytes())
+                mine, count = np.unique(who[own], return_counts=True)  # the order is stable, so own is sorted by set
+                row = (i, (sig[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), count.astype("<u4").tobytes(), keys[mine].tobytes(), sizes[mine].tobytes(), groups[mine].tobytes(), empty[mine].tobytes())
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         yield out
@@ -167,7 +167,7 @@ def dealt(docs: DataFrame, text_col: str, words: int, percent: int, n: int) -> D
         if held:
             yield from flush(held)
 
-    return arrow_map(docs.select(text_col), run, "bucket int, sig binary, who binary, key binary, size binary, grp binary, empty binary")
+    return arrow_map(docs.select(text_col), run, "bucket int, sig binary, n binary, key binary, size binary, grp binary, empty binary")
 
 
 def shared(rows: DataFrame, percent: int) -> DataFrame:
@@ -175,10 +175,10 @@ def shared(rows: DataFrame, percent: int) -> DataFrame:
     low, most, parts = bands(percent)
 
     def bucket(name: int, rows: list) -> Iterator[dict]:
-        key, size, grp, empty = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((2, np.int64), (3, np.int64), (4, np.int32), (5, np.int32)))
-        base = np.cumsum([0] + [len(r[2]) // 8 for r in rows])
+        key, size, grp, empty = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((2, "<i8"), (3, "<i4"), (4, "u1"), (5, "<i4")))
+        size, grp = size.astype(np.int64), grp.astype(np.int32)
         sig = np.concatenate([np.frombuffer(r[0], "<u4") for r in rows])
-        who = np.concatenate([np.frombuffer(r[1], "<u4").astype(np.int64) + o for r, o in zip(rows, base, strict=False)])
+        who = np.repeat(np.arange(len(key)), np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]))
         order = np.lexsort((key[who], sig))
         sig, who = sig[order], who[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (key[who][1:] != key[who][:-1])]  # copies are one
@@ -217,16 +217,16 @@ def linkable(x: np.ndarray, y: np.ndarray, g: np.ndarray, low: np.ndarray, perce
     return (a * 100 >= b * percent) & (a >= low[g]) & (a < low[g + 1])
 
 
-def texts_of(keys: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """key and text of one or more rows that may have the key's set. rep: key, doc_id of one row that has it."""
-    need = saved(keys.distinct().join(rep, "key").select("key", F.col("doc_id").alias("_id")))
+def texts_of(keys: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, *more: str) -> DataFrame:
+    """key, text and more columns of keys, from the rows that may have the key's set. rep: key, doc_id of one row that has it."""
+    need = saved(keys.join(rep, "key").select("key", *more, F.col("doc_id").alias("_id")))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return own.join(F.broadcast(need) if need.count() <= SMALL else need, F.col("doc_id") == F.col("_id")).select("key", "text")
+    return own.join(F.broadcast(need) if need.count() <= SMALL else need, F.col("doc_id") == F.col("_id")).select("key", "text", *more)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of keys whose sets link."""
-    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, rep, text_col, id_col)
+    own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), docs, rep, text_col, id_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -291,7 +291,7 @@ def stars(weak: DataFrame, percent: int) -> DataFrame:
     """Each weak set with the centre of each of its parts."""
     centre = weak.groupBy("part").agg(F.max_by(F.struct("key", "size"), F.struct("weight", "key")).alias("_c")).select("part", F.col("_c.key").alias("_key"), F.col("_c.size").alias("_size"))
     near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * percent
-    return weak.join(centre, "part").where(near & (F.col("key") != F.col("_key"))).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b")).distinct()
+    return weak.join(centre, "part").where(near & (F.col("key") != F.col("_key"))).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"), "grp").distinct()
 
 
 def dense_sketch(s: np.ndarray, g: int, percent: int) -> bytes:
@@ -301,19 +301,40 @@ def dense_sketch(s: np.ndarray, g: int, percent: int) -> bytes:
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
-def weak_pairs(weak: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
-    """Pairs of weak sets of different components that share a part and whose dense sketches are near enough."""
-    apart = weak.groupBy("part").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x <> _y").select("part", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    open_ = saved(weak.join(apart, "part"))
-    asked = open_.select("key", "grp").distinct().groupBy("key").agg(F.collect_set("grp").alias("grps"))
+def sketches(asked: DataFrame, docs: DataFrame, rep: DataFrame, text_col: str, id_col: str, words: int, percent: int) -> DataFrame:
+    """key, grp, n (the set's size), bits for each (key, grp) asked for."""
+    grps = asked.groupBy("key").agg(F.collect_set("grp").alias("grps"))
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            rows = [(k, g, dense_sketch(s, g, percent)) for k, t, gs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) if key_of(s := shingles(t.as_py(), words)) == k for g in gs]
-            yield {"key": [r[0] for r in rows], "grp": [r[1] for r in rows], "bits": [r[2] for r in rows]}
+            rows = [(k, g, len(s), dense_sketch(s, g, percent)) for k, t, gs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True) if key_of(s := shingles(t.as_py(), words)) == k for g in gs]
+            yield {c: [r[i] for r in rows] for i, c in enumerate(("key", "grp", "n", "bits"))}
+
+    texts = texts_of(grps, docs, rep, text_col, id_col, "grps")
+    return arrow_map(texts, run, "key bigint, grp int, n bigint, bits binary").dropDuplicates(["key", "grp"])
+
 
-    bits = arrow_map(texts_of(asked.select("key"), docs, rep, text_col, id_col).join(asked, "key").select("key", "text", "grps"), sketched, "key bigint, grp int, bits binary").dropDuplicates(["key", "grp"])
-    rows = open_.join(bits, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+def near_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, grp) whose dense sketches are near enough for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            keep = []
+            for m, n, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                apart = np.bitwise_count(np.frombuffer(x.as_buffer(), np.uint64) ^ np.frombuffer(y.as_buffer(), np.uint64)).sum()
+                keep.append(bool(apart <= (m + n) * (100 - percent) // (100 + percent)))
+            keep = pa.array(keep, pa.bool_())
+            yield {"a": b.column(0).filter(keep), "b": b.column(1).filter(keep)}
+
+    left, right = (bits.select(F.col("key").alias(c), "grp", F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+    two = pairs.join(left, ["a", "grp"]).join(right, ["b", "grp"])
+    return arrow_map(two.select("a", "b", "na", "nb", "bitsa", "bitsb"), run, "a bigint, b bigint").distinct()
+
+
+def weak_pairs(weak: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs of weak sets of different components that share a part and whose dense sketches are near enough."""
+    apart = weak.groupBy("part").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x <> _y").select("part", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
+    rows = weak.join(apart, "part").join(bits, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.select("part", "key", "size", "comp", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("part", "key", "size", "comp", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
@@ -342,12 +363,13 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rep = own.where("key <> 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     n = partitions(spark)
     found = saved(shared(dealt(named_docs, text_col, words, percent, n).repartitionById(n, F.col("bucket")), percent).distinct())
-    pairs = found.where("kind = 0").select("a", "b").distinct()
-
     weak = weak_parts(found, percent)
-    links = saved(verified(saved(pairs.unionByName(stars(weak, percent)).distinct()), named_docs, rep, text_col, id_col, words, percent))
+    pairs = saved(found.where("kind = 0").select("a", "b", "grp").unionByName(stars(weak, percent)).distinct())
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key"), "grp").unionByName(weak.select("key", "grp")).distinct()
+    bits = saved(sketches(asked, named_docs, rep, text_col, id_col, words, percent))
+    links = saved(verified(saved(near_pairs(pairs, bits, percent)), named_docs, rep, text_col, id_col, words, percent))
     comps = components(links)
-    rest = saved(weak_pairs(named(weak, comps, "key"), named_docs, rep, text_col, id_col, words, percent))
+    rest = saved(weak_pairs(named(weak, comps, "key"), bits, percent))
     if not rest.isEmpty():
         comps = components(links.unionByName(verified(rest, named_docs, rep, text_col, id_col, words, percent)))
 
