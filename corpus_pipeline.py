@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. `run` writes each
 stage's rows as Parquet into the shared folder and reads them again, so that a stage that loses executors
-starts from its predecessor's files.
+starts from its predecessor's files. Stages that leave out or repeat rows write them with a row key first and go by
+each row's own verdict: doc_ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -22,21 +23,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SMALL = 2_000_000
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not in `gone`."""
-    gone = saved(gone.select("doc_id").where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "doc_id", "left_anti").select(*COLUMNS)
+def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own, `_row`, written with them so that it stays the same."""
+    path = fresh_path(spark, "rows")
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of `rows` whose _row is not in `gone`."""
+    gone = saved(gone.select("_row"))
+    return rows.join(F.broadcast(gone) if gone.count() <= SMALL else gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. Rows without an id stay: nothing names them."""
-    return without(docs, quality_rules.quality_rules(docs).where(~F.col("kept")))
+    """Documents that the rules keep, each row judged for itself."""
+    rows = keyed(spark, docs)
+    return without(rows, quality_rules.quality_rules(rows, id_col="_row").where(~F.col("kept")).withColumnRenamed("doc_id", "_row"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    found = ngram_join.ngram_jaccard_join(docs)
-    return without(docs, found.where("doc_id <> component_id"))
+    """One document of each group of near duplicates, the one with the smallest id; rows without an id come last."""
+    rows = keyed(spark, docs)
+    found = ngram_join.ngram_jaccard_join(rows, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    # groups of one row are settled; only the others need their documents' ids
+    more = saved(found.where("_row <> _group").select("_row", "_group"))
+    heads = more.select(F.col("_group").alias("_row"), "_group").distinct()
+    members = saved(more.unionByName(heads).join(rows.select("_row", "doc_id"), "_row"))
+    first = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return without(rows, members.join(first, "_row", "left_anti"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +63,10 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mixing.mix_sources(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = saved(taken.where("doc_id is not null").groupBy("doc_id").agg(F.max("times").alias("times")))
-    rows = docs.join(taken.where("times > 0"), "doc_id")
+    """Each document that has words as often as the mix takes it."""
+    rows = keyed(spark, docs)
+    taken = mixing.mix_sources(rows, keep=("_row",)).where("size > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    rows = rows.join(taken.where("times > 0"), "_row")
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
