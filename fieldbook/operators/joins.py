@@ -114,12 +114,17 @@ def staged_match(rows: DataFrame, id_col: str, stages: Sequence[DataFrame]) -> D
 
 def nearest_game(rows: DataFrame, games: DataFrame, team: str, row_date: str, game_date: str, game: str, row_id: str) -> DataFrame:
     """The game of each row: its team's only one, else the only one of its date, else the only one a day off; else null."""
-    pairs = rows.select(row_id, F.col(team).alias("_team"), F.col(row_date).alias("_d")).join(games.select(F.col(team).alias("_team"), F.col(game_date).alias("_gd"), game), "_team", "left")
-    off = F.abs(F.datediff("_d", "_gd"))
-    tiers = [F.col(game).isNotNull(), off == 0, off <= 1]
-    got = pairs.groupBy(row_id).agg(*[x for i, t in enumerate(tiers) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col(game))).alias(f"g{i}"))])
-    pick = F.when(F.col("n0") == 1, F.col("g0")).when(F.col("n1") == 1, F.col("g1")).when((F.col("n1") == 0) & (F.col("n2") == 1), F.col("g2"))
-    return rows.join(got.select(row_id, pick.alias("matched_game")), row_id, "left")
+    own = games.select(F.col(team).alias("_team"), F.col(game_date).alias("_gd"), F.col(game).alias("_g"))
+    teams = own.groupBy("_team").agg(F.count("_g").alias("_n0"), F.min("_g").alias("_g0"))
+    # games by team and day, each day also under the day before and after it: a row meets one row, not its team's games
+    days = own.groupBy("_team", "_gd").agg(F.count("*").alias("_n"), F.min("_g").alias("_g"))
+    days = days.select("_team", "_n", "_g", F.explode(F.array(*[F.struct(F.date_add("_gd", i).alias("day"), F.lit(i).alias("off")) for i in (-1, 0, 1)])).alias("_at"))
+    same = F.col("_at.off") == 0
+    days = days.groupBy("_team", F.col("_at.day").alias("_day")).agg(F.sum(F.when(same, F.col("_n")).otherwise(0)).alias("_n1"), F.min(F.when(same, F.col("_g"))).alias("_g1"), F.sum("_n").alias("_n2"), F.min("_g").alias("_g2"))
+    got = rows.withColumns({"_t": F.col(team), "_d": F.col(row_date)}).join(teams, F.col("_t") == F.col("_team"), "left").drop("_team")
+    got = got.join(days, (F.col("_t") == F.col("_team")) & (F.col("_d") == F.col("_day")), "left")
+    pick = F.when(F.col("_n0") == 1, F.col("_g0")).when(F.col("_n1") == 1, F.col("_g1")).when((F.col("_n1") == 0) & (F.col("_n2") == 1), F.col("_g2"))
+    return got.select(*rows.columns, pick.alias("matched_game"))
 
 
 def changed_rows(current: DataFrame, wanted: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

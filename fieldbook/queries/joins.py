@@ -59,17 +59,19 @@ select row_id, case when n0 = 1 then g0 when n1 = 1 then g1 when n1 = 0 and n2 =
 def d07(s, d):
     e = table(s, d, "events")
     rows = e.where("event_type = 'view'").select(C("event_id").alias("row_id"), (C("user_id") % 40).alias("team"), C("ts").cast("date").alias("d"))
-    games = e.where("event_type = 'purchase' and event_id % 7 = 0").select(C("event_id").alias("game"), (C("user_id") % 40).alias("team"), C("ts").cast("date").alias("gd"))
+    games = e.where("event_type = 'purchase'").select(C("event_id").alias("game"), (C("user_id") % 40).alias("team"), C("ts").cast("date").alias("gd"))
     return j.nearest_game(rows, games, "team", "d", "gd", "game", "row_id").select("row_id", "matched_game")
 
 
 @query("d08_placeholder_games", f"with p as (select pick_id, player_id, decided from ({LEDGER}) where line_id % 10 = 0), g as (select o_orderkey as game_id, o_custkey % 10 as player_id, cast(o_orderdate as date) as gd from orders where o_orderstatus = 'F'), r as (select pick_id, game_id, row_number() over (partition by pick_id order by gd, game_id) as n from p join g using (player_id) where abs(datediff('day', gd, decided)) <= 1) select pick_id, game_id from r where n = 1")
 def d08(s, d):
-    picks = ledger(s, d).where("line_id % 10 = 0").select("pick_id", "player_id", "decided")
+    picks = ledger(s, d).select("pick_id", "player_id", "decided")
     games = table(s, d, "orders").where("o_orderstatus = 'F'").select(C("o_orderkey").alias("game_id"), (C("o_custkey") % 10).alias("player_id"), C("o_orderdate").cast("date").alias("gd"))
-    near = F.explode(F.array(F.date_sub("decided", 1), C("decided"), F.date_add("decided", 1)))  # one key for each day, so the join is by equality
-    got = picks.withColumn("gd", near).join(games, ["player_id", "gd"])
-    return got.groupBy("pick_id").agg(F.min_by("game_id", F.struct("gd", "game_id")).alias("game_id"))
+    # the first game of a player's day, also under the day before and after it: the join is by equality and meets one row
+    first = games.groupBy("player_id", "gd").agg(F.min("game_id").alias("game_id"))
+    near = F.explode(F.array(F.date_sub("gd", 1), C("gd"), F.date_add("gd", 1)))
+    first = first.withColumn("decided", near).groupBy("player_id", "decided").agg(F.min_by("game_id", F.struct("gd", "game_id")).alias("game_id"))
+    return picks.join(first, ["player_id", "decided"]).select("pick_id", "game_id")
 
 
 @query("d09_repoint_children", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_suppkey % 2 = 1 then l_suppkey - 1 else l_suppkey end as real_id from lineitem")

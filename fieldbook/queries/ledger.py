@@ -19,7 +19,7 @@ with p as (select pick_id, game_id, player_id, line_id, stat_type, direction, qu
 select pick_id, case when status is null then 'wait' when status = 'postponed' then 'void' when status <> 'final' and stale then 'void' when status <> 'final' then 'wait' when line is null then 'void' when not row_ and box then 'void' when not row_ and stale then 'void' when not row_ then 'wait' when dnp = false then 'void' when bf = 0 then 'void' when actual is null then 'missing' when actual = line then 'push' when (actual > line) = (direction = 'over') then 'win' else 'loss' end as outcome from t""")
 def g01(s, d):
     all_ = ledger(s, d)
-    picks = all_.where("pick_id % 3 = 0").select("pick_id", "game_id", "player_id", "line_id", "stat_type", "direction")
+    picks = all_.select("pick_id", "game_id", "player_id", "line_id", "stat_type", "direction")
     o = table(s, d, "orders").where("o_orderkey % 17 <> 0")
     games = o.select(C("o_orderkey").alias("game_id"), F.when(C("o_orderstatus") == "F", "final").when(C("o_orderstatus") == "P", "postponed").otherwise("live").alias("status"), C("o_orderdate").cast("date").alias("game_date"))
     lines = all_.where("line_id % 13 <> 0").select("line_id", (C("line_id") % 50).cast("double").alias("line_value")).distinct()
