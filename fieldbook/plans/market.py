@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,11 +72,11 @@ def pair_rho(a: str, b: str, stats: str = "stat_type") -> Column:
 
 
 def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top: int = 16, multipliers: dict[int, float] | None = None) -> DataFrame:
-    """All combinations of each slate's `top` legs by probability: legs (ids), size, joint, ev.
+    """All combinations of each slate's `top` legs by probability: legs (ids), size, joint, ev, probs and rho (flat row-major).
 
     A slate gives C(16,2) + C(16,3) + C(16,4) = 2,500 combinations at most, so the self-joins inside a slate are bounded.
     """
-    pay = multipliers or {2: 3.0, 3: 6.0, 4: 10.0}
+    pay = multipliers or {2: 3.0, 3: 5.0, 4: 10.0}
     rank = F.row_number().over(W.partitionBy(slate).orderBy(F.desc("model_prob"), "leg_id"))
     best = legs.withColumn("_i", rank).where(F.col("_i") <= top)
     one = best.select(slate, F.struct("_i", "leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob").alias("leg"))
@@ -86,8 +87,9 @@ def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top:
             continue
         names = [f"l{i}" for i in range(1, k + 1)]
         rho = {(i, j): pair_rho(names[i], names[j]) for i in range(k) for j in range(i + 1, k)}
+        matrix = [F.lit(1.0) if i == j else rho[min(i, j), max(i, j)] + F.lit(0.0) for i in range(k) for j in range(k)]
         joint = joint_legs([F.col(f"{n}.model_prob") for n in names], rho)
-        got = rows.select(slate, F.lit(k).alias("size"), F.array(*[F.col(f"{n}.leg_id") for n in names]).alias("legs"), joint.alias("joint"), (pay[k] * joint - 1).alias("ev"))
+        got = rows.select(slate, F.lit(k).alias("size"), F.array(*[F.col(f"{n}.leg_id") for n in names]).alias("legs"), joint.alias("joint"), (pay[k] * joint - 1).alias("ev"), F.array(*[F.col(f"{n}.model_prob") for n in names]).alias("probs"), F.array(*matrix).alias("rho"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -114,23 +116,31 @@ def slate_plan(combos: DataFrame, slate: str, penalty: float = 0.04, sizes: Sequ
     return out
 
 
+@lru_cache(8)
+def normals(draws: int, n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((draws, n))
+
+
 def copula_joint(probs: np.ndarray, rho: np.ndarray, draws: int = 40_000, seed: int = 7) -> float:
     """Joint probability of correlated legs under a Gaussian copula; a matrix that isn't positive gets its nearest one."""
     values, vectors = np.linalg.eigh(rho)
     root = vectors * np.sqrt(np.maximum(values, 1e-8))
     root = root / np.sqrt((root * root).sum(1))[:, None]
-    z = np.random.default_rng(seed).standard_normal((draws, len(probs))) @ root.T
+    z = normals(draws, len(probs), seed) @ root.T
     return float((z < normal_quantiles(np.clip(probs, 1e-6, 1 - 1e-6))).all(axis=1).mean())
 
 
 def copula_parlays(combos: DataFrame, slate: str) -> DataFrame:
-    """mc_joint of each combination; combos: slate, combo_id, probs (array), rho (flat row-major array). A slate is one group of 2,500 rows at most."""
+    """mc_joint of each combination; combos: slate, combo_id, probs (array), rho (flat row-major array). The draws are seeded, so equal (probs, rho) are drawn once."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [min(max(copula_joint(np.array(p, float), np.array(r, float).reshape(len(p), -1)), 0.01), 0.99) for p, r in zip(pdf["probs"], pdf["rho"], strict=True)]
-        return pdf[[slate, "combo_id"]].assign(mc_joint=got)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [min(max(copula_joint(np.array(p, float), np.array(r, float).reshape(len(p), -1)), 0.01), 0.99) for p, r in zip(pdf["probs"], pdf["rho"], strict=True)]
+            yield pdf.assign(mc_joint=got)
 
-    return combos.groupBy(slate).applyInPandas(run, f"{slate} {combos.schema[slate].dataType.simpleString()}, combo_id bigint, mc_joint double")
+    n = int(combos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = combos.select("probs", "rho").distinct().repartition(n, "probs", "rho").mapInPandas(run, "probs array<double>, rho array<double>, mc_joint double")
+    return combos.join(drawn, ["probs", "rho"]).select(slate, "combo_id", "mc_joint")
 
 
 def kelly_stakes(p: np.ndarray, b: np.ndarray, cap: float = 0.10, rounds: int = 400) -> np.ndarray:

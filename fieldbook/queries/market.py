@@ -49,7 +49,7 @@ RHO = "(case when {a}.direction = {b}.direction then 1 else -1 end) * (case when
 
 
 def legs(s, d):
-    return ledger(s, d).where("decided >= date '2001-05-01'").select(C("pick_id").alias("leg_id"), "decided", "player_id", (C("line_id") % 7).alias("team_id"), "game_id", "stat_type", "direction", "model_prob")
+    return ledger(s, d).select(C("pick_id").alias("leg_id"), "decided", "player_id", (C("line_id") % 7).alias("team_id"), "game_id", "stat_type", "direction", "model_prob")
 
 
 @query("h06_pair_correlation", f"with {TOP} select a.leg_id as leg_a, b.leg_id as leg_b, {RHO.format(a='a', b='b')} as rho from l a join l b on a.decided = b.decided and a.i < b.i")
@@ -92,16 +92,13 @@ def h08(s, d):
 
 @query("h09_copula_joint")
 def h09(s, d):
-    two = mk.parlays(legs(s, d).where("decided >= date '2001-07-20'"), "decided", (2,), top=4)
-    p = legs(s, d).select(C("leg_id"), "model_prob")
-    t = two.select("decided", C("legs")[0].alias("a"), C("legs")[1].alias("b"), "joint").join(p.withColumnsRenamed({"leg_id": "a", "model_prob": "pa"}), "a").join(p.withColumnsRenamed({"leg_id": "b", "model_prob": "pb"}), "b")
-    t = t.withColumn("combo_id", F.xxhash64("a", "b")).select("decided", "combo_id", F.array("pa", "pb").alias("probs"), F.array(F.lit(1.0), F.lit(0.3), F.lit(0.3), F.lit(1.0)).alias("rho"))
-    return mk.copula_parlays(t, "decided")
+    combos = mk.parlays(legs(s, d), "decided", (2, 3, 4)).withColumn("combo_id", F.xxhash64("legs"))
+    return mk.copula_parlays(combos.select("decided", "combo_id", "probs", "rho"), "decided")
 
 
 @query("h10_slate_plan")
 def h10(s, d):
-    combos = mk.parlays(legs(s, d), "decided", (2, 3, 4), top=8)
+    combos = mk.parlays(legs(s, d), "decided", (2, 3, 4))
     out = mk.slate_plan(combos, "decided")
     return rounded(out.withColumn("legs", F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")))
 
