@@ -18,7 +18,9 @@ def checkpoint(s) -> str:
 
 
 def events(s, d):
-    e = jobs.snapshots(s, d, "events.parquet")
+    # one batch: part files are in no order of time, and between batches rows behind the watermark would be dropped
+    # braces: a stream takes a single file only by a pattern; a folder's part files are found the same way
+    e = jobs.snapshots(s, f"{d}/{{events.parquet}}", files_per_trigger=None)
     return e.withColumn("ts", C("ts").cast("timestamp"))
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def snapshots(spark: SparkSession, path: str, pattern: str | None = None, files_per_trigger: int = 4) -> DataFrame:
-    """The files of a folder as a stream, with the types that they have."""
+def snapshots(spark: SparkSession, path: str, pattern: str | None = None, files_per_trigger: int | None = 4) -> DataFrame:
+    """The files of a folder (or one file) as a stream, with the types that they have; without files_per_trigger all that are there make one batch."""
     kinds = spark.read.parquet(path if pattern is None else os.path.join(path, pattern)).schema
-    reader = spark.readStream.schema(kinds).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(kinds)
+    reader = reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
@@ -62,7 +63,13 @@ def line_moves(stream: DataFrame, key: str, time: str, value: str, least: float,
 
 
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is there and returns its rows so far, from an in-memory table; for tests and replays."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs the stream over what is there and returns its rows so far, from Parquet files beside the checkpoint; for tests and replays."""
+    spark, out = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")  # so that a stream without batches has its schema, too
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")  # a repeated batch replaces itself
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)

@@ -73,3 +73,19 @@ def test_every_slate_has_its_combinations(spark, name):
     top = {r["decided"]: min(r["count"], 16) for r in n}
     want = sum(math.comb(t, k) if name == "h09_copula_joint" else t >= k for t in top.values() for k in (2, 3, 4))
     assert QUERIES[name](spark, FOLDER).count() == want
+
+
+@pytest.mark.parametrize("name", ["k01_deduplicated", "k02_lines_by_day", "k02_sliding_board", "k03_line_moves"])
+def test_streams_read_part_files_and_write_files(spark, tmp_path, name):
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    events.repartition(6).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert got.inputFiles()
+    if name in ORACLE_SQL:
+        db = compare.duckdb.connect()
+        db.sql("set timezone = 'UTC'")
+        db.sql(f"create view events as select * from '{FOLDER}/events.parquet'")
+        ours, theirs = compare.both(got, db, ORACLE_SQL[name])
+    else:
+        ours, theirs = (sorted(map(tuple, x.collect())) for x in (got, QUERIES[name](spark, FOLDER)))
+    assert ours == theirs and ours
