@@ -46,3 +46,17 @@ def test_mix_keeps_rows_without_id_and_own_times(spark):
     want = Counter((r["doc_id"], r["size"]) for r in plan for _ in range(r["taken"] // r["size"]))
     assert Counter((i, len(t.split())) for i, t in got.elements()) == want
     assert any(i is None for i, _ in want) and len(set(Counter(want).values())) > 1
+
+
+def test_mix_beyond_the_patterns_of_the_driver(spark, monkeypatch):
+    rng = random.Random(3)
+    one = [(i, words(i, rng.randrange(0, 60)), rng.choice([None, *"abcdefghijk"])) for i in range(300)]
+    docs = frame(spark, one)
+    several = spark.createDataFrame([(i, t, sorted({s or "z", rng.choice("lmno")}) if i % 3 else [s or "z"]) for i, t, s in one], "doc_id bigint, text string, source array<string>")
+    total = lambda rows: sum(r["taken"] for r in rows)
+    want, flow = corpus_pipeline.mixing.mix_sources(docs).collect(), corpus_pipeline.mixing.mix_sources(several).collect()
+    monkeypatch.setattr(corpus_pipeline.mixing, "MOST_PATTERNS", 2)
+    assert sorted(map(str, corpus_pipeline.mixing.mix_sources(docs).collect())) == sorted(map(str, want))
+    got = corpus_pipeline.mixing.mix_sources(several).collect()
+    strip = lambda rows: sorted(str((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6))) for r in rows)
+    assert strip(got) == strip(flow) and abs(total(got) - total(flow)) <= 0.01 * total(flow)
