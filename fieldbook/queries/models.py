@@ -36,14 +36,14 @@ def i03(s, d):
 def i04(s, d):
     rows = training(s, d).withColumn("label", (C("points") > 25).cast("double"))
     train, test = m.split_at(rows, "game_date", F.lit("2000-06-01").cast("date"))
-    return rounded(m.evaluate_winner(m.predict(m.fit_winner(train, FEATURES, trees=5), test, FEATURES), "prob", "label"))
+    return rounded(m.evaluate_winner(m.predict(m.fit_winner(train, FEATURES), test, FEATURES), "prob", "label"))
 
 
 @query("i04_margin_model")
 def i04_margin(s, d):
     rows = training(s, d).withColumn("label", C("points") - 25)
     train, test = m.split_at(rows, "game_date", F.lit("2000-06-01").cast("date"))
-    out = m.predict(m.fit_margin(train, FEATURES, trees=5), test, FEATURES).withColumn("zero", F.lit(0.0))
+    out = m.predict(m.fit_margin(train, FEATURES), test, FEATURES).withColumn("zero", F.lit(0.0))
     return rounded(m.evaluate_counts(out, "label", "predicted_margin", "zero"))
 
 
@@ -60,7 +60,7 @@ def i05_winner(s, d):
 
 @query("i06_line_calibration")
 def i06(s, d):
-    out = m.out_of_fold(training(s, d), FEATURES, "game_date", folds=3)
+    out = m.out_of_fold(training(s, d), FEATURES, "game_date")
     model, rows = m.calibrate_lines(out, [10.5, 20.5, 30.5], "label")
     rows = rows if model is None else model.transform(rows)
     rows = rows if "calibrated" in rows.columns else rows.withColumn("calibrated", C("p"))

@@ -1,5 +1,6 @@
 """Queries do their whole job: no row of the input is left out and no step fails on some input."""
 
+import inspect
 import math
 import sys
 from pathlib import Path
@@ -13,6 +14,7 @@ import compare  # noqa: E402
 
 from fieldbook.operators import joins as j  # noqa: E402
 from fieldbook.plans import market as mk  # noqa: E402
+from fieldbook.plans import models  # noqa: E402
 from fieldbook.queries import ORACLE_SQL, QUERIES  # noqa: E402
 from fieldbook.queries import market as mk_queries  # noqa: E402
 
@@ -89,3 +91,21 @@ def test_streams_read_part_files_and_write_files(spark, tmp_path, name):
     else:
         ours, theirs = (sorted(map(tuple, x.collect())) for x in (got, QUERIES[name](spark, FOLDER)))
     assert ours == theirs and ours
+
+
+@pytest.mark.parametrize("name, fit, option, least", [("i04_winner_model", "fit_winner", "trees", 20), ("i04_margin_model", "fit_margin", "trees", 20), ("i06_line_calibration", "out_of_fold", "folds", 5)])
+def test_models_are_fitted_in_full(spark, monkeypatch, name, fit, option, least):
+    class Called(Exception):
+        pass
+
+    kind = inspect.signature(getattr(models, fit))
+
+    def stop(*args, **options):
+        bound = kind.bind(*args, **options)
+        bound.apply_defaults()
+        raise Called(bound.arguments[option])
+
+    monkeypatch.setattr(models, fit, stop)
+    with pytest.raises(Called) as got:
+        QUERIES[name](spark, FOLDER)
+    assert got.value.args[0] >= least
