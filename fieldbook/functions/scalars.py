@@ -80,8 +80,8 @@ def no_vig(over: Column, under: Column) -> Column:
 
 
 def implied_totals(total: Column, spread: Column) -> tuple[Column, Column]:
-    """Implied points of the home and the away team; a negative spread favours the home team."""
-    return (total - spread) / 2, (total + spread) / 2
+    """Implied points of the home and the away team; the home team gives the spread's points."""
+    return (total + spread) / 2, (total - spread) / 2
 
 
 def wilson(wins: Column, n: Column, z: float = 1.0) -> tuple[Column, Column]:
@@ -169,14 +169,15 @@ def position_group(position: Column, groups: Mapping[str, str], default: str = "
     return F.coalesce(F.try_element_at(table, F.upper(position)), F.lit(default))
 
 
-#: Status words of players who play, and of players who don't.
-PLAYS_WORDS = r"probable|available|active"
-OUT_WORDS = r"\bout\b|doubtful|injured reserve|\bir\b|suspended|inactive|day.il|-day"
+#: Parts of status texts of players who play all the same, and of players who don't.
+PLAYS_ANYWAY = ("day-to-day", "day to day", "questionable", "probable", "gtd", "game-time", "available")
+WONT_PLAY = ("out", "doubtful", "il", "suspens", "developmental", "bereavement", "paternity")
 
 
-def is_out(status: Column, plays: str = PLAYS_WORDS, out: str = OUT_WORDS) -> Column:
+def is_out(status: Column, plays: Sequence[str] = PLAYS_ANYWAY, out: Sequence[str] = WONT_PLAY) -> Column:
+    """Whether the status says that the player won't play; words for playing anyway go first, no status counts as playing."""
     s = F.lower(F.coalesce(status, F.lit("")))
-    return ~s.rlike(plays) & s.rlike(out)
+    return ~s.rlike("|".join(plays)) & s.rlike("|".join(out))
 
 
 def inside_band(line: Column, low: Column, high: Column) -> Column:
@@ -213,13 +214,41 @@ def local_day(ts: Column, zone: str = "America/Los_Angeles") -> Column:
 
 # --- availability ----------------------------------------------------------------------------------
 
+#: The weights of the recent averages and the limits, in minutes.
+RECENT_WEIGHTS = (0.5, 0.3, 0.2)
+LEAST_MINUTES, BENCH_MINUTES, LOST_MINUTES, ROTATION_MINUTES = 12.0, 8.0, 15.0, 5.0
 
-def projected_minutes(last5: Column, last10: Column, last20: Column, season: Column) -> Column:
-    """0.5, 0.3 and 0.2 of the averages that are present, by their weights; else the season's."""
-    parts = ((last5, 0.5), (last10, 0.3), (last20, 0.2))
-    total = sum((F.when(c > 0, F.lit(w)).otherwise(0.0) for c, w in parts), F.lit(0.0))
-    value = sum((F.when(c > 0, c * w).otherwise(0.0) for c, w in parts), F.lit(0.0))
-    return F.coalesce(F.when(total > 0, value / total), season)
+
+def projected_minutes(last5: Column, last10: Column, last20: Column, season: Column, bump: Column | None = None) -> Column:
+    """The averages of the last 5, 10 and 20 games that are present, by their weights, else the season's (none: 0); at least the bump.
+
+    An average of zero is present: it tells that the player hasn't played.
+    """
+    parts = tuple(zip((last5, last10, last20), RECENT_WEIGHTS, strict=True))
+    total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    value = sum((F.when(c.isNotNull(), c * w).otherwise(0.0) for c, w in parts), F.lit(0.0))
+    base = F.coalesce(F.when(total > 0, value / total), season, F.lit(0.0))
+    return base if bump is None else F.greatest(base, F.coalesce(bump, F.lit(0.0)))
+
+
+def teammate_bump(last5: Column, season: Column, minutes_out: Column) -> Column:
+    """Minutes that a rotation player may count on when teammates who play LOST_MINUTES or more are out; 0 for others."""
+    floor = F.coalesce(last5, season, F.lit(0.0))
+    return F.when((F.coalesce(minutes_out, F.lit(0.0)) >= LOST_MINUTES) & (floor >= ROTATION_MINUTES), LEAST_MINUTES + 2).otherwise(0.0)
+
+
+def availability(last5: Column, last10: Column, last20: Column, season: Column, bump: Column) -> Column:
+    """projected (one decimal), dnp_risk, suppressed and reason ("minutes", "bench", "collapse", or null) as a struct.
+
+    Risky: a recent average below BENCH_MINUTES without a bump that clears the floor, or one of less than 55 % of the
+    last 20 games' and below 18. Suppressed: projected below LEAST_MINUTES, or risky.
+    """
+    base = projected_minutes(last5, last10, last20, season)
+    projected = F.round(projected_minutes(last5, last10, last20, season, bump), 1)
+    bench = (F.coalesce(last5, base) < BENCH_MINUTES) & (F.coalesce(bump, F.lit(0.0)) < LEAST_MINUTES)
+    collapse = F.coalesce((last20 > 0) & (last5 < 0.55 * last20) & (last5 < 18), F.lit(False))
+    short = projected < LEAST_MINUTES
+    return F.struct(projected.alias("projected"), (bench | collapse).alias("dnp_risk"), (short | bench | collapse).alias("suppressed"), F.when(short, "minutes").when(bench, "bench").when(collapse, "collapse").alias("reason"))
 
 
 # --- joint probabilities ---------------------------------------------------------------------------

@@ -16,9 +16,11 @@ from pyspark.sql.window import Window as W
 from fieldbook.functions.scalars import BREAKEVEN, american_decimal, blend, grade, half_kelly, pick_ev, platt, roi_two_legs, wilson
 from fieldbook.operators import aggs
 from fieldbook.operators.windows import top_per_key
+from fieldbook.session import saved
 
 #: Fixed values of the cutoff rules.
 GRID = tuple(round(0.55 + 0.025 * i, 3) for i in range(13))
+SWEEP = tuple(round(0.50 + 0.025 * i, 3) for i in range(13))
 DEFAULT, SUPPRESS = 0.70, 0.99
 LEAST_SPORT, LEAST_STAT, LEAST_SUPPRESS, STEP_UP = 30, 40, 15, 0.04
 KEYS = ("sport", "stat_type", "direction")
@@ -67,13 +69,22 @@ def valid(picks: DataFrame) -> DataFrame:
 # --- cutoffs ---------------------------------------------------------------------------------------
 
 
-def levels(picks: DataFrame, *more: str) -> DataFrame:
-    """Each pick once for each of the three levels: sport; sport and stat; sport, stat and direction. `g` is the grid step it reaches (0: none)."""
+def step(grid: Sequence[float]) -> Column:
+    """The number of the highest step of the grid that the probability reaches; 0: none."""
+    return sum((F.when(F.round("model_prob", 4) >= g, 1).otherwise(0) for g in grid), F.lit(0))
+
+
+def cells(picks: DataFrame, *more: str) -> DataFrame:
+    """n, wins and the last decision day of the picks by sport, stat, direction, more columns and grid step `g`."""
+    return picks.groupBy(*KEYS, *more, step(GRID).alias("g")).agg(F.count("*").alias("n"), F.sum("win").alias("wins"), F.max("decided").alias("last"))
+
+
+def levels(cells: DataFrame, *more: str) -> DataFrame:
+    """Each cell once for each of the three levels: sport; sport and stat; sport, stat and direction."""
     none = F.lit(None).cast("string")
     level = [F.struct(F.lit(1).alias("level"), F.col("sport"), none.alias("stat_type"), none.alias("direction")), F.struct(F.lit(2).alias("level"), F.col("sport"), F.col("stat_type"), none.alias("direction"))]
     third = F.when(F.col("direction").isin("over", "under"), F.struct(F.lit(3).alias("level"), F.col("sport"), F.col("stat_type"), F.col("direction")))
-    step = sum((F.when(F.round("model_prob", 4) >= g, 1).otherwise(0) for g in GRID), F.lit(0))
-    return picks.select(*more, "win", step.alias("g"), F.explode(F.array_compact(F.array(*level, third))).alias("k")).select(*more, "win", "g", "k.*")
+    return cells.select(*more, "n", "wins", "g", F.explode(F.array_compact(F.array(*level, third))).alias("k")).select(*more, "n", "wins", "g", "k.*")
 
 
 def grid_counts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,8 +93,8 @@ def grid_counts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.array(*at).alias("_grid"))
 
 
-def choose(grid: DataFrame) -> DataFrame:
-    """cutoff and status from the `_grid` of each key and its level."""
+def choose(grid: DataFrame, gaps: bool = False) -> DataFrame:
+    """cutoff and status from the `_grid` of each key and its level; keys without an entry drop out, or have a null cutoff with `gaps`."""
     least = F.when(F.col("level") == 1, LEAST_SPORT).otherwise(LEAST_STAT)
     bound = F.transform("_grid", lambda c: F.struct(c["step"].alias("step"), c["n"].alias("n"), c["wins"].alias("wins"), wilson(c["wins"], c["n"])[0].alias("lb")))
     every = F.col("_grid")[0]
@@ -99,52 +110,52 @@ def choose(grid: DataFrame) -> DataFrame:
     cutoff = F.coalesce(value, F.when(F.col("level") == 1, sport).otherwise(other))
     status = F.when(value.isNotNull(), "tuned").when(cutoff == SUPPRESS, "suppressed").otherwise("unproven")
     n = F.coalesce(F.col("_first")["n"], F.col("_all")["n"])
-    return out.withColumns({"cutoff": cutoff, "status": status, "n": n}).where("cutoff is not null").drop("_grid", "_good", "_all", "_first")
+    out = out.withColumns({"cutoff": cutoff, "status": status, "n": n}).drop("_grid", "_good", "_all", "_first")
+    return out if gaps else out.where("cutoff is not null")
 
 
 def cutoffs(picks: DataFrame) -> DataFrame:
     """level, sport, stat_type, direction, cutoff, status, n: the table that all picks give."""
-    cells = levels(picks).groupBy("level", *KEYS, "g").agg(F.count("*").alias("n"), F.sum("win").alias("wins"))
-    return choose(grid_counts(cells, ["level", *KEYS]))
+    return choose(grid_counts(levels(cells(picks)), ["level", *KEYS]))
+
 
+def with_cutoff(picks: DataFrame, table: DataFrame, *on: str, direction: bool = True) -> DataFrame:
+    """Each pick's cutoff: of its direction (if asked), else its stat, else its sport, else the default.
 
-def with_cutoff(picks: DataFrame, table: DataFrame, *on: str) -> DataFrame:
-    """Each pick's cutoff: of its direction, else its stat, else its sport, else the default. The tables hold a few rows a key."""
-    out = picks
-    for level, keys in ((3, KEYS), (2, KEYS[:2]), (1, KEYS[:1])):
-        out = out.join(table.where(F.col("level") == level).select(*on, *keys, F.col("cutoff").alias(f"_c{level}")), [*on, *keys], "left")
-    return out.withColumn("cutoff", F.coalesce("_c3", "_c2", "_c1", F.lit(DEFAULT))).drop("_c1", "_c2", "_c3")
+    A sport's entries, a few for each stat, become one row with a map, so the picks are joined once.
+    """
+    name = F.concat_ws("\x1f", "stat_type", "direction")
+    entry = F.when(F.col("stat_type").isNotNull() & (F.col("level") > 1), F.struct(name.alias("key"), F.col("cutoff").alias("value")))
+    one = table.groupBy(*on, "sport").agg(F.max(F.when(F.col("level") == 1, F.col("cutoff"))).alias("_c1"), F.map_from_entries(F.collect_list(entry)).alias("_more"))
+    out = picks.join(one, [*on, "sport"], "left")
+    both = F.when(F.col("direction").isNotNull(), name)
+    found = [F.try_element_at("_more", both)] if direction else []
+    return out.withColumn("cutoff", F.coalesce(*found, F.try_element_at("_more", F.col("stat_type")), "_c1", F.lit(DEFAULT))).drop("_c1", "_more")
 
 
 def dated_cutoffs(picks: DataFrame, least_train: int = LEAST_SPORT) -> DataFrame:
     """The cutoff tables that each decision day may know: from picks settled strictly before it.
 
-    Picks become counts by (key, step, settle day), which are small. A window over the days cumulates them; each
+    Picks become counts by (key, step, settle day), which are small and saved. A window over the days cumulates them; each
     decision day takes the last settle day before it, so no day fits on all history anew.
     """
-    daily = levels(picks.where("settled is not null"), "settled").groupBy("level", *KEYS, "settled", "g").agg(F.count("*").alias("n"), F.sum("win").alias("wins"))
-    by_day = grid_counts(daily, ["level", *KEYS, "settled"])
+    daily = saved(cells(picks, "settled"))
+    settled = daily.where("settled is not null")
+    by_day = grid_counts(levels(settled, "settled"), ["level", *KEYS, "settled"])
     w = W.partitionBy("level", *KEYS).orderBy("settled").rowsBetween(W.unboundedPreceding, 0)
     flat = by_day.select("level", *KEYS, "settled", *[x for i in range(len(GRID) + 1) for x in (F.sum(F.col("_grid")[i]["n"]).over(w).alias(f"n{i}"), F.sum(F.col("_grid")[i]["wins"]).over(w).alias(f"w{i}"))])
     grid = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"n{i}").alias("n"), F.col(f"w{i}").alias("wins")) for i in range(len(GRID) + 1)])
-    tables = choose_keeping_gaps(flat.select("level", *KEYS, "settled", grid.alias("_grid")))
+    tables = choose(flat.select("level", *KEYS, "settled", grid.alias("_grid")), gaps=True)  # a gap ends an earlier entry
     # a table holds from the day after it settled to the next settle day of its key; each such day is a row
     until = F.lead("settled").over(W.partitionBy("level", *KEYS).orderBy("settled"))
-    last = picks.agg(F.max("decided").alias("_last"))
-    tables = tables.withColumn("_until", until).join(F.broadcast(last)).withColumn("_until", F.least(F.coalesce("_until", "_last"), "_last"))
-    held = F.explode(F.sequence(F.date_add("settled", 1), "_until"))
-    tables = tables.where("cutoff is not null and _until > settled").select("level", *KEYS, "cutoff", held.alias("decided"))
-    total = picks.where("settled is not null").groupBy("settled").agg(F.count("*").alias("n"))  # a row for each day
+    total = settled.groupBy("settled").agg(F.sum("n").alias("n"))  # a row for each day
     total = total.withColumn("_total", F.sum("n").over(W.orderBy("settled").rowsBetween(W.unboundedPreceding, 0)))
     start = total.where(F.col("_total") >= least_train).agg(F.min("settled").alias("_start"))
-    return tables.join(F.broadcast(start)).where(F.col("decided") > F.col("_start")).select("decided", "level", *KEYS, "cutoff")
-
-
-def choose_keeping_gaps(grid: DataFrame) -> DataFrame:
-    """`choose`, with a null cutoff where a key has no entry, so that its later tables end an earlier entry."""
-    got = choose(grid).select("level", *KEYS, "settled", "cutoff")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in ("level", *KEYS, "settled")]
-    return grid.drop("_grid").alias("a").join(got.alias("b"), on, "left").select("a.*", "b.cutoff")
+    edges = start.join(F.broadcast(daily.agg(F.max("last").alias("_last"))))  # one row
+    tables = tables.withColumn("_until", until).join(F.broadcast(edges)).withColumn("_until", F.least(F.coalesce("_until", "_last"), "_last"))
+    held = F.explode(F.sequence(F.date_add("settled", 1), "_until"))
+    tables = tables.where("cutoff is not null and _until > settled").select("level", *KEYS, "cutoff", "_start", held.alias("decided"))
+    return tables.where(F.col("decided") > F.col("_start")).select("decided", "level", *KEYS, "cutoff")
 
 
 def walk_forward(picks: DataFrame, least_train: int = LEAST_SPORT) -> DataFrame:
@@ -177,16 +188,25 @@ def daily_backtest(recommended: DataFrame, last: Column, days: int = 60) -> Data
     ).withColumn("trend", F.col("hit_7") - F.col("hit_prior_7"))
 
 
-def cutoff_sweep(picks: DataFrame, keys: Sequence[str], least: int = 15, material: float = 0.02) -> DataFrame:
-    """Best of the grid's cutoffs of each bucket by ROI at the lower Wilson bound, beside the live one's."""
-    step = sum((F.when(F.round("model_prob", 4) >= g, 1).otherwise(0) for g in GRID), F.lit(0))
-    cells = picks.withColumn("g", step).groupBy(*keys, "g").agg(F.count("*").alias("n"), F.sum("win").alias("wins"))
-    grid = grid_counts(cells, keys)
-    row = F.explode(F.filter("_grid", lambda c: (c["step"] > 0) & (c["n"] >= least))).alias("c")
-    rows = grid.select(*keys, row).select(*keys, F.try_element_at(F.array(*map(F.lit, GRID)), F.col("c.step")).alias("cutoff"), F.col("c.n").alias("n"), roi_two_legs(wilson(F.col("c.wins"), F.col("c.n"))[0]).alias("roi"))
-    live = F.max(F.when(F.col("cutoff") == DEFAULT, F.col("roi")))
-    out = rows.groupBy(*keys).agg(F.max_by(F.struct("cutoff", "n", "roi"), F.struct("roi", -F.col("cutoff"))).alias("_b"), live.alias("live_roi"))
-    return out.select(*keys, F.col("_b.cutoff").alias("best_cutoff"), F.col("_b.n").alias("n"), F.col("_b.roi").alias("best_roi"), "live_roi").withColumn("material", F.coalesce(F.col("best_roi") - F.col("live_roi") > material, F.lit(False)))
+def cutoff_sweep(picks: DataFrame, table: DataFrame, least: int = 15) -> DataFrame:
+    """Each sport and stat's live cutoff beside the sweep's best one by ROI at the lower Wilson bound (ties to the lower cutoff).
+
+    Material: the best slice is proven (its bound reaches break-even), and nothing is live or the live cutoff is more than
+    0.05 off with a hit rate more than 0.07 apart.
+    """
+    keys = list(KEYS[:2])
+    counted = picks.groupBy(*keys, F.round("model_prob", 4).alias("model_prob")).agg(F.count("*").alias("n"), F.sum("win").alias("wins"))
+    counted = with_cutoff(counted.withColumn("direction", F.lit(None).cast("string")), table, direction=False)
+    above = lambda limit, c: F.coalesce(F.sum(F.when(F.col("model_prob") >= limit, F.col(c))), F.lit(0))
+    points = F.array(*[F.struct(F.lit(g).alias("cutoff"), above(F.lit(g), "n").alias("n"), above(F.lit(g), "wins").alias("wins")) for g in SWEEP])
+    live = [above(F.col("cutoff"), c).alias(f"live_{c}") for c in ("n", "wins")]
+    grid = counted.groupBy(*keys).agg(F.max("cutoff").alias("live_cutoff"), *live, points.alias("_grid"))
+    bound = F.transform(F.filter("_grid", lambda c: c["n"] >= least), lambda c: F.struct(wilson(c["wins"], c["n"])[0].alias("lb"), (-c["cutoff"]).alias("low"), c["n"].alias("n"), (c["wins"] / c["n"]).alias("hit")))
+    out = grid.withColumn("_b", F.array_max(bound)).where("_b is not null")
+    out = out.withColumns({"best_cutoff": -F.col("_b.low"), "n": F.col("_b.n"), "best_hit": F.col("_b.hit"), "best_roi": roi_two_legs(F.col("_b.lb")), "live_hit": F.when(F.col("live_n") > 0, F.col("live_wins") / F.col("live_n"))})
+    far = (F.abs(F.col("best_cutoff") - F.col("live_cutoff")) > 0.05 + 1e-9) & (F.abs(F.col("live_hit") - F.col("best_hit")) > 0.07)
+    material = (F.col("_b.lb") >= BREAKEVEN) & ((F.col("live_n") == 0) | F.coalesce(far, F.lit(False)))
+    return out.select(*keys, "live_cutoff", "live_n", "live_hit", "best_cutoff", "n", "best_hit", "best_roi", material.alias("material"))
 
 
 # --- calibration and blending ----------------------------------------------------------------------

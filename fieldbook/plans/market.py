@@ -14,9 +14,21 @@ from pyspark.sql.window import Window as W
 from fieldbook.functions.counts import implied_mean, normal_quantiles, poisson_over
 from fieldbook.functions.scalars import BREAKEVEN, american_decimal, clip, joint_legs
 from fieldbook.operators.joins import main_line
-
-#: Correlation of two legs of one player that share a stat, by default, and of teammates' legs.
-RHO_SHARED, RHO_PLAYER, RHO_GAME = 0.55, 0.30, 0.04
+from fieldbook.operators.windows import top_per_key
+
+#: Measured correlations of two legs: of one player's pairs of stats, of a stat and a combined one that holds it, of other pairs of one player, of teammates in a game.
+PAIR_RHO = {("hits", "total_bases"): 0.72, ("total_bases", "rbis"): 0.48, ("hits", "runs"): 0.38, ("points", "rebounds"): 0.34, ("rebounds", "assists"): 0.27, ("points", "assists"): 0.26}
+COMBOS = {
+    "pts_rebs_asts": ("points", "rebounds", "assists"),
+    "pts_rebs": ("points", "rebounds"),
+    "pts_asts": ("points", "assists"),
+    "rebs_asts": ("rebounds", "assists"),
+    "blocks_steals": ("blocks", "steals"),
+    "hits_runs_rbis": ("hits", "runs", "rbis"),
+}
+RHO_COMBO, RHO_PLAYER, RHO_TEAM = 0.60, 0.20, 0.04
+#: What a parlay of so many legs pays, the least edge of a leg, and the number of legs that a slate considers.
+MULTIPLIERS, LEAST_EDGE, CANDIDATES = {2: 3.0, 3: 5.0, 4: 10.0}, 0.06, 16
 
 
 def with_mean(anchors: DataFrame, line: str, prob: str) -> DataFrame:
@@ -62,24 +74,40 @@ def graded_roi(bets: DataFrame, keys: Sequence[str], actual: str, line: str, sid
     return bets.where(F.col(actual).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(won).alias("wins"), F.avg(profit).alias("roi"))
 
 
+def pair_table() -> dict[str, float]:
+    """Correlation of one player's two stats by their names in order, "a|b"; other pairs have RHO_PLAYER."""
+    combos = {(c, part): RHO_COMBO for c, parts in COMBOS.items() for part in parts}
+    return {"|".join(sorted(k)): v for k, v in (combos | PAIR_RHO).items()}
+
+
 def pair_rho(a: str, b: str, stats: str = "stat_type") -> Column:
-    """Correlation of the legs in structs a and b: one player's, one team's in a game, or none; opposite sides turn the sign."""
-    same_player = F.col(f"{a}.player_id") == F.col(f"{b}.player_id")
-    shared = F.col(f"{a}.{stats}") == F.col(f"{b}.{stats}")
-    same_team = (F.col(f"{a}.game_id") == F.col(f"{b}.game_id")) & (F.col(f"{a}.team_id") == F.col(f"{b}.team_id"))
-    size = F.when(same_player & shared, RHO_SHARED).when(same_player, RHO_PLAYER).when(same_team, RHO_GAME).otherwise(0.0)
-    return F.when(F.col(f"{a}.direction") == F.col(f"{b}.direction"), size).otherwise(-size)
+    """Correlation of the legs in structs a and b; opposite sides turn the sign.
+
+    One player: by the pair of stats, 0 for one and the same stat. Different players: teammates in one game, else 0.
+    """
+    x, y = F.col(f"{a}.{stats}"), F.col(f"{b}.{stats}")
+    table = F.create_map(*[F.lit(v) for kv in pair_table().items() for v in kv])
+    own = F.when(x == y, 0.0).otherwise(F.coalesce(F.try_element_at(table, F.concat_ws("|", F.least(x, y), F.greatest(x, y))), F.lit(RHO_PLAYER)))
+    team = (F.col(f"{a}.game_id") == F.col(f"{b}.game_id")) & (F.col(f"{a}.team_id") == F.col(f"{b}.team_id"))
+    size = F.when(F.col(f"{a}.player_id") == F.col(f"{b}.player_id"), own).when(team, RHO_TEAM).otherwise(0.0)
+    return F.when(F.col(f"{a}.direction") == F.col(f"{b}.direction"), size).otherwise(0.0 - size)
+
 
+def candidates(legs: DataFrame, slate: str, top: int = CANDIDATES, least_edge: float = LEAST_EDGE) -> DataFrame:
+    """Each slate's `top` legs by edge, numbered by `_i`: one for each player, stat and side, and only those of `least_edge` if there are two."""
+    order = [F.desc("edge"), F.asc("leg_id")]
+    best = legs.withColumn("_r", F.row_number().over(W.partitionBy(slate, "player_id", "stat_type", "direction").orderBy(*order))).where("_r = 1")
+    strong = F.count_if(F.col("edge") >= least_edge).over(W.partitionBy(slate))
+    ranked = best.withColumn("_strong", strong).where((F.col("_strong") < 2) | (F.col("edge") >= least_edge))
+    return ranked.withColumn("_i", F.row_number().over(W.partitionBy(slate).orderBy(*order))).where(F.col("_i") <= top).drop("_r", "_strong")
 
-def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top: int = 16, multipliers: dict[int, float] | None = None) -> DataFrame:
-    """All combinations of each slate's `top` legs by probability: legs (ids), size, joint, ev, probs and rho (flat row-major).
+
+def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top: int = CANDIDATES) -> DataFrame:
+    """All combinations of each slate's candidates: legs (ids), size, joint, ev, probs and rho (flat row-major).
 
     A slate gives C(16,2) + C(16,3) + C(16,4) = 2,500 combinations at most, so the self-joins inside a slate are bounded.
     """
-    pay = multipliers or {2: 3.0, 3: 5.0, 4: 10.0}
-    rank = F.row_number().over(W.partitionBy(slate).orderBy(F.desc("model_prob"), "leg_id"))
-    best = legs.withColumn("_i", rank).where(F.col("_i") <= top)
-    one = best.select(slate, F.struct("_i", "leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob").alias("leg"))
+    one = candidates(legs, slate, top).select(slate, F.struct("_i", "leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob").alias("leg"))
     out, rows = None, one.withColumnRenamed("leg", "l1")
     for k in range(2, max(sizes) + 1):
         rows = rows.join(one.withColumnRenamed("leg", f"l{k}"), slate).where(F.col(f"l{k}._i") > F.col(f"l{k - 1}._i"))
@@ -89,11 +117,16 @@ def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top:
         rho = {(i, j): pair_rho(names[i], names[j]) for i in range(k) for j in range(i + 1, k)}
         matrix = [F.lit(1.0) if i == j else rho[min(i, j), max(i, j)] + F.lit(0.0) for i in range(k) for j in range(k)]
         joint = joint_legs([F.col(f"{n}.model_prob") for n in names], rho)
-        got = rows.select(slate, F.lit(k).alias("size"), F.array(*[F.col(f"{n}.leg_id") for n in names]).alias("legs"), joint.alias("joint"), (pay[k] * joint - 1).alias("ev"), F.array(*[F.col(f"{n}.model_prob") for n in names]).alias("probs"), F.array(*matrix).alias("rho"))
+        got = rows.select(slate, F.lit(k).alias("size"), F.array(*[F.col(f"{n}.leg_id") for n in names]).alias("legs"), joint.alias("joint"), (MULTIPLIERS[k] * joint - 1).alias("ev"), F.array(*[F.col(f"{n}.model_prob") for n in names]).alias("probs"), F.array(*matrix).alias("rho"))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def best_parlays(combos: DataFrame, slate: str, n: int = 10) -> DataFrame:
+    """The n combinations of each slate with the highest expected value, ties by their legs."""
+    return top_per_key(combos, [slate], [F.desc(F.round("ev", 9)), F.asc("legs")], n)
+
+
 def diversified(legs: DataFrame, slate: str, k: int) -> DataFrame:
     """The best leg of each player, of those the best of each game and direction, of those the top k of the slate."""
     order = [F.desc("model_prob"), F.asc("leg_id")]
@@ -121,58 +154,117 @@ def normals(draws: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((draws, n))
 
 
-def copula_joint(probs: np.ndarray, rho: np.ndarray, draws: int = 40_000, seed: int = 7) -> float:
-    """Joint probability of correlated legs under a Gaussian copula; a matrix that isn't positive gets its nearest one."""
+def copula_root(rho: np.ndarray) -> np.ndarray:
+    """The Cholesky factor of the correlations, of their nearest positive matrix if they aren't one."""
     values, vectors = np.linalg.eigh(rho)
-    root = vectors * np.sqrt(np.maximum(values, 1e-8))
-    root = root / np.sqrt((root * root).sum(1))[:, None]
-    z = normals(draws, len(probs), seed) @ root.T
-    return float((z < normal_quantiles(np.clip(probs, 1e-6, 1 - 1e-6))).all(axis=1).mean())
+    near = (vectors * np.maximum(values, 1e-6)) @ vectors.T
+    scale = np.sqrt(np.diag(near))
+    return np.linalg.cholesky(near / np.outer(scale, scale))
+
+
+@lru_cache(4096)
+def copula_rows(rho: tuple[float, ...]) -> tuple[tuple[float, ...], ...]:
+    n = round(len(rho) ** 0.5)
+    return tuple(tuple(r) for r in np.round(copula_root(np.array(rho).reshape(n, n)), 12).tolist())
+
+
+@lru_cache(8192)
+def leg_hits(row: tuple[float, ...], prob: float, draws: int, seed: int) -> np.ndarray:
+    """In which draws a leg hits, as packed bits (5 KB for 40,000 draws); row: its line of the Cholesky factor."""
+    limit = normal_quantiles(np.clip([prob], 1e-12, 1 - 1e-12))[0]
+    return np.packbits(normals(draws, len(row), seed) @ np.array(row) < limit)
+
+
+def copula_joint(probs: Sequence[float], rho: Sequence[float], draws: int = 40_000, seed: int = 42) -> float:
+    """Joint probability of correlated legs (rho flat row-major) under a Gaussian copula.
+
+    Few lines of Cholesky factors and few probabilities make up all combinations, so each leg's hits are kept.
+    """
+    hits = [leg_hits(r, float(p), draws, seed) for r, p in zip(copula_rows(tuple(map(float, rho))), probs, strict=True)]
+    return int(np.bitwise_count(np.bitwise_and.reduce(hits)).sum()) / draws
 
 
 def copula_parlays(combos: DataFrame, slate: str) -> DataFrame:
-    """mc_joint of each combination; combos: slate, combo_id, probs (array), rho (flat row-major array). The draws are seeded, so equal (probs, rho) are drawn once."""
+    """mc_joint of each combination; combos: slate, combo_id, probs (array), rho (flat row-major array).
+
+    The product where no two legs are correlated, else from seeded draws; equal (probs, rho) are drawn once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [min(max(copula_joint(np.array(p, float), np.array(r, float).reshape(len(p), -1)), 0.01), 0.99) for p, r in zip(pdf["probs"], pdf["rho"], strict=True)]
-            yield pdf.assign(mc_joint=got)
+            got = [copula_joint(p, r) for p, r in zip(pdf["probs"], pdf["rho"], strict=True)]
+            yield pdf.assign(drawn=got)
 
     n = int(combos.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = combos.select("probs", "rho").distinct().repartition(n, "probs", "rho").mapInPandas(run, "probs array<double>, rho array<double>, mc_joint double")
-    return combos.join(drawn, ["probs", "rho"]).select(slate, "combo_id", "mc_joint")
+    linked = F.exists("rho", lambda r: (r != 0) & (r != 1))
+    drawn = combos.where(linked).select("probs", "rho").distinct().repartition(n, "probs", "rho").mapInPandas(run, "probs array<double>, rho array<double>, drawn double")
+    product = F.aggregate("probs", F.lit(1.0), lambda a, p: a * p)
+    return combos.join(drawn, ["probs", "rho"], "left").select(slate, "combo_id", clip(F.coalesce("drawn", product), 0.01, 0.99).alias("mc_joint"))
+
+
+def on_simplex(f: np.ndarray, cap: float, most: float) -> np.ndarray:
+    """The nearest stakes within 0 and `cap` that sum to `most` at most."""
+    out = np.clip(f, 0, cap)
+    if out.sum() <= most:
+        return out
+    low, high = 0.0, float(f.max())
+    for _ in range(50):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.clip(f - mid, 0, cap).sum() > most else (low, mid)
+    return np.clip(f - high, 0, cap)
 
 
-def kelly_stakes(p: np.ndarray, b: np.ndarray, cap: float = 0.10, rounds: int = 400) -> np.ndarray:
-    """Stakes that maximize the mean of log growth over the outcomes, each at most `cap`, together at most 1; projected gradient, halved."""
-    f = np.zeros(len(p))
+def kelly_stakes(probs: np.ndarray, rho: np.ndarray, *, pays: float = 3.0, cap: float = 0.10, most: float = 1.0, share: float = 0.5, draws: int = 20_000, seed: int = 42, rounds: int = 300) -> np.ndarray:
+    """Stakes that maximize the mean log growth over correlated outcomes of the slate, times `share`.
+
+    Outcomes are seeded draws of a Gaussian copula; equal ones count together. The growth is concave: projected
+    gradient steps, each as long as the last one's curvature suggests and halved until the growth rises, reach its maximum.
+    """
+    wins = normals(draws, len(probs), seed) @ copula_root(rho).T < normal_quantiles(np.clip(probs, 1e-12, 1 - 1e-12))
+    _, at, times = np.unique(np.packbits(wins, axis=1).view(np.void if len(probs) < 1 else f"V{-(-len(probs) // 8)}").ravel(), return_index=True, return_counts=True)
+    gain, weight = pays * wins[at] - 1.0, times / draws
+    value = lambda f: float(weight @ np.log(np.maximum(1 + gain @ f, 1e-6)))
+    slope = lambda f: gain.T @ (weight / np.maximum(1 + gain @ f, 1e-6))
+    half = share * np.clip((pays * probs - 1) / (pays - 1), 0, None)
+    f = on_simplex(np.minimum(half, cap) * 0.9, cap, 0.9 * most)
+    now, g, length = value(f), slope(f), 0.01
     for _ in range(rounds):
-        old, grad = f, p * b / (1 + f * b) - (1 - p) / (1 - f)
-        f = np.clip(f + 0.02 * grad, 0, cap)
-        if f.sum() > 1:
-            f = f / f.sum()
-        if np.abs(f - old).max() < 1e-10:
+        if np.abs(on_simplex(f + g, cap, most) - f).max() < 1e-7:
+            break
+        move, scale = on_simplex(f + length * g, cap, most) - f, 1.0
+        while scale > 1e-9 and (new := value(f + scale * move)) < now + 1e-4 * scale * (g @ move):
+            scale /= 2
+        if scale <= 1e-9:
             break
-    return f / 2
+        moved = scale * move
+        f, now, old = f + moved, new, g
+        g = slope(f)
+        bend = moved @ (old - g)
+        length = min(max(moved @ moved / bend, 1e-6), 1e3) if bend > 0 else 1.0
+    return f * share
 
 
-def slate_kelly(picks: DataFrame, day: str, prob: str, payout: str) -> DataFrame:
-    """stake of each pick of a day. A day's recommended picks are one small group."""
+def slate_kelly(legs: DataFrame, slate: str, columns: Sequence[str] = ("win",)) -> DataFrame:
+    """leg_id, stake and `columns` of each slate's candidates, sized together. A slate holds CANDIDATES legs at most."""
+    own = ["leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob", *columns]
+    rows = candidates(legs, slate).select(slate, F.struct("_i", *own).alias("a"))
+    pairs = rows.join(rows.withColumnRenamed("a", "b"), slate).withColumn("r", F.when(F.col("a._i") == F.col("b._i"), 1.0).otherwise(pair_rho("a", "b")))
+    lines = pairs.groupBy(slate, "a").agg(F.array_sort(F.collect_list(F.struct("b._i", "r")))["r"].alias("r"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pick_id", ignore_index=True)
-        return pdf.assign(stake=kelly_stakes(pdf[prob].to_numpy(float), pdf[payout].to_numpy(float) - 1))
+        pdf = pdf.sort_values("_i", ignore_index=True)
+        return pdf.assign(stake=kelly_stakes(pdf["model_prob"].to_numpy(float), np.array(pdf["r"].tolist(), float))).drop(columns=["_i", "r"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picks.schema)
-    return picks.groupBy(day).applyInPandas(run, f"{fields}, stake double")
+    flat = lines.select(slate, "a._i", *[F.col(f"a.{c}").alias(c) for c in ("leg_id", "model_prob", *columns)], "r")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema if f.name not in ("_i", "r"))
+    return flat.groupBy(slate).applyInPandas(run, f"{fields}, stake double")
 
 
-def compounded(staked: DataFrame, day: str, win: str, payout: str) -> DataFrame:
-    """Bankroll by day: exp of the sum of log(1 + the day's return); the window runs over days."""
-    r = F.sum(F.when(F.col(win) == 1, F.col("stake") * (F.col(payout) - 1)).otherwise(-F.col("stake")))
-    daily = staked.groupBy(day).agg(r.alias("day_return"))
+def compounded(staked: DataFrame, day: str, win: str, pays: float = 3.0) -> DataFrame:
+    """Bankroll by day: the product of 1 + the day's return, 1e-6 at least; the window runs over days."""
+    daily = staked.groupBy(day).agg(F.sum(F.col("stake") * (pays * F.col(win) - 1)).alias("day_return"))
     w = W.orderBy(day).rowsBetween(W.unboundedPreceding, 0)
-    return daily.withColumn("bankroll", F.exp(F.sum(F.log1p(clip(F.col("day_return"), -0.999, 1e9))).over(w)))
+    return daily.withColumn("bankroll", F.exp(F.sum(F.log(F.greatest(1 + F.col("day_return"), F.lit(1e-6)))).over(w)))
 
 
 def stacks(legs: DataFrame, other: DataFrame, bonus: float = 0.06) -> DataFrame:

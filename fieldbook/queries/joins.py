@@ -53,7 +53,7 @@ def d06(s, d):
 
 
 @query("d07_game_identity", """
-with r as (select event_id as row_id, user_id % 40 as team, cast(ts as date) as d from events where event_type = 'view'), g as (select event_id as game, user_id % 40 as team, cast(ts as date) as gd from events where event_type = 'purchase' and event_id % 7 = 0),
+with r as (select event_id as row_id, user_id % 40 as team, cast(ts as date) as d from events where event_type = 'view'), g as (select event_id as game, user_id % 40 as team, cast(ts as date) as gd from events where event_type = 'purchase'),
  c as (select row_id, count(game) as n0, min(game) as g0, count(*) filter (gd = d) as n1, min(game) filter (gd = d) as g1, count(*) filter (abs(datediff('day', gd, d)) <= 1) as n2, min(game) filter (abs(datediff('day', gd, d)) <= 1) as g2 from r left join g using (team) group by 1)
 select row_id, case when n0 = 1 then g0 when n1 = 1 then g1 when n1 = 0 and n2 = 1 then g2 end as matched_game from c""")
 def d07(s, d):
@@ -63,7 +63,7 @@ def d07(s, d):
     return j.nearest_game(rows, games, "team", "d", "gd", "game", "row_id").select("row_id", "matched_game")
 
 
-@query("d08_placeholder_games", f"with p as (select pick_id, player_id, decided from ({LEDGER}) where line_id % 10 = 0), g as (select o_orderkey as game_id, o_custkey % 10 as player_id, cast(o_orderdate as date) as gd from orders where o_orderstatus = 'F'), r as (select pick_id, game_id, row_number() over (partition by pick_id order by gd, game_id) as n from p join g using (player_id) where abs(datediff('day', gd, decided)) <= 1) select pick_id, game_id from r where n = 1")
+@query("d08_placeholder_games", f"with p as (select pick_id, player_id, decided from ({LEDGER})), g as (select o_orderkey as game_id, o_custkey % 10 as player_id, cast(o_orderdate as date) as gd from orders where o_orderstatus = 'F'), r as (select pick_id, game_id, row_number() over (partition by pick_id order by gd, game_id) as n from p join g using (player_id) where abs(datediff('day', gd, decided)) <= 1) select pick_id, game_id from r where n = 1")
 def d08(s, d):
     picks = ledger(s, d).select("pick_id", "player_id", "decided")
     games = table(s, d, "orders").where("o_orderstatus = 'F'").select(C("o_orderkey").alias("game_id"), (C("o_custkey") % 10).alias("player_id"), C("o_orderdate").cast("date").alias("gd"))

@@ -12,7 +12,7 @@ C = F.col
 
 
 @query("g01_settle", f"""
-with p as (select pick_id, game_id, player_id, line_id, stat_type, direction, quantity, pick_id % 9 as k from ({LEDGER}) where pick_id % 3 = 0), g as (select o_orderkey as game_id, case o_orderstatus when 'F' then 'final' when 'P' then 'postponed' else 'live' end as status, cast(o_orderdate as date) as gd from orders where o_orderkey % 17 <> 0),
+with p as (select pick_id, game_id, player_id, line_id, stat_type, direction, quantity, pick_id % 9 as k from ({LEDGER})), g as (select o_orderkey as game_id, case o_orderstatus when 'F' then 'final' when 'P' then 'postponed' else 'live' end as status, cast(o_orderdate as date) as gd from orders where o_orderkey % 17 <> 0),
  b as (select game_id, player_id, min(quantity) as q, min(line_id) as l from ({LEDGER}) where line_id % 5 <> 0 group by 1, 2), h as (select distinct game_id from b),
  t as (select p.*, status, coalesce(datediff('day', gd, date '2001-08-02') > 2, false) as stale, case when p.line_id % 13 <> 0 then p.line_id % 50 end as line, b.game_id is not null as row_, h.game_id is not null as box, case when l % 4 = 0 then null else l % 11 <> 0 end as dnp, case when l % 6 = 0 then l % 12 end as bf, case when p.stat_type = 'F' then q end as actual
   from p left join g using (game_id) left join b on b.game_id = p.game_id and b.player_id = p.player_id left join h on h.game_id = p.game_id)
@@ -85,9 +85,17 @@ def g08(s, d):
     return rounded(lg.daily_backtest(lg.walk_forward(ledger(s, d)), F.lit("2001-07-31").cast("date"), 400))
 
 
-@query("g09_cutoff_sweep", f"with {CELLS}, q as (select a, b, step, round(0.55 + 0.025 * (step - 1), 3)::double as cutoff, n, 3 * pow({wilson_sql('wins', 'n', '1.0', '-')}, 2) - 1 as roi from grid where level = 2 and step > 0 and n >= 15), r as (select *, row_number() over (partition by a, b order by roi desc, cutoff) as k, max(case when cutoff = 0.7 then roi end) over (partition by a, b) as live from q) select a as sport, b as stat_type, cutoff as best_cutoff, n, round(roi, 6) as best_roi, round(live, 6) as live_roi, coalesce(roi - live > 0.02, false) as material from r where k = 1")
+SWEEP = f"""cnt as (select sport, stat_type, round(model_prob, 4) as p, count(*) as n, sum(win) as wins from ({LEDGER}) group by 1, 2, 3),
+ lv2 as (select cnt.*, coalesce(c2.cutoff, c1.cutoff, 0.7) as live from cnt left join cut c2 on c2.level = 2 and c2.a = sport and c2.b = stat_type left join cut c1 on c1.level = 1 and c1.a = sport),
+ lq as (select sport, stat_type, max(live) as live, coalesce(sum(n) filter (p >= live), 0) as live_n, coalesce(sum(wins) filter (p >= live), 0) as live_wins from lv2 group by 1, 2),
+ sw as (select sport, stat_type, x, sum(n) as n, sum(wins) as wins from cnt, (select round(0.5 + 0.025 * i, 3)::double as x from (select unnest(range(0, 13)) as i)) where p >= x group by 1, 2, 3 having sum(n) >= 15),
+ rk as (select *, {wilson_sql('wins', 'n', '1.0', '-')} as lb, row_number() over (partition by sport, stat_type order by {wilson_sql('wins', 'n', '1.0', '-')} desc, x) as k from sw)"""
+
+
+@query("g09_cutoff_sweep", f"with {CELLS}, {choose_sql('grid', '')}, {SWEEP} select sport, stat_type, live as live_cutoff, cast(live_n as bigint) as live_n, round(case when live_n > 0 then live_wins / cast(live_n as double) end, 6) as live_hit, x as best_cutoff, cast(n as bigint) as n, round(wins / cast(n as double), 6) as best_hit, round(3 * lb * lb - 1, 6) as best_roi, lb >= 0.577 and (live_n = 0 or coalesce(abs(x - live) > 0.05 + 1e-9 and abs(live_wins / cast(live_n as double) - wins / cast(n as double)) > 0.07, false)) as material from rk join lq using (sport, stat_type) where k = 1")
 def g09(s, d):
-    return rounded(lg.cutoff_sweep(ledger(s, d), ["sport", "stat_type"]))
+    rows = ledger(s, d)
+    return rounded(lg.cutoff_sweep(rows, lg.cutoffs(rows)))
 
 
 @query("g10_blend_weights", f"with t as (select sport, count(*) as n, sum((model_prob - market_prob) * (model_prob - market_prob)) as aa, sum((model_prob - market_prob) * (market_prob - win)) as ab, sum((market_prob - win) * (market_prob - win)) as bb from ({LEDGER}) group by 1), g as (select t.*, i / 20.0::double as w, round((i / 20.0::double * i / 20 * aa + 2 * i / 20.0::double * ab + bb) / n, 9) as brier from t, (select unnest(range(0, 21)) as i)), r as (select *, row_number() over (partition by sport order by brier, w) as k from g) select sport, n, w as weight, round(brier, 6) as brier from r where k = 1")
@@ -122,13 +130,21 @@ def g14(s, d):
     return rounded(lg.combo_edges(m, {"AN": ["A", "N"], "ANR": ["A", "N", "R"]}, ["player_id"], "sport", "mean"))
 
 
-@query("g15_availability", f"select player_game_id, round(case when n5 + n10 > 0 then (coalesce(a5 * n5, 0) + coalesce(a10 * n10, 0)) / (n5 + n10) else 2 end, 6) as projected, coalesce(case when n5 + n10 > 0 then (coalesce(a5 * n5, 0) + coalesce(a10 * n10, 0)) / (n5 + n10) else 2 end < 3.5, false) as suppressed from (select player_game_id, a5, a10, case when a5 > 0 then 0.5::double else 0 end as n5, case when a10 > 0 then 0.3::double else 0 end as n10 from (select player_game_id, avg(minutes) over (partition by team_id order by game_date, player_game_id rows between 5 preceding and 1 preceding) as a5, avg(minutes) over (partition by team_id order by game_date, player_game_id rows between 10 preceding and 1 preceding) as a10 from ({DENSE})))")
-def g15(s, d):
-    from fieldbook.functions.scalars import projected_minutes
+AVAILABILITY = f"""with a as (select player_game_id, team_id % 3 * 10 as minutes_out, {', '.join(f"avg(4 * minutes) over (partition by team_id order by game_date, player_game_id rows between {n} preceding and 1 preceding) as a{n}" for n in (5, 10, 20))}, avg(4 * minutes) over (partition by team_id, season order by game_date, player_game_id rows between unbounded preceding and 1 preceding) as s from ({DENSE})),
+ b as (select *, case when minutes_out >= 15 and coalesce(a5, s, 0) >= 5 then 14.0::double else 0 end as bump, coalesce((coalesce(a5 * 0.5::double, 0) + coalesce(a10 * 0.3::double, 0) + coalesce(a20 * 0.2::double, 0)) / nullif(case when a5 is null then 0 else 0.5::double end + case when a10 is null then 0 else 0.3::double end + case when a20 is null then 0 else 0.2::double end, 0), s, 0) as base from a),
+ c as (select *, round(greatest(base, bump), 1) as projected, coalesce(a5, base) < 8 and bump < 12 as bench, coalesce(a20 > 0 and a5 < 0.55 * a20 and a5 < 18, false) as collapse from b)"""
+
 
-    t = w.prior_means(dense_rows(s, d), ["team_id"], ["game_date", "player_game_id"], ["minutes"], (5, 10), fill=None)
-    p = projected_minutes(C("last_5_avg_minutes"), C("last_10_avg_minutes"), F.lit(None).cast("double"), F.lit(2.0))
-    return t.select("player_game_id", r6(p).alias("projected"), F.coalesce(p < 3.5, F.lit(False)).alias("suppressed"))
+@query("g15_availability", f"{AVAILABILITY} select player_game_id, projected, bench or collapse as dnp_risk, projected < 12 or bench or collapse as suppressed, case when projected < 12 then 'minutes' when bench then 'bench' when collapse then 'collapse' end as reason from c")
+def g15(s, d):
+    from fieldbook.functions.scalars import availability, teammate_bump
+
+    rows = dense_rows(s, d).withColumn("minutes", 4 * C("minutes"))
+    t = w.prior_means(rows, ["team_id"], ["game_date", "player_game_id"], ["minutes"], (5, 10, 20), fill=None)
+    t = t.withColumn("season_avg_minutes", F.avg("minutes").over(w.before(w.entity(["team_id", "season"], ["game_date", "player_game_id"]))))
+    last5, last10, last20, season = (C(f"{n}_avg_minutes") for n in ("last_5", "last_10", "last_20", "season"))
+    got = availability(last5, last10, last20, season, teammate_bump(last5, season, C("team_id") % 3 * 10))
+    return t.select("player_game_id", got.alias("a")).select("player_game_id", "a.*")
 
 
 @query("g16_injury_expansion", f"with n as (select max(game_date) as now from ({DENSE})), r as (select team_id, opponent_id as player, avg(minutes) as m from ({DENSE}), n where datediff('day', game_date, now) between 1 and 200 and minutes >= 2 group by 1, 2 having count(*) >= 2), l as (select team_id, sum(case when player % 4 = 0 then m else 0 end) as lost from r group by 1) select r.team_id, player, round(m, 6) as mean_minutes, round(lost, 6) as minutes_lost from r join l using (team_id) where lost >= 5 and player % 4 <> 0")

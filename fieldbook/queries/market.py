@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldbook.plans import market as mk
 from fieldbook.queries.base import LEDGER, ledger, query, rounded
 from fieldbook.queries.joins import QUOTES, quotes
+from fieldbook.session import saved
 
 C = F.col
 
@@ -43,22 +44,24 @@ def h05(s, d):
     return rounded(tier_roi(rows, ["sport"], "model_prob", "payout", "win").select("sport", "n", "roi"))
 
 
-LEGS = f"select pick_id as leg_id, decided, player_id, line_id % 7 as team_id, game_id, stat_type, direction, model_prob from ({LEDGER}) where decided >= date '2001-05-01'"
-TOP = f"t as ({LEGS}), b as (select *, row_number() over (partition by decided order by model_prob desc, leg_id) as i from t), l as (select * from b where i <= 16)"
-RHO = "(case when {a}.direction = {b}.direction then 1 else -1 end) * (case when {a}.player_id = {b}.player_id and {a}.stat_type = {b}.stat_type then 0.55::double when {a}.player_id = {b}.player_id then 0.30 when {a}.game_id = {b}.game_id and {a}.team_id = {b}.team_id then 0.04 else 0 end)"
+#: The stats that the legs stand for, by line.
+STATS = ("hits", "total_bases", "rbis", "runs", "points", "rebounds", "assists", "pts_rebs_asts", "hits_runs_rbis")
+LEGS = f"select pick_id as leg_id, decided, player_id, line_id % 7 as team_id, game_id, [{', '.join(map(repr, STATS))}][line_id % {len(STATS)} + 1] as stat_type, direction, model_prob, round(model_prob - market_prob, 6) as edge, win from ({LEDGER})"
+TOP = f"""t as ({LEGS}), o as (select *, row_number() over (partition by decided, player_id, stat_type, direction order by edge desc, leg_id) as r from t), st as (select *, count(*) filter (edge >= 0.06) over (partition by decided) as strong from o where r = 1),
+ l as (select * from (select *, row_number() over (partition by decided order by edge desc, leg_id) as i from st where strong < 2 or edge >= 0.06) where i <= 16)"""
+RHO = "(case when {a}.direction = {b}.direction then 1 else -1 end) * (case when {a}.player_id = {b}.player_id then case when {a}.stat_type = {b}.stat_type then 0 else coalesce(map_extract_value(" + f"map {{{{{', '.join(f'{k!r}: {v}::double' for k, v in mk.pair_table().items())}}}}}" + ", least({a}.stat_type, {b}.stat_type) || '|' || greatest({a}.stat_type, {b}.stat_type)), 0.2::double) end when {a}.game_id = {b}.game_id and {a}.team_id = {b}.team_id then 0.04::double else 0 end)"
 
 
 def legs(s, d):
-    return ledger(s, d).select(C("pick_id").alias("leg_id"), "decided", "player_id", (C("line_id") % 7).alias("team_id"), "game_id", "stat_type", "direction", "model_prob")
+    stat = F.element_at(F.array(*map(F.lit, STATS)), (C("line_id") % len(STATS) + 1).cast("int"))
+    return ledger(s, d).select(C("pick_id").alias("leg_id"), "decided", "player_id", (C("line_id") % 7).alias("team_id"), "game_id", stat.alias("stat_type"), "direction", "model_prob", F.round(C("model_prob") - C("market_prob"), 6).alias("edge"), "win")
 
 
 @query("h06_pair_correlation", f"with {TOP} select a.leg_id as leg_a, b.leg_id as leg_b, {RHO.format(a='a', b='b')} as rho from l a join l b on a.decided = b.decided and a.i < b.i")
 def h06(s, d):
-    from pyspark.sql.window import Window as W
-
-    top = legs(s, d).withColumn("i", F.row_number().over(W.partitionBy("decided").orderBy(F.desc("model_prob"), "leg_id"))).where("i <= 16")
+    top = mk.candidates(legs(s, d), "decided")
     one = top.select("decided", F.struct(*top.columns).alias("leg"))
-    two = one.withColumnRenamed("leg", "a").join(one.withColumnRenamed("leg", "b"), "decided").where("a.i < b.i")
+    two = one.withColumnRenamed("leg", "a").join(one.withColumnRenamed("leg", "b"), "decided").where("a._i < b._i")
     return rounded(two.select(C("a.leg_id").alias("leg_a"), C("b.leg_id").alias("leg_b"), mk.pair_rho("a", "b").alias("rho")))
 
 
@@ -72,50 +75,57 @@ def joint_sql(names: tuple[str, ...]) -> str:
     return f"greatest(least({' + '.join(terms)}, 0.99), 0.01)"
 
 
-def parlay_sql(size: int, pay: float) -> str:
+def parlay_sql(size: int) -> str:
     names = tuple("abcd"[:size])
     joins = " ".join(f"join l {n} on {n}.decided = a.decided and {n}.i > {names[k]}.i" for k, n in enumerate(names[1:]))
-    return f"select a.decided, {size} as size, [{', '.join(f'{n}.leg_id' for n in names)}] as legs, {joint_sql(names)} as joint, {pay} * {joint_sql(names)} - 1 as ev from l a {joins}"
+    return f"select a.decided, {size} as size, [{', '.join(f'{n}.leg_id' for n in names)}] as legs, {joint_sql(names)} as joint from l a {joins}"
+
 
+#: What parlays of 2, 3 and 4 legs pay.
+PAYS = "case size when 2 then 3.0::double when 3 then 5.0::double else 10.0::double end"
 
-@query("h07_parlays", f"with {TOP}, p as ({parlay_sql(2, 3.0)} union all {parlay_sql(3, 6.0)}) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 10) as joint, round(ev, 10) as ev from p")
+
+@query("h07_parlays", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}), e as (select *, {PAYS} * joint - 1 as ev from p), r as (select *, row_number() over (partition by decided order by round(ev, 9) desc, legs) as k from e) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 6) as joint, round(ev, 6) as ev from r where k <= 10")
 def h07(s, d):
-    out = mk.parlays(legs(s, d), "decided", (2, 3))
+    out = mk.best_parlays(mk.parlays(legs(s, d), "decided"), "decided")
     joined = F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")
-    return out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), F.round("joint", 10).alias("joint"), F.round("ev", 10).alias("ev"))
+    return rounded(out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), "joint", "ev"))
 
 
-@query("h08_joint_probability", f"with {TOP}, p as ({parlay_sql(4, 10.0)}) select decided, count(*) as n, round(max(joint), 6) as best, round(min(joint), 6) as worst from p group by 1")
+@query("h08_joint_probability", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}) select decided, cast(size as bigint) as size, count(*) as n, round(max(joint), 6) as best, round(min(joint), 6) as worst, round(avg(joint), 6) as mean from p group by 1, 2")
 def h08(s, d):
-    return rounded(mk.parlays(legs(s, d), "decided", (4,)).groupBy("decided").agg(F.count("*").alias("n"), F.max("joint").alias("best"), F.min("joint").alias("worst")))
+    return rounded(mk.parlays(legs(s, d), "decided").groupBy("decided", "size").agg(F.count("*").alias("n"), F.max("joint").alias("best"), F.min("joint").alias("worst"), F.avg("joint").alias("mean")))
+
+
+def drawn(s, d):
+    """All combinations with the joint probability of the copula where legs are correlated, and its expected value."""
+    combos = mk.parlays(legs(s, d), "decided").withColumn("combo_id", F.xxhash64("legs"))
+    got = mk.copula_parlays(combos.select("decided", "combo_id", "probs", "rho"), "decided")
+    out = combos.drop("joint", "ev").join(got.withColumnRenamed("mc_joint", "joint"), ["decided", "combo_id"])
+    pays = F.element_at(F.create_map(*[F.lit(x) for kv in mk.MULTIPLIERS.items() for x in kv]), C("size"))
+    return out.withColumn("ev", pays * C("joint") - 1)
 
 
 @query("h09_copula_joint")
 def h09(s, d):
-    combos = mk.parlays(legs(s, d), "decided", (2, 3, 4)).withColumn("combo_id", F.xxhash64("legs"))
+    combos = mk.parlays(legs(s, d), "decided").withColumn("combo_id", F.xxhash64("legs"))
     return mk.copula_parlays(combos.select("decided", "combo_id", "probs", "rho"), "decided")
 
 
 @query("h10_slate_plan")
 def h10(s, d):
-    combos = mk.parlays(legs(s, d), "decided", (2, 3, 4))
-    out = mk.slate_plan(combos, "decided")
+    out = mk.slate_plan(saved(drawn(s, d).select("decided", "size", "legs", "joint", "ev")), "decided")
     return rounded(out.withColumn("legs", F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")))
 
 
-def staked(s, d):
-    rows = ledger(s, d).where("model_prob >= 0.8").select("pick_id", "decided", "model_prob", (C("payout") + 0.8).alias("payout"), "win")
-    return mk.slate_kelly(rows, "decided", "model_prob", "payout")
-
-
 @query("h11_slate_kelly")
 def h11(s, d):
-    return rounded(staked(s, d).select("pick_id", "stake"))
+    return rounded(mk.slate_kelly(legs(s, d), "decided").select(C("leg_id").alias("pick_id"), "stake"))
 
 
 @query("h11_bankroll")
 def h11_bankroll(s, d):
-    return rounded(mk.compounded(staked(s, d), "decided", "win", "payout"))
+    return rounded(mk.compounded(mk.slate_kelly(legs(s, d), "decided"), "decided", "win"))
 
 
 @query("h12_main_lines", f"select count(*) as n, round(avg(over_prob), 6) as mean_prob from ({QUOTES})")

@@ -157,13 +157,16 @@ def b21(s, d):
     return table(s, d, "part").select("p_partkey", x.position_group(word, {k.upper(): v for k, v in COMBOS.items()}).alias("position"))
 
 
-STATUS = "case o_orderpriority when '1-URGENT' then 'Out - knee' when '2-HIGH' then 'Probable (was out)' when '3-MEDIUM' then 'Doubtful' when '5-LOW' then null else 'Questionable' end"
+#: Status texts with their meaning, out or not.
+STATUSES = (
+    ("Out", True), ("Doubtful", True), ("15-Day-IL", True), ("60-Day-IL", True), ("7-Day IL", True), ("suspension", True), ("developmental list", True), ("paternity", True), ("Out - knee", True),
+    ("Day-To-Day", False), ("Questionable", False), ("Probable (was out)", False), ("GTD", False), ("Available", False), ("", False), (None, False), ("Active", False),
+)
 
 
-@query("b22_injury_status", f"with t as (select o_orderkey, {STATUS} as st from orders) select o_orderkey, coalesce(st in ('Out - knee', 'Doubtful'), false) as is_out from t")
+@query("b22_injury_status", f"with t as (select o_orderkey, ([{', '.join('null' if x is None else repr(x) for x, _ in STATUSES)}])[o_orderkey % {len(STATUSES)} + 1] as st from orders) select o_orderkey, coalesce(st in ({', '.join(repr(x) for x, out in STATUSES if out)}), false) as is_out from t")
 def b22(s, d):
-    p = C("o_orderpriority")
-    st = F.when(p == "1-URGENT", "Out - knee").when(p == "2-HIGH", "Probable (was out)").when(p == "3-MEDIUM", "Doubtful").when(p != "5-LOW", "Questionable")
+    st = F.element_at(F.array(*[F.lit(x).cast("string") for x, _ in STATUSES]), (C("o_orderkey") % len(STATUSES) + 1).cast("int"))
     return table(s, d, "orders").select("o_orderkey", x.is_out(st).alias("is_out"))
 
 
@@ -199,7 +202,7 @@ def b27(s, d):
     return recency_weighted(t, "day").select("o_orderkey", r6("weight").alias("weight"))
 
 
-@query("b28_implied_totals", f"select {ID}, (l_quantity + 200 - l_linenumber) / 2 as home_total, (l_quantity + 200 + l_linenumber) / 2 as away_total from lineitem")
+@query("b28_implied_totals", f"select {ID}, (l_quantity + 200 + l_linenumber) / 2 as home_total, (l_quantity + 200 - l_linenumber) / 2 as away_total from lineitem")
 def b28(s, d):
     home, away = x.implied_totals(C("l_quantity") + 200, C("l_linenumber"))
     return table(s, d, "lineitem").select(*KEY, home.alias("home_total"), away.alias("away_total"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -16,3 +19,24 @@ def build(master: str, shuffle_partitions: int, **more: str) -> SparkSession:
     """A session for `master`. At scale leave shuffle_partitions at two or three times the cores and let adaptive execution merge them."""
     builder = SparkSession.builder.master(master).config(map=SETTINGS | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | more)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster must name it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = got.get() if got.isDefined() else None
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='fieldbook-')}"
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, computed once into the shared folder; what built them is not needed again. Spark deletes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

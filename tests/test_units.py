@@ -48,7 +48,7 @@ def test_odds(spark):
     assert got[0][:2] == (0.4, 2.5) and got[1][2] == 0.5 and got[2][0] is None and got[3][2] is None
     low, high = values(spark, "w int, n int", [(0, 0), (7, 10)], *x.wilson(C("w"), C("n")))
     assert low == (0.0, 1.0) and high[0] < 0.7 < high[1]
-    home, away = values(spark, "t double, s double", [(220.0, -4.0)], *x.implied_totals(C("t"), C("s")))[0]
+    home, away = values(spark, "t double, s double", [(220.0, 4.0)], *x.implied_totals(C("t"), C("s")))[0]
     assert (home, away) == (112.0, 108.0)
 
 
@@ -238,13 +238,13 @@ def test_settle_order(spark):
 
 
 def test_parlays_and_kelly(spark):
-    legs = spark.createDataFrame([(1, i, i, 0, i, "s", "over", 0.6) for i in range(5)], "slate int, leg_id int, player_id int, team_id int, game_id int, stat_type string, direction string, model_prob double")
+    legs = spark.createDataFrame([(1, i, i, 0, i, "s", "over", 0.6, 0.1) for i in range(5)], "slate int, leg_id int, player_id int, team_id int, game_id int, stat_type string, direction string, model_prob double, edge double")
     got = {r["size"]: r["n"] for r in market.parlays(legs, "slate").groupBy("size").agg(F.count("*").alias("n")).collect()}
     assert got == {2: 10, 3: 10, 4: 5}
     rho = np.array([[1, 0.5], [0.5, 1]])
-    assert 0.36 < market.copula_joint(np.array([0.6, 0.6]), rho) < 0.6
-    assert market.copula_joint(np.array([0.6, 0.6]), np.eye(2)) == pytest.approx(0.36, abs=0.01)
-    stakes = market.kelly_stakes(np.array([0.9, 0.3]), np.array([1.0, 1.0]))
+    assert 0.36 < market.copula_joint([0.6, 0.6], rho.ravel()) < 0.6
+    assert market.copula_joint([0.6, 0.6], np.eye(2).ravel()) == pytest.approx(0.36, abs=0.01)
+    stakes = market.kelly_stakes(np.array([0.9, 0.3]), np.eye(2))
     assert stakes[0] == pytest.approx(0.05) and stakes[1] == 0
 
 
