@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,26 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from fieldbook.session import saved, shared_dir
+
 #: A word: a run of anything but ASCII white space. Java and DuckDB both read it.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch: texts may be long, so batches are cut by bytes as well as by rows.
+BATCH_BYTES = "4m"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = got.get() if got.isDefined() else None
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='fieldbook-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once into the shared folder; what built them is not needed again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["WORD", "arrow_map", "fresh_path", "partitions", "saved", "shared_dir"]
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -38,7 +25,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow for a function that yields dicts of columns (lists or numpy arrays)."""
+    """mapInArrow for a function that yields dicts of columns (lists or numpy arrays).
+
+    Sets the session's bound on a batch's bytes where it has none.
+    """
+    if df.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     kinds = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(kinds)
 
