@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -17,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch: texts may be long, so batches are cut by bytes as well as by rows.
 BATCH_BYTES = "4m"
 
-__all__ = ["WORD", "arrow_map", "fresh_path", "partitions", "saved", "shared_dir"]
+__all__ = ["WORD", "arrow_map", "fresh_path", "met", "partitions", "saved", "shared_dir"]
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
@@ -43,3 +44,15 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def met(rows: DataFrame, table: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows with the columns of `table`, which has a row for each key and its number of rows, `_n`; rows of other keys drop out.
+
+    Keys with more rows than half a partition's share are hot. There are less than two for each
+    partition, so their rows of the table may be broadcast, and no task gets all rows of a hot key.
+    """
+    most = rows.count() / (2 * partitions(rows.sparkSession))
+    table = saved(table)
+    hot, cold, key = F.broadcast(table.where(F.col("_n") > most).drop("_n")), table.where(F.col("_n") <= most).drop("_n"), list(key)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(*key), key, "left_anti").join(cold, key))

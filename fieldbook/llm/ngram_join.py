@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from xxhash import xxh3_64_intdigest
 
-from fieldbook.llm.common import arrow_map, partitions, saved
+from fieldbook.llm.common import arrow_map, met, partitions, saved
 
 FEW, BLOCK, FLUSH, BITS = 8, 1024, 500_000, 8
 #: A bucket is held whole by one task; there are so many buckets that it has about this many signatures at most.
@@ -274,18 +274,6 @@ def named(rows: DataFrame, comps: DataFrame, key: str) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("component", key)).drop("component")
 
 
-def met(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of `table`, which has a row for each key and its number of rows, `_n`.
-
-    Keys with more rows than half a partition's share are hot. There are less than two for each
-    partition, so their rows of the table may be broadcast, and no task gets all rows of a hot key.
-    """
-    most = rows.count() / (2 * partitions(rows.sparkSession))
-    table = saved(table)
-    hot = F.broadcast(table.where(F.col("_n") > most))
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("_n") <= most), key))
-
-
 def weak_parts(found: DataFrame, percent: int) -> DataFrame:
     """part, grp, key, size, weight of the weak sets, in the parts that they need: all but the m - 1 that most of them share."""
     low, _, parts = bands(percent)
@@ -297,15 +285,15 @@ def weak_parts(found: DataFrame, percent: int) -> DataFrame:
     sets = rows.groupBy("key", "grp").agg(F.count("*").alias("weight"), F.max(need).alias("need")).where(F.col("weight") >= F.col("need"))
     own = saved(rows.join(sets, ["key", "grp"]).drop("empty"))
     common = own.groupBy("part").agg(F.count("*").alias("_n")).where("_n > 1")
-    nth = F.row_number().over(W.partitionBy("key", "grp").orderBy(F.desc("_n"), "part"))
-    return saved(met(own, common, "part").withColumn("_r", nth).where(F.col("_r") >= F.col("need")).select("part", "grp", "key", "size", "weight"))
+    nth = F.row_number().over(W.partitionBy("key", "grp").orderBy(F.desc("n"), "part"))
+    return saved(met(own, common.withColumn("n", F.col("_n")), ["part"]).withColumn("_r", nth).where(F.col("_r") >= F.col("need")).select("part", "grp", "key", "size", "weight"))
 
 
 def stars(weak: DataFrame, percent: int) -> DataFrame:
     """Each weak set with the centre of each of its parts."""
     centre = weak.groupBy("part").agg(F.max_by(F.struct("key", "size"), F.struct("weight", "key")).alias("_c"), F.count("*").alias("_n")).select("part", "_n", F.col("_c.key").alias("_key"), F.col("_c.size").alias("_size"))
     near = F.least("size", "_size") * 100 >= F.greatest("size", "_size") * percent
-    return met(weak, centre, "part").where(near & (F.col("key") != F.col("_key"))).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"), "grp").distinct()
+    return met(weak, centre, ["part"]).where(near & (F.col("key") != F.col("_key"))).select(F.least("key", "_key").alias("a"), F.greatest("key", "_key").alias("b"), "grp").distinct()
 
 
 def dense_sketch(s: np.ndarray, g: int, percent: int) -> bytes:
@@ -348,7 +336,7 @@ def near_pairs(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 def weak_pairs(weak: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs of weak sets of different components that share a part and whose dense sketches are near enough."""
     apart = weak.groupBy("part").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y"), F.count("*").alias("_n")).where("_x <> _y").select("part", "_n", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    rows = met(weak, apart, "part").join(bits, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = met(weak, apart, ["part"]).join(bits, ["key", "grp"]).withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
     rows = rows.select("part", "key", "size", "comp", "bits", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("part", "key", "size", "comp", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 

@@ -151,13 +151,116 @@ def test_targets():
     assert mixing.targets([0, 0], [5, 2], 0) == [0.0, 0.0] and mixing.targets([], [], 0) == []
 
 
-def test_min_cost_flow_on_overlaps():
-    # pattern 0 is in source 0 only, 1 in both, 2 in source 1 only
-    given = mixing.min_cost_flow([100, 100, 100], [150, 150], [[0], [0, 1], [1]], 2)
-    assert sum(given) == 300 and max(given) <= 100  # single copies suffice
-    given = mixing.min_cost_flow([100, 100, 100], [250, 50], [[0], [0, 1], [1]], 2)
-    assert sum(given) == 300 and given[2] <= 100 and given[0] + given[1] >= 200
-    assert mixing.min_cost_flow([10], [50], [[0]], 2) == [20] and mixing.min_cost_flow([0], [5], [[0]], 2) == [0]
+def plain_flow(patterns, quota, own, copies):
+    """Total and cost of the cheapest flow, word by word along cheapest paths (Bellman-Ford)."""
+    arcs = []  # [from, to, room, cost], each followed by its opposite
+
+    def arc(a, b, room, cost):
+        arcs.append([a, b, room, cost])
+        arcs.append([b, a, 0, -cost])
+
+    def level(k, words, curve=None):
+        return next(i for i in range(60) if (curve[min(i, len(curve) - 1)] if curve else words << i) > k)
+
+    for s, q in enumerate(quota):
+        arc(("s", s), "end", q, 0)
+        for k in range(own[s][-1]):
+            arc("start", ("s", s), 1, level(k, 0, own[s]))
+    for p, (words, members) in enumerate(patterns):
+        for k in range(copies * words * sum(n for n, _ in members)):
+            arc("start", ("p", p), 1, level(k, words))
+        for m, (n, at) in enumerate(members):
+            arc(("p", p), ("m", p, m), copies * n * words, 0)
+            for s in at:
+                arc(("m", p, m), ("s", s), 10**6, 0)
+    total = cost = 0
+    while True:
+        best, came = {"start": 0}, {}
+        for _ in range(30):
+            for i, (a, b, room, c) in enumerate(arcs):
+                if room and a in best and best[a] + c < best.get(b, 10**9):
+                    best[b], came[b] = best[a] + c, i
+        if "end" not in best:
+            return total, cost
+        x = "end"
+        while x != "start":
+            arcs[came[x]][2] -= 1
+            arcs[came[x] ^ 1][2] += 1
+            x = arcs[came[x]][0]
+        total, cost = total + 1, cost + best["end"]
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_min_cost_flow_equals_plain_one(seed):
+    rng = random.Random(seed)
+    n, copies = rng.randrange(1, 4), rng.randrange(1, 3)
+    patterns = []
+    for _ in range(rng.randrange(1, 4)):
+        members = [(rng.randrange(1, 3), rng.sample(range(n), rng.randrange(1, n + 1) if rng.random() < 0.3 else 1)) for _ in range(rng.randrange(1, 3))]
+        patterns.append((rng.randrange(1, 5), members))
+    quota = [rng.randrange(0, 14) for _ in range(n)]
+    texts = [[(rng.randrange(1, 4), rng.randrange(1, 3)) for _ in range(rng.randrange(3))] for _ in range(n)]
+    own = [[sum(w * min(1 << i, c * copies) for w, c in t) for i in range(mixing.LEVELS)] for t in texts]
+    got = mixing.min_cost_flow(patterns, quota, own, copies)
+    into, cost = [0] * n, 0
+    for (words, members), gives in zip(patterns, got, strict=True):
+        for (rows, at), g in zip(members, gives, strict=True):
+            assert set(g) == set(at) and 0 <= sum(g.values()) <= copies * rows * words
+            for s, v in g.items():
+                into[s] += v
+        cost += sum(next(i for i in range(60) if words << i > k) for k in range(sum(sum(g.values()) for g in gives)))
+    for s in range(n):
+        mine = min(own[s][-1], quota[s] - into[s])
+        assert mine >= 0
+        into[s] += mine
+        cost += sum(next(i for i in range(60) if own[s][i] > k) for k in range(mine))
+    assert (sum(into), cost) == plain_flow(patterns, quota, own, copies)
+
+
+def test_min_cost_flow_of_many_patterns():
+    rng = random.Random(1)
+    patterns = [(rng.randrange(1, 1000), [(1, [s]) for s in rng.sample(range(300), rng.randrange(2, 5))]) for _ in range(20_000)]
+    quota = [rng.randrange(20_000, 60_000) for _ in range(300)]
+    got = mixing.min_cost_flow(patterns, quota, [[0] * mixing.LEVELS] * 300, 2)
+    into = Counter()
+    for gives in got:
+        for g in gives:
+            into.update(g)
+    assert all(into[s] == quota[s] for s in range(300))
+
+
+def test_mix_takes_shared_texts_once_before_any_is_repeated(spark):
+    # each of two sources holds the same 40 texts and wants half of the words: no text need be taken twice
+    docs = spark.createDataFrame([(i, f"{i % 40} " + "w " * 9, "ab"[i // 40]) for i in range(80)], "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, weights=(1.0, 1.0), share=0.5).collect()
+    times = Counter()
+    for r in got:
+        times[r["doc_id"] % 40] += r["taken"] // r["size"]
+    assert set(times.values()) == {1} and len(times) == 40
+    assert sum(r["taken"] for r in got if r["source"] == "a") == 200
+
+
+@pytest.mark.parametrize("ids", [None, 7])
+def test_mix_takes_equal_rows_by_number(spark, ids):
+    docs = spark.createDataFrame([(ids, "a b c d", "x")] * 1000, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == 1000 and sum(r["taken"] for r in got) == 6000 == got[0]["target"]
+    assert {r["taken"] for r in got} == {4, 8}
+    mixed = docs.unionByName(spark.createDataFrame([(i, f"u{i} b c", "y") for i in range(300)], docs.schema))
+    taken = Counter()
+    for r in mixing.mix_sources(mixed).collect():
+        taken[r["source"]] += r["taken"]
+    size = {"x": 4000, "y": 900}
+    want = mixing.targets([4000, 900], [5.0, 2.0], 1.5 * 4900)
+    assert all(abs(taken[s] - t) <= 4 for s, t in zip(size, want, strict=True))
+
+
+def test_mix_of_odd_rows(spark):
+    docs = frame(spark, ODD + ["tail " * 60_000], [None, "s"])
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(ODD) + 1 and all(r["taken"] <= 2 * r["size"] for r in got)
+    nothing = spark.createDataFrame([(1, None, None), (None, "", "s")], "doc_id long, text string, source string")
+    assert [(r["size"], r["taken"], r["target"]) for r in mixing.mix_sources(nothing).collect()] == [(0, 0, 0.0)] * 2
 
 
 def test_mix_meets_targets(spark):
