@@ -4,7 +4,7 @@
 `sum_of_squares` places lengths one by one: of all ways to place a length (a new bin, or an open bin
 with some residual gap), it takes the one after which the sum over gaps of (open bins with that
 gap) squared is smallest. A length that leaves no gap closes its bin, which lowers the sum most, so
-perfect fits come first; ties go to the smaller gap. `pack` deals the pieces by hash into blocks of
+perfect fits come first; ties go to the smaller gap. `pack` deals the pieces by a hash of their row number into blocks of
 about `block` pieces, which are packed independently: a block leaves a few bins part-full, so the
 loss against one big block is a few sequences per `block` pieces, whatever the size of the input.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from fieldbook.llm.bpe import merges
 from fieldbook.llm.common import arrow_map, saved
 
-CACHED = 600_000
+CACHED = 450_000
 #: ASCII and Latin-1 letters: lower-casing goes letter by letter, normal forms are as they stand.
 PLAIN = re.compile(r"[\n -~À-ÖØ-öø-ÿ]*")
 #: Fixed value: the vocabulary's pattern, for such text in lower case.
@@ -144,9 +144,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(parts: DataFrame, *, capacity: int = 2048, block: int = 25_000, seed: int = 0) -> DataFrame:
-    """The pieces with sequence_id and offset. Reads `parts` twice: save it first if it is dear."""
+    """The pieces with sequence_id and offset. Give it saved parts: they are read twice, and their numbers have to stay the same."""
     n = max(1, -(-parts.count() // block))
-    dealt = parts.withColumn("_block", F.pmod(F.xxhash64(*[F.col(c) for c in parts.columns], F.lit(seed)), F.lit(n)).cast("int"))
+    # by the row's number, as equal pieces would all share a block by content
+    dealt = parts.withColumn("_block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(n)).cast("int"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
