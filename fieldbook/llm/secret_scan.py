@@ -7,8 +7,12 @@ intersects the postings, and `scan` verifies the candidates with the regexes. A
 trigram scans every document.
 
 The index is in lower case, so its answer may hold too many documents, never too few. Postings
-are grouped by document id: rows that share an id, or have none, share their candidates, and each is
-verified by itself.
+are keyed by 64 bits of a row's id and text: rows that share both (or, by chance, the bits) share their candidates, and each is
+verified by itself. Lists of at most `SMALL` candidates (some 20 MB) go to every task, so that texts stay where they are; larger
+ones are joined by a shuffle.
+
+Places of matches are sums of the lengths before them. They are built in chunks of `CHUNK` matches, as are masked texts, since appending
+to an array copies it: the work grows with the matches, not with their square.
 
 Null and empty texts have no spans. Repeated rows each give a row. An empty table gives none. Spans are
 [start, end) in code points, found in whole texts of any length.
@@ -16,6 +20,7 @@ Null and empty texts have no spans. Repeated rows each give a row. An empty tabl
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as K  # the standard library's regex syntax tree
 from re import _parser as parser
@@ -23,7 +28,9 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_SPELLINGS = 64
+from fieldbook.llm.common import saved
+
+MOST_SPELLINGS, SMALL, CHUNK = 64, 500_000, 256
 
 
 @dataclass(frozen=True)
@@ -112,15 +119,19 @@ def trigrams(rules: tuple[Rule, ...]) -> list[str]:
     return sorted({t for r in rules for any_of in trigram_query(r.pattern) for spelling in any_of for t in spelling})
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def postings(docs: DataFrame, words: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, trigram number) for each of the trigrams that stands in the text."""
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(i)) for i, t in enumerate(words)]))
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(held).alias("trigram"))
+    """(key, trigram number) for each of the trigrams that stands in the text."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), F.lower(F.col(text_col)).alias("low"))  # lowered once for all trigrams
+    held = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(i)) for i, t in enumerate(words)]))
+    return rows.select("key", F.explode(held).alias("trigram"))
 
 
 def candidates(index: DataFrame, words: list[str], rules: tuple[Rule, ...]) -> DataFrame:
-    """doc_id and, for each rule that has mandatory trigrams, whether the intersected postings hold the document."""
+    """key and, for each rule that has mandatory trigrams, whether the intersected postings hold the document."""
     number = {t: i for i, t in enumerate(words)}
     width = 62
     masks = [F.bit_or(F.when(F.floor(F.col("trigram") / width) == w, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("trigram"), F.lit(width)).cast("int"))).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in range(len(words) // width + 1)]
@@ -142,10 +153,15 @@ def candidates(index: DataFrame, words: list[str], rules: tuple[Rule, ...]) -> D
         return out
 
     asked = {r.kind: trigram_query(r.pattern) for r in rules}
-    table = index.groupBy("doc_id").agg(*masks).select("doc_id", *[answer(q).alias(k) for k, q in asked.items() if q])
+    table = index.groupBy("key").agg(*masks).select("key", *[answer(q).alias(k) for k, q in asked.items() if q])
     return table.where(" or ".join(f"`{k}`" for k, q in asked.items() if q) or "false")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, end, kind) of the rule's matches, leftmost first, without overlap.
 
@@ -155,10 +171,33 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
     counted = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
     pieces = F.split(text, rule.pattern, -1)
     rows = F.zip_with(F.zip_with(found, counted, lambda m, ok: F.struct(F.length(m).alias("n"), ok.alias("ok"))), F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p)), lambda m, gap: F.struct(m["n"].alias("n"), m["ok"].alias("ok"), gap.alias("gap")))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>")
-    end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
-    placed = F.aggregate(rows, empty, lambda acc, m: F.array_append(acc, F.struct((end(acc) + m["gap"]).alias("start"), F.lit(order).alias("rank"), (end(acc) + m["gap"] + m["n"]).alias("end"), F.lit(rule.kind).alias("kind"), m["ok"].alias("ok"))))
-    return F.transform(F.filter(placed, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+    kind = "array<struct<start:int,rank:int,end:int,kind:string,ok:boolean>>"
+
+    def place(at: Column, m: Column) -> Column:
+        start = at + m["gap"]
+        return F.struct(start.alias("start"), F.lit(order).alias("rank"), (start + m["n"]).alias("end"), F.lit(rule.kind).alias("kind"), m["ok"].alias("ok"))
+
+    def chunk(c: Column) -> Column:
+        begin = F.struct(c["at"].alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(c["rows"], begin, lambda acc, m: F.struct((acc["at"] + m["gap"] + m["n"]).alias("at"), F.array_append(acc["out"], place(acc["at"], m)).alias("out")), lambda acc: acc["out"])
+
+    def placed(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda c: F.aggregate(c, F.lit(0), lambda a, m: a + m["gap"] + m["n"]))
+        out = F.flatten(F.transform(F.zip_with(parts, before(lengths, lambda a, x: a + x), lambda c, at: F.struct(at.alias("at"), c.alias("rows"))), chunk))
+        return F.transform(F.filter(out, lambda s: s["ok"]), lambda s: F.struct(s["start"], s["rank"], s["end"], s["kind"]))
+
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return let(rows, lambda r: F.when(F.size(r) == 0, none).otherwise(let(chunks(r), placed)))
+
+
+def chunks(rows: Column) -> Column:
+    """An array, not empty, cut into arrays of CHUNK elements."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / CHUNK).cast("int")), lambda i: F.slice(rows, i * CHUNK + 1, F.lit(CHUNK)))
+
+
+def before(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """What `plus` makes of 0 and all values before each one."""
+    return F.aggregate(F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))), F.array(F.lit(0)), lambda acc, x: F.array_append(acc, plus(F.element_at(acc, -1), x)))
 
 
 def joined(found: Column) -> Column:
@@ -170,11 +209,11 @@ def scan(docs: DataFrame, *, rules: tuple[Rule, ...] = BASE + MORE, id_col: str
     """doc_id, text, row (a struct of no_text and the columns to keep) and an array of (start, rank, end, kind) for each rule, named by its kind, of each row."""
     words = trigrams(rules)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("no_text"), *keep).alias("row"))
-    table = candidates(postings(docs, words, id_col, text_col), words, rules)
-    flags = [c for c in table.columns if c != "doc_id"]
-    table = table.select(F.col("doc_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in flags])
-    rows = own.join(table, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("no_text"), *keep).alias("row"), row_key(id_col, text_col).alias("_row"))
+    table = saved(candidates(postings(docs, words, id_col, text_col), words, rules))
+    flags = [c for c in table.columns if c != "key"]
+    table = table.select(F.col("key").alias("_key"), *[F.col(c).alias(f"_{c}") for c in flags])
+    rows = own.join(F.broadcast(table) if table.count() <= SMALL else table, F.col("_row") == F.col("_key"), "left")
     cols = []
     for i, r in enumerate(rules):
         found = spans(F.col("text"), r, i)
@@ -195,12 +234,26 @@ def digests(found: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFram
 
 def masked(found: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, mask: str = "[secret]") -> Column:
     """The text with each found span (overlapping ones as one) in its place masked."""
-    every = F.array_sort(F.concat(*[F.col(r.kind) for r in rules]))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def chunk(x: Column) -> Column:
+        start = F.struct(F.lit("").alias("out"), x["at"].alias("at"))
+
+        def step(acc: Column, s: Column) -> Column:
+            fresh = F.concat(acc["out"], F.substring(x["piece"], acc["at"] - x["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+            return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+        return F.aggregate(x["c"], start, step, lambda acc: acc["out"])
+
+    def filled(both: Column) -> Column:
+        # each chunk works on its own piece of the text: from the end of the spans before to the end of its own
+        parts, ends = both["parts"], both["ends"]
+        begun = F.zip_with(parts, before(ends, F.greatest), lambda c, at: F.struct(c.alias("c"), at.alias("at")))
+        pieces = F.zip_with(begun, ends, lambda x, end: F.struct(x["c"].alias("c"), x["at"].alias("at"), F.substring(text, x["at"] + 1, F.greatest(end - x["at"], F.lit(0))).alias("piece")))
+        return F.concat(F.array_join(F.transform(pieces, chunk), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    def cut(every: Column) -> Column:
+        parts = lambda p: F.struct(p.alias("parts"), F.transform(p, lambda c: F.aggregate(c, F.lit(0), lambda a, s: F.greatest(a, s["end"]))).alias("ends"))
+        return F.when(F.size(every) == 0, text).otherwise(let(let(chunks(every), parts), filled))
 
-    return F.when(F.size(every) == 0, text).otherwise(F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return let(F.transform(F.array_sort(F.concat(*[F.col(r.kind) for r in rules])), lambda s: F.struct(s["start"], s["end"])), cut)
