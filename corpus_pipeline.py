@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. `run` writes each
 stage's rows as Parquet into the shared folder and reads them again, so that a stage that loses executors
-starts from its predecessor's files. Stages that leave out or repeat rows write them with a row key first and go by
-each row's own verdict: doc_ids may be null or repeated.
+starts from its predecessor's files. Each row is judged for itself: doc_ids may be null or repeated. quality and secrets carry
+the columns through their operators; near_duplicates and mix write the rows with a key of their own first.
+Null texts have no words, so quality drops them; empty tables go through all stages and give no pieces.
 """
 
 from __future__ import annotations
@@ -38,8 +39,7 @@ def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, each row judged for itself."""
-    rows = keyed(spark, docs)
-    return without(rows, quality_rules.quality_rules(rows, id_col="_row").where(~F.col("kept")).withColumnRenamed("doc_id", "_row"))
+    return quality_rules.quality_rules(docs, keep=COLUMNS).where("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

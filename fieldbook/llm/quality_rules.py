@@ -61,18 +61,18 @@ def measures(text: str | None) -> tuple[int, int, int, int, int]:
     return len(words), len(text) - sum(map(text.count, SPACE)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """doc_id, host and the measures of each row."""
+def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, host, the measures and the columns to keep of each row."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             rows = [(*measures(t), 1 + (t or "").count("\n")) for t in (x.as_py() for x in b.column(2))]
-            yield {"doc_id": b.column(0), "host": b.column(1)} | {k: [r[i] for r in rows] for i, k in enumerate(names)}
+            yield {"doc_id": b.column(0), "host": b.column(1)} | {k: [r[i] for r in rows] for i, k in enumerate(names)} | {f"_k{i}": b.column(3 + i) for i in range(len(keep))}
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    return arrow_map(columns, run, f"doc_id {kind}, host string, " + ", ".join(f"{k} bigint" for k in names))
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    columns = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    return arrow_map(columns, run, f"doc_id {kinds[id_col]}, host string, " + ", ".join([f"{k} bigint" for k in names] + [f"_k{i} {kinds[c]}" for i, c in enumerate(keep)]))
 
 
 def base_failed(min_words: int, repeat_percent: int) -> Column:
@@ -100,11 +100,18 @@ def hosts(marked: DataFrame, *, reject_above: float = 0.6, strict_above: float =
     return table.select("host", "n", "failures", rate.alias("rate"), verdict.alias("verdict"))
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, symbol_percent: int = 10, line_percent: int = 50, **limits: float) -> DataFrame:
-    """doc_id, host, the measures, base_failed, soft_failed, verdict (of the host) and kept of each row."""
-    marked = measured(docs, id_col, text_col, host_col).withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("soft_failed", soft_failed(symbol_percent, line_percent))
-    marked = saved(marked)
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, repeat_percent: int = 50, symbol_percent: int = 10, line_percent: int = 50, keep: tuple[str, ...] = (), **limits: float) -> DataFrame:
+    """doc_id, host, the measures, base_failed, soft_failed, verdict (of the host), kept and, in the struct `row`, the columns to keep of each row.
+
+    With columns to keep, which may hold the texts, rows are measured twice, once for the hosts; without, they are saved between.
+    """
+
+    def marks(*more: str) -> DataFrame:
+        return measured(docs, id_col, text_col, host_col, more).withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("soft_failed", soft_failed(symbol_percent, line_percent))
+
+    marked = marks() if keep else saved(marks())
     verdicts = hosts(marked, **limits).select(F.col("host").alias("_host"), "verdict")
-    out = marked.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    out = (marks(*keep) if keep else marked).join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     good = ~F.col("base_failed") & (F.col("verdict") != "reject") & ((F.col("verdict") == "trust") | ~F.col("soft_failed"))
-    return out.withColumn("kept", good)
+    kept = [F.struct(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]).alias("row")] if keep else []
+    return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "soft_failed", "verdict", good.alias("kept"), *kept)
