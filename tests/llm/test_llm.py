@@ -494,10 +494,69 @@ def test_archive_pushdown(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path / "w"))
     assert rows.where("record_type = 'revisit'").count() == 19 and rows.where("target_uri in ('u3', 'u4')").count() == 2
     assert rows.where("headers['content-type'] = 'none'").count() == 0
-    reader = warc.WarcReader(str(tmp_path / "w"), payload=False)
+    assert warc.read_archives(spark, str(tmp_path / "w"), headers={"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}).count() == 19
+    assert warc.read_archives(spark, str(tmp_path / "w"), headers={"warc-refers-to": "none"}).count() == 0
+    for asked in ("record_type = 'revisit'", "record_type in ('revisit', 'metadata')", "refers_to is null", "target_uri like 'u1%'"):
+        got = rows.where(asked)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Filter (" not in plan and got.count() == rows.select("record_type", "refers_to", "target_uri", F.rand().alias("r")).where("r >= 0").where(asked).count() > 0
+    reader = warc.WarcReader(str(tmp_path / "w"), False, {})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     rest = [GreaterThan(("payload_length",), 3)]
     assert list(reader.pushFilters([EqualTo(("record_type",), "revisit"), *rest])) == rest
     batches = [b for p in reader.partitions() for b in reader.read(p)]
     assert sum(len(b) for b in batches) == 19 and all(x is None for b in batches for x in b.column("payload").to_pylist())
+
+
+def test_archives_add_up_and_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "w")
+    page = lambda i: warc.page_records(spark.createDataFrame([(i, f"u{i}", f"page {i} " * 40)], "page_id long, url string, html string"))
+    ids = lambda: sorted(int(r[0]) for r in warc.read_archives(spark, path).select(warc.page_of("record_id")).collect())
+    warc.write_archives(page(1), path)
+    warc.write_archives(page(2), path)
+    assert ids() == [1, 2]
+    (tmp_path / "w" / "left.warc").write_bytes(b"of a lost executor")
+    assert ids() == [1, 2]
+    warc.write_archives(page(3), path, mode="overwrite")
+    assert ids() == [3] and len([x for x in (tmp_path / "w").iterdir() if x.suffix == ".warc" and x.name != "left.warc"]) == 1
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_archives_of_other_tools(spark, tmp_path, packed):
+    import gzip
+
+    def record(kind, block, *more):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    html = "<p>ü</p>".encode() * 30_000
+    http = lambda body, *more: "\r\n".join(["HTTP/1.1 200 OK", *more, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body
+    records = [record("warcinfo", b"software: x"), record("response", http(html), "WARC-Target-URI: a"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("response", http(gzip.compress(html), "Content-Encoding: gzip"), "WARC-Target-URI: b"), record("response", http(b""))]
+    data = b"".join(gzip.compress(r) if packed else r for r in records)
+    (tmp_path / ("x.warc.gz" if packed else "x.warc")).write_bytes(data)
+    rows = warc.read_archives(spark, str(tmp_path))
+    assert [r["record_type"] for r in rows.collect()] == ["warcinfo", "response", "request", "response", "response"]
+    assert [bytes(r["payload"]) if r["payload"] else None for r in rows.where("record_type = 'response'").collect()] == [html, html, None]
+    assert rows.where("target_uri = 'b'").count() == 1
+    (tmp_path / ("x.warc.gz" if packed else "x.warc")).write_bytes(data[:-3000] if not packed else data[:400])
+    with pytest.raises(Exception, match="x.warc"):
+        rows.collect()
+
+
+def test_written_records_are_valid(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u 1", "é" * 200), (2, "u2", "é" * 200), (None, None, None)], "page_id long, url string, html string")
+    warc.write_archives(warc.page_records(pages), str(tmp_path / "w"))
+    for f in (tmp_path / "w").glob("*.warc"):
+        data = f.read_bytes()
+        while data:
+            head, _, rest = data.partition(b"\r\n\r\n")
+            first, headers = warc.parsed(head)
+            n = int(headers["content-length"])
+            assert first == "WARC/1.1" and {"warc-type", "warc-record-id", "warc-date"} <= set(headers) and rest[n : n + 4] == b"\r\n\r\n"
+            if headers["warc-type"] == "response":
+                status, own = warc.parsed(rest[:n].partition(b"\r\n\r\n")[0])
+                assert status == "HTTP/1.1 200 OK" and int(own["content-length"]) == len(rest[:n].partition(b"\r\n\r\n")[2])
+            else:
+                assert n == 0
+            data = rest[n + 4 :]
+    assert warc.archived_pages(pages.withColumn("headers", F.lit(1)).withColumn("digest", F.lit(2))).count() == 3
