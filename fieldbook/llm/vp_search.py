@@ -3,13 +3,14 @@
 The largest inner product becomes the nearest distance by one more coordinate: with R the longest vector's
 length, a vector x gets sqrt(R^2 - |x|^2) and a query gets 0; distances then order as inner products do.
 
-Rows are dealt into shards by a hash of their id, queries into blocks; each (shard, block) is one task's
-work. A shard's tree halves its points by their distance to a vantage point. A search goes down the
-nearer half first; by the triangle inequality the other half can only help if its distance bound is below
+Rows are dealt into shards by a hash; each shard's tree is built once and saved. A tree halves its points by their distance to a
+vantage point. A search goes down the nearer half first; by the triangle inequality the other half can only help if its distance bound is below
 the distance of the k-th best point so far. The bound is multiplied by `factor`: 1 keeps the search exact,
-more prunes more. In a leaf all points are compared. Of equal vectors in a shard a
-search needs the k + 1 smallest ids at most (all have one score, one may be the query itself), so further
-copies are left out of the tree: no result changes.
+more prunes more. In a leaf all points are compared. A tree holds each distinct vector of its shard once, with its k + 1 smallest ids beside it
+(all have one score, and one may be the query itself, so further copies can't be among the k best).
+
+Queries are packed into blocks of at most `BLOCK`; each block goes to all shards, which is what moves (the trees stay), and a
+task's rows are pairs of a tree and a block. Each shard's k best of a query meet in a window by query.
 
 Scores are computed anew from the original vectors in double precision. Vectors that are null, zero, or hold a null or
 non-finite component take no part, nor do rows without an id; vectors of another length than the query's
@@ -19,12 +20,17 @@ gives the rows of its smallest vector once. An empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from fieldbook.llm.common import arrow_map, saved
+
 LEAF, SHARD, BLOCK = 512, 50_000, 5_000
 
 
@@ -86,6 +92,37 @@ class Tree:
         return best, dist
 
 
+def packed_tree(ids: np.ndarray, x: np.ndarray, top: float, k: int) -> bytes:
+    """The tree over a shard's distinct vectors, with the k + 1 smallest ids of each one."""
+    order = np.argsort(ids, kind="stable")
+    ids, x = ids[order], x[order]
+    _, first, group = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_index=True, return_inverse=True)
+    by = np.argsort(group, kind="stable")  # ids rise within a group
+    start = np.r_[True, np.diff(group[by]) > 0]
+    nth = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
+    keep = by[nth <= k]
+    edges = np.r_[0, np.cumsum(np.bincount(group[keep], minlength=len(first)))]
+    x = x[first]
+    lift = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0))
+    return pickle.dumps((Tree(np.c_[x, lift]), ids[keep], edges), protocol=5)
+
+
+def found(tree: Tree, ids: np.ndarray, edges: np.ndarray, ask: np.ndarray, q: np.ndarray, k: int, factor: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k best in the tree for each query, best first, ties to the smaller id."""
+    # a few more vectors than k, so that rounding of distances or the query itself pushes nothing out
+    near, _ = tree.search(np.c_[q, np.zeros(len(q))], k + 12, factor)
+    x = tree.x[:, :-1]
+    for i, at in enumerate(near):
+        at = at[at >= 0]
+        # sums of products in numpy's fixed pairwise order: equal vectors get equal scores
+        score = np.repeat((x[at] * q[i]).sum(1), edges[at + 1] - edges[at])
+        own = np.concatenate([ids[edges[a] : edges[a + 1]] for a in at]) if len(at) else ids[:0]
+        other = own != ask[i]
+        own, score = own[other], score[other]
+        best = np.lexsort((own, -score))[:k]
+        yield own[best], score[best]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 1.5) -> DataFrame:
     """query_id, rank, vec_id, score of the k candidates with the largest inner products that the search finds."""
 
@@ -94,46 +131,50 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
         ok = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
         return df.where(ok).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.size(vector_col).alias("dim"))
 
-    rows, asked = clean(vectors), clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("dim", F.size("v"))
-    shards = max(1, -(-vectors.count() // SHARD))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", every(blocks))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-
-    def matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
-        flat = column.combine_chunks()
-        return np.asarray(flat.flatten(), np.float64).reshape(n, -1)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if len(left) and len(right):
-            ids, x = left["id"].to_numpy(), matrix(left["v"], len(left))
-            ask, q = right["id"].to_numpy(), matrix(right["v"], len(right))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            _, group = np.unique(x.view([("", x.dtype)] * x.shape[1]).ravel(), return_inverse=True)
-            by = np.argsort(group, kind="stable")
-            start = np.r_[True, np.diff(group[by]) > 0]
-            nth = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
-            keep = np.sort(by[nth <= k])
-            ids, x = ids[keep], x[keep]
-            lift = np.sqrt(np.maximum(top - np.einsum("ij,ij->i", x, x), 0))
-            # a few more than k, so that rounding of distances or the query itself pushes nothing out
-            found, _ = Tree(np.c_[x, lift]).search(np.c_[q, np.zeros(len(q))], k + 12, factor)
-            for i, at in enumerate(found):
-                at = at[at >= 0]
-                at = at[ids[at] != ask[i]]
-                score = (x[at] * q[i]).sum(1)
-                best = np.lexsort((ids[at], -score))[:k]
-                out["query_id"].append(np.full(len(best), ask[i]))
-                out["vec_id"].append(ids[at][best])
-                out["score"].append(score[best])
-        return pa.table({n: np.concatenate(v) if v else np.zeros(0, np.float64 if n == "score" else np.int64) for n, v in out.items()})
-
-    # sums of products in numpy's fixed pairwise order: equal vectors get equal scores
-    both = rows.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    rows = clean(vectors)
+    asked = clean(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    shards, top = max(1, -(-n // SHARD)), top or 0.0
+
+    def build(table: pa.Table) -> pa.Table:
+        x = np.asarray(table["v"].combine_chunks().flatten(), np.float64).reshape(len(table), -1)
+        return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int32()), "tree": pa.array([packed_tree(table["id"].to_numpy(), x, top, k)], pa.binary())})
+
+    shard = F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int")
+    trees = saved(rows.withColumn("shard", shard).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, tuple[list, list]] = {}
+        full = lambda dim: {"qdim": [dim], "ids": [np.concatenate(held[dim][0]).tobytes()], "q": [b"".join(held[dim][1])]}
+        for b in batches:
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims):
+                own = pa.array(dims == dim)
+                ids, v = b.column(0).filter(own).to_numpy(zero_copy_only=False), np.asarray(b.column(1).filter(own).flatten(), np.float64).reshape(-1, dim)
+                for i in range(0, len(ids), BLOCK):
+                    one = held.setdefault(int(dim), ([], []))
+                    one[0].append(ids[i : i + BLOCK])
+                    one[1].append(v[i : i + BLOCK].tobytes())
+                    if sum(map(len, one[0])) >= BLOCK:
+                        yield full(int(dim))
+                        del held[int(dim)]
+        for dim in held:
+            yield full(dim)
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    blocks = arrow_map(asked.select("id", "v", "dim"), pack, "qdim int, ids binary, q binary").withColumn("qshard", every)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        name, tree = None, None
+        for b in batches:
+            for i in range(len(b)):
+                if name != (mine := (b.column(0)[i].as_py(), b.column(1)[i].as_py())):
+                    name, tree = mine, pickle.loads(b.column(2)[i].as_buffer())
+                ask, q = np.frombuffer(b.column(3)[i].as_buffer(), np.int64), np.frombuffer(b.column(4)[i].as_buffer(), np.float64).reshape(-1, mine[0])
+                got = list(found(*tree, ask, q, k, factor))
+                yield {"query_id": np.repeat(ask, [len(x) for x, _ in got]), "vec_id": np.concatenate([x for x, _ in got]), "score": np.concatenate([s for _, s in got])}
+
+    both = trees.join(blocks, (F.col("dim") == F.col("qdim")) & (F.col("shard") == F.col("qshard"))).select("dim", "shard", "tree", "ids", "q")
+    both = arrow_map(both, search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

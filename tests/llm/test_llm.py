@@ -474,6 +474,41 @@ def test_search(spark):
     assert vp_search.nearest(few, few).count() == 12
 
 
+def test_search_gives_copies_by_id(spark):
+    # 15 vectors stand before a group of 60 copies: the copies with the smallest ids fill the ranks
+    rng = np.random.default_rng(5)
+    x = np.vstack([np.eye(8)[0] * (3 + rng.random((15, 1))), np.tile(np.eye(8)[0] * 2, (60, 1)), rng.normal(size=(700, 8)) * 0.1])
+    ids = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    ask = df.where(F.col("embedding")[0] > 3).limit(1)
+    for factor in (1.0, 1.5):
+        got = vp_search.nearest(df, ask, factor=factor).orderBy("rank").collect()
+        copies = sorted(int(i) for i in ids[15:75])
+        assert [r["vec_id"] for r in got[14:]] == copies[:6] and len(got) == 20
+    odd = df.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, None).when(F.col("vec_id") % 7 == 1, F.array(F.lit(0.0))).when(F.col("vec_id") % 7 == 2, F.array(F.lit(float("nan")))).otherwise(F.col("embedding"))).withColumn("shard", F.lit(1)).withColumn("dim", F.lit("x"))
+    assert {r["query_id"] % 7 for r in vp_search.nearest(odd, odd).collect()} == {3, 4, 5, 6}
+
+
+def test_search_recall_on_the_embeddings(spark):
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not Path(path).exists():
+        pytest.skip("no tables")
+    table = pq.read_table(path).to_pydict()
+    name = [c for c in table if c != "vec_id"][0]
+    keep = [(i, v) for i, v in zip(table["vec_id"], table[name], strict=True) if v and any(v) and all(f is not None and math.isfinite(f) for f in v)]
+    ids, x = np.array([i for i, _ in keep]), np.array([v for _, v in keep], float)
+    vectors = spark.read.parquet(path)
+    got = defaultdict(set)
+    for r in vp_search.nearest(vectors, vectors.where("vec_id % 20 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = total = 0
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[at]).sum(1)
+        want = [i for i in ids[np.lexsort((ids, -score))] if i != ids[at]][:20]
+        hits, total = hits + len(got[ids[at]] & set(want)), total + len(want)
+    assert len(got) == (ids % 20 == 0).sum() and hits / total >= 0.9
+
+
 def test_archives(spark):
     big = "<p>é" + "x" * 200
     rows = [(5, "u 1", big), (2, "u2", big), (9, None, big), (3, "u3", "short"), (4, "u4", "short"), (7, "u7", None), (8, "u8", ""), (None, "n", big)]
