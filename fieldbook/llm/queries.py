@@ -44,9 +44,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    labels = toxicity.category_labels(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity_chain(docs, labels, ["insult", "demeaning", "toxic"])
+    return toxicity.toxicity_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Classifier chains for toxicity categories.
 
-Categories are predicted one after the other by linear models (logistic regression over hashed words and
+Categories are labelled columns, or derived from one: "severe" of "toxic" are the toxic rows that hold more of the words that
+tell toxic rows than their median row does. They are predicted one after the other by linear models (logistic regression over hashed words and
 word stems). Each model also sees the log-odds that the earlier categories got. In training those come out of
 fold: a row's earlier probabilities are from models that did not see the row, so a later model
 does not learn to trust them more than it may. The models are fitted on at most `sample` labelled rows, by
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -90,6 +91,18 @@ def fit(rows: list[np.ndarray], before: np.ndarray, y: np.ndarray, dims: int = D
     return Linear(float(w[-1]), weights, w[d : d + k])
 
 
+def severe(rows: list[np.ndarray], y: np.ndarray, dims: int = DIMS) -> np.ndarray:
+    """Which of the positive rows hold more of the features that stand in positive rows too often than their median row does."""
+    if not len(y) or not y.any():
+        return np.zeros(len(y), int)
+    flat, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    known = np.zeros(dims, bool)
+    known[telling(flat, y, at, min(max(y.mean(), 1e-4), 1 - 1e-4), dims)] = True
+    known &= np.bincount(flat, y[at], dims) > y.mean() * np.bincount(flat, minlength=dims)
+    held = np.bincount(at, known[flat], len(rows))
+    return ((y > 0) & (held > np.median(held[y > 0]))).astype(int)
+
+
 @dataclass
 class Chain:
     """Models of the categories, in their order, and for each the probability from which a row counts as positive."""
@@ -136,23 +149,31 @@ def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: i
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, names: list[str], id_col: str, text_col: str, label_id: str, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most `sample` labelled documents, those with the lowest hashes of their ids."""
-    one = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"_{c}") for c in names])
+    """Features and labels of at most `sample` labelled documents, those with the lowest hashes of their ids; no other texts are read into features."""
+    one = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"_l{i}") for i, c in enumerate(names)])
     few = one.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # a bounded table, so it may be broadcast
     own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(few), F.col("_doc") == F.col("_id"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            yield {"id": b.column(0), "x": [features(t.as_py()).astype("<u4").tobytes() for t in b.column(1)]} | {n: b.column(2 + i) for i, n in enumerate(names)}
+            yield {"id": b.column(0), "x": [features(t.as_py()).astype("<u4").tobytes() for t in b.column(1)]} | {f"_l{i}": b.column(2 + i) for i in range(len(names))}
+
+    out = arrow_map(own.select("_doc", "_text", *[f"_l{i}" for i in range(len(names))]), run, f"id {kind}, x binary" + "".join(f", _l{i} int" for i in range(len(names))))
+    got = sorted(out.groupBy("id").agg(F.min(F.struct("x", *[f"_l{i}" for i in range(len(names))])).alias("r")).select("id", "r.*").collect(), key=lambda r: r["id"])
+    return [np.frombuffer(r["x"], "<u4").astype(np.int64) for r in got], np.array([[r[f"_l{i}"] for i in range(len(names))] for r in got], int).reshape(len(got), len(names))
 
-    out = arrow_map(own.select("_doc", "_text", *[f"_{c}" for c in names]), run, "id bigint, x binary, " + ", ".join(f"`{c}` int" for c in names))
-    got = sorted(out.dropDuplicates(["id"]).collect(), key=lambda r: r["id"])
-    return [np.frombuffer(r["x"], "<u4").astype(np.int64) for r in got], np.array([[r[c] for c in names] for r in got]).reshape(len(got), len(names))
 
+def toxicity_chain(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("quality", "severe", "toxic"), *, derived: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", sample: int = 4000) -> DataFrame:
+    """doc_id, p_<category> for each, toxic (the last category's probability reaches its limit) of each row.
 
-def toxicity_chain(docs: DataFrame, labels: DataFrame, names: list[str], *, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", sample: int = 4000) -> DataFrame:
-    """doc_id, p_<category> for each, toxic (the last category's probability reaches its limit) of each row."""
-    chain = train(*training_rows(docs, labels, names, id_col, text_col, label_id, sample), names)
+    `derived` names the categories that are the severe rows of another one.
+    """
+    derived = {"severe": "toxic"} if derived is None else derived
+    given = [n for n in names if n not in derived]
+    rows, y = training_rows(docs, labels, given, id_col, text_col, label_id, sample)
+    table = np.column_stack([severe(rows, y[:, given.index(derived[n])]) if n in derived else y[:, given.index(n)] for n in names]) if len(rows) else np.zeros((0, len(names)), int)
+    chain = train(rows, table, list(names))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
@@ -161,20 +182,3 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, names: list[str], *, id_c
 
     kind = docs.schema[id_col].dataType.simpleString()
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, " + "".join(f"`p_{n}` double, " for n in names) + "toxic boolean")
-
-
-#: Words of two kinds of abuse, for category labels where only one label is given.
-INSULTS = ("idiot", "moron", "loser", "clown", "scum")
-DEMEANING = ("stupid", "worthless", "pathetic", "disgusting", "trash")
-
-
-def category_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, insult, demeaning, toxic: the given toxic label, and of the toxic rows those with words of a kind."""
-
-    def has(words: tuple[str, ...]) -> Column:
-        return F.lower(F.col("_text")).rlike(r"\b(" + "|".join(words) + r")\b")
-
-    own = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    toxic = F.coalesce(F.col("toxic").cast("int"), F.lit(0))
-    marked = own.select("_doc", has(INSULTS).cast("int").alias("_i"), has(DEMEANING).cast("int").alias("_d"))
-    return labels.select(F.col("doc_id").alias("_id"), toxic.alias("_t")).join(marked, F.col("_id") == F.col("_doc")).select(F.col("_id").alias("doc_id"), (F.col("_t") * F.coalesce("_i", F.lit(0))).alias("insult"), (F.col("_t") * F.coalesce("_d", F.lit(0))).alias("demeaning"), F.col("_t").alias("toxic"))

@@ -424,24 +424,73 @@ def test_trigram_queries():
 # --- toxicity, search, archives --------------------------------------------------------------------
 
 
-def test_toxicity_on_held_out_rows(spark):
-    rng = random.Random(4)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    rows = []
-    for i in range(900):
-        bad = i % 6 == 0
-        w = [word() for _ in range(rng.randint(20, 60))]
-        if bad:
+def abuse(n: int, seed: int = 4) -> list[tuple[int, str, int, int]]:
+    """(id, text, quality, toxic) with one abusive word or more in toxic rows, and symbols in rows of low quality."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(20, 60))]
+        bad, low = i % 6 == 0, i % 5 == 0
+        for _ in range(rng.choice([1, 1, 2, 3]) if bad else 0):
             w[rng.randrange(len(w))] = rng.choice(["idiot", "moron", "stupid", "worthless"])
-        rows.append((i, " ".join(w), int(bad)))
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (5000, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i < 600] + [(3, None), (None, 1)], "doc_id long, toxic int")
-    got = toxicity.toxicity_chain(docs, toxicity.category_labels(docs, labels), ["insult", "demeaning", "toxic"]).collect()
-    assert len(got) == 902
-    held = [(r["toxic"], rows[r["doc_id"]][2]) for r in got if r["doc_id"] is not None and 600 <= r["doc_id"] < 900]
+        rows.append((i, " ".join(w + ["junkword"] * low), int(not low), int(bad)))
+    return rows
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows = abuse(900)
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t, _, _ in rows] + [(None, None, 1, "x"), (5000, "", 1, "x"), (7, rows[7][1], 1, "x"), (5001, "worthless " * 30_000, 1, "x")], "doc_id long, text string, toxic int, id string")
+    labels = spark.createDataFrame([(i, q, y) for i, _, q, y in rows if i < 600] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_chain(docs, labels).collect()
+    assert len(got) == 904 and set(got[0].asDict()) == {"doc_id", "p_quality", "p_severe", "p_toxic", "toxic"}
+    held = [(r["toxic"], rows[r["doc_id"]][3]) for r in got if r["doc_id"] is not None and 600 <= r["doc_id"] < 900]
     assert sum(a == bool(b) for a, b in held) / len(held) > 0.97
-    none = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.toxicity_chain(docs, toxicity.category_labels(docs, none), ["insult", "demeaning", "toxic"]).where("toxic").count() == 0
+    assert [r["toxic"] for r in got if r["doc_id"] == 5001] == [True] and [r["toxic"] for r in got if r["doc_id"] in (None, 5000)] == [False] * 2
+    none = spark.createDataFrame([], labels.schema)
+    assert toxicity.toxicity_chain(docs, none).where("toxic").count() == 0
+    assert toxicity.toxicity_chain(docs.where("false"), labels).count() == 0
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    assert sum(r["toxic"] for r in toxicity.toxicity_chain(named, labels.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))).collect()) == sum(r["toxic"] for r in got)
+
+
+def test_chain_equals_dense_reference():
+    """The same chain from dense matrices and Newton steps: folds, out-of-fold log-odds, ridge, selection."""
+    rows, dims = abuse(600), 1 << 12
+    x = [toxicity.features(t, dims) for _, t, _, _ in rows]
+    y = np.array([[q, t] for _, _, q, t in rows])
+    dense = np.zeros((len(x), dims))
+    for i, r in enumerate(x):
+        dense[i, r] = 1
+
+    def reference(a, before, y):
+        n, rate = a.sum(0), y.mean()
+        z = (y @ a - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9))
+        keep = np.flatnonzero((n > 4) & (abs(z) > 4))
+        m = np.c_[a[:, keep], before, np.ones(len(a))]
+        w, ridge = np.zeros(m.shape[1]), 1e-3 * np.eye(m.shape[1])
+        ridge[-1, -1] = 0
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-m @ w))
+            w -= np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m / len(a) + ridge + 1e-9 * np.eye(len(w)), m.T @ (p - y) / len(a) + ridge @ w)
+        return lambda b, earlier: np.c_[b[:, keep], earlier, np.ones(len(b))] @ w
+
+    fold, before, score = np.random.default_rng(0).permutation(len(x)) % 3, np.zeros((len(x), 0)), np.zeros((len(x), 0))
+    for k in range(2):
+        out = np.zeros(len(x))
+        for f in range(3):
+            out[fold == f] = reference(dense[fold != f], before[fold != f], y[fold != f, k])(dense[fold == f], before[fold == f])
+        score = np.c_[score, np.clip(reference(dense, before, y[:, k])(dense, score), -8, 8)]
+        before = np.c_[before, np.clip(out, -8, 8)]
+    got = toxicity.train(x, y, ["quality", "toxic"], dims=dims).score(x)
+    want = 1 / (1 + np.exp(-score))
+    assert abs(got - want).mean() < 0.03 and ((got > 0.5) == (want > 0.5)).mean() > 0.99
+
+
+def test_severe_rows_hold_more_telling_words():
+    rows = abuse(600)
+    y = np.array([t for *_, t in rows])
+    got = toxicity.severe([toxicity.features(t) for _, t, _, _ in rows], y)
+    kinds = np.array([len({"idiot", "moron", "stupid", "worthless"} & set(t.split())) for _, t, _, _ in rows])
+    assert got.sum() > 0 and not got[y == 0].any() and kinds[got == 1].min() >= np.median(kinds[y == 1])
 
 
 def vectors(spark, x):
