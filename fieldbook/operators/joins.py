@@ -136,18 +136,28 @@ def changed_rows(current: DataFrame, wanted: DataFrame, key: str, columns: Seque
     return wanted.select(key, *columns).join(old, key).where(~same)
 
 
-def absences(played: DataFrame, games: DataFrame, *, player: str, team: str, game: str, day: str, minutes: str, stats: Sequence[str], days: int = 30, least_minutes: float = 15.0, least_games: int = 1) -> DataFrame:
-    """For each team and game: who of the 30-day rotation didn't play, and what they leave free.
+def absences(played: DataFrame, *, player: str, team: str, game: str, day: str, minutes: str, stats: Sequence[str], days: int = 30, least_minutes: float = 15.0, floor: float = 5.0, last: int = 10) -> DataFrame:
+    """For each team and game with absent players: their number, the top one and his recent means, what all leave free, and their share of the rotation's minutes.
 
-    Rotation: players of the team with a mean of `least_minutes` or more over games of the days before. The range join is on
-    blocks of `days` days, so a game meets two blocks of its team's rows, not its whole history.
+    Rotation: players of the team with a mean of `least_minutes` or more over their games of the `days` before, of `floor` minutes
+    or more each. Recent means (`top_*`, summed as `freed_*`) are of a player's last games before the day, for any team. Rows become
+    sums by player and day first, and the range join is on blocks of `days` days, so a team's day meets two blocks of its sums.
     """
+    rows = played.where(F.col(minutes) >= floor)
     block = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
-    hist = played.select(team, F.col(player).alias("_p"), F.col(day).alias("_pd"), F.col(minutes).alias("_m"), *[F.col(s).alias(f"_s_{s}") for s in stats], block(day).alias("_b"))
-    asked = games.select(team, game, F.col(day).alias("_gd"), F.explode(F.array(block(day), block(day) - 1)).alias("_b"))
+    hist = rows.groupBy(team, F.col(player).alias("_p"), F.col(day).alias("_pd")).agg(F.sum(minutes).alias("_m"), F.count("*").alias("_n")).withColumn("_b", block("_pd"))
+    games = played.groupBy(team, game).agg(F.min(day).alias("_gd"))
+    asked = games.select(team, "_gd").distinct().withColumn("_b", F.explode(F.array(block("_gd"), block("_gd") - 1)))
     gap = F.datediff("_gd", "_pd")
-    near = asked.join(hist, [team, "_b"]).where((gap >= 1) & (gap <= days))
-    rotation = near.groupBy(team, game, "_p").agg(F.avg("_m").alias("_mean"), F.count("*").alias("_n"), *[F.avg(f"_s_{s}").alias(f"_a_{s}") for s in stats]).where((F.col("_mean") >= least_minutes) & (F.col("_n") >= least_games))
-    present = played.select(team, game, F.col(player).alias("_p"))
-    gone = rotation.join(present, [team, game, "_p"], "left_anti")
-    return gone.groupBy(team, game).agg(F.count("*").alias("absent"), F.max_by("_p", F.struct("_mean", "_p")).alias("top_absentee"), *[F.sum(f"_a_{s}").alias(f"freed_{s}") for s in stats])
+    rotation = asked.join(hist, [team, "_b"]).where((gap >= 1) & (gap <= days)).groupBy(team, "_gd", "_p").agg((F.sum("_m") / F.sum("_n")).alias("_mean")).where(F.col("_mean") >= least_minutes)
+    rotation = rotation.withColumn("_all", F.sum("_mean").over(W.partitionBy(team, "_gd")))
+    gone = games.join(rotation, [team, "_gd"]).join(rows.select(team, game, F.col(player).alias("_p")).distinct(), [team, game, "_p"], "left_anti")
+    means = [*stats, minutes]
+    frame = W.partitionBy(player).orderBy(day, game, team).rowsBetween(1 - last, 0)
+    recent = rows.select(F.col(player).alias("_p"), F.col(day).alias("_gd"), game, team, *[F.avg(c).over(frame).alias(f"_a_{c}") for c in means])
+    recent = recent.groupBy("_p", "_gd").agg(F.max_by(F.struct(*[f"_a_{c}" for c in means]), F.struct(game, team)).alias("_r")).select("_p", "_gd", "_r.*")
+    recent = as_of(gone.select("_p", "_gd").distinct(), recent, ["_p"], "_gd", "_gd", [f"_a_{c}" for c in means], inclusive=False).drop("as_of__gd")
+    out = gone.join(recent, ["_p", "_gd"], "left").withColumns({f"_a_{c}": F.coalesce(f"_a_{c}", F.lit(0.0)) for c in means})
+    top = F.max_by(F.struct("_p", *[f"_a_{c}" for c in means]), F.struct(F.round("_mean", 9), "_p"))
+    out = out.groupBy(team, game).agg(F.count("*").alias("absent"), top.alias("_t"), *[F.sum(f"_a_{c}").alias(f"freed_{c}") for c in stats], (F.sum("_mean") / F.max("_all")).alias("usage_bump"))
+    return out.select(team, game, "absent", F.col("_t._p").alias("top_absentee"), *[F.col(f"_t._a_{c}").alias(f"top_{c}") for c in means], *[f"freed_{c}" for c in stats], "usage_bump")

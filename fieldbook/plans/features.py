@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.functions.scalars import clip, effective_shooting, possessions, ratio
+from fieldbook.functions.scalars import clip, ratio
 from fieldbook.operators import windows as win
 from fieldbook.operators.aggs import share_of_total
 from fieldbook.operators.joins import absences, attach_opponent, both_sides
@@ -55,8 +55,9 @@ def team_totals(rows: DataFrame, stats: Sequence[str], game: str = "game_id", te
 
 
 def pace(team_games: DataFrame, points: str, sizes: Sequence[int] = (5, 10), game: str = "game_id", team: str = "team_id", date: str = "game_date") -> DataFrame:
-    """Prior means of the game's total and of the own points."""
-    rows = both_sides(team_games.select(game, team, date, points), game, team, [points]).withColumn("game_total", F.col(points) + F.col(f"opp_{points}"))
+    """Prior means of the game's total and of the own points; with several opponents the one with the smallest id counts."""
+    rows = both_sides(team_games.select(game, team, date, points), game, team, [points])
+    rows = rows.groupBy(game, team, date, points).agg(F.min_by(f"opp_{points}", f"opp_{team}").alias("_opp")).withColumn("game_total", F.col(points) + F.col("_opp")).drop("_opp")
     return win.prior_means(rows, [team], [date, game], ["game_total", points], sizes)
 
 
@@ -74,14 +75,23 @@ def allowed_to_position(rows: DataFrame, stat: str, group: str, size: int = 10,
     return per.select(game, opponent, group, value.alias(f"opp_allowed_{stat}"))
 
 
+def rolled(rows: DataFrame, rates: Mapping[str, Column], sizes: Sequence[int]) -> DataFrame:
+    """Each game's rates, and their prior means over the last games and the season, by player."""
+    order = ["game_date", "player_game_id"]
+    out = win.prior_means(rows.withColumns(dict(rates)), ["player_id"], order, list(rates), sizes)
+    return win.season_means(out, ["player_id"], "season", order, list(rates))
+
+
 def roles(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """Usage share, spacing, foul drawing, points per shot and assist ratio, and their prior means; needs fga, fta, turnovers, threes_attempted, points, assists."""
-    plays = F.col("fga") + 0.44 * F.col("fta") + F.col("turnovers")
-    out = share_of_total(rows.withColumn("_plays", plays), ["game_id", "team_id"], "_plays", "usage")
-    out = out.withColumns({"spacing": clip(ratio(F.col("threes_attempted"), F.col("fga")), 0, 1), "foul_drawing": clip(ratio(F.col("fta"), F.col("fga")), 0, 2), "points_per_shot": clip(ratio(F.col("points"), F.col("fga")), 0, 3), "assist_ratio": clip(ratio(F.col("assists"), F.col("_plays") + F.col("assists")), 0, 1)}).drop("_plays")
-    names = ["usage", "spacing", "foul_drawing", "points_per_shot", "assist_ratio"]
-    out = win.prior_means(out, ["player_id"], ["game_date", "player_game_id"], names, sizes)
-    return win.season_means(out, ["player_id"], "season", ["game_date", "player_game_id"], names)
+    """Usage, spacing, foul drawing, points per shot, share of points in the paint, assists to points.
+
+    Needs points, fg_attempted, fg3_attempted, fg3_made, ft_attempted, ft_made, assists, minutes.
+    """
+    c = F.col
+    out = share_of_total(rows, ["game_id", "team_id"], "fg_attempted", "usage_rate")
+    paint = F.greatest(c("points") - 3 * c("fg3_made") - c("ft_made"), F.lit(0.0))
+    spacing = ratio(c("fg3_attempted"), c("minutes")) * ratio(c("fg3_made"), c("fg3_attempted"))
+    return rolled(out, {"usage_rate": c("usage_rate"), "floor_spacing_score": spacing, "foul_drawing_rate": ratio(c("ft_attempted"), c("fg_attempted")), "pts_per_fga": ratio(c("points"), c("fg_attempted")), "paint_scoring_pct": ratio(paint, c("points")), "ast_to_pts_ratio": ratio(c("assists"), c("points"))}, sizes)
 
 
 def spacing_context(rows: DataFrame, sizes: Sequence[int] = (5, 10)) -> DataFrame:
@@ -107,13 +117,25 @@ def starters(rows: DataFrame, metric: str, game: str = "game_id", team: str = "t
 
 
 def pitcher_rates(rows: DataFrame, sizes: Sequence[int] = (5, 10)) -> DataFrame:
-    """Strikeout rate, hits, walks and earned runs for 27 outs, over sums of prior games; needs strikeouts, hits_allowed, walks, earned_runs, outs, batters_faced."""
-    return win.prior_ratio(rows, ["player_id"], ["game_date", "player_game_id"], {"k_rate": ("strikeouts", "batters_faced", 1.0), "hits_27": ("hits_allowed", "outs", 27.0), "walks_27": ("walks", "outs", 27.0), "era": ("earned_runs", "outs", 27.0)}, sizes)
+    """k_rate, and hits, walks and earned runs for 27 outs, over sums of prior games; strikeouts and outs for each of the window's slots, filled or not.
+
+    Needs strikeouts, hits_allowed, walks_allowed, earned_runs, outs, batters_faced.
+    """
+    order = ["game_date", "player_game_id"]
+    out = win.prior_ratio(rows, ["player_id"], order, {"k_rate": ("strikeouts", "batters_faced", 1.0), "h_per_9": ("hits_allowed", "outs", 27.0), "bb_per_9": ("walks_allowed", "outs", 27.0), "era": ("earned_runs", "outs", 27.0)}, sizes)
+    w = win.entity(["player_id"], order)
+    return out.withColumns({f"{name}_{n}": F.coalesce(F.sum(c).over(win.before(w, n)) / n, F.lit(0.0)) for n in sizes for name, c in (("avg_k", "strikeouts"), ("avg_outs", "outs"))})
 
 
 def lineup_rates(team_games: DataFrame, sizes: Sequence[int] = (10, 20)) -> DataFrame:
-    """Team batting rates over prior games; needs hits, strikeouts, walks, at_bats, plate_appearances."""
-    return win.prior_ratio(team_games, ["team_id"], ["game_date", "game_id"], {"avg": ("hits", "at_bats", 1.0), "k_rate": ("strikeouts", "plate_appearances", 1.0), "bb_rate": ("walks", "plate_appearances", 1.0)}, sizes)
+    """Team strikeout and walk rates over prior games, and runs and total bases for each slot up to the current game.
+
+    Needs strikeouts, walks, runs, total_bases, plate_appearances.
+    """
+    order = ["game_date", "game_id"]
+    out = win.prior_ratio(team_games, ["team_id"], order, {"k_rate": ("strikeouts", "plate_appearances", 1.0), "walk_rate": ("walks", "plate_appearances", 1.0)}, sizes)
+    w = win.entity(["team_id"], order)
+    return out.withColumns({f"{name}_{n}": F.coalesce(F.sum(c).over(win.before(w, n)) / F.least(F.row_number().over(w), F.lit(n)), F.lit(0.0)) for n in sizes for name, c in (("avg_runs", "runs"), ("avg_tb", "total_bases"))})
 
 
 def opponent_quality(rows: DataFrame, quality: str, size: int = 10) -> DataFrame:
@@ -153,50 +175,77 @@ def starter_form(rows: DataFrame, sizes: Sequence[int] = (3, 5, 10), least: int
     return rows.withColumns(out).withColumn("_n", total).where(F.col("_n") >= least).drop("_n")
 
 
-def batting_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20), most_slug: float = 1.0) -> DataFrame:
-    """On-base, slugging proxy, strikeout and walk rates of rows that batted, and their prior means."""
-    pa = F.col("plate_appearances")
-    rows = rows.where(pa > 0).withColumns({"obp": clip(ratio(F.col("hits") + F.col("walks"), pa), 0, 1), "slug": clip(ratio(F.col("total_bases"), F.col("at_bats")), 0, most_slug), "k_pct": clip(ratio(F.col("strikeouts"), pa), 0, 1), "bb_pct": clip(ratio(F.col("walks"), pa), 0, 1)})
-    names = ["obp", "slug", "k_pct", "bb_pct"]
-    out = win.prior_means(rows, ["player_id"], ["game_date", "player_game_id"], names, sizes)
-    return win.season_means(out, ["player_id"], "season", ["game_date", "player_game_id"], names)
+def batting_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
+    """Rates of rows with at-bats, within 0 and 1, and their prior means.
+
+    Needs at_bats, plate_appearances, hits, walks, strikeouts, doubles, triples, home_runs, total_bases.
+    """
+    c = F.col
+    extra = c("doubles") + 2 * c("triples") + 3 * c("home_runs")
+    rates = {
+        "batter_k_rate": (c("strikeouts"), c("at_bats")),
+        "batter_bb_rate": (c("walks"), c("plate_appearances")),
+        "batter_iso": (extra, c("at_bats")),
+        "batter_slg": (c("total_bases"), c("at_bats")),
+        "batter_hard_contact": (c("doubles") + c("triples") + c("home_runs"), c("at_bats")),
+        "batter_hr_rate": (c("home_runs"), c("at_bats")),
+    }
+    babip = F.when(c("at_bats") - c("strikeouts") - c("home_runs") != 0, (c("hits") - c("home_runs")) / (c("at_bats") - c("strikeouts") - c("home_runs")))
+    return rolled(rows.where(c("at_bats") > 0), {k: clip(ratio(a, b), 0.0, 1.0) for k, (a, b) in rates.items()} | {"batter_babip": clip(F.coalesce(babip, F.lit(0.0)), 0.0, 1.0)}, sizes)
+
+
+def pitching_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10)) -> DataFrame:
+    """Walks and home runs for nine innings (at most 20), outs a pitch, command, quality starts, and their prior means.
+
+    Needs outs, pitches_thrown, walks_allowed, home_runs_allowed, strikeouts, earned_runs.
+    """
+    c = F.col
+    quality = ((c("outs") >= 18) & (c("earned_runs") <= 3)).cast("double")
+    rates = {"pitcher_bb9": clip(ratio(27.0 * c("walks_allowed"), c("outs")), 0.0, 20.0), "pitcher_hr9": clip(ratio(27.0 * c("home_runs_allowed"), c("outs")), 0.0, 20.0), "pitcher_pitch_eff": clip(ratio(c("outs"), c("pitches_thrown")), 0.0, 1.0), "pitcher_command": clip(ratio(c("strikeouts"), c("strikeouts") + c("walks_allowed")), 0.0, 1.0), "pitcher_qs_rate": quality}
+    return rolled(rows.where(c("outs") > 0), rates, sizes)
 
 
 def skater_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """Shot and power-play shares of skaters, shooting rate, and their prior means; needs shots, goals, power_play_points."""
-    skaters = rows.where(F.col("position") != "G")
-    skaters = share_of_total(skaters, ["game_id", "team_id"], "shots", "shot_share")
-    skaters = share_of_total(skaters, ["game_id", "team_id"], "power_play_points", "pp_share").withColumn("shooting", clip(ratio(F.col("goals"), F.col("shots")), 0, 1))
-    names = ["shot_share", "pp_share", "shooting"]
-    out = win.prior_means(skaters, ["player_id"], ["game_date", "player_game_id"], names, sizes)
-    return win.season_means(out, ["player_id"], "season", ["game_date", "player_game_id"], names)
+    """Shooting, points, hits, blocks and penalties by time (at most 2), the team's share of the game's shots, the share of power-play points, and their prior means.
+
+    Needs position, shots, goals, points, hits, blocked_shots, penalty_minutes, powerplay_points, minutes.
+    """
+    c = F.col
+    skaters = rows.where(c("position") != "G")
+    shots = skaters.groupBy("game_id", "team_id").agg(F.sum("shots").alias("team_shots"))
+    own = skaters.join(shots, ["game_id", "team_id"])
+    own = attach_opponent(own, shots, "game_id", "opponent_id", "team_id", ["team_shots"])
+    own = share_of_total(own, ["game_id", "team_id"], "powerplay_points", "pp_toi_share")
+    both = c("team_shots") + c("opp_team_shots")
+    by = lambda a, b: clip(ratio(c(a), c(b)), 0.0, 2.0)
+    rates = {"shooting_pct": by("goals", "shots"), "pts_per_toi": by("points", "minutes"), "goals_per_shot": by("goals", "shots"), "hit_rate": by("hits", "minutes"), "block_rate": by("blocked_shots", "minutes"), "penalty_rate": by("penalty_minutes", "minutes"), "corsi_team": F.coalesce(F.when(both > 0, c("team_shots") / both), F.lit(0.5)), "pp_toi_share": c("pp_toi_share")}
+    return rolled(own, rates, sizes)
 
 
 def goalie_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    goalies = rows.where(F.col("position") == "G").withColumn("save_pct", clip(ratio(F.col("saves"), F.col("shots_against")), 0, 1))
-    out = win.prior_means(goalies, ["player_id"], ["game_date", "player_game_id"], ["save_pct"], sizes)
-    return win.season_means(out, ["player_id"], "season", ["game_date", "player_game_id"], ["save_pct"])
-
+    """Save share, goals against for 60 minutes (at most 10) and shots faced of goalies, and their prior means. Needs position, saves, shots_against, goals_against, minutes."""
+    c = F.col
+    rates = {"goalie_save_pct": clip(ratio(c("saves"), c("shots_against")), 0.0, 1.0), "goalie_gaa": clip(ratio(60.0 * c("goals_against"), c("minutes")), 0.0, 10.0), "goalie_workload": F.coalesce(c("shots_against").cast("double"), F.lit(0.0))}
+    return rolled(rows.where(c("position") == "G"), rates, sizes)
 
-def team_possessions(team_games: DataFrame) -> DataFrame:
-    return team_games.withColumns({"possessions": possessions(F.col("fga"), F.col("fta"), F.col("turnovers"), F.col("offensive_rebounds")), "efg": effective_shooting(F.col("fg_made"), F.col("threes"), F.col("fga"))})
 
+def teammate_absence(played: DataFrame, stats: Sequence[str] = ("shots", "free_throws", "assists"), **limits: float) -> DataFrame:
+    """Absent teammates of each row: their number, the top one's recent means, what all leave free, and the share of the rotation's minutes.
 
-def teammate_absence(played: DataFrame, stats: Sequence[str] = ("shots", "free_throws", "assists")) -> DataFrame:
-    """Absent teammates before each row: number, top one, what they leave free, usage bump (freed shots by those who played)."""
-    games = played.groupBy("team_id", "game_id").agg(F.min("game_date").alias("game_date"), F.count("*").alias("present"))
-    gone = absences(played, games, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats))
-    out = games.select("team_id", "game_id", "present").join(gone, ["team_id", "game_id"], "left")
-    bump = F.coalesce(ratio(F.col(f"freed_{stats[0]}"), F.col("present")), F.lit(0.0))
-    out = out.withColumn("usage_bump", bump).fillna(0, ["absent", *[f"freed_{s}" for s in stats]])
-    return played.join(out, ["team_id", "game_id"], "left")
+    Rows of those who didn't play themselves (fewer than the floor's minutes) get zeros, as do games without an absence.
+    """
+    gone = absences(played, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats), **limits)
+    names = [c for c in gone.columns if c not in ("team_id", "game_id", "top_absentee")]
+    out = played.join(gone, ["team_id", "game_id"], "left")
+    active = F.coalesce(F.col("minutes") >= limits.get("floor", 5.0), F.lit(False))
+    return out.withColumns({c: F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in names} | {"top_absentee": F.when(active, F.col("top_absentee"))})
 
 
-def team_rest(rows: DataFrame, missing: int = 7) -> DataFrame:
-    """team_days_rest and back_to_back of each row's team."""
+def team_rest(rows: DataFrame, missing: int = 7, most: int = 14) -> DataFrame:
+    """team_days_rest (at most `most`, `missing` before the first game) and back_to_back (one day) of each row's team."""
     games = rows.select("team_id", "game_id", "game_date").distinct()
-    rest = win.days_since(games, ["team_id"], ["game_date", "game_id"], "game_date", "team_days_rest", missing)
-    return rows.join(rest.withColumn("back_to_back", (F.col("team_days_rest") <= 1).cast("int")).drop("game_date"), ["team_id", "game_id"], "left")
+    rest = win.days_since(games, ["team_id"], ["game_date", "game_id"], "game_date", "team_days_rest", missing).withColumn("team_days_rest", F.least("team_days_rest", F.lit(most)))
+    return rows.join(rest.withColumn("back_to_back", (F.col("team_days_rest") == 1).cast("int")), ["team_id", "game_id", "game_date"], "left")
 
 
 def season_key(season: Column) -> Column:

@@ -110,7 +110,7 @@ def d12(s, d):
     return j.main_line(quotes(s, d), ["player_id", "stat_type"], "line", "over_prob")
 
 
-@query("d13_home_away", f"with t as ({TEAM}), f as (select game_id, team_id, {prior('avg(points)', 5, 'team_id', 'game_date, game_id')} as a from t), g as (select game_id, min(team_id) as h, max(team_id) as w from t group by 1) select g.game_id, round(coalesce(x.a, 25), 6) as home_form, round(coalesce(y.a, 25), 6) as away_form from g left join f x on x.game_id = g.game_id and x.team_id = h left join f y on y.game_id = g.game_id and y.team_id = w where h <> w")
+@query("d13_home_away", f"with t as ({TEAM}), f as (select game_id, team_id, {prior('avg(points)', 5, 'team_id', 'game_date, game_id')} as a from t), e as (select game_id, min(team_id) as h, max(team_id) as w, arg_min(coalesce(a, 25), team_id) as hf, arg_max(coalesce(a, 25), team_id) as wf from f group by 1) select game_id, round(hf, 6) as home_form, round(wf, 6) as away_form from e where h <> w")
 def d13(s, d):
     from fieldbook.operators.windows import prior_means
 
@@ -120,14 +120,19 @@ def d13(s, d):
 
 
 @query("d14_absences", f"""
-with p as (select team_id, game_id, opponent_id as player_id, min(game_date) as game_date, cast(sum(minutes) as double) as minutes, sum(points) as shots from ({DENSE}) group by 1, 2, 3), g as (select team_id, game_id, min(game_date) as gd from p group by 1, 2),
- rot as (select g.team_id, g.game_id, p.player_id, avg(p.minutes) as m, avg(p.shots) as s from g join p on p.team_id = g.team_id and datediff('day', p.game_date, g.gd) between 1 and 30 group by 1, 2, 3 having avg(p.minutes) >= 4),
- gone as (select rot.* from rot left join p on p.team_id = rot.team_id and p.game_id = rot.game_id and p.player_id = rot.player_id where p.player_id is null)
-select team_id, game_id, count(*) as absent, arg_max(player_id, (round(m, 6), player_id)) as top_absentee, round(sum(s), 6) as freed_shots from gone group by 1, 2""")
+with p as (select team_id, game_id, opponent_id as player_id, min(game_date) as game_date, 4.0::double * sum(minutes) as minutes, sum(points) as shots, cast(sum(turnovers) as double) as free_throws, cast(sum(assists) as double) as assists from ({DENSE}) group by 1, 2, 3),
+ a as (select * from p where minutes >= 5), g as (select team_id, game_id, min(game_date) as gd from p group by 1, 2), day as (select distinct team_id, gd from g), h as (select team_id, player_id, game_date, sum(minutes) as m, count(*) as n from a group by 1, 2, 3),
+ rot as (select d.team_id, d.gd, h.player_id, sum(m) / sum(n) as mean from day d join h on h.team_id = d.team_id and h.game_date < d.gd and h.game_date >= d.gd - 30 group by 1, 2, 3 having sum(m) / sum(n) >= 15),
+ tot as (select team_id, gd, sum(mean) as total from rot group by 1, 2), gone as (select g.game_id, rot.*, total from g join rot using (team_id, gd) join tot using (team_id, gd) left join a on a.team_id = rot.team_id and a.game_id = g.game_id and a.player_id = rot.player_id where a.player_id is null),
+ r as (select player_id, game_date, game_id, team_id, avg(shots) over w as shots, avg(free_throws) over w as free_throws, avg(assists) over w as assists, avg(minutes) over w as minutes from a window w as (partition by player_id order by game_date, game_id, team_id rows between 9 preceding and current row)),
+ r1 as (select player_id, game_date, unnest(arg_max({{'shots': shots, 'free_throws': free_throws, 'assists': assists, 'minutes': minutes}}, (game_id, team_id))) from r group by 1, 2),
+ x as (select gone.*, coalesce(shots, 0) as shots, coalesce(free_throws, 0) as free_throws, coalesce(assists, 0) as assists, coalesce(minutes, 0) as minutes from gone asof left join r1 on r1.player_id = gone.player_id and gone.gd > r1.game_date),
+ t as (select team_id, game_id, count(*) as absent, arg_max({{'top_absentee': player_id, 'top_shots': shots, 'top_free_throws': free_throws, 'top_assists': assists, 'top_minutes': minutes}}, (round(mean, 9), player_id)) as top, sum(shots) as freed_shots, sum(free_throws) as freed_free_throws, sum(assists) as freed_assists, sum(mean) / max(total) as usage_bump from x group by 1, 2)
+select p.team_id, p.game_id, p.player_id, case when p.minutes >= 5 then coalesce(absent, 0) else 0 end as absent, case when p.minutes >= 5 then top.top_absentee end as top_absentee, {', '.join(f"round(case when p.minutes >= 5 then coalesce({c}, 0) else 0 end, 6) as {c.split('.')[-1]}" for c in ('top.top_shots', 'top.top_free_throws', 'top.top_assists', 'top.top_minutes', 'freed_shots', 'freed_free_throws', 'freed_assists', 'usage_bump'))} from p left join t using (team_id, game_id)""")
 def d14(s, d):
-    p = dense_rows(s, d).groupBy("team_id", "game_id", C("opponent_id").alias("player_id")).agg(F.min("game_date").alias("game_date"), F.sum("minutes").cast("double").alias("minutes"), F.sum("points").alias("shots"))
-    g = p.groupBy("team_id", "game_id").agg(F.min("game_date").alias("game_date"))
-    return rounded(j.absences(p, g, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=["shots"], least_minutes=4.0))
+    p = dense_rows(s, d).groupBy("team_id", "game_id", C("opponent_id").alias("player_id")).agg(F.min("game_date").alias("game_date"), (4 * F.sum("minutes")).cast("double").alias("minutes"), F.sum("points").alias("shots"), F.sum("turnovers").cast("double").alias("free_throws"), F.sum("assists").cast("double").alias("assists"))
+    out = features.teammate_absence(p)
+    return rounded(out.select("team_id", "game_id", "player_id", "absent", "top_absentee", "top_shots", "top_free_throws", "top_assists", "top_minutes", "freed_shots", "freed_free_throws", "freed_assists", "usage_bump"))
 
 
 @query("d15_market_probability", f"with m as (select game_id, player_id, stat_type, avg(market_prob) as p from ({LEDGER}) where line_id % 3 = 0 group by 1, 2, 3) select pick_id, round(coalesce(p, 0.5), 6) as market from ({LEDGER}) left join m using (game_id, player_id, stat_type)")

@@ -130,7 +130,7 @@ def g14(s, d):
     return rounded(lg.combo_edges(m, {"AN": ["A", "N"], "ANR": ["A", "N", "R"]}, ["player_id"], "sport", "mean"))
 
 
-AVAILABILITY = f"""with a as (select player_game_id, team_id % 3 * 10 as minutes_out, {', '.join(f"avg(4 * minutes) over (partition by team_id order by game_date, player_game_id rows between {n} preceding and 1 preceding) as a{n}" for n in (5, 10, 20))}, avg(4 * minutes) over (partition by team_id, season order by game_date, player_game_id rows between unbounded preceding and 1 preceding) as s from ({DENSE})),
+AVAILABILITY = f"""with a as (select player_game_id, team_id % 3 * 10 as minutes_out, {', '.join(f"avg(4.137::double * minutes) over (partition by team_id order by game_date, player_game_id rows between {n} preceding and 1 preceding) as a{n}" for n in (5, 10, 20))}, avg(4.137::double * minutes) over (partition by team_id, season order by game_date, player_game_id rows between unbounded preceding and 1 preceding) as s from ({DENSE})),
  b as (select *, case when minutes_out >= 15 and coalesce(a5, s, 0) >= 5 then 14.0::double else 0 end as bump, coalesce((coalesce(a5 * 0.5::double, 0) + coalesce(a10 * 0.3::double, 0) + coalesce(a20 * 0.2::double, 0)) / nullif(case when a5 is null then 0 else 0.5::double end + case when a10 is null then 0 else 0.3::double end + case when a20 is null then 0 else 0.2::double end, 0), s, 0) as base from a),
  c as (select *, round(greatest(base, bump), 1) as projected, coalesce(a5, base) < 8 and bump < 12 as bench, coalesce(a20 > 0 and a5 < 0.55 * a20 and a5 < 18, false) as collapse from b)"""
 
@@ -139,7 +139,7 @@ AVAILABILITY = f"""with a as (select player_game_id, team_id % 3 * 10 as minutes
 def g15(s, d):
     from fieldbook.functions.scalars import availability, teammate_bump
 
-    rows = dense_rows(s, d).withColumn("minutes", 4 * C("minutes"))
+    rows = dense_rows(s, d).withColumn("minutes", 4.137 * C("minutes"))
     t = w.prior_means(rows, ["team_id"], ["game_date", "player_game_id"], ["minutes"], (5, 10, 20), fill=None)
     t = t.withColumn("season_avg_minutes", F.avg("minutes").over(w.before(w.entity(["team_id", "season"], ["game_date", "player_game_id"]))))
     last5, last10, last20, season = (C(f"{n}_avg_minutes") for n in ("last_5", "last_10", "last_20", "season"))

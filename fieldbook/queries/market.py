@@ -85,16 +85,17 @@ def parlay_sql(size: int) -> str:
 PAYS = "case size when 2 then 3.0::double when 3 then 5.0::double else 10.0::double end"
 
 
-@query("h07_parlays", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}), e as (select *, {PAYS} * joint - 1 as ev from p), r as (select *, row_number() over (partition by decided order by round(ev, 9) desc, legs) as k from e) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 6) as joint, round(ev, 6) as ev from r where k <= 10")
+@query("h07_parlays", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}), e as (select *, {PAYS} * joint - 1 as ev from p), r as (select *, row_number() over (partition by decided order by round(ev, 9) desc, legs) as k from e) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 10) as joint, round(ev, 10) as ev from r where k <= 10")
 def h07(s, d):
     out = mk.best_parlays(mk.parlays(legs(s, d), "decided"), "decided")
     joined = F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")
-    return rounded(out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), "joint", "ev"))
+    return out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), F.round("joint", 10).alias("joint"), F.round("ev", 10).alias("ev"))
 
 
-@query("h08_joint_probability", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}) select decided, cast(size as bigint) as size, count(*) as n, round(max(joint), 6) as best, round(min(joint), 6) as worst, round(avg(joint), 6) as mean from p group by 1, 2")
+@query("h08_joint_probability", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}) select decided, cast(size as bigint) as size, count(*) as n, round(max(joint), 10) as best, round(min(joint), 10) as worst, round(avg(joint), 10) as mean from p group by 1, 2")
 def h08(s, d):
-    return rounded(mk.parlays(legs(s, d), "decided").groupBy("decided", "size").agg(F.count("*").alias("n"), F.max("joint").alias("best"), F.min("joint").alias("worst"), F.avg("joint").alias("mean")))
+    out = mk.parlays(legs(s, d), "decided").groupBy("decided", C("size").cast("bigint").alias("size"))
+    return out.agg(F.count("*").alias("n"), *[F.round(f("joint"), 10).alias(name) for name, f in (("best", F.max), ("worst", F.min), ("mean", F.avg))])
 
 
 def drawn(s, d):

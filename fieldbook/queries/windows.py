@@ -68,16 +68,53 @@ def ratio_sql(a: str, b: str, n: int, k: int, part: str) -> str:
     return f"round(coalesce(case when {den} > 0 then {k} * {prior(f'sum({a})', n, part)} / cast({den} as double) end, 0), 6)"
 
 
-@query("c08_prior_ratios", f"select player_game_id, {', '.join(f'{ratio_sql(a, b, n, k, 'team_id')} as {name}_{n}' for n in (5, 10) for name, a, b, k in (('k_rate', 'assists', 'points', 1), ('era', 'turnovers', 'minutes', 27)))} from ({DENSE})")
+#: Box scores of players: counts that follow from the dense rows' columns.
+BOX_COLUMNS = {
+    "minutes": "cast(4 * minutes as double) + 0.3::double", "fg_attempted": "points", "fg3_attempted": "cast(assists as double)", "fg3_made": "floor(assists / 2.0::double)", "ft_attempted": "cast(turnovers as double)", "ft_made": "floor(turnovers / 2.0::double)",
+    "at_bats": "cast(minutes % 6 as double)", "plate_appearances": "cast(minutes % 6 + turnovers % 3 as double)", "hits": "cast(assists % 5 as double)", "walks": "cast(turnovers % 3 as double)", "strikeouts": "cast(assists % 4 as double)", "doubles": "cast(assists % 3 as double)", "triples": "cast(turnovers % 2 as double)", "home_runs": "cast(minutes % 2 as double)", "total_bases": "cast(assists + minutes % 2 as double)", "runs": "cast(turnovers % 4 as double)",
+    "outs": "cast(3 * minutes % 22 as double)", "pitches_thrown": "cast(points + 10 as double)", "walks_allowed": "cast(turnovers % 5 as double)", "home_runs_allowed": "cast(assists % 2 as double)", "hits_allowed": "cast(assists as double)", "earned_runs": "cast(turnovers % 6 as double)", "batters_faced": "cast(minutes % 7 * 4 as double)",
+    "shots": "cast(assists as double)", "goals": "cast(assists % 3 as double)", "blocked_shots": "cast(turnovers as double)", "penalty_minutes": "cast(turnovers % 4 * 2 as double)", "powerplay_points": "cast(turnovers % 3 as double)", "saves": "cast(points - assists as double)", "shots_against": "points", "goals_against": "cast(assists as double)",
+}
+KEPT = "player_game_id, game_id, team_id, opponent_id, player_id, game_date, season, points, assists, case position when 'N' then 'G' else position end as position"
+BOX = f"select {KEPT}, {', '.join(f'{v} as {k}' for k, v in BOX_COLUMNS.items())} from ({DENSE})"
+
+
+def box_rows(s, d):
+    """Box scores of players."""
+    made = {k: F.expr(v.replace("::double", "D")) for k, v in BOX_COLUMNS.items()}
+    rows = dense_rows(s, d)
+    return rows.select("player_game_id", "game_id", "team_id", "opponent_id", "player_id", "game_date", "season", "points", "assists", F.when(C("position") == "N", "G").otherwise(C("position")).alias("position"), *[v.alias(k) for k, v in made.items()])
+
+
+def rolled_sql(names, sizes, source):
+    """Each rate, its prior means of each size and of the season, by player, from a table that has the rates."""
+    cols = [f"round({n}, 6) as {n}" for n in names] + [f"round(coalesce({prior(f'avg({n})', k)}, 0), 6) as last_{k}_avg_{n}" for k in sizes for n in names] + [f"round(coalesce({prior(f'avg({n})', None, 'player_id, season')}, 0), 6) as season_avg_{n}" for n in names]
+    return f"select player_game_id, {', '.join(cols)} from {source}"
+
+
+def rolled_columns(names, sizes):
+    return ["player_game_id", *names, *[f"last_{k}_avg_{n}" for k in sizes for n in names], *[f"season_avg_{n}" for n in names]]
+
+
+def over_sql(a, b, most=None):
+    out = f"coalesce(case when {b} > 0 then {a} / cast({b} as double) end, 0)"
+    return out if most is None else f"least(greatest({out}, 0), {most})"
+
+
+@query("c08_prior_ratios", f"select player_game_id, {', '.join(f'{ratio_sql(a, b, n, k, 'player_id')} as {name}_{n}' for n in (5, 10) for name, a, b, k in (('k_rate', 'strikeouts', 'batters_faced', 1), ('h_per_9', 'hits_allowed', 'outs', 27), ('bb_per_9', 'walks_allowed', 'outs', 27), ('era', 'earned_runs', 'outs', 27)))}, {', '.join(f'round(coalesce({prior(f'sum({c})', n)} / {n}, 0), 6) as {name}_{n}' for n in (5, 10) for name, c in (('avg_k', 'strikeouts'), ('avg_outs', 'outs')))} from ({BOX}) where batters_faced > 0")
 def c08(s, d):
-    out = w.prior_ratio(dense_rows(s, d), ["team_id"], ORDER, {"k_rate": ("assists", "points", 1.0), "era": ("turnovers", "minutes", 27.0)}, (5, 10))
-    return rounded(out.select("player_game_id", "k_rate_5", "era_5", "k_rate_10", "era_10"))
+    out = features.pitcher_rates(box_rows(s, d).where("batters_faced > 0"))
+    return rounded(out.select("player_game_id", *[f"{a}_{n}" for n in (5, 10) for a in ("k_rate", "h_per_9", "bb_per_9", "era", "avg_k", "avg_outs")]))
 
 
-@query("c09_team_rates", f"select game_id, team_id, {', '.join(f'round(coalesce(case when sum(players) over w{n} > 0 then sum(points) over w{n} / cast(sum(players) over w{n} as double) end, 0), 6) as per_player_{n}' for n in (10, 20))} from ({TEAM}) window {', '.join(f'w{n} as (partition by team_id order by game_date, game_id rows between {n} preceding and 1 preceding)' for n in (10, 20))}")
+TEAM_BOX = f"select game_id, team_id, min(game_date) as game_date, {', '.join(f'sum({c}) as {c}' for c in ('strikeouts', 'walks', 'runs', 'total_bases', 'plate_appearances'))} from ({BOX}) group by 1, 2"
+
+
+@query("c09_team_rates", f"select game_id, team_id, {', '.join(f'round({over_sql(prior(f'sum({a})', n, 'team_id', 'game_date, game_id'), prior('sum(plate_appearances)', n, 'team_id', 'game_date, game_id'))}, 6) as {name}_{n}' for n in (10, 20) for name, a in (('k_rate', 'strikeouts'), ('walk_rate', 'walks')))}, {', '.join(f'round(coalesce({prior(f'sum({a})', n, 'team_id', 'game_date, game_id')} / least(row_number() over (partition by team_id order by game_date, game_id), {n}), 0), 6) as {name}_{n}' for n in (10, 20) for name, a in (('avg_runs', 'runs'), ('avg_tb', 'total_bases')))} from ({TEAM_BOX})")
 def c09(s, d):
-    out = w.prior_ratio(team_rows(s, d), ["team_id"], ["game_date", "game_id"], {"per_player": ("points", "players", 1.0)}, (10, 20))
-    return rounded(out.select("game_id", "team_id", "per_player_10", "per_player_20"))
+    names = ["strikeouts", "walks", "runs", "total_bases", "plate_appearances"]
+    out = features.lineup_rates(features.team_totals(box_rows(s, d), names))
+    return rounded(out.select("game_id", "team_id", *[f"{a}_{n}" for n in (10, 20) for a in ("k_rate", "walk_rate", "avg_runs", "avg_tb")]))
 
 
 @query("c10_opponent_allowed", f"with t as (select game_id, opponent_id as defense_id, min(game_date) as game_date, sum(points) as points from ({DENSE}) group by 1, 2) select game_id, defense_id, {', '.join(f'round(coalesce({prior('avg(points)', n, 'defense_id', 'game_date, game_id')}, 0), 6) as last_{n}_avg_points' for n in (5, 10))} from t")
@@ -85,20 +122,18 @@ def c10(s, d):
     return rounded(features.allowed(dense_rows(s, d), ["points"]).select("game_id", "defense_id", "last_5_avg_points", "last_10_avg_points"))
 
 
-@query("c11_pace", f"with t as ({TEAM}), p as (select a.game_id, a.team_id, a.game_date, a.points, b.team_id as opp_team_id, a.points + b.points as game_total from t a join t b on a.game_id = b.game_id and a.team_id <> b.team_id) select game_id, team_id, opp_team_id, round(coalesce(avg(game_total) over w, 0), 6) as last_10_avg_game_total from p window w as (partition by team_id order by game_date, game_id, opp_team_id rows between 10 preceding and 1 preceding)")
+@query("c11_pace", f"with t as ({TEAM}), p as (select a.game_id, a.team_id, a.game_date, a.points, a.points + arg_min(b.points, b.team_id) as game_total from t a join t b on a.game_id = b.game_id and a.team_id <> b.team_id group by 1, 2, 3, 4) select game_id, team_id, {', '.join(f'round(coalesce({prior(f'avg({c})', n, 'team_id', 'game_date, game_id')}, 0), 6) as last_{n}_avg_{c}' for n in (5, 10) for c in ('game_total', 'points'))} from p")
 def c11(s, d):
-    rows = both_sides(team_rows(s, d).select("game_id", "team_id", "game_date", "points"), "game_id", "team_id", ["points"]).withColumn("game_total", C("points") + C("opp_points"))
-    out = w.prior_means(rows, ["team_id"], ["game_date", "game_id", "opp_team_id"], ["game_total"], (10,))
-    return rounded(out.select("game_id", "team_id", "opp_team_id", "last_10_avg_game_total"))
+    out = features.pace(team_rows(s, d), "points")
+    return rounded(out.select("game_id", "team_id", *[f"last_{n}_avg_{c}" for n in (5, 10) for c in ("game_total", "points")]))
 
 
-@query("c12_role_share", f"with t as (select *, case when sum(points) over (partition by game_id) > 0 then points / sum(points) over (partition by game_id) else 0 end as usage from ({DENSE})) select player_game_id, round(usage, 6) as usage, round(coalesce({prior('avg(usage)', 10, 'team_id')}, 0), 6) as last_10_avg_usage, round(coalesce({prior('avg(usage)', None, 'team_id, season')}, 0), 6) as season_avg_usage from t")
-def c12(s, d):
-    from fieldbook.operators.aggs import share_of_total
+ROLES = {"usage_rate": "case when sum(fg_attempted) over (partition by game_id, team_id) > 0 then fg_attempted / sum(fg_attempted) over (partition by game_id, team_id) else 0 end", "floor_spacing_score": f"{over_sql('fg3_attempted', 'minutes')} * {over_sql('fg3_made', 'fg3_attempted')}", "foul_drawing_rate": over_sql("ft_attempted", "fg_attempted"), "pts_per_fga": over_sql("points", "fg_attempted"), "paint_scoring_pct": over_sql("greatest(points - 3 * fg3_made - ft_made, 0)", "points"), "ast_to_pts_ratio": over_sql("assists", "points")}
 
-    rows = share_of_total(dense_rows(s, d), ["game_id"], "points", "usage")
-    rows = w.season_means(w.prior_means(rows, ["team_id"], ORDER, ["usage"], (10,)), ["team_id"], "season", ORDER, ["usage"])
-    return rounded(rows.select("player_game_id", "usage", "last_10_avg_usage", "season_avg_usage"))
+
+@query("c12_role_share", f"with t as (select *, {', '.join(f'{v} as {k}' for k, v in ROLES.items())} from ({BOX})) {rolled_sql(ROLES, (5, 10, 20), 't')}")
+def c12(s, d):
+    return rounded(features.roles(box_rows(s, d)).select(*rolled_columns(ROLES, (5, 10, 20))))
 
 
 @query("c13_spacing_context", f"""with t as (select *, assists / cast(10 as double) as spacing from ({DENSE})), m as (select game_id, team_id, min(game_date) as game_date, avg(spacing) as spacing from t group by 1, 2),
@@ -161,27 +196,35 @@ def c22(s, d):
     return w.form(rows, ["team_id"], ["game_date", "game_id"], "won").select("game_id", "team_id", "team_last_5_wins", "team_won_last_game")
 
 
-@query("c23_team_rest", f"with g as (select distinct team_id, game_id, game_date from ({DENSE})), r as (select *, coalesce(datediff('day', lag(game_date) over (partition by team_id order by game_date, game_id), game_date), 7) as rest from g) select team_id, game_id, game_date, cast(rest as bigint) as team_days_rest, cast(case when rest <= 1 then 1 else 0 end as bigint) as back_to_back from r")
+@query("c23_team_rest", f"with g as (select distinct team_id, game_id, game_date from ({DENSE})), r as (select *, least(coalesce(datediff('day', lag(game_date) over (partition by team_id order by game_date, game_id), game_date), 7), 14) as rest from g) select player_game_id, cast(rest as bigint) as team_days_rest, cast(case when rest = 1 then 1 else 0 end as bigint) as back_to_back from ({DENSE}) join r using (team_id, game_id, game_date)")
 def c23(s, d):
-    games = dense_rows(s, d).select("team_id", "game_id", "game_date").distinct()
-    out = w.days_since(games, ["team_id"], ["game_date", "game_id"], "game_date", "team_days_rest", 7)
-    return rounded(out.withColumn("back_to_back", (C("team_days_rest") <= 1).cast("int")))
+    return rounded(features.team_rest(dense_rows(s, d)).select("player_game_id", "team_days_rest", "back_to_back"))
 
 
-@query("c24_advanced_rates", f"with t as (select *, least(greatest(assists / points, 0), 1) as k_pct from ({DENSE}) where points > 0) select player_game_id, round(k_pct, 6) as k_pct, {', '.join(f'round(coalesce({prior('avg(k_pct)', n, 'team_id')}, 0), 6) as last_{n}_avg_k_pct' for n in (5, 10, 20))} from t")
+BATTING = {"batter_k_rate": over_sql("strikeouts", "at_bats", 1), "batter_bb_rate": over_sql("walks", "plate_appearances", 1), "batter_iso": over_sql("(doubles + 2 * triples + 3 * home_runs)", "at_bats", 1), "batter_slg": over_sql("total_bases", "at_bats", 1), "batter_hard_contact": over_sql("(doubles + triples + home_runs)", "at_bats", 1), "batter_hr_rate": over_sql("home_runs", "at_bats", 1), "batter_babip": "least(greatest(coalesce((hits - home_runs) / nullif(at_bats - strikeouts - home_runs, 0), 0), 0), 1)"}
+PITCHING = {"pitcher_bb9": over_sql("27.0 * walks_allowed", "outs", 20), "pitcher_hr9": over_sql("27.0 * home_runs_allowed", "outs", 20), "pitcher_pitch_eff": over_sql("outs", "pitches_thrown", 1), "pitcher_command": over_sql("strikeouts", "(strikeouts + walks_allowed)", 1), "pitcher_qs_rate": "case when outs >= 18 and earned_runs <= 3 then 1.0::double else 0 end"}
+SKATING = {"shooting_pct": over_sql("goals", "shots", 2), "pts_per_toi": over_sql("points", "minutes", 2), "goals_per_shot": over_sql("goals", "shots", 2), "hit_rate": over_sql("hits", "minutes", 2), "block_rate": over_sql("blocked_shots", "minutes", 2), "penalty_rate": over_sql("penalty_minutes", "minutes", 2), "corsi_team": "coalesce(case when ts + os > 0 then ts / (ts + os) end, 0.5)", "pp_toi_share": "case when sum(powerplay_points) over (partition by game_id, team_id) > 0 then powerplay_points / sum(powerplay_points) over (partition by game_id, team_id) else 0 end"}
+GOALIES = {"goalie_save_pct": over_sql("saves", "shots_against", 1), "goalie_gaa": over_sql("60.0 * goals_against", "minutes", 10), "goalie_workload": "shots_against"}
+
+
+@query("c24_advanced_rates", f"with t as (select *, {', '.join(f'{v} as {k}' for k, v in BATTING.items())} from ({BOX}) where at_bats > 0) {rolled_sql(BATTING, (5, 10, 20), 't')}")
 def c24(s, d):
-    from fieldbook.functions.scalars import clip, ratio
+    return rounded(features.batting_advanced(box_rows(s, d)).select(*rolled_columns(BATTING, (5, 10, 20))))
 
-    rows = dense_rows(s, d).where("points > 0").withColumn("k_pct", clip(ratio(C("assists"), C("points")), 0.0, 1.0))
-    return rounded(w.prior_means(rows, ["team_id"], ORDER, ["k_pct"]).select("player_game_id", "k_pct", *[f"last_{n}_avg_k_pct" for n in (5, 10, 20)]))
 
+@query("c24_pitching_rates", f"with t as (select *, {', '.join(f'{v} as {k}' for k, v in PITCHING.items())} from ({BOX}) where outs > 0) {rolled_sql(PITCHING, (5, 10), 't')}")
+def c24_pitching(s, d):
+    return rounded(features.pitching_advanced(box_rows(s, d)).select(*rolled_columns(PITCHING, (5, 10))))
 
-@query("c25_share_by_role", f"with t as (select *, case when sum(points) over (partition by game_id, position) > 0 then points / sum(points) over (partition by game_id, position) else 0 end as shot_share from ({DENSE}) where position <> 'N') select player_game_id, round(shot_share, 6) as shot_share, round(coalesce({prior('avg(shot_share)', 5, 'team_id')}, 0), 6) as last_5_avg_shot_share from t")
+
+@query("c25_share_by_role", f"with b as (select * from ({BOX}) where position <> 'G'), sh as (select game_id, team_id, sum(shots) as ts from b group by 1, 2), j as (select b.*, x.ts, y.ts as os from b join sh x using (game_id, team_id) left join sh y on y.game_id = b.game_id and y.team_id = b.opponent_id), t as (select *, {', '.join(f'{v} as {k}' for k, v in SKATING.items())} from j) {rolled_sql(SKATING, (5, 10, 20), 't')}")
 def c25(s, d):
-    from fieldbook.operators.aggs import share_of_total
+    return rounded(features.skater_advanced(box_rows(s, d)).select(*rolled_columns(SKATING, (5, 10, 20))))
+
 
-    rows = share_of_total(dense_rows(s, d).where("position <> 'N'"), ["game_id", "position"], "points", "shot_share")
-    return rounded(w.prior_means(rows, ["team_id"], ORDER, ["shot_share"], (5,)).select("player_game_id", "shot_share", "last_5_avg_shot_share"))
+@query("c25_goalie_rates", f"with t as (select *, {', '.join(f'{v} as {k}' for k, v in GOALIES.items())} from ({BOX}) where position = 'G') {rolled_sql(GOALIES, (5, 10, 20), 't')}")
+def c25_goalies(s, d):
+    return rounded(features.goalie_advanced(box_rows(s, d)).select(*rolled_columns(GOALIES, (5, 10, 20))))
 
 
 @query("c26_starters", f"with t as (select *, row_number() over (partition by game_id, team_id order by points desc, player_game_id) as r from ({DENSE})) select game_id, team_id, player_game_id, points from t where r = 1")
