@@ -6,7 +6,6 @@ what has no closed recursion, small numpy helpers behind Arrow functions.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from statistics import NormalDist
 
 import numpy as np
@@ -50,32 +49,17 @@ def binary_over(line: Column, p: Column) -> Column:
     return F.when(line < 1, p).otherwise(poisson_over(line, -F.log(1 - p + 1e-9)))
 
 
-def poisson_below(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """P(X <= k), element by element."""
-    k = np.floor(k)
-    term = np.exp(-mean)
-    total = np.where(k >= 0, term, 0.0)
-    for i in range(1, int(k.max(initial=0)) + 1):
-        term = term * mean / i
-        total = total + np.where(i <= k, term, 0.0)
-    return np.minimum(total, 1.0)
+def implied_mean(line: Column, prob: Column) -> Column:
+    """The Poisson mean in [0.01, 250] for which P(X > line) is prob; null for prob outside (0, 1). 60 halvings; apply it to distinct pairs."""
+    start = F.struct(F.lit(0.01).alias("low"), F.lit(MOST).alias("high"))
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        up = poisson_over(line, mid) < prob
+        return F.struct(F.when(up, mid).otherwise(s["low"]).alias("low"), F.when(up, s["high"]).otherwise(mid).alias("high"))
 
-@F.pandas_udf(DoubleType())
-def implied_mean(line: pd.Series, prob: pd.Series) -> pd.Series:
-    """The Poisson mean in [0.01, 250] for which P(X > line) is prob; null for prob outside (0, 1). Apply it to distinct pairs."""
-    x, p = line.to_numpy(float), prob.to_numpy(float)
-    ok = (p > 0) & (p < 1) & ~np.isnan(x)
-    out = np.full(len(x), np.nan)
-    if ok.any():
-        x, p = x[ok], p[ok]
-        low, high = np.full(len(x), 0.01), np.full(len(x), MOST)
-        for _ in range(60):
-            mid = (low + high) / 2
-            up = 1 - poisson_below(x, mid) < p
-            low, high = np.where(up, mid, low), np.where(up, high, mid)
-        out[ok] = (low + high) / 2
-    return pd.Series(out).astype("Float64").mask(np.isnan(out))
+    mean = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+    return F.when((prob > 0) & (prob < 1) & line.isNotNull(), mean)
 
 
 @F.pandas_udf(DoubleType())
@@ -100,7 +84,3 @@ def poisson_quantile(q: pd.Series, mean: pd.Series) -> pd.Series:
 
 def normal_quantiles(p: np.ndarray) -> np.ndarray:
     return np.array([NormalDist().inv_cdf(float(x)) for x in p])
-
-
-def dispersion_of(stat: Column, table: Mapping[str, float]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), stat)

@@ -107,10 +107,6 @@ def blend(model: Column, market: Column, weight: Column) -> Column:
     return F.coalesce(w * model + (1 - w) * market, model)
 
 
-def american_ev(p: Column, odds: Column) -> Column:
-    return pick_ev(p, american_decimal(odds))
-
-
 def pick_ev(p: Column, payout: Column) -> Column:
     return p * payout - 1
 

@@ -182,7 +182,3 @@ def period_drift(df: DataFrame, keys: Sequence[str], recent: Column, win: str =
 
     w, gap = F.col(win).cast("double"), F.col(win) - F.col(prob)
     return rows.groupBy(*keys).agg(part(w, False).alias("hit_before"), part(w, True).alias("hit_recent"), part(gap, False).alias("gap_before"), part(gap, True).alias("gap_recent")).withColumn("drift", F.col("hit_recent") - F.col("hit_before"))
-
-
-def dispersion_lookup(table: Mapping[str, float], stat: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), stat), F.lit(1.0))

@@ -55,14 +55,21 @@ def arbitrage(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str
     return rows.where((F.col("ev") > low) & (F.col("ev") < high))
 
 
-def boost_ev(boosts: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str) -> DataFrame:
-    """ev of each boost, or a note why it can't be priced."""
-    anchor = with_mean(main_line(sharp, keys, line, "over_prob"), "main_line", "main_prob")
-    rows = boosts.join(anchor, list(keys), "left")
+def boost_ev(boosts: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """fair_prob and ev of each boost, or a note why it can't be priced; a note that a person typed (`typed_note`) stays.
+
+    Run it again on a day's stored boosts to price them against the market of the moment.
+    """
+    anchor = main_line(sharp, keys, line, "over_prob", 0.0, 1.0)
+    inside = (F.col("main_prob") >= low) & (F.col("main_prob") <= high)
+    priced = with_mean(anchor.where(inside), "main_line", "main_prob").select(*keys, "mean")
+    rows = boosts.join(anchor, list(keys), "left").join(priced, list(keys), "left")
     over = poisson_over(F.col(line), F.col("mean"))
     p = F.when(F.col("side") == "over", over).when(F.col("side") == "under", 1 - over)
-    note = F.when(F.col("odds").isNull() | (F.col("odds") == 0), "no odds").when(~F.coalesce(F.col("side").isin("over", "under"), F.lit(False)), "no side").when(F.col("mean").isNull(), "no sharp line")
-    return rows.withColumn("note", note).withColumn("fair_prob", F.when(note.isNull(), p)).withColumn("ev", F.when(note.isNull(), p * american_decimal(F.col("odds")) - 1))
+    why = F.when(F.col("odds").isNull() | (F.col("odds") == 0), "no odds").when(~F.coalesce(F.col("side").isin("over", "under"), F.lit(False)), "no side").when(F.col("main_prob").isNull(), "no sharp line").when(~inside, "sharp anchor unreliable").when(F.col("mean").isNull(), "no mean")
+    typed = F.when(F.col("typed_note") != "", F.col("typed_note")) if "typed_note" in boosts.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("fair_prob", F.when(why.isNull(), p)).withColumn("ev", F.when(why.isNull(), p * american_decimal(F.col("odds")) - 1))
+    return rows.withColumn("note", F.coalesce(typed, why))
 
 
 def graded_roi(bets: DataFrame, keys: Sequence[str], actual: str, line: str, side: str, payout: str, push_as_under: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Transformer
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -102,12 +103,32 @@ def out_of_fold(rows: DataFrame, features: Sequence[str], date: str, folds: int
     return out
 
 
+#: Bounds of a calibrated probability, the fewest points of a map, where it is looked at, the least range, and when a high end counts as pinned by too few points.
+LOWEST, HIGHEST, LEAST_POINTS, LEAST_RANGE = 0.01, 0.99, 400, 0.15
+LOOKED_AT, PINNED, TAIL_FROM, LEAST_TAIL = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), 0.97, 0.85, 300
+
+
+def degenerate(edges: Sequence[float], values: Sequence[float], points: int, tail: int) -> bool:
+    """Whether an isotonic map is no use: too few points, nearly flat, or pinned to the top by a sparse tail."""
+    at = np.clip(np.interp(LOOKED_AT, edges, values), LOWEST, HIGHEST)
+    return points < LEAST_POINTS or at[-1] - at[0] < LEAST_RANGE or (at.max() >= PINNED and tail < LEAST_TAIL)
+
+
 def calibrate_lines(predicted: DataFrame, lines: Sequence[float], actual: str) -> tuple[Transformer | None, DataFrame]:
     """An isotonic map from P(X > line) to the hit rate over all lines pooled, None if it is degenerate; and the pooled rows."""
     rows = predicted.withColumn("line", F.explode(F.array(*map(F.lit, lines)))).withColumn("p", poisson_over(F.col("line"), F.col("predicted_mean"))).withColumn("label", (F.col(actual) > F.col("line")).cast("double"))
+    points, tail = rows.agg(F.count("*"), F.count_if(F.col("p") >= TAIL_FROM)).first()
+    if points < LEAST_POINTS:
+        return None, rows
     model = IsotonicRegression(labelCol="label", featuresCol="p", predictionCol="calibrated").fit(rows.select("p", "label"))
-    values = [float(x) for x in model.predictions.toArray()]  # the map's few steps
-    return (model if len(set(values)) > 2 and max(values) - min(values) > 0.05 else None), rows
+    return (None if degenerate(model.boundaries.toArray(), model.predictions.toArray(), points, tail) else model), rows  # the map's few steps
+
+
+def calibrated(model: Transformer | None, rows: DataFrame) -> DataFrame:
+    """Rows with `calibrated`, within the bounds; `p` itself without a map."""
+    if model is None:
+        return rows.withColumn("calibrated", F.col("p"))
+    return model.transform(rows).withColumn("calibrated", F.greatest(F.least("calibrated", F.lit(HIGHEST)), F.lit(LOWEST)))
 
 
 def compare(rows: DataFrame, actual: str, a: str, b: str, domain: Column, gate: float = 0.5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +20,11 @@ def together(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def freshness(df: DataFrame, group: str, time: str, now: Column, hours: float, name: str) -> DataFrame:
-    """Groups whose newest row is older than `hours`."""
-    age = (F.unix_timestamp(now) - F.unix_timestamp(F.max(time))) / 3600.0
-    return finding(df.groupBy(group).agg(age.alias("_age")).where(F.col("_age") > hours), "error", name, F.col(group), F.col("_age"))
+def freshness(df: DataFrame, group: str, time: str, now: DataFrame, hours: float, name: str) -> DataFrame:
+    """Groups whose newest row is more than `hours` older than `now`, a frame of one row (column now)."""
+    last = df.groupBy(group).agg(F.max(F.col(time).cast("timestamp")).alias("_last")).join(F.broadcast(now))
+    age = (F.unix_timestamp("now") - F.unix_timestamp("_last")) / 3600.0
+    return finding(last.withColumn("_age", age).where(F.col("_age") > hours), "error", name, F.col(group), F.col("_age"))
 
 
 def missing_box(games: DataFrame, box: DataFrame, game: str, group: str) -> DataFrame:
@@ -48,8 +49,50 @@ def duplicates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     return finding(rows, "error", name, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), F.col("_n"))
 
 
-def same_sides(games: DataFrame, game: str, home: str, away: str) -> DataFrame:
-    return finding(games.where(F.col(home) == F.col(away)), "error", "home_is_away", F.col(game), F.lit(1))
+#: The placeholder team's external id and the prefix of placeholder games; sports whose abbreviations may collide; teams of the full leagues.
+PLACEHOLDER_TEAM, PLACEHOLDER_GAME = "PP_PLACEHOLDER", "pp_"
+SHARED_ABBREVIATIONS = ("cbb", "cfb", "soccer")
+EXPECTED_TEAMS = {"mlb": 30, "nba": 30, "nhl": 32, "wnba": 13}
+
+
+def real_teams(teams: DataFrame) -> DataFrame:
+    """Neither the placeholder nor an all-star team."""
+    return teams.where((F.coalesce("external_id", F.lit("")) != PLACEHOLDER_TEAM) & ~F.lower(F.coalesce("name", F.lit(""))).contains("all-star"))
+
+
+def teams_incomplete(teams: DataFrame, expected: Mapping[str, int] = EXPECTED_TEAMS) -> DataFrame:
+    """Sports with fewer teams than their league has; the table of sports is a constant."""
+    want = F.explode(F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])).alias("sport_code", "_want")
+    have = real_teams(teams).groupBy("sport_code").agg(F.count("*").alias("_have"))
+    rows = teams.sparkSession.range(1).select(want).join(have, "sport_code", "left").withColumn("_have", F.coalesce("_have", F.lit(0))).where("_have < _want")
+    return finding(rows, "warn", "teams_incomplete", F.col("sport_code"), F.col("_have"))
+
+
+def duplicate_abbreviations(teams: DataFrame, exempt: Sequence[str] = SHARED_ABBREVIATIONS) -> DataFrame:
+    rows = real_teams(teams).where(~F.col("sport_code").isin(*exempt)).groupBy("sport_code", "abbreviation").agg(F.count("*").alias("_n")).where("_n > 1")
+    return finding(rows, "warn", "duplicate_abbrev", F.concat_ws("/", "sport_code", "abbreviation"), F.col("_n"))
+
+
+def same_sides(games: DataFrame, game: str, home: str, away: str, external: str | None = None) -> DataFrame:
+    """Games of a team against itself; placeholder games are expected to be such."""
+    rows = games.where(F.col(home) == F.col(away))
+    if external:
+        rows = rows.where(~F.coalesce(F.col(external), F.lit("")).startswith(PLACEHOLDER_GAME))
+    return finding(rows, "error", "home_is_away", F.col(game), F.lit(1))
+
+
+def placeholder_picks(picks: DataFrame, box: DataFrame, teams: DataFrame) -> DataFrame:
+    """How many settled picks hang on a placeholder team; no row where none does."""
+    bad = teams.where(F.col("external_id") == PLACEHOLDER_TEAM).select("team_id")
+    rows = picks.where(F.col("leg_result").isin("win", "loss", "push")).join(box.join(bad, "team_id", "left_semi").select("player_id", "game_id"), ["player_id", "game_id"])
+    return finding(rows.agg(F.count("*").alias("_n")).where("_n > 0"), "warn", "placeholder_picks", F.lit("settled picks"), F.col("_n"))
+
+
+def dnp_losses(picks: DataFrame, box: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """How many picks settled in the last days were graded as losses of players who didn't play; no row where none was."""
+    recent = picks.where((F.col("leg_result") == "loss") & (F.col("settled_at") >= now - F.expr(f"INTERVAL {days} DAYS")))
+    rows = recent.join(box.where(F.col("did_play") == F.lit(False)).select("player_id", "game_id"), ["player_id", "game_id"])
+    return finding(rows.agg(F.count("*").alias("_n")).where("_n > 0"), "warn", "dnp_leak", F.lit("losses"), F.col("_n"))
 
 
 def many_teams(rows: DataFrame, player: str, team: str, most: int = 2) -> DataFrame:

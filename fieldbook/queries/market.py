@@ -5,20 +5,25 @@ from pyspark.sql import functions as F
 from fieldbook.plans import market as mk
 from fieldbook.queries.base import LEDGER, ledger, query, rounded
 from fieldbook.queries.joins import QUOTES, quotes
+from fieldbook.queries.scalars import implied_sql, poisson_over_sql
 from fieldbook.session import saved
 
 C = F.col
 
 
-@query("h01_soft_lines")
+ANCHORS = f"""q as ({QUOTES}), mq as (select player_id, stat_type, line as main_line, over_prob as main_prob from (select *, row_number() over (partition by player_id, stat_type order by abs(over_prob - 0.5::double), line) as n from q) where n = 1),
+ pairs as (select distinct main_line as line, main_prob as prob from mq where main_prob between 0.2 and 0.8), {implied_sql('pairs')}, an as (select player_id, stat_type, main_line, main_prob, mean from mq left join imp on imp.line = main_line and imp.prob = main_prob)"""
+
+
+@query("h01_soft_lines", f"with recursive {ANCHORS}, t as (select pick_id, quantity + line_id % 7 - 3 as line, main_line, mean from ({LEDGER}) l join an on an.player_id = l.player_id and an.stat_type = l.stat_type where mean is not null), u as (select *, case when line < 0 then 1 else greatest({poisson_over_sql('line', 'mean')}, 0) end as p from t) select pick_id, line, main_line, case when p >= 0.5 then 'over' else 'under' end as side, round(greatest(p, 1 - p), 6) as prob, round(greatest(p, 1 - p) - 0.577, 6) as edge from u where greatest(p, 1 - p) - 0.577 > 0")
 def h01(s, d):
     board = ledger(s, d).select("pick_id", "player_id", "stat_type", (C("quantity") + C("line_id") % 7 - 3).alias("line"))
     return rounded(mk.soft_lines(board, quotes(s, d), ["player_id", "stat_type"], "line").select("pick_id", "line", "main_line", "side", "prob", "edge"))
 
 
-@query("h02_arbitrage")
+@query("h02_arbitrage", f"with recursive {ANCHORS}, t as (select pick_id, quantity + line_id % 3 - 1 as line, payout + 0.5137::double as o, 3.4137::double - payout as u, mean from ({LEDGER}) l join an on an.player_id = l.player_id and an.stat_type = l.stat_type where mean is not null), v as (select *, case when line < 0 then 1 else greatest({poisson_over_sql('line', 'mean')}, 0) end as p from t), w as (select pick_id, p * o - 1 as a, (1 - p) * u - 1 as b from v) select pick_id, case when a >= b then 'over' else 'under' end as side, round(greatest(a, b), 6) as ev from w where greatest(a, b) > 0.02 and greatest(a, b) < 0.4")
 def h02(s, d):
-    board = ledger(s, d).select("pick_id", "player_id", "stat_type", (C("quantity") + C("line_id") % 3 - 1).alias("line"), (C("payout") + 0.5).alias("over_payout"), (F.lit(3.4) - C("payout")).alias("under_payout"))
+    board = ledger(s, d).select("pick_id", "player_id", "stat_type", (C("quantity") + C("line_id") % 3 - 1).alias("line"), (C("payout") + 0.5137).alias("over_payout"), (F.lit(3.4137) - C("payout")).alias("under_payout"))
     return rounded(mk.arbitrage(board, quotes(s, d), ["player_id", "stat_type"], "line", "over_payout", "under_payout").select("pick_id", "side", "ev"))
 
 
@@ -28,11 +33,15 @@ def h03(s, d):
     return rounded(mk.graded_roi(rows, ["sport"], "quantity", "line", "direction", "payout"))
 
 
-@query("h04_boost_ev")
+@query("h04_boost_ev", f"""with recursive {ANCHORS}, t as (select pick_id, player_id + case when line_id % 17 = 0 then 100000 else 0 end as player_id, stat_type, quantity as line, case when line_id % 11 = 0 then 0 else cast(quantity as bigint) * 4 + 80 end as odds, case when line_id % 13 <> 0 then direction end as side, case when line_id % 19 = 0 then 'mine' else '' end as typed from ({LEDGER})),
+ u as (select t.*, main_prob, mean, case when mean is not null then case when line < 0 then 1 else greatest({poisson_over_sql('line', 'mean')}, 0) end end as p from t left join an on an.player_id = t.player_id and an.stat_type = t.stat_type),
+ w as (select *, case when odds = 0 then 'no odds' when side is null then 'no side' when main_prob is null then 'no sharp line' when main_prob not between 0.2 and 0.8 then 'sharp anchor unreliable' when mean is null then 'no mean' end as why, case side when 'over' then p else 1 - p end as q from u)
+ select pick_id, coalesce(nullif(typed, ''), why) as note, round(case when why is null then q end, 6) as fair_prob, round(case when why is null then q * (1 + odds / 100.0) - 1 end, 6) as ev from w""")
 def h04(s, d):
     odds = F.when(C("line_id") % 11 == 0, F.lit(0)).otherwise(C("quantity").cast("int") * 4 + 80)
     side = F.when(C("line_id") % 13 != 0, C("direction"))
-    rows = ledger(s, d).select("pick_id", (C("player_id") + F.when(C("line_id") % 17 == 0, 100000).otherwise(0)).alias("player_id"), "stat_type", C("quantity").alias("line"), odds.alias("odds"), side.alias("side"))
+    typed = F.when(C("line_id") % 19 == 0, "mine").otherwise("")
+    rows = ledger(s, d).select("pick_id", (C("player_id") + F.when(C("line_id") % 17 == 0, 100000).otherwise(0)).alias("player_id"), "stat_type", C("quantity").alias("line"), odds.alias("odds"), side.alias("side"), typed.alias("typed_note"))
     return rounded(mk.boost_ev(rows, quotes(s, d), ["player_id", "stat_type"], "line").select("pick_id", "note", "fair_prob", "ev"))
 
 

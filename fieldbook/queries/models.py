@@ -62,8 +62,7 @@ def i05_winner(s, d):
 def i06(s, d):
     out = m.out_of_fold(training(s, d), FEATURES, "game_date")
     model, rows = m.calibrate_lines(out, [10.5, 20.5, 30.5], "label")
-    rows = rows if model is None else model.transform(rows)
-    rows = rows if "calibrated" in rows.columns else rows.withColumn("calibrated", C("p"))
+    rows = m.calibrated(model, rows)
     hit = (C("points") > C("line")).cast("double")
     return rounded(rows.groupBy("line").agg(F.count("*").alias("n"), F.avg("p").alias("raw"), F.avg("calibrated").alias("calibrated"), F.avg(hit).alias("actual")))
 

@@ -1,10 +1,10 @@
 """Payload sources and run-slice sinks (2.1): payloads are built from the tables, then flattened."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from fieldbook.session import shared_dir
 from fieldbook.queries.base import query, r6, rounded, table
 from fieldbook.sources import payloads as p
 from fieldbook.sources import tables
@@ -75,8 +75,7 @@ def a05(s, d):
 
 
 def scratch(s, what: str) -> str:
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='fieldbook-')}"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    return f"{shared_dir(s).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 @query("a10_partitioned_tables", "select o_orderkey, o_totalprice, o_orderstatus from orders")

@@ -15,9 +15,7 @@ select 'error' as level, 'stale' as name, event_type as detail, round(age, 3) as
 union all select 'warn', 'thin_day', cast(day as varchar), round(board / m, 3) from t where board < 0.95 * m""".replace("(epoch(now) - epoch(max(ts)))", "(floor(epoch(now)) - floor(epoch(max(ts))))"))
 def j01(s, d):
     e = table(s, d, "events")
-    now = F.broadcast(e.agg(F.max("ts").cast("timestamp").alias("now")))
-    fresh = e.join(now).groupBy("event_type").agg(F.max("ts").cast("timestamp").alias("last"), F.first("now").alias("now"))
-    stale = q.finding(fresh.withColumn("age", (F.unix_timestamp("now") - F.unix_timestamp("last")) / 3600.0).where("age > 0.2"), "error", "stale", C("event_type"), F.round("age", 3))
+    stale = q.freshness(e, "event_type", "ts", e.agg(F.max("ts").cast("timestamp").alias("now")), 0.2, "stale")
     o = table(s, d, "orders").where("o_orderstatus = 'F'").select(C("o_orderkey").alias("g"), "o_orderpriority")
     box = q.missing_box(o, table(s, d, "lineitem").select(C("l_orderkey").alias("g")), "g", "o_orderpriority")
     thin = q.thin_days(q.board_volume(e, C("ts").cast("date"), "user_id", "event_type", "user_id"), share=0.95)
@@ -37,6 +35,30 @@ def j02(s, d):
     return q.together(parts)
 
 
+NATIONS = "select n_nationkey as team_id, case n_regionkey % 4 when 0 then 'mlb' when 1 then 'nba' when 2 then 'cbb' else 'wnba' end as sport_code, case when n_nationkey % 9 = 3 then 'PP_PLACEHOLDER' end as external_id, 'T' || n_nationkey % 4 as abbreviation, case when n_nationkey % 10 = 1 then 'West All-Star' else n_name end as name from nation"
+BOXES = f"select game_id, player_id, min(line_id) % 25 as team_id, min(line_id) % 11 <> 0 as did_play from ({LEDGER}) where line_id % 5 <> 0 group by 1, 2"
+
+
+@query("j02_team_audit", f"""with t as (select * from ({NATIONS}) where coalesce(external_id, '') <> 'PP_PLACEHOLDER' and name not ilike '%all-star%'), p as (select *, case when pick_id % 7 = 0 then 'void' when win = 1 then 'win' else 'loss' end as leg_result from ({LEDGER})), b as ({BOXES}), n as (select max(settled) as now from p),
+ e as (select * from (values ('mlb', 30), ('nba', 30), ('nhl', 32), ('wnba', 13)) v(sport_code, want))
+select 'warn' as level, 'teams_incomplete' as name, sport_code as detail, cast(count(t.team_id) as double) as value from e left join t using (sport_code) group by sport_code, want having count(t.team_id) < want
+union all select 'warn', 'duplicate_abbrev', sport_code || '/' || abbreviation, count(*) from t where sport_code not in ('cbb', 'cfb', 'soccer') group by sport_code, abbreviation having count(*) > 1
+union all select 'warn', 'placeholder_picks', 'settled picks', count(*) from p join b using (game_id, player_id) join ({NATIONS}) x using (team_id) where external_id = 'PP_PLACEHOLDER' and leg_result in ('win', 'loss', 'push') having count(*) > 0
+union all select 'warn', 'dnp_leak', 'losses', count(*) from p join b using (game_id, player_id), n where leg_result = 'loss' and settled >= now - interval 14 days and not did_play having count(*) > 0
+union all select 'error', 'home_is_away', cast(o_orderkey as varchar), 1 from orders where o_custkey % 20 = o_orderkey % 20 and o_orderkey % 3 <> 0""")
+def j02_teams(s, d):
+    n = C("n_nationkey")
+    sport = F.element_at(F.array(*map(F.lit, ("mlb", "nba", "cbb", "wnba"))), (C("n_regionkey") % 4 + 1).cast("int"))
+    teams = table(s, d, "nation").select(n.cast("bigint").alias("team_id"), sport.alias("sport_code"), F.when(n % 9 == 3, q.PLACEHOLDER_TEAM).alias("external_id"), F.concat(F.lit("T"), (n % 4).cast("string")).alias("abbreviation"), F.when(n % 10 == 1, "West All-Star").otherwise(C("n_name")).alias("name"))
+    rows = ledger(s, d)
+    picks = rows.select("game_id", "player_id", C("settled").cast("timestamp").alias("settled_at"), F.when(C("pick_id") % 7 == 0, "void").when(C("win") == 1, "win").otherwise("loss").alias("leg_result"))
+    box = rows.where("line_id % 5 <> 0").groupBy("game_id", "player_id").agg(F.min("line_id").alias("l")).select("game_id", "player_id", (C("l") % 25).alias("team_id"), (C("l") % 11 != 0).alias("did_play"))
+    now = picks.agg(F.max("settled_at").alias("now"))
+    games = table(s, d, "orders").select(C("o_orderkey").alias("g"), (C("o_custkey") % 20).alias("h"), (C("o_orderkey") % 20).alias("a"), F.when(C("o_orderkey") % 3 == 0, F.concat(F.lit("pp_"), C("o_orderkey").cast("string"))).alias("x"))
+    dnp = q.dnp_losses(picks.join(F.broadcast(now)), box, C("now"))
+    return q.together([q.teams_incomplete(teams), q.duplicate_abbreviations(teams), q.placeholder_picks(picks, box, teams), dnp, q.same_sides(games, "g", "h", "a", "x")])
+
+
 @query("j02_stale_mapping", f"with t as (select player_id, max_by(line_id % 7, (game_date, player_game_id)) as team from ({DENSE.replace('l_partkey as player_id', 'l_partkey as player_id, l_partkey as line_id')}) group by 1) select cast(player_id as varchar) as detail from t where team is distinct from case when player_id % 4 = 0 then null else player_id % 7 end")
 def j02_stale(s, d):
     rows = dense_rows(s, d).withColumn("team", C("player_id") % 7)

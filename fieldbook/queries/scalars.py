@@ -80,7 +80,19 @@ def b09(s, d):
     return rounded(t.withColumn("p_over", counts.binary_over(C("line"), C("p"))).drop("line"))
 
 
-@query("b10_implied_mean")
+def poisson_over_sql(line: str, mean: str) -> str:
+    return f"(1 - list_sum(list_transform(range(0, cast(floor({line}) as bigint) + 1), lambda k: exp(-({mean}) + k * ln({mean}) - lgamma(k + 1)))))"
+
+
+def implied_sql(pairs: str) -> str:
+    """CTE imp (line, prob, mean) by 60 halvings; pairs: a table of distinct (line, prob)."""
+    mid = "(lo + hi) / 2"
+    up = f"{poisson_over_sql('line', mid)} < prob"
+    return f"""halves as (select line, prob, 0.01::double as lo, 250.0::double as hi, 0 as i from {pairs} union all select line, prob, case when {up} then {mid} else lo end, case when {up} then hi else {mid} end, i + 1 from halves where i < 60),
+ imp as (select line, prob, {mid} as mean from halves where i = 60)"""
+
+
+@query("b10_implied_mean", f"with recursive t as (select distinct player_id % 8 + 0.5::double as line, model_prob as prob from ({LEDGER})), {implied_sql('t')} select line, prob as model_prob, round(mean, 6) as mean, round({poisson_over_sql('line', 'mean')}, 6) as round_trip from imp")
 def b10(s, d):
     t = ledger(s, d).select((C("player_id") % 8 + 0.5).alias("line"), "model_prob").distinct()
     t = t.withColumn("mean", counts.implied_mean(C("line"), C("model_prob")))

@@ -1,11 +1,11 @@
 """Streaming jobs (2.11), run over what is there; the SQL is their batch equivalent."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from fieldbook.queries.base import query, table
+from fieldbook.session import shared_dir
 from fieldbook.streaming import jobs
 
 C = F.col
@@ -13,8 +13,7 @@ C = F.col
 
 def checkpoint(s) -> str:
     """A fresh folder for a stream's state, in the shared folder that the session names."""
-    root = s.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='fieldbook-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(s).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def events(s, d):
@@ -44,6 +43,6 @@ def k02_sliding(s, d):
     return run(s, jobs.board_by_window(events(s, d), "ts", ["event_type"])).select(C("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("k03_line_moves")
+@query("k03_line_moves", "select user_id, arg_min(value, ts) as first_value, arg_max(value, ts) as last_value, arg_max(value, ts) - arg_min(value, ts) as move from events group by 1 having abs(arg_max(value, ts) - arg_min(value, ts)) >= 5")
 def k03(s, d):
     return run(s, jobs.line_moves(events(s, d), "user_id", "ts", "value", 5.0, forget="60 days"), "update")

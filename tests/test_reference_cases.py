@@ -94,3 +94,22 @@ def test_kelly_stakes_of_correlated_legs_are_smaller():
     probs = np.full(4, 0.36)
     alone, together = (mk.kelly_stakes(probs, np.full((4, 4), r) + (1 - r) * np.eye(4)).sum() for r in (0.0, 0.6))
     assert together < alone
+
+
+def test_degenerate_maps():
+    from fieldbook.plans.models import degenerate
+
+    flat, steep, pinned = [0.40, 0.42], [0.2, 0.9], [0.2, 0.99]
+    assert degenerate([0.3, 0.9], flat, 1000, 500) and not degenerate([0.3, 0.9], steep, 1000, 0)
+    assert degenerate([0.3, 0.9], steep, 300, 0)
+    assert degenerate([0.3, 0.9], pinned, 1000, 100) and not degenerate([0.3, 0.9], pinned, 1000, 300)
+
+
+def test_boost_notes(spark):
+    sharp = spark.createDataFrame([("a", 5.5, 0.5), ("b", 0.5, 0.95)], "player string, line double, over_prob double")
+    rows = [("a", 5.5, "over", 110, ""), ("a", 5.5, "up", 110, ""), ("a", 5.5, "over", 0, None), ("b", 0.5, "over", 110, ""), ("c", 1.5, "over", 110, ""), ("c", 1.5, "over", 110, "mine"), ("a", 5.5, "under", -110, "typed")]
+    boosts = spark.createDataFrame(rows, "player string, line double, side string, odds int, typed_note string")
+    got = {(r["player"], r["side"], r["odds"], r["typed_note"]): (r["note"], r["ev"]) for r in mk.boost_ev(boosts, sharp, ["player"], "line").collect()}
+    assert got["a", "over", 110, ""] == (None, pytest.approx(0.5 * 2.1 - 1))
+    assert [got[k][0] for k in (("a", "up", 110, ""), ("a", "over", 0, None), ("b", "over", 110, ""), ("c", "over", 110, ""), ("c", "over", 110, "mine"))] == ["no side", "no odds", "sharp anchor unreliable", "no sharp line", "mine"]
+    assert got["a", "under", -110, "typed"] == ("typed", pytest.approx(0.5 * (1 + 100 / 110) - 1))
