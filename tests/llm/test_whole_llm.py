@@ -5,6 +5,8 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 import corpus_pipeline  # noqa: E402
 
@@ -17,7 +19,7 @@ def words(seed: int, n: int = 80) -> str:
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", s, len(t) if t else None) for i, t, s in rows], SCHEMA)
 
 
 def texts(df):
@@ -60,3 +62,22 @@ def test_mix_beyond_the_patterns_of_the_driver(spark, monkeypatch):
     got = corpus_pipeline.mixing.mix_sources(several).collect()
     strip = lambda rows: sorted(str((r["doc_id"], r["source"], r["size"], r["source_size"], round(r["target"], 6))) for r in rows)
     assert strip(got) == strip(flow) and abs(total(got) - total(flow)) <= 0.01 * total(flow)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
+    odd = [(None, None, None), (None, "", "a"), (1, words(1), None), (1, words(1), None), (1, words(2), "a"), (None, words(3), "a"), (None, words(3), "a"), (2, words(4) + " password = hunter22secret", "b"), (3, "x " * 9000, "b"), (4, " ".join(words(i) for i in range(5, 40)), "b")]
+    docs = frame(spark, odd).withColumn("extra", F.lit("e")).withColumn("size", F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    assert set(ids) == {None, 1, 2, 4} and ids[1] >= 2  # both texts of id 1, copies once; junk, empty and null texts go
+    assert max(r["offset"] + r["length"] for r in got) <= 2048
+    spans = Counter()
+    for r in got:
+        spans[r["sequence_id"]] += r["length"]
+    assert all(spans[r["sequence_id"]] >= r["offset"] + r["length"] for r in got)
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    empty = docs.where("false").select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
