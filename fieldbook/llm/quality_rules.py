@@ -9,8 +9,7 @@ by moments, shrinks each host's rate: (failures + a) / (documents + a + b). The
 * "strict" if the rate is above `strict_above`: documents that fail a soft rule go, too;
 * "trust" otherwise: documents go by the base rules alone.
 
-The hosts' verdicts join back to the documents on a narrow table; a hot host's rows may be split, as
-the other side has one row for each host.
+The hosts' verdicts are a narrow table that goes to the documents; rows of a hot host stay where they are.
 
 Null text: no words, so the base rules fail it. A null host is a host of its own. Rows with equal
 or null ids are judged each for itself. An empty table gives no rows. Texts of any length count whole.
@@ -26,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from fieldbook.llm.common import arrow_map, saved
+from fieldbook.llm.common import arrow_map, met, saved
 from fieldbook.llm.ngram_join import M1, M2, mix
 
+#: So many hosts' verdicts (some 20 MB) go to every task; of more only the hot ones do, and other rows meet theirs by a shuffle.
+SMALL = 500_000
 SYMBOLS = "#*$%&|<>"
 SPACE = "\t\n\x0b\x0c\r "
 
@@ -110,8 +111,10 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         return measured(docs, id_col, text_col, host_col, more).withColumn("base_failed", base_failed(min_words, repeat_percent)).withColumn("soft_failed", soft_failed(symbol_percent, line_percent))
 
     marked = marks() if keep else saved(marks())
-    verdicts = hosts(marked, **limits).select(F.col("host").alias("_host"), "verdict")
-    out = (marks(*keep) if keep else marked).join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    name = F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))  # no name: the null host
+    verdicts = saved(hosts(marked, **limits).select(name.alias("_host"), "verdict", F.col("n").alias("_n")))
+    out = (marks(*keep) if keep else marked).withColumn("_host", name)
+    out = out.join(F.broadcast(verdicts), "_host") if verdicts.count() <= SMALL else met(out, verdicts, ["_host"])
     good = ~F.col("base_failed") & (F.col("verdict") != "reject") & ((F.col("verdict") == "trust") | ~F.col("soft_failed"))
     kept = [F.struct(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]).alias("row")] if keep else []
     return out.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "soft_failed", "verdict", good.alias("kept"), *kept)

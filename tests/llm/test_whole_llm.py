@@ -81,3 +81,13 @@ def test_pipeline_on_odd_and_empty_tables(spark, tmp_path):
     empty = docs.where("false").select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0, name
+
+
+def test_quality_of_more_hosts_than_go_to_every_task(spark, monkeypatch):
+    rng = random.Random(2)
+    docs = frame(spark, [(i if i % 9 else None, words(i, rng.choice([20, 80])), rng.choice([None, "a", "a", "a", f"h{i}"])) for i in range(300)])
+    rules = corpus_pipeline.quality_rules
+    got = [sorted(map(str, rules.quality_rules(docs, keep=keep).collect())) for keep in ((), ("text",))]
+    monkeypatch.setattr(rules, "SMALL", 0)
+    assert [sorted(map(str, rules.quality_rules(docs, keep=keep).collect())) for keep in ((), ("text",))] == got
+    assert len(got[0]) == len(got[1]) == 300
