@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm import mixing, ngram_join, packing, quality_rules, secret_scan, sharding, token_counts, toxicity, vp_search, warc
+from fieldbook.llm import mixing, ngram_join, packing, page_text, prefix_trie, quality_rules, secret_scan, sharding, token_counts, toxicity, vector_codes, vp_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,4 +60,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_source_mixing, op4_rendezvous_shards, op5_token_counts, op6_secret_scan, op7_toxicity_chain, op8_best_fit_packing, op9_vp_tree_search, op10_warc)}
+def op11_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_rules, op3_source_mixing, op4_rendezvous_shards, op5_token_counts, op6_secret_scan, op7_toxicity_chain, op8_best_fit_packing, op9_vp_tree_search, op10_warc, op11_host_suffix_array, op12_prefix_trie, op13_vector_codes)}

@@ -58,4 +58,75 @@ with t as (select page_id, encode(coalesce(html, '')) as b from pages), d as (se
 select page_id, payload_bytes, payload_digest, case when first is not null and first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to from f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1, "op2_quality_rules": OP2, "op6_secret_scan": OP6, "op10_warc": OP10}
+#: Pages of one template: a nav, an advert, an article of paragraphs and a footer. Repeats are counted by grams of 8 tokens.
+REFERENCES = (("&copy;?", "©"), ("&middot;?", "·"), ("&quot;?", '"'), ("&#x27;", "''"), ("&lt;?", "<"), ("&gt;?", ">"), ("&amp;?", "&"), (r"\s+", " "))
+DECODED = "trim(" + "regexp_replace(" * len(REFERENCES) + "x" + "".join(f", '{a}', '{b}', 'g')" for a, b in REFERENCES) + ")"
+
+OP11 = rf"""
+with plain as (select page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) as host, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') as html from pages),
+ cut as (select *, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as article, regexp_replace(html, '(?s)<head>.*</head>|<article>.*</article>', '<p>', 'g') as rest from plain),
+ blocks as (select page_id, url, host, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(article, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(?:p|h1)>', chr(1), 'g'), chr(1)), lambda x: {DECODED}), lambda x: x <> '') as own,
+   list_filter(list_transform(string_split(regexp_replace(rest, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda x: {DECODED}), lambda x: x <> '') as others from cut),
+ streams as (select page_id, host, flatten(list_transform(others, lambda b: list_append(string_split(b, ' '), chr(10)))) as w, array_to_string(others, chr(10)) as stream from blocks),
+ once as (select host, stream, any_value(w)[:-2] as w from streams where len(w) > 0 group by host, stream),
+ places as (select host, stream, w, unnest(range(1, len(w) - 6)) as i from once),
+ grams as (select host, stream, i, w[i:i + 7] as g from places),
+ several as (select host, g from grams group by host, g having count(distinct stream) > 1),
+ covered as (select distinct host, stream, unnest(range(i, i + 8)) as i from grams semi join several using (host, g)),
+ counts as (select c.host, c.stream, count(*) as n from covered c join once o on c.host = o.host and c.stream = o.stream where o.w[c.i] <> chr(10) group by c.host, c.stream)
+select b.page_id, b.url, array_to_string(own, chr(10) || chr(10)) as text, cast(length(array_to_string(own, chr(10) || chr(10))) as bigint) as n_chars, coalesce(n, 0) as repeated_words
+from blocks b join streams s using (page_id) left join counts on counts.host = s.host and counts.stream = s.stream
+"""
+
+#: CRC-32 of the decimal digits of conv_id, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ord(x) as ubigint))), lambda a, b:
+   list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda x: cast(x as ubigint))), lambda p, q: case when p % 2 = 1 then xor(p // 2, 3988292384::ubigint) else p // 2 end)), 4294967295::ubigint)"""
+
+OP12 = f"""
+with t as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+ own as (select conv_id, list({{'r': r, 'x': x}} order by turn nulls first, md5(length(r) || ':' || r || x)) as turns from t group by conv_id),
+ heads as (select *, cast({CRC} % 6 as bigint) as h from own),
+ rebuilt as (select o.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, h), list_slice(o.turns, h + 1, len(o.turns))) as turns from heads o left join own b on b.conv_id = o.conv_id - o.conv_id % 100),
+ prefixes as (select conv_id, unnest(range(len(turns) + 1)) as d, turns from rebuilt),
+ nodes as (select list_slice(turns, 1, d) as k, d, min(conv_id) as conv_id, count(*) as n from prefixes group by all),
+ ends as (select turns, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as s from rebuilt group by turns),
+ kids as (select list_slice(k, 1, d - 1) as k, d - 1 as d, count(*) as n from nodes where d > 0 group by all),
+ filled as (select n.*, coalesce(c.n, 0) as n_children, case when n.d = 0 then 0 else (n.n - 1) * length(n.k[n.d].x) end as v from nodes n left join kids c on c.k = n.k and c.d = n.d),
+ below as (select a.k, a.d, count(*) filter (b.n_children = 0) as n_leaves, sum(b.v) as saved from filled a join filled b on b.d >= a.d and list_slice(b.k, 1, a.d) = a.k group by all)
+select f.conv_id, cast(f.d as int) as depth, p.conv_id as parent_conv_id, f.n as n_convs, f.n_children, b.n_leaves, cast(b.saved as bigint) as saved_tokens, coalesce(e.s, sha256('')) as ends_sha256
+from filled f join below b on b.k = f.k and b.d = f.d left join nodes p on p.d = f.d - 1 and p.k = list_slice(f.k, 1, f.d - 1) left join ends e on e.turns = f.k
+"""
+
+
+def rounds(n: int) -> str:
+    """Each round's assignments a<i> and the codebook that follows from them, b<i + 1>."""
+    far = "cast(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) as bigint)"
+    out = []
+    for i in range(n + 1):
+        out.append(f" a{i} as materialized (select x.id, x.p, any_value(x.v) as v, min({far} * 256 + b.e) % 256 as e, min({far}) as error from parts x join b{i} b on b.p = x.p group by x.id, x.p)")
+        if i < n:
+            out.append(f" m{i} as (select p, e, k, cast(floor(cast(sum(c) as double) / count(*)) as bigint) as c from (select p, e, unnest(v) as c, unnest(range(len(v))) as k from a{i}) group by p, e, k)")
+            out.append(f" b{i + 1} as materialized (select b.p, b.e, coalesce(m.v, b.v) as v from b{i} b left join (select p, e, list(c order by k) as v from m{i} group by p, e) m on m.p = b.p and m.e = b.e)")
+    return ",\n".join(out)
+
+
+OP13 = f"""
+with kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ numbered as (select *, row_number() over (order by vec_id nulls last, v) as id from kept),
+ parts as materialized (select id, p, v[p * (len(v) // 4) + 1 : (p + 1) * (len(v) // 4)] as v from numbered, (select unnest(range(4)) as p)),
+ b0 as materialized (select p, id - 1 as e, v from parts where id <= 256),
+{rounds(4)},
+ books as (select sha256(string_agg(cast(c as varchar), ',' order by p, e, k)) as s from (select p, e, unnest(v) as c, unnest(range(len(v))) as k from b4)),
+ codes as (select id, string_agg(printf('%02x', cast(e as int)), '' order by p) as code, cast(sum(error) as bigint) as error from a4 group by id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, s as codebooks_sha256 from codes join numbered using (id), books
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1,
+    "op2_quality_rules": OP2,
+    "op6_secret_scan": OP6,
+    "op10_warc": OP10,
+    "op11_host_suffix_array": OP11,
+    "op12_prefix_trie": OP12,
+    "op13_vector_codes": OP13,
+}
