@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldbook.functions.scalars import wilson
+from fieldbook.operators.quantiles import quantiles
+from fieldbook.session import saved
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left rows with the other columns of the right row of their keys, null keys among them; null columns without one."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(right.withColumnsRenamed({k: f"_k_{k}" for k in keys}), on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def share_of_total(df: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
@@ -98,8 +108,9 @@ def consensus(quotes: DataFrame, keys: Sequence[str], prob: str) -> DataFrame:
 def overdispersion(df: DataFrame, entity: str, stat: str, keys: Sequence[str] = (), least: int = 20) -> DataFrame:
     """Quartiles over entities of variance / mean within the entity."""
     own = df.groupBy(*keys, entity).agg(F.count("*").alias("n"), (F.var_samp(stat) / F.avg(stat)).alias("vmr")).where((F.col("n") >= least) & F.col("vmr").isNotNull())
-    q = F.percentile("vmr", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return own.groupBy(*keys).agg(F.count("*").alias("entities"), q.alias("_q")).select(*keys, "entities", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    own = saved(own.select(*keys, "vmr"))
+    out = matched(own.groupBy(*keys).agg(F.count("*").alias("entities")), quantiles(own, keys, "vmr", (0.25, 0.5, 0.75), "_q"), keys)
+    return out.select(*keys, "entities", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
 
 
 def residual_dispersion(df: DataFrame, keys: Sequence[str], actual: str, mean: str) -> DataFrame:
@@ -107,11 +118,12 @@ def residual_dispersion(df: DataFrame, keys: Sequence[str], actual: str, mean: s
 
 
 def interval_anchors(df: DataFrame, keys: Sequence[str], mean: str, actual: str, bins: int = 8) -> DataFrame:
-    """Empirical quartiles of the actual value in equal-count bins of the predicted mean; edges are percentiles, so no row is ranked globally."""
-    qs = [i / bins for i in range(1, bins)]
-    edges = df.groupBy(*keys).agg(F.percentile(mean, F.array(*map(F.lit, qs))).alias("_e"))
-    rows = df.join(edges, list(keys)).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(mean))))
-    return rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(mean).alias("anchor"), F.percentile(actual, 0.25).alias("low"), F.percentile(actual, 0.75).alias("high"))
+    """Empirical quartiles of the actual value in equal-count bins of the predicted mean; edges are quantiles, so no row is ranked globally."""
+    df = saved(df.select(*keys, mean, actual))
+    edges = quantiles(df, keys, mean, [i / bins for i in range(1, bins)], "_e")
+    rows = saved(matched(df, edges, keys).withColumn("bin", F.size(F.filter("_e", lambda e: e < F.col(mean)))).drop("_e"))
+    out = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.avg(mean).alias("anchor"))
+    return matched(out, quantiles(rows, [*keys, "bin"], actual, (0.25, 0.75), "_q"), [*keys, "bin"]).withColumns({"low": F.col("_q")[0], "high": F.col("_q")[1]}).drop("_q")
 
 
 def nearest_anchor(df: DataFrame, anchors: DataFrame, keys: Sequence[str], row_id: str, mean: str) -> DataFrame:
@@ -151,10 +163,11 @@ def coverage_drift(df: DataFrame, features: Sequence[str], date: str, split: Col
 
 
 def feature_value(df: DataFrame, features: Sequence[str], actual: str, predicted: str) -> DataFrame:
-    """Correlation of each feature with the actual value and with the residual, its coverage, and mean actuals of its outer thirds (by percentiles)."""
+    """Correlation of each feature with the actual value and with the residual, its coverage, and mean actuals of its outer thirds (by exact quantiles)."""
     long = df.select(F.col(actual).alias("_a"), (F.col(actual) - F.col(predicted)).alias("_r"), F.explode(F.map_from_arrays(F.array(*map(F.lit, features)), F.array(*[F.col(f).cast("double") for f in features]))).alias("feature", "_v"))
-    cut = long.groupBy("feature").agg(F.percentile("_v", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_c"))
-    rows = long.join(F.broadcast(cut), "feature")
+    long = saved(long)
+    cut = quantiles(long, ["feature"], "_v", (1 / 3, 2 / 3), "_c")
+    rows = long.join(F.broadcast(cut), "feature", "left")  # a row for each feature
     return rows.groupBy("feature").agg(F.corr("_v", "_a").alias("corr_actual"), F.corr("_v", "_r").alias("corr_residual"), F.avg((F.coalesce(F.col("_v"), F.lit(0.0)) != 0).cast("double")).alias("covered"), F.avg(F.when(F.col("_v") <= F.col("_c")[0], F.col("_a"))).alias("low_third"), F.avg(F.when(F.col("_v") > F.col("_c")[1], F.col("_a"))).alias("high_third"))
 
 

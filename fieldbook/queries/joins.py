@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import is_out, name_key
-from fieldbook.operators import joins as j
+from fieldbook.operators import identity, joins as j
+from fieldbook.operators.blocks import as_of_blocked
 from fieldbook.plans import features, ledger as lg, market, models
 from fieldbook.queries.base import DENSE, LEDGER, SNAPSHOTS, TEAM, dense_rows, ledger, query, rounded, snapshots, table, team_rows
 from fieldbook.queries.windows import prior
-from fieldbook.sources import tables
+from fieldbook.session import fresh_folder
+from fieldbook.sources import store, tables
 
 C = F.col
 
@@ -24,6 +26,17 @@ def d03(s, d):
     return j.as_of(starts.select("line_id", "player_id", "snapshot_at"), views, ["player_id"], "snapshot_at", "snapshot_at", ["close_line"]).select("line_id", "close_line", "as_of_snapshot_at")
 
 
+#: Snapshots in which one player holds the lines of four in ten.
+HOT = f"select line_id, case when line_id % 10 < 4 then 0 else player_id end as player_id, snapshot_at, line_value, event_type from ({SNAPSHOTS})"
+
+
+@query("d03_as_of_hot_player", f"with v as (select * from ({HOT}) where event_type = 'view'), p as (select * from ({HOT}) where event_type = 'purchase') select p.line_id, v.line_value as close_line, v.snapshot_at as as_of_snapshot_at from p asof left join v on p.player_id = v.player_id and p.snapshot_at >= v.snapshot_at")
+def d03_hot(s, d):
+    rows = snapshots(s, d).withColumn("player_id", F.when(C("line_id") % 10 < 4, 0).otherwise(C("player_id")))
+    views, starts = rows.where("event_type = 'view'").withColumnRenamed("line_value", "close_line"), rows.where("event_type = 'purchase'")
+    return as_of_blocked(starts.select("line_id", "player_id", "snapshot_at"), views, ["player_id"], "snapshot_at", "snapshot_at", ["close_line"]).select("line_id", "close_line", "as_of_snapshot_at")
+
+
 @query("d04_line_movement", f"with t as (select *, max(snapshot_at) over () as now from ({SNAPSHOTS})) select player_id, min_by(line_value, snapshot_at) as line_open, max_by(line_value, snapshot_at) as line_now, round(max_by(line_value, snapshot_at) - min_by(line_value, snapshot_at), 6) as movement from t where snapshot_at > now - interval 24 hours group by 1")
 def d04(s, d):
     rows = snapshots(s, d)
@@ -81,6 +94,46 @@ def d09(s, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("to_id", "l_suppkey").alias("real_id"))
 
 
+#: Records: customers under the ids and names of suppliers, which are the players; some only alike, some new.
+RECORDS = "select c_custkey as row_id, 'x' || c_nationkey % 2 as sport, case c_custkey % 9 when 0 then 'pp_' || c_custkey % 100 when 8 then null else 'c' || c_custkey // 9 end as external_id, case c_custkey % 9 when 1 then 'supplier ' || lpad(cast(c_custkey % 100 as varchar), 9, '0') when 2 then 'supplier ' || lpad(cast(c_custkey % 100 as varchar), 9, '0') || ' x' when 3 then 'z ' || lpad(cast(c_custkey % 100 as varchar), 9, '0') when 8 then case when c_custkey % 2 = 0 then 'nobody ' || c_custkey % 4 end else 'customer ' || c_custkey // 9 end as name from customer"
+PLAYERS = "select s_suppkey as player_id, 'x' || s_nationkey % 2 as sport, case when s_suppkey % 3 = 0 then 'pp_' else 's' end || s_suppkey as external_id, lower(replace(s_name, '#', ' ')) as name from supplier"
+GRAMS = "select distinct name, substr('  ' || name || ' ', i, 3) as g from (select name, unnest(range(1, length(name) + 2)) as i from {})"
+
+
+@query("d06_five_stages", f"""
+with r as ({RECORDS}), p as ({PLAYERS}), s1 as (select row_id, min(player_id) as id from r join p on p.sport = r.sport and p.external_id = r.external_id group by 1), r2 as (select * from r anti join s1 using (row_id)),
+ s2 as (select row_id, min(player_id) as id from r2 join p on p.sport = r2.sport and p.name = r2.name group by 1), r3 as (select * from r2 anti join s2 using (row_id)), n3 as (select distinct name from r3 where name is not null),
+ g1 as ({GRAMS.format('n3')}), g2 as ({GRAMS.format('(select distinct name from p)')}), k1 as (select name, count(*) as n from g1 group by 1), k2 as (select name, count(*) as n from g2 group by 1), both_ as (select g1.name as x, g2.name as y, count(*) as k from g1 join g2 using (g) group by 1, 2),
+ sim as (select x, y, k / cast(k1.n + k2.n - k as double) as s from both_ join k1 on k1.name = x join k2 on k2.name = y where k / cast(k1.n + k2.n - k as double) > 0.8),
+ s3 as (select row_id, arg_min(player_id, (-s, player_id)) as id from r3 join sim on x = r3.name join p on p.sport = r3.sport and p.name = y group by 1), r4 as (select * from r3 anti join s3 using (row_id)),
+ alone as (select sport, string_split(name, ' ')[-1] as last, min(player_id) as id from p where external_id not like 'pp%' group by 1, 2 having count(*) = 1), s4 as (select row_id, id from r4 join alone on alone.sport = r4.sport and last = string_split(name, ' ')[-1]), r5 as (select * from r4 anti join s4 using (row_id)),
+ e5 as (select row_id, r5.sport || '|' || coalesce(external_id, 'name ' || name) as e from r5), n5 as (select e, (select max(player_id) from p) + row_number() over (order by substr(md5(e), 1, 3), e) as id from (select distinct e from e5 where e is not null))
+select row_id, 'external' as stage, id as player_id from s1 union all select row_id, 'name', id from s2 union all select row_id, 'similar', id from s3 union all select row_id, 'last_name', id from s4 union all select row_id, case when id is not null then 'new' end, id from e5 left join n5 using (e)""")
+def d06_stages(s, d):
+    c, sup = table(s, d, "customer"), table(s, d, "supplier")
+    k, padded = C("c_custkey") % 9, F.lpad((C("c_custkey") % 100).cast("string"), 9, "0")
+    external = F.when(k == 0, F.concat(F.lit("pp_"), C("c_custkey") % 100)).when(k != 8, F.concat(F.lit("c"), F.floor(C("c_custkey") / 9)))
+    name = F.when(k == 1, F.concat(F.lit("Supplier#"), padded)).when(k == 2, F.concat(F.lit("Supplier#"), padded, F.lit(" X"))).when(k == 3, F.concat(F.lit("Z. "), padded)).when(k == 8, F.when(C("c_custkey") % 2 == 0, F.concat(F.lit("Nobody "), C("c_custkey") % 4))).otherwise(F.concat(F.lit("Customer "), F.floor(C("c_custkey") / 9)))
+    records = c.select(C("c_custkey").alias("row_id"), F.concat(F.lit("x"), C("c_nationkey") % 2).alias("sport"), external.alias("external_id"), name.alias("name"))
+    players = sup.select(C("s_suppkey").alias("player_id"), F.concat(F.lit("x"), C("s_nationkey") % 2).alias("sport"), F.concat(F.when(C("s_suppkey") % 3 == 0, "pp_").otherwise("s"), C("s_suppkey")).alias("external_id"), C("s_name").alias("name"))
+    return identity.resolve(records, players).select("row_id", "stage", "player_id")
+
+
+#: Suppliers in fours: the first is real, the second a placeholder of its name, the third was moved to the second, the fourth to the third.
+REAL = "case when {0} % 4 = 0 or {0} > (select max(s_suppkey) from supplier) then {0} else {0} - {0} % 4 end"
+
+
+@query("d09_merged_placeholders", f"select 'lines' as child, (l_orderkey * 10 + l_linenumber) * 10000 + l_suppkey as row_id, {REAL.format('l_suppkey')} as player_id from lineitem union all select 'customers', c_custkey, {REAL.format('c_custkey')} from customer union all select 'parts', p_partkey, {REAL.format('p_partkey')} from part")
+def d09_merged(s, d):
+    sup = table(s, d, "supplier").select(C("s_suppkey").alias("player_id"), F.lit("x").alias("sport"), F.concat(F.when(C("s_suppkey") % 4 == 0, "s").otherwise("pp_"), C("s_suppkey")).alias("external_id"), F.concat(F.lit("n"), F.when(C("s_suppkey") % 4 > 1, -C("s_suppkey")).otherwise(F.floor(C("s_suppkey") / 4))).alias("name"))
+    moved = sup.where("player_id % 4 > 1").select(C("player_id").alias("from_id"), (C("player_id") - 1).alias("to_id"))
+    mapping = identity.closed(identity.placeholder_merges(sup).unionByName(moved))
+    lines = table(s, d, "lineitem").select(((C("l_orderkey") * 10 + C("l_linenumber")) * 10000 + C("l_suppkey")).alias("row_id"), C("l_suppkey").alias("player_id"))
+    children = {"lines": (lines, "player_id")} | {n: (table(s, d, t).select(C(k).alias("row_id"), C(k).alias("player_id")), "player_id") for n, t, k in (("customers", "customer", "c_custkey"), ("parts", "part", "p_partkey"))}
+    out = [rows.select(F.lit(n).alias("child"), "row_id", "player_id") for n, rows in identity.repointed(children, mapping).items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query("d10_changed_rows", "select c_custkey, c_nationkey as nation, n as old_nation from (select c_custkey, c_nationkey, case when c_custkey % 5 = 0 then null when c_custkey % 5 = 1 then c_nationkey + 1 else c_nationkey end as n from customer) where n is distinct from c_nationkey".replace("c_nationkey as nation, n as old_nation", "cast(c_nationkey as bigint) as nation, cast(n as bigint) as old_nation"))
 def d10(s, d):
     c = table(s, d, "customer").select("c_custkey", C("c_nationkey").cast("bigint").alias("nation"))
@@ -209,6 +262,21 @@ def a06(s, d):
     return tables.upsert(old, new, ["o_orderkey"], "v").drop("v")
 
 
+#: Orders by month, with new prices in every fourth order of two months, and a new month.
+MONTHS = "strftime(o_orderdate, '%Y-%m')"
+
+
+@query("a06_upsert_partitions", f"with o as (select o_orderkey, {MONTHS} as month, o_totalprice, o_orderstatus from orders), n as (select max(month) as last from o) select o_orderkey, month, case when month in ('1996-03', last) and (month = last or o_orderkey % 4 = 0) then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderstatus from o, n")
+def a06_partitions(s, d):
+    path, keys = fresh_folder(s, "orders"), ["month", "o_orderkey"]
+    o = table(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_totalprice", "o_orderstatus")
+    last = F.broadcast(o.agg(F.max("month").alias("last")))
+    store.upsert_partitions(o.join(last).where("month < last").drop("last").withColumn("v", F.lit(0)), path, keys, "v", ["month"])
+    new = o.join(last).where("month = last or (month = '1996-03' and o_orderkey % 4 = 0)").drop("last").withColumns({"o_totalprice": C("o_totalprice") + 1, "v": F.lit(1)})
+    store.upsert_partitions(new, path, keys, "v", ["month"])
+    return s.read.schema(new.schema).parquet(path).select("o_orderkey", "month", "o_totalprice", "o_orderstatus")
+
+
 @query("a06_upsert_columns", "with n as (select o_orderkey, o_totalprice + 1 as p, 'X' as st from orders where o_orderkey % 4 = 0), o as (select o_orderkey, o_totalprice as p, o_orderstatus as st from orders where o_orderkey % 8 <> 0) select coalesce(o.o_orderkey, n.o_orderkey) as o_orderkey, coalesce(n.p, o.p) as o_totalprice, coalesce(o.st, n.st) as o_orderstatus from o full join n on o.o_orderkey = n.o_orderkey")
 def a06_columns(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").withColumn("v", F.lit(0))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldbook.operators import windows as w
+from fieldbook.operators.blocks import prior_means_blocked
 from fieldbook.operators.joins import attach_opponent, both_sides
 from fieldbook.plans import features
 from fieldbook.queries.base import DENSE, LEDGER, PLAYER, TEAM, dense_rows, ledger, player_rows, query, rounded, table, team_rows
@@ -26,6 +27,13 @@ def c01_dense(s, d):
     return rounded(w.prior_means(dense_rows(s, d), ["team_id"], ORDER, stats, (3, 5, 8)).select("player_game_id", *[f"last_{n}_avg_{x}" for n in (3, 5, 8) for x in stats]))
 
 
+@query("c01_means_of_hot_entity", f"with t as (select player_game_id, game_date, points, assists, case when player_game_id % 10 < 4 then 0 else team_id end as team_id from ({DENSE})) select player_game_id, {', '.join(f'round(coalesce({prior(f"avg({x})", n, "team_id")}, 0), 6) as last_{n}_avg_{x}' for n in (5, 20) for x in ('points', 'assists'))} from t")
+def c01_hot(s, d):
+    rows = dense_rows(s, d).withColumn("team_id", F.when(C("player_game_id") % 10 < 4, 0).otherwise(C("team_id")))
+    out = prior_means_blocked(rows.select("player_game_id", "team_id", "game_date", "points", "assists"), ["team_id"], ORDER, ["points", "assists"], (5, 20))
+    return rounded(out.select("player_game_id", *[f"last_{n}_avg_{x}" for n in (5, 20) for x in ("points", "assists")]))
+
+
 @query("c02_season_means", f"select player_game_id, round(coalesce({prior('avg(points)', None, 'player_id, season')}, 0), 6) as season_avg_points from ({PLAYER})")
 def c02(s, d):
     return rounded(w.season_means(player_rows(s, d), ["player_id"], "season", ORDER, ["points"]).select("player_game_id", "season_avg_points"))

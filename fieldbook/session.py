@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows, computed once into the shared folder; what built them is not needed again. Spark deletes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)

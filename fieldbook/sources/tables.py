@@ -65,8 +65,8 @@ def unprocessed(games: DataFrame, box: DataFrame, key: str, when: Column) -> Dat
 
 
 def write_slice(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
-    """Replaces the partitions that df has rows of, and no others."""
-    df.repartition(*partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+    """Replaces the partitions that df has rows of, and no others. Large partitions are written by several tasks."""
+    df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
