@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import clv_points
 from fieldbook.operators import windows as w
+from fieldbook.plans import board
 from fieldbook.plans import ledger as lg
 from fieldbook.queries.base import DENSE, LEDGER, SNAPSHOTS, dense_rows, ledger, query, r6, rounded, snapshots, table
-from fieldbook.queries.scalars import wilson_sql
+from fieldbook.queries.scalars import poisson_over_sql, wilson_sql
+from fieldbook.session import fresh_folder
 
 C = F.col
 
@@ -113,15 +115,34 @@ def g12(s, d):
     return rounded(lg.platt_cells(ledger(s, d), list(lg.KEYS)))
 
 
-@query("g13_score_board", f"with m as (select player_id, stat_type, avg(quantity) / 5 as mean from ({LEDGER}) group by 1, 2), t as (select pick_id, l.stat_type, line_id % 8 + 0.5 as line, mean from ({LEDGER}) l join m on m.player_id = l.player_id and m.stat_type = l.stat_type), u as (select *, 1 - (select sum(exp(-mean + i * ln(mean) - lgamma(i + 1))) from generate_series(0, cast(floor(line) as bigint)) g(i)) as p from t where not (stat_type = 'F' and line < 1.5)) select pick_id, round(p, 6) as p_over, case when p >= 0.5 then 'over' else 'under' end as side, round(greatest(p, 1 - p) - 0.5, 6) as edge from u")
-def g13(s, d):
-    from fieldbook.functions.counts import poisson_over
+#: Points of a calibrator; the SQL maps p the same way.
+CALIBRATOR = ((0.2, 0.31270413), (0.5, 0.5213), (0.8, 0.72910727))
+
+
+def calibrated_sql(p: str) -> str:
+    (a, x), (b, y), (c, z) = CALIBRATOR
+    return f"case when {p} < {a} then {x} when {p} >= {c} then {z} when {p} < {b} then {x} + ({p} - {a}) * ({y} - {x}) / ({b} - {a}) else {y} + ({p} - {b}) * ({z} - {y}) / ({c} - {b}) end"
+
+
+def calibrators(s, stat):
+    xs, ys = (list(v) for v in zip(*CALIBRATOR, strict=True))
+    return s.createDataFrame([(stat, xs, ys)], "stat_type string, xs array<double>, ys array<double>")
+
 
+def price_sql(line: str, mean: str, binary: str) -> str:
+    return f"case when not {binary} then {poisson_over_sql(line, mean)} when {line} < 1 then {mean} else {poisson_over_sql(line, f'(-ln(1 - {mean} + 1e-9))')} end"
+
+
+@query("g13_score_board", f"""with m as (select player_id, stat_type, case when stat_type = 'F' then avg(quantity) / 5 else least(avg(quantity) / 51.3, 0.95) end as mean from ({LEDGER}) group by 1, 2),
+ t as (select pick_id, l.stat_type, line_id % 8 + 0.5::double as line, mean from ({LEDGER}) l join m on m.player_id = l.player_id and m.stat_type = l.stat_type), k as (select distinct stat_type, line, mean from t where not (stat_type = 'F' and line < 1.5)),
+ p as (select *, {price_sql('line', 'mean', "(stat_type = 'O')")} as raw from k), u as (select stat_type, line, mean, cast(case when stat_type = 'F' then {calibrated_sql('raw')} else raw end as double) as p from p)
+select pick_id, round(p, 6) as p_over, case when p > 0.5 then 'over' else 'under' end as direction, round(greatest(p, 1 - p), 6) as model_prob, round(greatest(p, 1 - p) - 0.5, 6) as edge from t join u using (stat_type, line, mean)""")
+def g13(s, d):
     rows = ledger(s, d)
-    m = rows.groupBy("player_id", "stat_type").agg((F.avg("quantity") / 5).alias("mean"))
-    t = rows.withColumn("line", C("line_id") % 8 + 0.5).join(m, ["player_id", "stat_type"]).where(~((C("stat_type") == "F") & (C("line") < 1.5)))
-    t = t.withColumn("p_over", poisson_over(C("line"), C("mean")))
-    return rounded(t.select("pick_id", "p_over", F.when(C("p_over") >= 0.5, "over").otherwise("under").alias("side"), (F.greatest(C("p_over"), 1 - C("p_over")) - 0.5).alias("edge")))
+    mean = F.avg("quantity")
+    m = rows.groupBy("player_id", "stat_type").agg(F.when(C("stat_type") == "F", mean / 5).otherwise(F.least(mean / 51.3, F.lit(0.95))).alias("mean"))
+    t = rows.select("pick_id", "player_id", "stat_type", (C("line_id") % 8 + 0.5).alias("line_value"), (C("stat_type") == "O").alias("is_binary")).join(m, ["player_id", "stat_type"])
+    return rounded(board.prices(t, calibrators(s, "F"), {"F": 1.5}).select("pick_id", "p_over", "direction", "model_prob", "edge"))
 
 
 @query("g14_combo_means", f"with m as (select player_id, sport, avg(quantity) as mean from ({LEDGER}) group by 1, 2), c as (select * from (values ('AN', 'A', 2), ('AN', 'N', 2), ('ANR', 'A', 3), ('ANR', 'N', 3), ('ANR', 'R', 3)) v(combo, part, need)) select player_id, combo, round(sum(mean), 6) as combo_mean from m join c on part = sport group by 1, 2, need having count(*) = need")
@@ -170,11 +191,45 @@ def g18(s, d):
     return out.select("pick_id", "final_prob", "edge", "stake")
 
 
-@query("g19_score_universe", f"with u as (select player_id, stat_type, quantity as line, max(decided) as day, max_by(model_prob, (decided, pick_id)) as p, max_by(payout, (decided, pick_id)) as payout from ({LEDGER}) group by 1, 2, 3) select player_id, stat_type, line, day, round(p, 6) as p, round(p * payout - 1, 6) as ev from u")
+#: The board: suppliers' lines by return flag are the history of three stats, R being binary; the picks' lines are on offer, some of them on A + N.
+OFFER = f"select player_id, case when line_id % 5 = 0 then 'AN' else sport end as stat_type, line_id % 8 + 0.5::double as line_value, decided, market_prob from ({LEDGER})"
+BOARD = f"""h as (select team_id as player_id, position as stat_type, game_date, player_game_id, points from ({DENSE})), g as (select player_id, max(game_date) + cast(1 + player_id % 3 as int) as game_date from h group by 1),
+ r as (select h.*, g.game_date as ahead, row_number() over (partition by player_id, stat_type order by h.game_date desc, player_game_id desc) as k from h join g using (player_id)),
+ f as (select player_id, stat_type, ahead as game_date, avg(points) filter (k <= 5) as last5, coalesce(avg(points) filter (year(r.game_date) = year(ahead)), 0) as season from r group by 1, 2, 3),
+ m as (select player_id, stat_type, game_date, case when stat_type = 'R' then least(last5 / 61.7, 0.95) else (0.6 * last5 + 0.4 * season) / 5 end as mean from f),
+ m2 as (select * from m union all select player_id, 'AN', game_date, sum(mean) from m where stat_type in ('A', 'N') group by 1, 3 having count(*) = 2),
+ o as ({OFFER}), fresh as (select distinct player_id, stat_type, line_value from (select *, max(decided) over (partition by stat_type) as newest from o) where decided >= newest - 30),
+ raw as (select player_id, stat_type, line_value, game_date, {price_sql('line_value', 'mean', "(stat_type = 'R')")} as p from m2 join fresh using (player_id, stat_type) where not (stat_type = 'N' and line_value < 1.5)),
+ cal as (select player_id, stat_type, line_value, game_date, cast(case when stat_type = 'A' then {calibrated_sql('p')} else p end as double) as p from raw), sided as (select *, case when p > 0.5 then 'over' else 'under' end as direction, case when p > 0.5 then p else 1 - p end as q from cal),
+ mk as (select player_id, stat_type, line_value, avg(market_prob) as mp from o group by 1, 2, 3), one as (select min(game_date) as changed from g),
+ fin as (select player_id, stat_type, line_value, game_date, direction, case stat_type || direction when 'Aover' then 1 / (1 + exp(-(0.9 * ln(q / (1 - q)) + 0.05))) when 'Nunder' then 1 / (1 + exp(-(0.8 * ln(q / (1 - q)) - 0.1))) else q end as q, mp + case when game_date = changed then 0.0413 else 0 end as mp from sided join mk using (player_id, stat_type, line_value), one),
+ done as (select *, round(0.7 * q + 0.3 * case when direction = 'over' then mp else 1 - mp end, 4) as model_prob from fin)"""
+
+
+@query("g19_score_universe", f"with {BOARD} select player_id as game_id, player_id, stat_type, line_value, game_date, direction, model_prob, round(model_prob - 0.5, 4) as edge, round(greatest(0, (3 / (1 + exp(-(0.95 * ln(model_prob / (1 - model_prob)) - 0.02))) - 1) / 4), 4) as ev from done")
 def g19(s, d):
-    t = ledger(s, d).select("player_id", "stat_type", C("quantity").alias("line"), "decided", "pick_id", "model_prob", "payout")
-    t = w.latest_per_key(t, ["player_id", "stat_type", "line"], ["decided", "pick_id"])
-    return rounded(t.select("player_id", "stat_type", "line", C("decided").alias("day"), C("model_prob").alias("p"), (C("model_prob") * C("payout") - 1).alias("ev")))
+    rows = dense_rows(s, d)
+    history = rows.select(C("team_id").alias("player_id"), C("position").alias("stat_type"), C("player_game_id").alias("row_id"), "game_date", "season", C("points").alias("value"))
+    last = rows.groupBy(C("team_id").alias("player_id")).agg(F.max("game_date").alias("last"))
+    games = last.select("player_id", C("player_id").alias("game_id"), F.date_add("last", (1 + C("player_id") % 3).cast("int")).alias("game_date"), F.lit("x").alias("sport"))
+    ahead = history.select("player_id", "stat_type").distinct().join(games, "player_id").withColumn("season", F.year("game_date").cast("string"))
+    o = ledger(s, d).select("player_id", F.when(C("line_id") % 5 == 0, "AN").otherwise(C("sport")).alias("stat_type"), (C("line_id") % 8 + 0.5).alias("line_value"), C("decided").cast("timestamp").alias("snapshot_at"), "market_prob")
+    market = o.groupBy("player_id", "stat_type", "line_value").agg(F.avg("market_prob").alias("over_prob"))
+    last5, season = C("last_5_avg_value"), C("season_avg_value")
+    models = board.Models(
+        mean=F.when(C("stat_type") == "R", F.least(last5 / 61.7, F.lit(0.95))).otherwise((0.6 * last5 + 0.4 * season) / 5), binary=("R",), combos={"AN": ("A", "N")}, calibrators=calibrators(s, "A"),
+        cells=s.createDataFrame([("x", "A", "over", 0.9, 0.05, True), ("x", "N", "under", 0.8, -0.1, True)], "sport string, stat_type string, direction string, slope double, intercept double, fitted boolean"),
+        weights=s.createDataFrame([("x", 0.7)], "sport string, weight double"), display=(0.95, -0.02), least_line={"N": 1.5},
+    )
+    path = fresh_folder(s, "board")
+    board.update_board(board.board(history, ahead, o, market, models, 30 * 24), path, F.lit(1))
+    # the market moves for the games of one day: the second run scores these and replaces that day's files alone
+    day = F.broadcast(games.agg(F.min("game_date").alias("game_date")))
+    some = ahead.join(day, "game_date")
+    moved = market.join(games.join(day, "game_date").select("player_id"), "player_id").withColumn("over_prob", C("over_prob") + 0.0413)
+    scored = board.board(history.join(some.select("player_id").distinct(), "player_id"), some, o, moved, models, 30 * 24)
+    board.update_board(scored, path, F.lit(2))
+    return s.read.parquet(path).select("game_id", "player_id", "stat_type", "line_value", "game_date", "direction", "model_prob", "edge", "ev")
 
 
 @query("g20_closing_line_value", f"with v as (select * from ({SNAPSHOTS}) where event_type = 'view'), p as (select * from ({SNAPSHOTS}) where event_type = 'purchase') select p.line_id, round(case when p.line_id % 2 = 0 then v.line_value - p.line_value else p.line_value - v.line_value end, 6) as clv, abs(v.line_value - p.line_value) >= 8 as steam from p asof join v on p.player_id = v.player_id and p.snapshot_at >= v.snapshot_at")
