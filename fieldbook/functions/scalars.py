@@ -59,10 +59,6 @@ def possessions(fga: Column, fta: Column, turnovers: Column, offensive_rebounds:
     return fga + 0.4 * fta + turnovers - offensive_rebounds
 
 
-def effective_shooting(made: Column, threes: Column, attempts: Column, most: float = 1.5) -> Column:
-    return clip(ratio(made + 0.5 * threes, attempts), 0.0, most)
-
-
 # --- odds and probabilities ------------------------------------------------------------------------
 
 

@@ -167,12 +167,6 @@ def losing_streak(df: DataFrame, partition: Sequence[str], order: Sequence[str],
     return rows.groupBy(*partition).agg(F.count_if(F.col("_last").isNull() | (F.col("_place") > F.col("_last"))).alias("losing_streak"))
 
 
-def cumulative_rate(daily: DataFrame, partition: Sequence[str], day: str, wins: str, n: str, days: int) -> DataFrame:
-    """Win rate over the trailing `days` days at each day, from rows of one day each."""
-    w = W.partitionBy(*partition).orderBy(F.unix_date(F.col(day).cast("date"))).rangeBetween(-(days - 1), 0)
-    return daily.withColumn("trail_n", F.sum(n).over(w)).withColumn("trail_rate", F.sum(wins).over(w) / F.col("trail_n"))
-
-
 def upcoming(df: DataFrame, upcoming_rows: DataFrame, mark: str = "is_upcoming") -> DataFrame:
     """History and upcoming rows in one frame: the windows that made the training rows make the live vector."""
     return df.withColumn(mark, F.lit(False)).unionByName(upcoming_rows.withColumn(mark, F.lit(True)), allowMissingColumns=True)

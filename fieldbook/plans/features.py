@@ -138,11 +138,6 @@ def lineup_rates(team_games: DataFrame, sizes: Sequence[int] = (10, 20)) -> Data
     return out.withColumns({f"{name}_{n}": F.coalesce(F.sum(c).over(win.before(w, n)) / F.least(F.row_number().over(w), F.lit(n)), F.lit(0.0)) for n in sizes for name, c in (("avg_runs", "runs"), ("avg_tb", "total_bases"))})
 
 
-def opponent_quality(rows: DataFrame, quality: str, size: int = 10) -> DataFrame:
-    """Prior mean of the quality of the opponents that a player faced."""
-    return win.prior_means(rows, ["player_id"], ["game_date", "player_game_id"], [quality], [size])
-
-
 def winner_form(team_games: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> DataFrame:
     """Scored, allowed, margin and win rate before each game, rest within 1..7; needs team_id, season, game_date, game_id, scored, allowed."""
     rows = team_games.withColumns({"margin": F.col("scored") - F.col("allowed"), "won": (F.col("scored") > F.col("allowed")).cast("double")})

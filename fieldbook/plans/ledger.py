@@ -222,6 +222,10 @@ def blend_weights(picks: DataFrame, keys: Sequence[str], least: int = 40, steps:
     return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("_best.weight")).otherwise(1.0).alias("weight"), F.when(F.col("n") >= least, F.col("_best.brier")).alias("brier"))
 
 
+#: Fixed value: the pull of a Platt fit to the identity, so slight that it only keeps separable cells finite.
+RIDGE = 1e-6
+
+
 def platt_fit(p: np.ndarray, wins: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and intercept of the logistic map of logit(p), by Newton steps over grouped counts, with a slight pull to the identity."""
     q = np.clip(p, 1e-6, 1 - 1e-6)
@@ -229,8 +233,8 @@ def platt_fit(p: np.ndarray, wins: np.ndarray, n: np.ndarray, rounds: int = 50)
     beta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
     for _ in range(rounds):
         mu = 1 / (1 + np.exp(-x @ beta))
-        gradient = x.T @ (wins - n * mu) - 1e-3 * (beta - prior)
-        step = np.linalg.solve((x * (n * mu * (1 - mu))[:, None]).T @ x + 1e-3 * np.eye(2), gradient)
+        gradient = x.T @ (wins - n * mu) - RIDGE * (beta - prior)
+        step = np.linalg.solve((x * (n * mu * (1 - mu))[:, None]).T @ x + RIDGE * np.eye(2), gradient)
         beta = beta + step
         if np.abs(step).max() < 1e-10:
             break
@@ -325,11 +329,15 @@ def forensics(picks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return second.groupBy(*keys).agg(F.sum("_n").alias("n"), F.max("_n").alias("top_burst"), F.count_distinct("_month").alias("months"), (F.sum("_late") / F.sum("_n")).alias("late_share"), (F.sum("_bare") / F.sum("_n")).alias("bare_share"))
 
 
+#: Rates of a hot and of a cold segment.
+HOT, COLD = 0.66, 0.45
+
+
 def hot_and_cold(picks: DataFrame, keys: Sequence[str], last: Column, days: int = 21, least: int = 12) -> DataFrame:
-    """Segments of the last days with `least` picks or more: hit rate, and whether hot (>= 65 %) or cold (<= 40 %)."""
+    """Segments of the last days with `least` picks or more: hit rate, and whether hot (>= 66 %) or cold (<= 45 %)."""
     age = F.datediff(last, "decided")
     out = picks.where((age >= 0) & (age < days)).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col("win").cast("double")).alias("hit")).where(F.col("n") >= least)
-    return out.withColumn("label", F.when(F.col("hit") >= 0.65, "hot").when(F.col("hit") <= 0.40, "cold").otherwise("even"))
+    return out.withColumn("label", F.when(F.col("hit") >= HOT, "hot").when(F.col("hit") <= COLD, "cold").otherwise("even"))
 
 
 def top_of_day(picks: DataFrame, day: str, n: int = 5) -> DataFrame:

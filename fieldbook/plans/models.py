@@ -138,18 +138,6 @@ def compare(rows: DataFrame, actual: str, a: str, b: str, domain: Column, gate:
     return out.withColumn("gain_pct", gain).withColumn("promote", F.coalesce(gain >= gate, F.lit(False)))
 
 
-def synthetic_lines(rows: DataFrame, average: str, mean: str, actual: str, date: str) -> DataFrame:
-    """Rows with a line (average to the next half, at least 0.5), p_over, the side and whether it was right; month."""
-    line = F.greatest(F.floor(F.col(average)) + 0.5, F.lit(0.5))
-    out = rows.withColumn("line", line).withColumn("p_over", poisson_over(F.col("line"), F.col(mean)))
-    right = (F.col("p_over") >= 0.5) == (F.col(actual) > F.col("line"))
-    return out.withColumn("right", right.cast("double")).withColumn("month", F.date_format(date, "yyyy-MM"))
-
-
-def synthetic_report(lined: DataFrame, key: str, mean: str, actual: str) -> DataFrame:
-    return lined.groupBy(key).agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"), F.avg(F.col(mean) - F.col(actual)).alias("bias"))
-
-
 def ensemble_weight(rows: DataFrame, actual: str, a: str, b: str, steps: int = 20) -> DataFrame:
     """The weight on a (rest on b) with the least MAE; all weights in one aggregation. Ties go to the smaller weight."""
     points = [i / steps for i in range(steps + 1)]

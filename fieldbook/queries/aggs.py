@@ -98,12 +98,6 @@ def e12_nearest(s, d):
     return a.nearest_anchor(t, anchors, ["stat_type"], "pick_id", "mean")
 
 
-@query("e13_interval_coverage", f"select stat_type, count(*) as n, round(avg(case when quantity between 12 and 38 then 1.0::double else 0 end), 6) as covered, abs(avg(case when quantity between 12 and 38 then 1.0::double else 0 end) - 0.5) > 0.1 as off from ({LEDGER}) group by 1 having count(*) >= 50")
-def e13(s, d):
-    rows = ledger(s, d).withColumns({"low": F.lit(12.0), "high": F.lit(38.0)})
-    return rounded(a.coverage(rows, ["stat_type"], "quantity", "low", "high", 0.5))
-
-
 @query("e14_edge_thresholds", f"with t as (select sport, win, model_prob - market_prob as edge, case when win = 1 then payout - 1 else -1 end as profit from ({LEDGER})), e as (select unnest([0.0, 0.05, 0.1, 0.2, 0.3])::double as threshold) select sport, threshold, count(*) as n, round(avg(win), 6) as hit, round(avg(profit), 6) as roi from t join e on round(edge, 6) >= threshold group by 1, 2")
 def e14(s, d):
     t = ledger(s, d).withColumns({"edge": F.round(C("model_prob") - C("market_prob"), 6), "profit": F.when(C("win") == 1, C("payout") - 1).otherwise(-1.0)})
@@ -162,7 +156,7 @@ def e22(s, d):
     return rounded(a.period_drift(ledger(s, d), ["sport"], C("decided") >= F.lit("2001-01-01").cast("date")))
 
 
-@query("e23_hot_and_cold", f"with t as (select * from ({LEDGER}) where datediff('day', decided, date '2000-06-30') between 0 and 20) select sport, stat_type, count(*) as n, round(avg(win), 6) as hit, case when avg(win) >= 0.65 then 'hot' when avg(win) <= 0.4 then 'cold' else 'even' end as label from t group by 1, 2 having count(*) >= 12")
+@query("e23_hot_and_cold", f"with t as (select * from ({LEDGER}) where datediff('day', decided, date '2000-06-30') between 0 and 20) select sport, stat_type, count(*) as n, round(avg(win), 6) as hit, case when avg(win) >= 0.66 then 'hot' when avg(win) <= 0.45 then 'cold' else 'even' end as label from t group by 1, 2 having count(*) >= 12")
 def e23(s, d):
     return rounded(lg.hot_and_cold(ledger(s, d), ["sport", "stat_type"], F.lit("2000-06-30").cast("date")))
 

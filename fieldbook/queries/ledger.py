@@ -256,23 +256,6 @@ def g22(s, d):
     return rounded(lg.gated_kelly(rows, seg, ["sport", "stat_type"]).select("pick_id", "stake"))
 
 
-@query("g23_performance_report", f"with {DATED}, w as ({WALK}), r as (select 'recommended' as tier, * from w where model_prob >= cutoff union all select 'all', * from w) select tier, sport, count(*) as n, cast(sum(win) as bigint) as wins, round(avg(win), 6) as hit, round(avg(pow(model_prob - win, 2)), 6) as brier from r group by grouping sets ((tier), (tier, sport))")
-def g23(s, d):
-    from fieldbook.operators.aggs import accuracy
-
-    rows = ledger(s, d)
-    both = lg.walk_forward(rows).select(F.lit("recommended").alias("tier"), "sport", "win", "model_prob").unionByName(rows.select(F.lit("all").alias("tier"), "sport", "win", "model_prob"))
-    return rounded(accuracy(both, [["tier"], ["tier", "sport"]]).select("tier", "sport", "n", "wins", "hit", "brier"))
-
-
-@query("g24_scorecard", f"with n as (select max(decided) as now from ({LEDGER})), t as (select *, datediff('day', decided, now) as age from ({LEDGER}), n) select sport, stat_type, count(*) filter (age = 0) as day_n, count(*) filter (age < 7) as week_n, round(avg(win) filter (age < 30), 6) as month_hit, count(*) filter (age < 30) >= 8 and avg(win) filter (age < 30) < 0.5 as weak_spot from t group by 1, 2")
-def g24(s, d):
-    rows = ledger(s, d)
-    t = rows.join(F.broadcast(rows.agg(F.max("decided").alias("now")))).withColumn("age", F.datediff("now", "decided"))
-    month = F.avg(F.when(C("age") < 30, C("win").cast("double")))
-    return rounded(t.groupBy("sport", "stat_type").agg(F.count_if(C("age") == 0).alias("day_n"), F.count_if(C("age") < 7).alias("week_n"), month.alias("month_hit"), ((F.count_if(C("age") < 30) >= 8) & (month < 0.5)).alias("weak_spot")))
-
-
 @query("g25_blend_backfill", f"with m as (select player_id, stat_type, quantity, avg(market_prob) as m from ({LEDGER}) group by 1, 2, 3), t as (select pick_id, model_prob, round(0.6 * model_prob + 0.4 * case when direction = 'under' then 1 - m else m end, 4) as p from ({LEDGER}) join m using (player_id, stat_type, quantity)) select pick_id, p as new_prob from t where p <> model_prob")
 def g25(s, d):
     from fieldbook.functions.scalars import blend, side_adjusted

@@ -73,13 +73,6 @@ def i07(s, d):
     return rounded(m.compare(t, "quantity", "a", "b", C("sport") != "R"))
 
 
-@query("i08_synthetic_lines", f"""with t as (select quantity as actual, 8 * model_prob as mean, greatest(floor(10 * market_prob) + 0.5, 0.5) as line, decided from ({LEDGER})), u as (select distinct mean, line from t), v as (select *, 1 - (select sum(exp(-mean + i * ln(mean) - lgamma(i + 1))) from generate_series(0, cast(floor(line) as bigint)) g(i)) as p from u)
-select strftime(decided, '%Y-%m') as month, count(*) as n, round(avg(cast((p >= 0.5) = (actual > line) as int)), 6) as accuracy, round(avg(mean - actual), 6) as bias from t join v using (mean, line) group by 1""")
-def i08(s, d):
-    t = ledger(s, d).withColumns({"average": F.round(10 * C("market_prob"), 6), "mean": 8 * C("model_prob")})
-    return rounded(m.synthetic_report(m.synthetic_lines(t, "average", "mean", "quantity", "decided"), "month", "mean", "quantity"))
-
-
 @query("i09_ensemble_weight", f"with t as (select i / 20.0::double as w, round(avg(abs(quantity - (i / 20.0::double * 30 * model_prob + (1 - i / 20.0::double) * 40 * market_prob))), 9) as mae from ({LEDGER}), (select unnest(range(0, 21)) as i) group by 1) select w as weight, round(mae, 6) as mae from t order by t.mae, w limit 1")
 def i09(s, d):
     t = ledger(s, d).withColumns({"a": 30 * C("model_prob"), "b": 40 * C("market_prob")})

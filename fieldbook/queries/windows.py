@@ -264,12 +264,6 @@ def c30(s, d):
     return w.losing_streak(ledger(s, d), ["player_id"], ["decided", "pick_id"], "win")
 
 
-@query("c31_trailing_rate", f"with t as (select sport, decided, sum(win) as wins, count(*) as n from ({LEDGER}) group by 1, 2) select sport, decided, cast(sum(n) over w as bigint) as trail_n, round(cast(sum(wins) over w as double) / sum(n) over w, 6) as trail_rate from t window w as (partition by sport order by decided range between interval 13 days preceding and current row)")
-def c31(s, d):
-    daily = ledger(s, d).groupBy("sport", "decided").agg(F.sum("win").alias("wins"), F.count("*").alias("n"))
-    return rounded(w.cumulative_rate(daily, ["sport"], "decided", "wins", "n", 14).select("sport", "decided", "trail_n", "trail_rate"))
-
-
 @query("c32_winner_form", f"with t as (select *, cast(players * 20 as double) as allowed from ({TEAM})), u as (select *, points - allowed as margin, case when points > allowed then 1.0::double else 0 end as won from t) select game_id, team_id, round(coalesce({prior('avg(margin)', 10, 'team_id', 'game_date, game_id')}, 0), 6) as last_10_avg_margin, round(coalesce({prior('avg(won)', 5, 'team_id', 'game_date, game_id')}, 0.5), 6) as last_5_avg_won, round(coalesce({prior('avg(points)', None, 'team_id, season', 'game_date, game_id')}, 0), 6) as season_avg_scored, cast(least(greatest(coalesce(datediff('day', lag(game_date) over (partition by team_id order by game_date, game_id), game_date), 7), 1), 7) as bigint) as rest from u")
 def c32(s, d):
     rows = team_rows(s, d).withColumns({"scored": C("points"), "allowed": (C("players") * 20).cast("double")})
