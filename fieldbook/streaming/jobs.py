@@ -20,6 +20,16 @@ def snapshots(spark: SparkSession, path: str, pattern: str | None = None, files_
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
+def replay_slices(rows: DataFrame, time: str, path: str, slices: int, which: Sequence[int] | None = None) -> None:
+    """Writes rows as files in time order, one for each of `slices` equal stretches from the first time to the last; a stream that takes one file a trigger replays them."""
+    at = F.unix_micros(F.col(time).cast("timestamp"))
+    span = rows.agg(F.min(at).alias("_low"), F.max(at).alias("_high"))  # one row
+    number = F.least(F.floor((at - F.col("_low")) * slices / F.greatest(F.col("_high") - F.col("_low"), F.lit(1))), F.lit(slices - 1))
+    marked = rows.join(F.broadcast(span)).withColumn("_slice", number).drop("_low", "_high")
+    for i in range(slices) if which is None else which:  # one after another, as a stream takes older files first
+        marked.where(F.col("_slice") == i).drop("_slice").coalesce(1).write.mode("append").parquet(path)
+
+
 def deduplicated(stream: DataFrame, keys: Sequence[str], time: str, late: str = "1 day") -> DataFrame:
     """The first snapshot of each logical line within the watermark."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
@@ -65,7 +75,7 @@ def line_moves(stream: DataFrame, key: str, time: str, value: str, least: float,
 def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and returns its rows so far, from Parquet files beside the checkpoint; for tests and replays."""
     spark, out = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
-    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/none")  # so that a stream without batches has its schema, too
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/none")  # so that a stream without batches has its schema, too
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")  # a repeated batch replaces itself
