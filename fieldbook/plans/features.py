@@ -19,34 +19,58 @@ from fieldbook.operators.joins import absences, attach_opponent, both_sides
 
 @dataclass(frozen=True)
 class Sport:
-    """Windows, stats and threshold limits of a sport's player features."""
+    """Windows, stats, threshold limits and combined stats of a sport's player features."""
 
     stats: Sequence[str]
     sizes: Sequence[int] = (5, 10, 20)
     limits: Mapping[str, Sequence[float]] = field(default_factory=dict)
-
-
-#: The stats, windows and limits of each sport.
+    combos: Mapping[str, Sequence[str]] = field(default_factory=dict)
+
+
+# The stats, windows, limits and combined stats of each sport.
+BATTING = ("hits", "total_bases", "rbis", "runs", "home_runs", "strikeouts", "walks", "at_bats", "bat_order_spot")
+PITCHING = ("strikeouts_pitcher", "outs_recorded", "earned_runs", "walks_allowed", "hits_allowed", "batters_faced")
+BASKETBALL = ("points", "rebounds", "assists", "threes_made", "threes_attempted", "steals", "blocks", "turnovers", "fg_made", "fg_attempted", "ft_made", "ft_attempted", "off_rebounds", "def_rebounds", "personal_fouls", "minutes")
+BASKETBALL_COMBOS = {"pts_rebs_asts": ("points", "rebounds", "assists"), "pts_rebs": ("points", "rebounds"), "pts_asts": ("points", "assists"), "rebs_asts": ("rebounds", "assists"), "blocks_steals": ("blocks", "steals")}
+SKATER = ("goals", "assists", "points", "shots", "hits", "blocked_shots", "powerplay_goals", "powerplay_points", "penalty_minutes", "minutes")
+GOALIE = ("saves", "goals_against", "shots_against")
+FOOTBALL = ("passing_yards", "passing_tds", "completions", "pass_attempts", "interceptions", "rushing_yards", "rushing_tds", "carries", "receiving_yards", "receiving_tds", "receptions", "targets")
+SOCCER = ("shots", "shots_on_target", "fouls", "fouls_drawn", "saves", "goals", "assists", "yellow_cards")
+MLB_LIMITS = {"hits": (0.5, 1.5, 2.5), "total_bases": (1.5, 2.5, 3.5), "rbis": (0.5, 1.5), "home_runs": (0.5,), "strikeouts_pitcher": (4.5, 5.5, 6.5, 7.5)}
+NBA_LIMITS = {
+    "points": (9.5, 14.5, 19.5, 24.5, 29.5),
+    "rebounds": (3.5, 5.5, 7.5, 9.5),
+    "assists": (2.5, 4.5, 6.5, 8.5),
+    "threes_made": (0.5, 1.5, 2.5, 3.5),
+    "pts_rebs_asts": (19.5, 29.5, 39.5),
+    "pts_rebs": (14.5, 19.5, 24.5),
+    "pts_asts": (14.5, 19.5, 24.5),
+    "rebs_asts": (7.5, 9.5, 11.5),
+}
+SHORTER_LIMITS = {"points": (9.5, 14.5, 19.5, 24.5), "rebounds": (3.5, 5.5, 7.5), "assists": (2.5, 4.5, 6.5), "threes_made": (0.5, 1.5, 2.5)}
+NHL_LIMITS = {"points": (0.5, 1.5, 2.5), "goals": (0.5, 1.5), "assists": (0.5, 1.5, 2.5), "shots": (2.5, 3.5, 4.5), "hits": (1.5, 2.5, 3.5), "blocked_shots": (0.5, 1.5, 2.5), "saves": (19.5, 24.5, 29.5)}
 SPORTS = {
-    "mlb": Sport(("hits", "home_runs", "rbis", "runs", "total_bases", "walks", "strikeouts", "stolen_bases"), (5, 10, 20), {"hits": (0.5, 1.5), "total_bases": (1.5, 2.5), "strikeouts": (4.5, 5.5)}),
-    "nba": Sport(("points", "rebounds", "assists", "threes", "steals", "blocks", "turnovers", "minutes"), (5, 10, 20), {"points": (14.5, 19.5, 24.5), "rebounds": (5.5, 9.5), "assists": (4.5, 7.5)}),
-    "wnba": Sport(("points", "rebounds", "assists", "threes", "minutes"), (5, 10, 20), {"points": (9.5, 14.5)}),
-    "cbb": Sport(("points", "rebounds", "assists", "minutes"), (5, 10, 20), {"points": (9.5, 14.5)}),
-    "nhl": Sport(("goals", "assists", "shots", "saves", "toi"), (5, 10, 20), {"shots": (1.5, 2.5), "saves": (24.5,)}),
-    "nfl": Sport(("passing_yards", "rushing_yards", "receiving_yards", "receptions"), (3, 5, 8)),
-    "cfb": Sport(("passing_yards", "rushing_yards", "receiving_yards", "receptions"), (3, 5, 8)),
-    "soccer": Sport(("shots", "shots_on_target", "passes", "tackles"), (3, 5)),
+    "mlb": Sport((*BATTING, *PITCHING), (5, 10, 20), MLB_LIMITS),
+    "nba": Sport(BASKETBALL, (5, 10, 20), NBA_LIMITS, BASKETBALL_COMBOS),
+    "wnba": Sport(BASKETBALL, (5, 10, 20), SHORTER_LIMITS, BASKETBALL_COMBOS),
+    "cbb": Sport(BASKETBALL, (5, 10, 20), SHORTER_LIMITS, BASKETBALL_COMBOS),
+    "nhl": Sport((*SKATER, *GOALIE), (5, 10, 20), NHL_LIMITS),
+    "nfl": Sport(FOOTBALL, (3, 5, 8)),
+    "cfb": Sport(FOOTBALL, (3, 5, 8)),
+    "soccer": Sport(SOCCER, (3, 5)),
 }
 
 
 def player_features(rows: DataFrame, sport: Sport, *, player: str = "player_id", season: str = "season", date: str = "game_date", row_id: str = "player_game_id") -> DataFrame:
     """Rolling means, season means, threshold rates, rest and games played, from prior rows only."""
     order = [date, row_id]
-    out = win.prior_means(rows, [player], order, sport.stats, sport.sizes)
+    rows = rows.withColumns({c: sum((F.col(p) for p in parts[1:]), F.col(parts[0])) for c, parts in sport.combos.items()})
+    stats = [*sport.stats, *sport.combos]
+    out = win.prior_means(rows, [player], order, stats, sport.sizes)
     if sport.limits:
         out = win.threshold_rates(out, [player], order, sport.limits)
     out = win.days_since(out, [player], order, date)
-    out = win.season_means(out, [player], season, order, sport.stats)
+    out = win.season_means(out, [player], season, order, stats)
     return win.prior_count(out, [player, season], order, "games_played_season")
 
 

@@ -30,6 +30,9 @@ RHO_COMBO, RHO_PLAYER, RHO_TEAM = 0.60, 0.20, 0.04
 #: What a parlay of so many legs pays, the least edge of a leg, and the number of legs that a slate considers.
 MULTIPLIERS, LEAST_EDGE, CANDIDATES = {2: 3.0, 3: 5.0, 4: 10.0}, 0.06, 16
 
+#: Fixed value: minutes that must be left to a game's start for an offer to count.
+BEFORE_START = 30
+
 
 def with_mean(anchors: DataFrame, line: str, prob: str) -> DataFrame:
     """`mean` that the anchor implies; the inverse runs on distinct (line, prob) pairs only."""
@@ -46,8 +49,10 @@ def soft_lines(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: st
     return rows.withColumns({"side": side, "prob": best}).withColumn("edge", F.col("prob") - least).where("edge > 0")
 
 
-def arbitrage(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str, over: str, under: str, low: float = 0.02, high: float = 0.40) -> DataFrame:
-    """Better side (ties go over) of each offer by expected value, kept within (low, high)."""
+def arbitrage(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str, over: str, under: str, low: float = 0.02, high: float = 0.40, start: Column | None = None, now: Column | None = None) -> DataFrame:
+    """Better side (ties go over) of each offer by expected value, kept within (low, high); with `start` and `now` only offers of games that start later than BEFORE_START minutes from now."""
+    if start is not None:
+        board = board.where(start > now + F.make_dt_interval(mins=F.lit(BEFORE_START)))
     anchor = with_mean(main_line(sharp, keys, line, "over_prob"), "main_line", "main_prob")
     rows = board.join(anchor, list(keys)).withColumn("p_over", poisson_over(F.col(line), F.col("mean")))
     a, b = F.col("p_over") * F.col(over) - 1, (1 - F.col("p_over")) * F.col(under) - 1

@@ -298,6 +298,28 @@ def player_table(s, d):
     return rounded(out.select("player_game_id", "last_5_avg_points", "last_10_avg_points", "season_avg_points", "days_rest", "games_played_season"))
 
 
+def sport_sql(sport: features.Sport) -> str:
+    """Each stat of the sport is a small number that the order gives; its features are written out."""
+    stats = {x: f"cast((player_game_id * {2 * k + 3} + player_id * {k}) % 41 as double)" for k, x in enumerate(sport.stats)}
+    named = stats | {c: " + ".join(stats[x] for x in parts) for c, parts in sport.combos.items()}
+    out = [f"round(coalesce({prior(f'avg({x})', n)}, 0), 6) as last_{n}_avg_{x}" for n in sport.sizes for x in named] + [f"round(coalesce({prior(f'avg({x})', None, 'player_id, season')}, 0), 6) as season_avg_{x}" for x in named]
+    out += [f"round(coalesce({prior(f'avg(cast({x} > {v} as int))', 10)}, 0), 6) as last_10_rate_over_{f'{v:g}'.replace('.', '_')}_{x}" for x, values in sport.limits.items() for v in values]
+    rest = "cast(coalesce(datediff('day', lag(game_date) over (partition by player_id order by game_date, player_game_id), game_date), -1) as bigint) as days_rest, row_number() over (partition by player_id, season order by game_date, player_game_id) - 1 as games_played_season"
+    return f"with t as (select player_id, player_game_id, game_date, season, {', '.join(f'{v} as {x}' for x, v in named.items())} from ({PLAYER})) select player_game_id, {', '.join(out)}, {rest} from t"
+
+
+def sport_table(sport: features.Sport):
+    def table(s, d):
+        rows = player_rows(s, d).select("player_id", "player_game_id", "game_date", "season", *[((C("player_game_id") * (2 * k + 3) + C("player_id") * k) % 41).cast("double").alias(x) for k, x in enumerate(sport.stats)])
+        return rounded(features.player_features(rows, sport).drop("player_id", "game_date", "season", *sport.stats, *sport.combos))
+
+    return table
+
+
+for _name in ("mlb", "nba", "wnba", "nhl", "nfl", "soccer"):  # cbb is as wnba, cfb as nfl
+    query(f"c_table_{_name}", sport_sql(features.SPORTS[_name]))(sport_table(features.SPORTS[_name]))
+
+
 @query("d01_attach_opponent", f"with t as ({TEAM}), f as (select game_id, team_id, coalesce({prior('avg(points)', 5, 'team_id', 'game_date, game_id')}, 0) as a from t) select player_game_id, round(f.a, 6) as opp_last_5_avg_points from ({DENSE}) r left join f on f.game_id = r.game_id and f.team_id = r.opponent_id")
 def d01(s, d):
     f = w.prior_means(team_rows(s, d), ["team_id"], ["game_date", "game_id"], ["points"], (5,))
