@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldbook.operators import windows as w
+from fieldbook.plans import boosting
 from fieldbook.plans import models as m
 from fieldbook.queries.base import DENSE, LEDGER, dense_rows, ledger, query, rounded
 from fieldbook.queries.windows import ORDER, prior
@@ -32,6 +33,14 @@ def i03(s, d):
     return rounded(m.evaluate_counts(out, "label", "predicted_mean", "season_avg_points"))
 
 
+@query("i03_boosted_counts")
+def i03_boosted(s, d):
+    train, test = m.split_at(training(s, d), "game_date", F.lit("2000-06-01").cast("date"))
+    train, valid = (x.drop("is_test") for x in (lambda t: (t.where("not is_test"), t.where("is_test")))(m.split_last_days(train, "game_date", 90)))
+    model = boosting.fit_boosted(m.recency_weighted(train, "game_date"), FEATURES, weight="weight", trees=10, valid=valid)
+    return rounded(m.evaluate_counts(model.predict(test), "label", "predicted_mean", "season_avg_points"))
+
+
 @query("i04_winner_model")
 def i04(s, d):
     rows = training(s, d).withColumn("label", (C("points") > 25).cast("double"))

@@ -6,7 +6,9 @@ from fieldbook.operators import windows as w
 from fieldbook.operators.blocks import prior_means_blocked
 from fieldbook.operators.joins import attach_opponent, both_sides
 from fieldbook.plans import features
+from fieldbook.plans.state import FeatureState
 from fieldbook.queries.base import DENSE, LEDGER, PLAYER, TEAM, dense_rows, ledger, player_rows, query, rounded, table, team_rows
+from fieldbook.session import fresh_folder
 
 C = F.col
 ORDER = ["game_date", "player_game_id"]
@@ -292,6 +294,19 @@ def c35(s, d):
     return rounded(w.latest_per_key(rows, ["player_id"], ORDER).select("player_id", "last_5_avg_points"))
 
 
+@query("c35_daily_state", f"select player_id, player_game_id, game_date, {', '.join(f'round(coalesce({prior('avg(points)', n)}, 0), 6) as last_{n}_avg_points' for n in (5, 20))}, round(coalesce({prior('avg(points)', None, 'player_id, season')}, 0), 6) as season_avg_points, row_number() over (partition by player_id, season order by game_date, player_game_id) - 1 as games_played_season from ({PLAYER})")
+def c35_state(s, d):
+    """All but the last days in one step, then a step for each of these; a step reads the stored state and its own rows."""
+    rows = player_rows(s, d).drop("status")
+    last = rows.select("game_date").distinct().orderBy(F.desc("game_date")).limit(4).collect()
+    state = FeatureState(fresh_folder(s, "state"), "player_id", "season", ORDER, ["points"], (5, 20), buckets=8)
+    days = sorted(r["game_date"] for r in last)
+    out = state.advance(rows.where(C("game_date") < days[0]) if days else rows)
+    for day in days:
+        out = out.unionByName(state.advance(rows.where(C("game_date") == day)))
+    return rounded(out.select("player_id", "player_game_id", "game_date", "last_5_avg_points", "last_20_avg_points", "season_avg_points", "games_played_season"))
+
+
 @query("c_player_table", f"select player_game_id, {', '.join(f'round(coalesce({prior('avg(points)', n)}, 0), 6) as last_{n}_avg_points' for n in (5, 10))}, round(coalesce({prior('avg(points)', None, 'player_id, season')}, 0), 6) as season_avg_points, cast(coalesce(datediff('day', lag(game_date) over (partition by player_id order by game_date, player_game_id), game_date), -1) as bigint) as days_rest, row_number() over (partition by player_id, season order by game_date, player_game_id) - 1 as games_played_season from ({PLAYER})")
 def player_table(s, d):
     out = features.player_features(player_rows(s, d), features.Sport(("points",), (5, 10)))
