@@ -171,6 +171,12 @@ def feature_value(df: DataFrame, features: Sequence[str], actual: str, predicted
     return rows.groupBy("feature").agg(F.corr("_v", "_a").alias("corr_actual"), F.corr("_v", "_r").alias("corr_residual"), F.avg((F.coalesce(F.col("_v"), F.lit(0.0)) != 0).cast("double")).alias("covered"), F.avg(F.when(F.col("_v") <= F.col("_c")[0], F.col("_a"))).alias("low_third"), F.avg(F.when(F.col("_v") > F.col("_c")[1], F.col("_a"))).alias("high_third"))
 
 
+def history_against_lines(history: DataFrame, lines: DataFrame, player: str, value: str, over: float, line: str, least: int = 30) -> DataFrame:
+    """Players of `least` games or more that have lines now: mean value, share of games above `over`, games, and the mean of the current lines."""
+    past = history.groupBy(player).agg(F.avg(value).alias("mean"), F.avg((F.col(value) > over).cast("double")).alias("over_rate"), F.count("*").alias("games")).where(F.col("games") >= least)
+    return past.join(lines.groupBy(player).agg(F.avg(line).alias("mean_line")), player)
+
+
 def co_occurrence(df: DataFrame, group: Sequence[str], kind: str, hit: str, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Joint and independent rates and lift of two indicators in the same group, from a row for each group and kind."""
     wide = df.groupBy(*group).agg(*[F.max(F.when(F.col(kind) == k, F.col(hit))).alias(f"_{k}") for k in dict.fromkeys(k for p in pairs for k in p)])

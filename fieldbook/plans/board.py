@@ -105,3 +105,68 @@ def board(history: DataFrame, ahead: DataFrame, lines: DataFrame, market: DataFr
 def update_board(scored: DataFrame, path: str, run: Column) -> DataFrame:
     """Merges a run's rows into the stored board, partitioned by game date; `run` orders the runs. Gives the dates that were replaced."""
     return upsert_partitions(scored.where("game_id is not null").withColumn("updated_at", run), path, KEYS, "updated_at", ["game_date"])
+
+
+# --- rows of the board as people see them ------------------------------------------------------------
+
+#: A wind, in mph along the field, that gets a word; a form that does; an edge; a line's move.
+WIND, FORM_GAMES, FORM_RATE, EDGE_SHOWN, MOVE_SHOWN = 5, 3, 0.6, 0.05, 0.05
+
+
+def weather_note(wind_out: Column, dome: Column) -> Column:
+    words = F.when(wind_out >= WIND, F.concat(F.lit("wind out +"), F.bround(wind_out).cast("bigint").cast("string"))).when(wind_out <= -WIND, F.concat(F.lit("wind in "), F.bround(wind_out).cast("bigint").cast("string"))).otherwise("calm")
+    return F.when(F.coalesce(dome, F.lit(False)), "dome (neutral)").when(wind_out.isNotNull(), words)
+
+
+def graded_form(picks: DataFrame, actuals: DataFrame, games: int = 10) -> DataFrame:
+    """pick_id, l5, l10: how often the pick's side would have won over the player's last games ("hits/decided"; exact hits of the line don't count).
+
+    actuals: player_id, stat_type, game_date, game_id, actual. Each player's last games become one array first, so a pick meets one row.
+    """
+    ranked = win.top_per_key(actuals, ["player_id", "stat_type"], [F.desc("game_date"), F.desc("game_id")], games, "_r").where("actual is not null")
+    last = ranked.groupBy("player_id", "stat_type").agg(F.array_sort(F.collect_list(F.struct("_r", "actual"))).alias("_last"))
+    rows = picks.select("pick_id", "player_id", "stat_type", "direction", "line_value").join(last, ["player_id", "stat_type"], "left")
+    hit = lambda a: F.when(a == F.col("line_value"), None).when(F.col("direction") == "over", a > F.col("line_value")).otherwise(a < F.col("line_value"))
+    form = F.transform(F.coalesce(F.col("_last"), F.array().cast("array<struct<_r:int,actual:double>>")), lambda x: hit(x["actual"]))
+
+    def counted(n: int) -> Column:
+        some = F.filter(F.slice(form, 1, n), lambda h: h.isNotNull())
+        return F.concat_ws("/", F.size(F.filter(some, lambda h: h)).cast("string"), F.size(some).cast("string"))
+
+    return rows.select("pick_id", counted(5).alias("l5"), counted(10).alias("l10"))
+
+
+def insight(l5: Column, direction: Column, edge: Column, moved: Column, prob: Column) -> Column:
+    """At most three remarks: form, edge over the market, a line that moves our way; the model's confidence if there is none."""
+    hits, games = (F.try_element_at(F.split(l5, "/"), F.lit(i)).cast("int") for i in (1, 2))
+    ours = ((moved > 0) & (direction == "over")) | ((moved < 0) & (direction == "under"))
+    bits = F.array_compact(F.array(
+        F.when((games >= FORM_GAMES) & (hits / games >= FORM_RATE), F.concat(F.lit("hit "), F.upper(direction), F.lit(" "), l5, F.lit(" last 5"))),
+        F.when(edge >= EDGE_SHOWN, F.concat(F.lit("+"), F.bround(edge * 100).cast("bigint").cast("string"), F.lit("% vs market"))),
+        F.when((F.abs(moved) >= MOVE_SHOWN) & ours, F.lit("line moving your way")),
+    ))
+    return F.when(F.size(bits) > 0, F.concat_ws(" · ", bits)).otherwise(F.concat(F.lit("model "), F.bround(prob * 100).cast("bigint").cast("string"), F.lit("% confident")))
+
+
+def board_rows(picks: DataFrame, players: DataFrame, teams: DataFrame, games: DataFrame, weather: DataFrame, actuals: DataFrame, day: Column, *, league: str | None = None, stats: Sequence[str] | None = None, direction: str | None = None, display: tuple[float, float] = (1.0, 0.0)) -> DataFrame:
+    """A day's picks with team, match-up, projection, edge, weather, form and insight; filters reach the scan of the picks.
+
+    picks: pick_id, player_id, game_id, stat_type, direction, line_value, model_prob, predicted_mean, edge, line_movement, picked_on, leg_result;
+    players: player_id, player, team_id; teams: team_id, team; games: game_id, sport, game_date, home_team_id, away_team_id; weather: game_id,
+    wind_out, is_dome. Void picks and those without projection or line are left out.
+    """
+    rows = picks.where((F.col("picked_on") == day) & (F.coalesce(F.col("leg_result"), F.lit("")) != "void") & F.col("predicted_mean").isNotNull() & F.col("line_value").isNotNull())
+    rows = rows.where(F.col("stat_type").isin(*stats)) if stats else rows
+    rows = rows.where(F.col("direction") == direction) if direction in ("over", "under") else rows
+    own = games.where(F.col("game_date") == day)
+    own = own.where(F.col("sport") == league.lower()) if league else own
+    name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("team").alias(f"{side}_team"))
+    rows = rows.join(own.drop("game_date"), "game_id").join(name("home"), "home_team_id", "left").join(name("away"), "away_team_id", "left")
+    rows = rows.join(players, "player_id").join(teams, "team_id", "left").join(weather, "game_id", "left").join(graded_form(rows, actuals), "pick_id", "left")
+    shown = platt(F.col("model_prob"), F.lit(display[0]), F.lit(display[1]), F.lit(True))
+    unknown = F.lit("?")
+    return rows.select(
+        "pick_id", "sport", "player", F.coalesce("team", F.lit("")).alias("team"), F.concat_ws(" @ ", F.coalesce("away_team", unknown), F.coalesce("home_team", unknown)).alias("matchup"), "stat_type", "direction", "line_value", "predicted_mean",
+        F.when(F.col("line_value") != 0, 100 * (F.col("predicted_mean") - F.col("line_value")) / F.col("line_value")).otherwise(0.0).alias("edge_pct"), weather_note(F.col("wind_out"), F.col("is_dome")).alias("weather"), "l5", "l10",
+        insight(F.col("l5"), F.col("direction"), F.col("edge"), F.col("line_movement"), shown).alias("insight"),
+    )

@@ -270,3 +270,34 @@ def team_rest(rows: DataFrame, missing: int = 7, most: int = 14) -> DataFrame:
 def season_key(season: Column) -> Column:
     """'2024-25' and '2024-2025' as 2024-25; a single year stays."""
     return F.when(season.rlike(r"^\d{4}-\d{2}(\d{2})?$"), F.concat(F.substring(season, 1, 5), F.substring(season, -2, 2))).otherwise(season)
+
+
+#: Season types that count as play-offs, and the names of the two parts of a season.
+PLAYOFFS, PARTS_OF_SEASON = ("playoffs", "play_in"), ("Playoffs", "Regular Season")
+
+
+def play_type_season(season: Column) -> Column:
+    """A year as the season that begins in it, 2024 as 2024-25; other forms by `season_key`."""
+    start = F.substring(season, -2, 2)
+    after = F.lpad(((start.cast("int") + 1) % 100).cast("string"), 2, "0")
+    return F.when(season.rlike(r"^\d{4}$"), F.concat(F.lit("20"), start, F.lit("-"), after)).otherwise(season_key(season))
+
+
+def season_part(season_type: Column) -> Column:
+    return F.when(F.coalesce(season_type.isin(*PLAYOFFS), F.lit(False)), PARTS_OF_SEASON[0]).otherwise(PARTS_OF_SEASON[1])
+
+
+def play_types(rows: DataFrame, teams: DataFrame, players: DataFrame) -> DataFrame:
+    """Rows with the play types of their team and player in their season and its part; rows with neither drop out.
+
+    rows: team_ext, player_ext, season, season_type; teams and players: the id, season, part and own columns. A season's lookup is
+    small beside the rows, which are joined twice by equal keys.
+    """
+    keyed = rows.withColumns({"_season": play_type_season(F.col("season")), "_part": season_part(F.col("season_type"))})
+    found = None
+    for side, key in ((teams, "team_ext"), (players, "player_ext")):
+        own = side.withColumnsRenamed({"season": "_season", "part": "_part"}).withColumn(f"_has_{key}", F.lit(True))
+        keyed = keyed.join(own, [key, "_season", "_part"], "left")
+        has = F.col(f"_has_{key}").isNotNull()
+        found = has if found is None else found | has
+    return keyed.where(found).drop("_season", "_part", "_has_team_ext", "_has_player_ext")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.ml import Transformer
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions.counts import poisson_over
 from fieldbook.functions.scalars import recency_weight
 from fieldbook.operators.aggs import auc
+from fieldbook.plans.market import COMBOS
 
 
 def training_set(rows: DataFrame, features: Sequence[str], target: Column, appeared: Column, history: Column | None = None, market: str | None = None, binary_over: float | None = None) -> DataFrame:
@@ -28,6 +29,26 @@ def training_set(rows: DataFrame, features: Sequence[str], target: Column, appea
     return out.withColumn("label", y).where("label is not null")
 
 
+#: Fixed value: minutes that a player must have played for a backtest row.
+LEAST_MINUTES = 10
+
+
+def backtest_rows(odds: DataFrame, games: DataFrame, box: DataFrame, players: DataFrame, since: Column, combos: Mapping[str, Sequence[str]] = COMBOS) -> DataFrame:
+    """Quotes of finished games since a day with what the player did: quotes x games x box scores x players.
+
+    odds: game_id, player_id, stat_type, line_value, over_prob, book; games: game_id, game_date, status; box: game_id, player_id, minutes,
+    stats (map); players: player_id, player_name. actual is the stat of the quote's name, or the sum of a combined
+    stat's parts (null if one is missing, or for a stat that the box doesn't have).
+    """
+    parts = F.try_element_at(F.create_map(*[x for name, of in combos.items() for x in (F.lit(name), F.array(*map(F.lit, of)))]), F.col("stat_type"))
+    values = F.transform(F.coalesce(parts, F.array("stat_type")), lambda p: F.try_element_at(F.col("stats"), p))
+    actual = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    done = games.where((F.col("status") == "final") & (F.col("game_date") >= since)).select("game_id", "game_date")
+    played = box.where(F.col("minutes") >= LEAST_MINUTES).select("game_id", "player_id", "minutes", "stats")
+    rows = odds.where("over_prob is not null").join(done, "game_id").join(played, ["game_id", "player_id"]).join(players.select("player_id", "player_name"), "player_id")
+    return rows.select("game_date", "game_id", "player_id", "player_name", "stat_type", "line_value", "over_prob", "book", "minutes", actual.alias("actual"))
+
+
 def split_at(rows: DataFrame, date: str, cut: Column) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col(date) < cut), rows.where(F.col(date) >= cut)
 

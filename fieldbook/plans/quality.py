@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from fieldbook.functions.scalars import local_day
+
 
 def finding(df: DataFrame, level: str | Column, name: str, detail: Column, value: Column) -> DataFrame:
     return df.select((F.lit(level) if isinstance(level, str) else level).alias("level"), F.lit(name).alias("name"), detail.cast("string").alias("detail"), value.cast("double").alias("value"))
@@ -37,11 +39,36 @@ def board_volume(lines: DataFrame, day: Column, player: str, stat: str, game: st
     return lines.withColumn("day", day).groupBy("day").agg(F.count_distinct(player, stat).alias("board"), F.count_distinct(game).alias("games"))
 
 
-def thin_days(volume: DataFrame, days: int = 7, share: float = 0.5) -> DataFrame:
-    """Days whose board is below `share` of the mean of the days before; the window runs over days."""
+#: A day is thin below this share of the week's mean lines for each game, collapsed below this share of its mean lines; both only above a mean of so many lines. Hours after which injuries are cold.
+THIN, COLLAPSED, LEAST_BASELINE, COLD_HOURS = 0.30, 0.10, 50, 40.0
+
+
+def thin_days(volume: DataFrame, days: int = 7) -> DataFrame:
+    """Days with too few lines against the days before, from rows of (day, board, games): `feed broken` where nearly all are gone, `thin` where games have
+    too few. A light day with the usual lines for each game is neither. The window runs over days.
+    """
     w = W.orderBy(F.unix_date(F.col("day").cast("date"))).rangeBetween(-days, -1)
-    rows = volume.withColumn("_mean", F.avg("board").over(w)).where(F.col("board") < share * F.col("_mean"))
-    return finding(rows, "warn", "thin_day", F.col("day"), F.col("board") / F.col("_mean"))
+    each = F.when(F.col("games") > 0, F.col("board") / F.col("games"))
+    rows = volume.withColumn("_each", each).withColumns({"_mean": F.avg("board").over(w), "_usual": F.coalesce(F.avg("_each").over(w), F.lit(0.0))})
+    own = F.coalesce("_each", F.lit(0.0))
+    broken = F.col("board") < COLLAPSED * F.col("_mean")
+    rows = rows.where((F.col("_mean") >= LEAST_BASELINE) & (broken | (own < THIN * F.col("_usual"))))
+    return finding(rows, "warn", "slate_thin", F.concat_ws(" ", F.col("day").cast("string"), F.when(broken, "feed broken").otherwise("thin")), own)
+
+
+def cold_injuries(injuries: DataFrame, time: str, now: DataFrame) -> DataFrame:
+    """A finding where the newest injury report is older than COLD_HOURS, or there is none (value null); now: one row."""
+    last = injuries.agg(F.max(F.col(time).cast("timestamp")).alias("_last")).join(F.broadcast(now))
+    age = (F.unix_timestamp("now") - F.unix_timestamp("_last")) / 3600.0
+    return finding(last.withColumn("_age", age).where(F.col("_age").isNull() | (F.col("_age") > COLD_HOURS)), "warn", "injuries_stale", F.lit("injuries"), F.col("_age"))
+
+
+def written_findings(spark: SparkSession, metrics: Mapping[str, object], now: DataFrame, hours: float) -> DataFrame:
+    """Findings from the metrics of a write (rows, empty, newest): nothing written, rows without a value, old data."""
+    one = spark.createDataFrame([(metrics["rows"], metrics["empty"], metrics["newest"])], "rows bigint, empty bigint, newest timestamp").join(F.broadcast(now))
+    age = (F.unix_timestamp("now") - F.unix_timestamp("newest")) / 3600.0
+    parts = [finding(one.where("rows = 0"), "error", "nothing_written", F.lit("rows"), F.lit(0)), finding(one.where("empty > 0"), "warn", "empty_values", F.lit("rows"), F.col("empty")), finding(one.where(age > hours), "warn", "old_rows", F.lit("newest"), age)]
+    return together(parts)
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
@@ -135,6 +162,22 @@ def activity(lines: DataFrame, day: Column, time: str, now: Column) -> DataFrame
     return lines.withColumn("day", day).groupBy("day").agg(F.count("*").alias("n"), ((F.unix_timestamp(now) - F.unix_timestamp(F.max(time))) / 3600.0).alias("hours_ago"))
 
 
+def usage(lines: DataFrame, picks: DataFrame, now: DataFrame, days: int = 10, settled_days: int = 7) -> DataFrame:
+    """name, day, value: distinct lines by local day of the last `days`, their mean, hours since the last line and pick, picks of the local day, and picks settled
+    in the last week. lines: player_id, stat_type, snapshot_at; picks: picked_at, leg_result; now: one row. A day without lines has no row; nothing at all gives nulls.
+    """
+    one = F.broadcast(now)
+    recent = lines.join(one).where(F.col("snapshot_at") > F.col("now") - F.make_dt_interval(days=F.lit(days)))
+    by_day = recent.groupBy(local_day(F.col("snapshot_at")).alias("day")).agg(F.count_distinct("player_id", "stat_type").cast("double").alias("value"))
+    hours = lambda c: (F.unix_timestamp("now") - F.unix_timestamp(c)) / 3600.0
+    none = F.lit(None).cast("date")
+    row = lambda df, name, value: df.select(F.lit(name).alias("name"), none.alias("day"), value.cast("double").alias("value"))
+    done = F.col("leg_result").isin("win", "loss", "push") & (F.col("picked_at") > F.col("now") - F.make_dt_interval(days=F.lit(settled_days)))
+    counted = picks.join(one).agg(F.max("now").alias("now"), F.max("picked_at").alias("_last"), F.count_if(local_day(F.col("picked_at")) == local_day(F.col("now"))).alias("_today"), F.count_if(done).alias("_settled"))
+    last = lines.agg(F.max("snapshot_at").alias("_last")).join(one)
+    return together([by_day.select(F.lit("lines").alias("name"), "day", "value"), row(by_day.agg(F.avg("value").alias("_mean")), "mean_lines", F.col("_mean")), row(last, "line_hours", hours("_last")), row(counted, "pick_hours", hours("_last")), row(counted, "picks_today", F.col("_today")), row(counted, "settled", F.col("_settled"))])
+
+
 def stuck(picks: DataFrame, result: str, day: str, as_of: Column, days: int = 2) -> DataFrame:
     """Open picks older than `days`."""
     return picks.where(F.col(result).isNull() & (F.datediff(as_of, day) > days)).agg(F.count("*").alias("stuck"))

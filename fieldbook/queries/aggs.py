@@ -145,6 +145,13 @@ def e20(s, d):
     return rounded(t).orderBy(F.desc("over_rate"), "player_id").limit(30)
 
 
+@query("e20_history_and_lines", f"with h as (select player_id, avg(quantity) as mean, avg(cast(quantity > 25 as int)) as over_rate, count(*) as games from ({LEDGER}) where line_id % 3 <> 0 group by 1 having count(*) >= 30), l as (select player_id, avg(quantity) as mean_line from ({LEDGER}) where line_id % 3 = 0 and decided >= date '2000-01-01' group by 1) select player_id, round(mean, 6) as mean, round(over_rate, 6) as over_rate, games, round(mean_line, 6) as mean_line from h join l using (player_id)")
+def e20_history(s, d):
+    rows = ledger(s, d)
+    lines = rows.where((C("line_id") % 3 == 0) & (C("decided") >= F.lit("2000-01-01").cast("date")))
+    return rounded(a.history_against_lines(rows.where("line_id % 3 <> 0"), lines, "player_id", "quantity", 25.0, "quantity"))
+
+
 @query("e21_row_counts", f"select sport, count(*) as n, min(decided) as first_day, max(decided) as last_day, round(stddev_samp(quantity), 6) as spread, count(*) filter (quantity < 10) as bin_0, count(*) filter (quantity >= 10 and quantity < 30) as bin_1_2, count(*) filter (quantity >= 30) as bin_3 from ({LEDGER}) group by 1")
 def e21(s, d):
     b = F.width_bucket(C("quantity"), F.lit(0.0), F.lit(60.0), F.lit(6))

@@ -202,6 +202,24 @@ def d16(s, d):
     return t.join(t.groupBy("season_key").agg(F.count("*").alias("season_orders")), "season_key")
 
 
+#: Orders as player rows: the customer plays for a team of fifty; seasons as a year or as two, urgent orders in the play-offs. Play types by team and by player come from the lines.
+PLAYED = "select o_orderkey, o_custkey % 50 as team_ext, o_custkey as player_ext, cast(year(o_orderdate) + 10 as varchar) || case when o_orderkey % 2 = 0 then '' else '-' || substr(cast(year(o_orderdate) + 11 as varchar), 3, 2) end as season, case o_orderpriority when '1-URGENT' then 'playoffs' when '2-HIGH' then 'play_in' else 'regular' end as season_type from orders"
+TYPES = "select {} as id, year(l_shipdate) as y, case when l_returnflag = 'R' then 'Playoffs' else 'Regular Season' end as part, round(avg(l_discount), 6) as share from lineitem group by 1, 2, 3"
+
+
+@query("d16_play_types", f"with r as ({PLAYED}), k as (select *, cast(substr(season, 1, 4) as bigint) - 10 as y, case when season_type in ('playoffs', 'play_in') then 'Playoffs' else 'Regular Season' end as part from r), t as ({TYPES.format('l_suppkey % 50')}), p as ({TYPES.format('l_partkey')}) select o_orderkey, t.share as team_share, p.share as player_share from k left join t on t.id = team_ext and t.y = k.y and t.part = k.part left join p on p.id = player_ext and p.y = k.y and p.part = k.part where t.share is not null or p.share is not null")
+def d16_types(s, d):
+    year = F.year("o_orderdate") + 10  # in this century, as the seasons' names ask
+    season = F.when(C("o_orderkey") % 2 == 0, year.cast("string")).otherwise(F.concat_ws("-", year.cast("string"), F.substring((year + 1).cast("string"), 3, 2)))
+    kind = F.when(C("o_orderpriority") == "1-URGENT", "playoffs").when(C("o_orderpriority") == "2-HIGH", "play_in").otherwise("regular")
+    rows = table(s, d, "orders").select("o_orderkey", (C("o_custkey") % 50).alias("team_ext"), C("o_custkey").alias("player_ext"), season.alias("season"), kind.alias("season_type"))
+    line, ship = table(s, d, "lineitem"), F.year("l_shipdate") + 10
+    part = F.when(C("l_returnflag") == "R", "Playoffs").otherwise("Regular Season")
+    types = lambda key, name, share: line.groupBy(key.alias(name), F.concat_ws("-", ship.cast("string"), F.substring((ship + 1).cast("string"), 3, 2)).alias("season"), part.alias("part")).agg(F.round(F.avg("l_discount"), 6).alias(share))
+    out = features.play_types(rows, types(C("l_suppkey") % 50, "team_ext", "team_share"), types(C("l_partkey"), "player_ext", "player_share"))
+    return out.select("o_orderkey", "team_share", "player_share")
+
+
 @query("d17_weather", "select o_orderkey, coalesce(s_acctbal, 0) as wind from orders left join supplier on o_custkey = s_suppkey")
 def d17(s, d):
     wx = table(s, d, "supplier").select(C("s_suppkey").alias("o_custkey"), "s_acctbal")
@@ -224,10 +242,21 @@ def d19(s, d):
     return rounded(t.select("pick_id", C("quantity").alias("actual"), (C("model_prob") * 30).alias("predicted")))
 
 
-@query("d20_backtest_rows", f"select player_game_id, case position when 'A' then points when 'N' then assists else turnovers end as actual from ({DENSE}) where minutes >= 2")
+#: Quotes on three stats and a combined one; box scores by order and supplier, whose stats are sums of the lines.
+BOXES = "select l_orderkey as game_id, l_suppkey as player_id, 3 * count(*) + min(l_linenumber) + 6 as minutes, sum(l_quantity) as points, sum(case when l_returnflag <> 'N' then l_tax * 100 end) as rebounds, sum(l_discount * 100) as assists from lineitem group by 1, 2"
+
+
+@query("d20_backtest_rows", f"""with b as ({BOXES}), o as (select game_id, player_id, ['points', 'rebounds', 'assists', 'pts_rebs', 'turnovers'][line_id % 5 + 1] as stat_type, quantity as line_value, case when line_id % 11 <> 0 then market_prob end as over_prob, 'b' || line_id % 3 as book from ({LEDGER}))
+select cast(o_orderdate as date) as game_date, game_id, player_id, s_name as player_name, stat_type, line_value, over_prob, book, minutes, round(case stat_type when 'points' then points when 'rebounds' then rebounds when 'assists' then assists when 'pts_rebs' then points + rebounds end, 6) as actual from o join b using (game_id, player_id) join orders on o_orderkey = game_id join supplier on s_suppkey = player_id where o_orderstatus = 'F' and o_orderdate >= date '1997-01-01' and minutes >= 10 and over_prob is not null""")
 def d20(s, d):
-    stats = F.create_map(F.lit("A"), C("points"), F.lit("N"), C("assists").cast("double"), F.lit("R"), C("turnovers").cast("double"))
-    return dense_rows(s, d).where("minutes >= 2").select("player_game_id", F.try_element_at(stats, C("position")).alias("actual"))
+    line = table(s, d, "lineitem")
+    box = line.groupBy(C("l_orderkey").alias("game_id"), C("l_suppkey").alias("player_id")).agg((3 * F.count("*") + F.min("l_linenumber") + 6).alias("minutes"), F.sum("l_quantity").alias("p"), F.sum(F.when(C("l_returnflag") != "N", C("l_tax") * 100)).alias("r"), F.sum(C("l_discount") * 100).alias("a"))
+    box = box.select("game_id", "player_id", "minutes", F.create_map(F.lit("points"), C("p"), F.lit("rebounds"), C("r"), F.lit("assists"), C("a")).alias("stats"))
+    stat = F.element_at(F.array(*map(F.lit, ("points", "rebounds", "assists", "pts_rebs", "turnovers"))), (C("line_id") % 5 + 1).cast("int"))
+    odds = ledger(s, d).select("game_id", "player_id", stat.alias("stat_type"), C("quantity").alias("line_value"), F.when(C("line_id") % 11 != 0, C("market_prob")).alias("over_prob"), F.concat(F.lit("b"), C("line_id") % 3).alias("book"))
+    games = table(s, d, "orders").select(C("o_orderkey").alias("game_id"), C("o_orderdate").cast("date").alias("game_date"), F.when(C("o_orderstatus") == "F", "final").otherwise("live").alias("status"))
+    players = table(s, d, "supplier").select(C("s_suppkey").alias("player_id"), C("s_name").alias("player_name"))
+    return rounded(models.backtest_rows(odds, games, box, players, F.lit("1997-01-01").cast("date")))
 
 
 @query("d21_semi_and_anti", "select o_orderkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey) and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')")

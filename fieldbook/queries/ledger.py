@@ -280,14 +280,30 @@ def g27(s, d):
     return stuck(rows, "leg_result", "decided", F.lit("2001-08-02").cast("date"))
 
 
-@query("g28_board_rows", f"select pick_id, s_name || ' ' || direction || ' ' || cast(cast(quantity as bigint) as varchar) as label, n_name as region, coalesce(round(model_prob - market_prob, 6), 0) as edge from ({LEDGER}) join supplier on s_suppkey = player_id join nation on n_nationkey = s_nationkey where sport = 'A' and direction = 'over'")
-def g28(s, d):
-    from fieldbook.operators.joins import small
+#: A day's board: the picks of the last day but some; orders are the games, nations the teams, customers' orders the players' games.
+SHOWN = f"""t as (select *, case when pick_id % 13 = 0 then 'void' end as leg_result, case when pick_id % 17 <> 0 then 8 + line_id % 31 * 1.1 end as predicted_mean, round(model_prob - market_prob - 0.2, 6) as edge, (line_id % 21 - 10) / 100.0 as moved from ({LEDGER})), day as (select cast(max(o_orderdate) as date) - 1 as d from orders),
+ g as (select o_orderkey as game_id, case o_orderstatus when 'F' then 'mlb' when 'O' then 'nba' else 'nhl' end as sport, cast(o_orderdate as date) as game_date, o_custkey % 25 as home, o_custkey % 31 as away, case when o_orderkey % 3 <> 0 then (o_orderkey % 37 - 18) / 2.0 end as wind, o_orderkey % 10 = 0 as dome from orders),
+ past as (select player_id, stat_type, quantity as actual, row_number() over (partition by player_id, stat_type order by decided desc, game_id desc, pick_id desc) as r from ({LEDGER}), day where decided < d and settled = decided),
+ p as (select t.*, g.sport as league, home, away, wind, dome from t join g using (game_id), day where decided = d and game_date = d and coalesce(leg_result, '') <> 'void' and predicted_mean is not null and g.sport <> 'nhl'),
+ f as (select pick_id, count(*) filter (r <= 5 and actual <> quantity and (actual > quantity) = (direction = 'over')) as h5, count(*) filter (r <= 5 and actual <> quantity) as d5, count(*) filter (r <= 10 and actual <> quantity and (actual > quantity) = (direction = 'over')) as h10, count(*) filter (r <= 10 and actual <> quantity) as d10 from p left join past using (player_id, stat_type) group by 1),
+ b as (select p.*, h5, d5, h5 || '/' || d5 as l5, h10 || '/' || d10 as l10, 1 / (1 + exp(-(0.91 * ln(model_prob / (1 - model_prob)) - 0.013))) as shown from p join f using (pick_id)),
+ i as (select *, list_filter([case when d5 >= 3 and h5 / cast(d5 as double) >= 0.6 then 'hit ' || upper(direction) || ' ' || l5 || ' last 5' end, case when edge >= 0.05 then '+' || cast(round_even(edge * 100, 0) as bigint) || '% vs market' end, case when abs(moved) >= 0.05 and ((moved > 0 and direction = 'over') or (moved < 0 and direction = 'under')) then 'line moving your way' end], lambda x: x is not null) as bits from b)"""
+
 
-    rows = ledger(s, d).where("sport = 'A' and direction = 'over'")
-    teams = table(s, d, "supplier").join(small(table(s, d, "nation")), C("n_nationkey") == C("s_nationkey")).select(C("s_suppkey").alias("player_id"), "s_name", "n_name")
-    t = rows.join(teams, "player_id")
-    return t.select("pick_id", F.concat_ws(" ", "s_name", "direction", C("quantity").cast("bigint").cast("string")).alias("label"), C("n_name").alias("region"), r6(F.coalesce(C("model_prob") - C("market_prob"), F.lit(0.0))).alias("edge"))
+@query("g28_board_rows", f"with {SHOWN} select pick_id, league as sport, s_name as player, n.n_name as team, coalesce(a.n_name, '?') || ' @ ' || coalesce(h.n_name, '?') as matchup, stat_type, direction, quantity as line_value, round(predicted_mean, 6) as predicted_mean, round(100 * (predicted_mean - quantity) / quantity, 6) as edge_pct, case when dome then 'dome (neutral)' when wind >= 5 then 'wind out +' || cast(round_even(wind, 0) as bigint) when wind <= -5 then 'wind in ' || cast(round_even(wind, 0) as bigint) when wind is not null then 'calm' end as weather, l5, l10, case when len(bits) > 0 then array_to_string(bits, ' · ') else 'model ' || cast(round_even(shown * 100, 0) as bigint) || '% confident' end as insight from i join supplier on s_suppkey = player_id left join nation n on n.n_nationkey = s_nationkey left join nation h on h.n_nationkey = home left join nation a on a.n_nationkey = away")
+def g28(s, d):
+    rows, o, sup = ledger(s, d), table(s, d, "orders"), table(s, d, "supplier")
+    pick = C("pick_id")
+    picks = rows.withColumns({"leg_result": F.when(pick % 13 == 0, "void"), "predicted_mean": F.when(pick % 17 != 0, 8 + C("line_id") % 31 * 1.1), "edge": F.round(C("model_prob") - C("market_prob") - 0.2, 6), "line_movement": (C("line_id") % 21 - 10) / 100.0, "line_value": C("quantity"), "picked_on": C("decided")}).drop("sport")
+    league = F.when(C("o_orderstatus") == "F", "mlb").when(C("o_orderstatus") == "O", "nba").otherwise("nhl")
+    games = o.select(C("o_orderkey").alias("game_id"), league.alias("sport"), C("o_orderdate").cast("date").alias("game_date"), (C("o_custkey") % 25).alias("home_team_id"), (C("o_custkey") % 31).alias("away_team_id"))
+    weather = o.select(C("o_orderkey").alias("game_id"), F.when(C("o_orderkey") % 3 != 0, (C("o_orderkey") % 37 - 18) / 2.0).alias("wind_out"), (C("o_orderkey") % 10 == 0).alias("is_dome"))
+    teams = table(s, d, "nation").select(C("n_nationkey").alias("team_id"), C("n_name").alias("team"))
+    players = sup.select(C("s_suppkey").alias("player_id"), C("s_name").alias("player"), C("s_nationkey").alias("team_id"))
+    last = o.agg(F.date_sub(F.max(C("o_orderdate").cast("date")), 1).alias("d")).first()["d"]
+    actuals = rows.where((C("decided") < F.lit(last)) & (C("settled") == C("decided"))).select("player_id", "stat_type", C("decided").alias("game_date"), F.struct("game_id", "pick_id").alias("game_id"), C("quantity").alias("actual"))
+    boards = [board.board_rows(picks, players, teams, games, weather, actuals, F.lit(last), league=x, stats=("O", "F"), display=(0.91, -0.013)) for x in ("MLB", "nba")]
+    return rounded(boards[0].unionByName(boards[1]))
 
 
 @query("g29_active_players", f"with l as (select player_id, max_by(sport, (decided, pick_id)) as sport, max(decided) as last from ({LEDGER}) group by 1), m as (select sport, max(last) as newest from l group by 1) select player_id, l.sport, last from l join m using (sport) where datediff('day', last, newest) <= 150")

@@ -99,3 +99,15 @@ def a11(s, d):
     tables.write_slice(o, path, ["o_orderstatus"])
     tables.write_slice(o.where("o_orderstatus = 'F' and o_orderkey % 2 = 0").withColumn("price", C("price") + 1), path, ["o_orderstatus"])
     return s.read.parquet(path).select("o_orderkey", "o_orderstatus", r6("price").alias("price"))
+
+
+DRIFT = "case event_id % 7 when 0 then props when 1 then replace(replace(props, ': ', ': \"'), '}', '\"}') when 2 then '{\"k\": \"x\"}' when 3 then 'k=' || event_id when 4 then '[1, 2]' when 6 then '{\"j\": 1}' end"
+
+
+@query("b01_typed_payloads", f"with t as (select event_id, {DRIFT} as p from events) select event_id, case event_id % 7 when 2 then 'type k' when 3 then 'not json' when 4 then 'not an object' when 5 then 'null' when 6 then 'missing k' end as reason, case when event_id % 7 <= 1 then cast(json_extract_string(p, '$.k') as double) end as k from t")
+def b01_typed(s, d):
+    k = C("event_id") % 7
+    quoted = F.regexp_replace(F.regexp_replace("props", ": ", ': "'), "\\}", '"}')
+    raw = table(s, d, "events").select("event_id", F.when(k == 0, C("props")).when(k == 1, quoted).when(k == 2, F.lit('{"k": "x"}')).when(k == 3, F.concat(F.lit("k="), "event_id")).when(k == 4, F.lit("[1, 2]")).when(k == 6, F.lit('{"j": 1}')).alias("payload"))
+    good, bad = p.typed_payloads(raw, "payload", {"k": "double"}, ["k"])
+    return good.select("event_id", F.lit(None).cast("string").alias("reason"), "k").unionByName(bad.select("event_id", "reason", F.lit(None).cast("double").alias("k")))

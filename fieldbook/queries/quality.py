@@ -4,22 +4,39 @@ from pyspark.sql import functions as F
 
 from fieldbook.operators import aggs
 from fieldbook.plans import quality as q
-from fieldbook.queries.aggs import VOLUME
 from fieldbook.queries.base import DENSE, LEDGER, dense_rows, ledger, query, rounded, table
+from fieldbook.session import fresh_folder
+from fieldbook.sources.tables import write_observed
 
 C = F.col
 
 
-@query("j01_monitor", f"""with n as (select max(ts) as now from events), f as (select event_type, (epoch(now) - epoch(max(ts))) / 3600 as age from events, n group by 1, now), v as ({VOLUME}), t as (select *, avg(board) over (order by day range between interval 7 days preceding and interval 1 day preceding) as m from v)
+#: Two days of the events are nearly gone; users stand for players and, by fifteens, for games.
+THINNED = "select * from events where not (day(ts) = 10 and event_id % 12 <> 0) and not (day(ts) = 20 and event_id % 30 <> 0)"
+
+
+@query("j01_monitor", f"""with e as ({THINNED}), n as (select max(ts) as now from e), f as (select event_type, (floor(epoch(now)) - floor(epoch(max(ts)))) / 3600 as age from e, n group by 1, now), v as (select cast(ts as date) as day, count(distinct (user_id, event_type)) as board, count(distinct user_id % 15) as games from e group by 1),
+ t as (select *, board / games as each, avg(board) over w as m, avg(board / games) over w as u from v window w as (order by day range between interval 7 days preceding and interval 1 day preceding)), inj as (select (floor(epoch(now)) - floor(epoch(max(ts) filter (event_type = 'error' and day(ts) < 28)))) / 3600 as age from e, n group by now)
 select 'error' as level, 'stale' as name, event_type as detail, round(age, 3) as value from f where age > 0.2 union all select 'warn', 'finals_without_box', o_orderpriority, count(*) from orders where o_orderstatus = 'F' and o_orderkey not in (select l_orderkey from lineitem) group by o_orderpriority
-union all select 'warn', 'thin_day', cast(day as varchar), round(board / m, 3) from t where board < 0.95 * m""".replace("(epoch(now) - epoch(max(ts)))", "(floor(epoch(now)) - floor(epoch(max(ts))))"))
+union all select 'warn', 'slate_thin', cast(day as varchar) || case when board < 0.1 * m then ' feed broken' else ' thin' end, round(each, 3) from t where m >= 50 and (board < 0.1 * m or each < 0.3 * u) union all select 'warn', 'injuries_stale', 'injuries', round(age, 3) from inj where age is null or age > 40""")
 def j01(s, d):
-    e = table(s, d, "events")
-    stale = q.freshness(e, "event_type", "ts", e.agg(F.max("ts").cast("timestamp").alias("now")), 0.2, "stale")
+    day = F.dayofmonth("ts")
+    e = table(s, d, "events").where(~((day == 10) & (C("event_id") % 12 != 0)) & ~((day == 20) & (C("event_id") % 30 != 0)))
+    now = e.agg(F.max("ts").cast("timestamp").alias("now"))
+    stale = q.freshness(e, "event_type", "ts", now, 0.2, "stale")
     o = table(s, d, "orders").where("o_orderstatus = 'F'").select(C("o_orderkey").alias("g"), "o_orderpriority")
     box = q.missing_box(o, table(s, d, "lineitem").select(C("l_orderkey").alias("g")), "g", "o_orderpriority")
-    thin = q.thin_days(q.board_volume(e, C("ts").cast("date"), "user_id", "event_type", "user_id"), share=0.95)
-    return q.together([stale, box, thin]).withColumn("value", F.round("value", 3))
+    thin = q.thin_days(q.board_volume(e.withColumn("game", C("user_id") % 15), C("ts").cast("date"), "user_id", "event_type", "game"))
+    return q.together([stale, box, thin, q.cold_injuries(e.where((C("event_type") == "error") & (day < 28)), "ts", now)]).withColumn("value", F.round("value", 3))
+
+
+@query("j01_write_metrics", "with t as (select cast(ts as timestamp) as ts, case when event_id % 50 <> 0 then value end as v from events where day(ts) < 29), n as (select max(ts) as now from events) select 'warn' as level, 'empty_values' as name, 'rows' as detail, cast(count(*) as double) as value from t where v is null having count(*) > 0 union all select 'warn', 'old_rows', 'newest', round((floor(epoch(max(now))) - floor(epoch(max(ts)))) / 3600, 3) from t, n having (floor(epoch(max(now))) - floor(epoch(max(ts)))) / 3600 > 18")
+def j01_written(s, d):
+    e = table(s, d, "events").withColumn("ts", C("ts").cast("timestamp"))
+    now = e.agg(F.max("ts").alias("now"))
+    rows = e.where(F.dayofmonth("ts") < 29).select("event_id", "event_type", "ts", F.when(C("event_id") % 50 != 0, C("value")).alias("value"))
+    got = write_observed(rows, fresh_folder(s, "observed"), ["event_type"], {"rows": F.count(F.lit(1)), "empty": F.count_if(C("value").isNull()), "newest": F.max("ts")})
+    return q.written_findings(s, got, now, 18.0).withColumn("value", F.round("value", 3))
 
 
 @query("j02_audit", f"""with t as ({DENSE})
@@ -89,3 +106,15 @@ def j04(s, d):
     e = table(s, d, "events").withColumn("ts", C("ts").cast("timestamp"))
     now = F.broadcast(e.agg(F.max("ts").alias("now")))
     return rounded(q.activity(e.join(now), C("ts").cast("date"), "ts", F.max("now")))
+
+
+@query("j04_usage", f"""with n as (select max(ts) as now from events), l as (select cast(timezone('America/Los_Angeles', timezone('UTC', ts)) as date) as day, user_id, event_type from events, n where ts > now - interval 10 days), v as (select day, cast(count(distinct (user_id, event_type)) as double) as value from l group by 1),
+ pn as (select timestamp '2001-07-31 20:00:00' as pnow), p as (select decided + to_hours(pick_id % 24) as picked_at, case when pick_id % 7 = 0 then 'void' when win = 1 then 'win' else 'loss' end as r from ({LEDGER}))
+select 'lines' as name, day, value from v union all select 'mean_lines', null, round(avg(value), 6) from v union all select 'line_hours', null, round((floor(epoch(max(now))) - floor(epoch(max(ts)))) / 3600, 6) from events, n
+union all select 'pick_hours', null, round((floor(epoch(now)) - floor(epoch((select max(picked_at) from p)))) / 3600, 6) from n union all select 'picks_today', null, count(*) from p, n where cast(timezone('America/Los_Angeles', timezone('UTC', picked_at)) as date) = cast(timezone('America/Los_Angeles', timezone('UTC', now)) as date)
+union all select 'settled', null, count(*) from p, n where r in ('win', 'loss') and picked_at > now - interval 7 days""".replace("pn as (select timestamp '2001-07-31 20:00:00' as pnow), ", ""))
+def j04_usage(s, d):
+    e = table(s, d, "events").select(C("user_id").alias("player_id"), C("event_type").alias("stat_type"), C("ts").cast("timestamp").alias("snapshot_at"))
+    now = e.agg(F.max("snapshot_at").alias("now"))
+    picks = ledger(s, d).select((C("decided").cast("timestamp") + F.make_dt_interval(hours=(C("pick_id") % 24).cast("int"))).alias("picked_at"), F.when(C("pick_id") % 7 == 0, "void").when(C("win") == 1, "win").otherwise("loss").alias("leg_result"))
+    return rounded(q.usage(e, picks, now))

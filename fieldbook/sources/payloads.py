@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import made_attempted, minutes, no_vig
+from fieldbook.session import saved
 
 LINES = "data array<struct<id:string,attributes:struct<line_score:double,stat_type:string,odds_type:string,is_promo:boolean,status:string,start_time:string>,relationships:struct<player:struct<id:string>,league:struct<id:string>>>>, included array<struct<type:string,id:string,attributes:struct<name:string,team:string>>>"
 ODDS = "event_id string, bookmakers array<struct<key:string,markets:array<struct<key:string,outcomes:array<struct<name:string,description:string,point:double,price:int>>>>>>"
@@ -22,6 +23,27 @@ def parse(raw: DataFrame, column: str, ddl: str) -> DataFrame:
     return raw.select("*", F.from_json(column, ddl).alias("_p")).select(*[c for c in raw.columns if c != column], "_p.*")
 
 
+def typed_payloads(raw: DataFrame, column: str, fields: Mapping[str, str], required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) from one read of JSON texts whose fields may change their type: rows with the typed fields, and the others with a `reason`.
+
+    Texts become VARIANT, so '12' and 12 are both a number. Reasons: `null`; `not json`; `not an object`; `missing <field>` for a required field
+    that isn't there or is null; `type <field>` for one that can't be cast. The first in this order, then in the order of fields, counts.
+    Each row is in one of the two.
+    """
+    v = F.try_parse_json(F.col(column))
+    rows = raw.withColumn("_v", v)
+    path = lambda f: f"$.{f}"
+    rows = rows.withColumns({f"_raw_{f}": F.try_variant_get("_v", path(f), "string") for f in fields} | {f"_{f}": F.try_variant_get("_v", path(f), kind) for f, kind in fields.items()})
+    reason = F.when(F.col(column).isNull(), "null").when(F.col("_v").isNull(), "not json").when(~F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.lit(False)), "not an object")
+    for f in fields:
+        gone = F.coalesce(F.is_variant_null(F.try_variant_get("_v", path(f), "variant")), F.lit(True)) | F.try_variant_get("_v", path(f), "variant").isNull()
+        reason = reason.when(gone, f"missing {f}" if f in required else None) if f in required else reason
+        reason = reason.when(~gone & F.col(f"_{f}").isNull(), f"type {f}")
+    rows = saved(rows.select(*raw.columns, *[F.col(f"_{f}").alias(f"_{f}") for f in fields], reason.alias("reason")))
+    good = rows.where("reason is null").select(*[c for c in raw.columns if c != column], *[F.col(f"_{f}").alias(f) for f in fields])
+    return good, rows.where("reason is not null").select(*raw.columns, "reason")
+
+
 def flatten_lines(payload: DataFrame, leagues: Mapping[str, str], stats: Mapping[str, str]) -> DataFrame:
     """Lines of known leagues and stats, one player each, neither promotions nor live; `payload` has a payload_id and the LINES columns."""
     data = payload.select("payload_id", F.explode("data").alias("d"))

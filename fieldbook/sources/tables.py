@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -69,6 +69,13 @@ def write_slice(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
     df.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, partitions: Sequence[str], metrics: Mapping[str, Column]) -> dict[str, object]:
+    """`write_slice`, and aggregates of the rows that were taken while they were written, so that a monitor needs no second scan."""
+    seen = Observation()
+    write_slice(df.observe(seen, *[c.alias(n) for n, c in metrics.items()]), path, partitions)
+    return dict(seen.get)
+
+
 def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
