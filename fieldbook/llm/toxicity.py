@@ -130,7 +130,9 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[i]] + (p[order[i + 1]] if i + 1 < len(p) else 0.0)) / 2, 0.05, 0.95))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3, dims: int = DIMS) -> Chain:
+def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: int = 3, dims: int = DIMS, derived: dict[int, int] | None = None) -> Chain:
+    """derived: the number of a category that is the severe rows of another one. A fold's model derives it from the rows that it is fitted on."""
+    derived = derived or {}
     fold = np.random.default_rng(0).permutation(len(rows)) % folds
     before = np.zeros((len(rows), 0))
     models, limits = [], []
@@ -139,7 +141,8 @@ def train(rows: list[np.ndarray], labels: np.ndarray, names: list[str], folds: i
         for f in range(folds):
             inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
             if len(outside):
-                m = fit([rows[i] for i in inside], before[inside], y[inside], dims)
+                own = [rows[i] for i in inside]
+                m = fit(own, before[inside], severe(own, labels[inside, derived[k]], dims).astype(float) if k in derived else y[inside], dims)
                 out[outside] = m.logit([rows[i] for i in outside], before[outside])
         out = np.clip(out, -8, 8)
         models.append(fit(rows, before, y, dims))
@@ -173,7 +176,7 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] =
     given = [n for n in names if n not in derived]
     rows, y = training_rows(docs, labels, given, id_col, text_col, label_id, sample)
     table = np.column_stack([severe(rows, y[:, given.index(derived[n])]) if n in derived else y[:, given.index(n)] for n in names]) if len(rows) else np.zeros((0, len(names)), int)
-    chain = train(rows, table, list(names))
+    chain = train(rows, table, list(names), derived={names.index(n): names.index(of) for n, of in derived.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:

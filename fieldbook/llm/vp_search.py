@@ -9,8 +9,8 @@ the distance of the k-th best point so far. The bound is multiplied by `factor`:
 more prunes more. In a leaf all points are compared. A tree holds each distinct vector of its shard once, with its k + 1 smallest ids beside it
 (all have one score, and one may be the query itself, so further copies can't be among the k best).
 
-Queries are packed into blocks of at most `BLOCK`; each block goes to all shards, which is what moves (the trees stay), and a
-task's rows are pairs of a tree and a block. Each shard's k best of a query meet in a window by query.
+There are as many shards as there are shuffle partitions, but of `LEAST` vectors or more and `SHARD` at most. Queries are packed into blocks
+of at most `BLOCK`; each block goes to all shards. A task gets a shard's tree once, then its blocks one by one. Each shard's k best of a query meet in a window by query.
 
 Scores are computed anew from the original vectors in double precision. Vectors that are null, zero, or hold a null or
 non-finite component take no part, nor do rows without an id; vectors of another length than the query's
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fieldbook.llm.common import arrow_map, saved
+from fieldbook.llm.common import arrow_map, partitions, saved
 
-LEAF, SHARD, BLOCK = 512, 50_000, 5_000
+LEAF, SHARD, LEAST, BLOCK = 512, 50_000, 2_000, 5_000
 
 
 class Tree:
@@ -134,7 +134,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
     rows = clean(vectors)
     asked = clean(queries).groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     n, top = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards, top = max(1, -(-n // SHARD)), top or 0.0
+    shards, top = max(1, -(-n // SHARD), min(partitions(vectors.sparkSession), n // LEAST)), top or 0.0
 
     def build(table: pa.Table) -> pa.Table:
         x = np.asarray(table["v"].combine_chunks().flatten(), np.float64).reshape(len(table), -1)
@@ -162,19 +162,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", v
             yield full(dim)
 
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    blocks = arrow_map(asked.select("id", "v", "dim"), pack, "qdim int, ids binary, q binary").withColumn("qshard", every)
+    blocks = arrow_map(asked.select("id", "v", "dim"), pack, "qdim int, ids binary, q binary").select(F.col("qdim").alias("dim"), every.alias("shard"), F.lit(None).cast("binary").alias("tree"), "ids", "q")
+    # a tree, which has no ids beside it, stands before its blocks
+    none = F.lit(None).cast("binary")
+    both = trees.select("dim", "shard", "tree", none.alias("ids"), none.alias("q")).unionByName(blocks)
+    both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("ids").isNotNull())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         name, tree = None, None
         for b in batches:
             for i in range(len(b)):
-                if name != (mine := (b.column(0)[i].as_py(), b.column(1)[i].as_py())):
-                    name, tree = mine, pickle.loads(b.column(2)[i].as_buffer())
+                mine = (b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                if (packed := b.column(2)[i]).is_valid:
+                    name, tree = mine, pickle.loads(packed.as_buffer())
+                    continue
+                if name != mine:  # a shard without vectors of this length
+                    continue
                 ask, q = np.frombuffer(b.column(3)[i].as_buffer(), np.int64), np.frombuffer(b.column(4)[i].as_buffer(), np.float64).reshape(-1, mine[0])
                 got = list(found(*tree, ask, q, k, factor))
                 yield {"query_id": np.repeat(ask, [len(x) for x, _ in got]), "vec_id": np.concatenate([x for x, _ in got]), "score": np.concatenate([s for _, s in got])}
 
-    both = trees.join(blocks, (F.col("dim") == F.col("qdim")) & (F.col("shard") == F.col("qshard"))).select("dim", "shard", "tree", "ids", "q")
     both = arrow_map(both, search, "query_id bigint, vec_id bigint, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
