@@ -254,3 +254,98 @@ def test_tree_prunes_and_covers():
 
 def test_vector_codes_of_nothing(spark):
     assert codes_of(spark, []) == [] and codes_of(spark, [(1, None, 1)]) == []
+
+
+# --- earlier operators: recomputed scores, clashing columns, hot rows, long texts -------------------
+
+
+def rendezvous(key, weights):
+    import math
+
+    import xxhash
+
+    def u(shard):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
+        h = xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), seed=xxhash.xxh64_intdigest(b"shard", seed=seed))
+        signed = h - (1 << 64) if h >= 1 << 63 else h
+        return ((signed >> 12) + 2.0**51 + 0.5) / 2.0**52
+
+    return max((-w / math.log(u(i)), i) for i, w in enumerate(weights))[1]
+
+
+def test_shards_are_those_of_recomputed_scores(spark):
+    from fieldbook.llm import sharding
+
+    weights = [1.0, 2.0, 0.5, 1.0]
+    rows = [(i * 7919 - 500, f"text {i}") for i in range(400)] + [(None, "x")] * 30 + [(5, "same")] * 40 + [(5, None)] * 3
+    got = sharding.rendezvous_shards(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("shard", F.lit("clash")).withColumn("n", F.lit("clash")), weights).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["shard"] == rendezvous(r["doc_id"], weights)
+        assert r["grown_shard"] == rendezvous(r["doc_id"], [*weights, sum(weights) / 4])
+    for shard in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    want = sorted((i if i is not None else -1, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"], r["text_crc32"]) for r in got) == want
+
+
+def test_a_hot_record_is_written_by_chunks(spark, monkeypatch):
+    from fieldbook.llm import sharding
+
+    monkeypatch.setattr(sharding, "CHUNK", 7)
+    docs = spark.range(100).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.rendezvous_shards(docs, [1.0] * 3).collect()
+    assert len(got) == 100 and len({r["shard"] for r in got}) == 1 and sorted(r["slot"] for r in got) == list(range(100))
+
+
+@pytest.mark.parametrize("shards", [1, 5])
+def test_search_in_any_number_of_shards(spark, monkeypatch, shards):
+    from fieldbook.llm import vp_search
+
+    monkeypatch.setattr(vp_search, "SHARD", 10**6 if shards == 1 else 60)
+    monkeypatch.setattr(vp_search, "LEAST", 10**6)
+    monkeypatch.setattr(vp_search, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).astype(np.float32).tolist()) for i in range(300)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("id", F.lit("clash")).withColumn("shard", F.lit("clash")).withColumn("tree", F.lit(1)).withColumn("q", F.lit(1))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vp_search.nearest(df, df.where("vec_id % 20 = 0"), k=6, factor=1.0).collect()}
+    clean = {i: np.array(v, np.float64) for i, v in rows[:300]}
+    for ask in range(0, 300, 20):
+        best = sorted((-float((clean[ask] * v).sum()), i) for i, v in clean.items() if i != ask and len(v) == len(clean[ask]))[:6]
+        assert [got[ask, r][0] for r in range(1, 7)] == [i for _, i in best]
+
+
+def test_archives_of_pages_with_clashing_columns(spark):
+    from fieldbook.llm import warc
+
+    html = "<p>" + "long page " * 2000
+    rows = [(1, html), (2, html), (3, "short"), (4, "short"), (5, None), (None, html)]
+    df = spark.createDataFrame(rows, "page_id bigint, html string").withColumn("payload", F.lit("clash")).withColumn("record_type", F.lit(1)).withColumn("url", F.lit(None).cast("string"))
+    got = {r["page_id"]: r for r in warc.archived_pages(df).collect()}
+    assert got[2]["record_type"] == "revisit" and got[2]["refers_to"] == 1 and got[1]["record_type"] == got[3]["record_type"] == got[4]["record_type"] == "response"
+    assert got[5]["payload_bytes"] == 0 and got[1]["payload_digest"] == hashlib.sha256(html.encode()).hexdigest()
+
+
+def test_whole_long_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fieldbook.llm import ngram_join, packing, token_counts
+
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(12_000))
+    near = long.rsplit(" ", 900)[0] + " " + " ".join(f"z{i}" for i in range(900))
+    other = long.split(" ", 6000)[-1]
+    docs = spark.createDataFrame([(1, long), (2, near), (3, other), (4, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got[2][1] == got[1][1] == 1 and got[3][1] == 3 and got[4] == (0, 4) and got[1][0] > 11_000
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(str(path))
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()}
+    assert counts == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in [(1, long), (2, near), (3, other), (4, None)]}
+    pieces = packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    word = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    for i, t in [(1, long), (3, other), (4, "")]:
+        own = sorted((r["piece"], r["start"], r["length"]) for r in pieces if r["doc_id"] == i)
+        assert sum(n for *_, n in own) == len(word.encode(t, add_special_tokens=False).ids) + 1 and all(n == 2048 for *_, n in own[:-1])
