@@ -31,7 +31,7 @@ def with_block(df: DataFrame, time: str, blocks: int) -> DataFrame:
     at = seconds(df, time)
     span = df.agg(F.min(at).alias("_low"), F.max(at).alias("_high"))  # one row
     place = F.when(F.col("_high") > F.col("_low"), F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low")) * blocks))
-    return df.join(F.broadcast(span)).withColumn("_block", F.coalesce(F.least(place, F.lit(blocks - 1)), F.lit(0)).cast("int")).drop("_low", "_high")
+    return df.join(F.broadcast(span)).withColumn("_block", F.when(place.isNull(), 0).otherwise(F.least(place, F.lit(blocks - 1))).cast("int")).drop("_low", "_high")
 
 
 def as_of_blocked(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, columns: Sequence[str], inclusive: bool = True, blocks: int = BLOCKS) -> DataFrame:

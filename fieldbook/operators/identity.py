@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from fieldbook.functions.scalars import name_key
 from fieldbook.operators.joins import trigram_matches
-from fieldbook.session import saved
+from fieldbook.session import saved, written
 
 #: Fixed value: what external ids of placeholders begin with.
 PLACEHOLDER = "pp_"
@@ -89,11 +89,11 @@ def closed(mapping: DataFrame) -> DataFrame:
 
     An id that is mapped twice goes to its smallest target; ids that map in a circle go to the smallest id of it.
     """
-    rows = saved(mapping.where("from_id is not null and to_id is not null and from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")).withColumn("low", F.col("to_id")))
+    rows = written(mapping.where("from_id is not null and to_id is not null and from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")).withColumn("low", F.col("to_id")))
     most, steps = rows.count(), 1
     while True:
         on = rows.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("_next"), F.col("low").alias("_low"))
-        rows = saved(rows.join(on, "to_id", "left").select("from_id", F.coalesce("_next", "to_id").alias("to_id"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_next").isNotNull().alias("_open")))
+        rows = written(rows.join(on, "to_id", "left").select("from_id", F.coalesce("_next", "to_id").alias("to_id"), F.least("low", F.coalesce("_low", "low")).alias("low"), F.col("_next").isNotNull().alias("_open")))
         steps *= 2
         still = rows.where("_open").limit(1).count()
         rows = rows.drop("_open")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fieldbook.session import saved
+from fieldbook.session import saved, written
 
 BINS, FEW, LARGEST = 1024, 20_000, sys.float_info.max
 
@@ -31,7 +31,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float
     groups = rows.groupBy("_k").agg(F.count("*").alias("n"), F.min("_v").alias("a"), F.max("_v").alias("b"))
     place = lambda q: F.lit(float(q)) * (F.col("n") - 1)
     wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), (F.ceil(place(q)) if up else F.floor(place(q))).cast("bigint").alias("rank")) for i, q in enumerate(qs) for up in (0, 1)]))
-    open_, done = saved(groups.select("_k", "n", "a", "b", wanted.alias("w")).select("_k", "n", "a", "b", "w.*")), None
+    open_, done = written(groups.select("_k", "n", "a", "b", wanted.alias("w")).select("_k", "n", "a", "b", "w.*")), None
 
     def inside(ranges: DataFrame) -> DataFrame:
         """Values within the ranges, which don't overlap within a group: one row of a group's ranges meets its values, so they don't multiply."""
@@ -51,10 +51,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float
         new = large.join(cells, ["_k", "a", "b"]).where((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("c")))
         new = new.select("_k", F.col("c").alias("n"), F.col("low").alias("a"), F.col("high").alias("b"), "i", "up", (F.col("rank") - F.col("below")).alias("rank"))
         rest = open_.where(kind(few) != "many")
-        done = rest if done is None else saved(done.unionByName(rest))
-        open_ = saved(new)
+        done = rest if done is None else written(done.unionByName(rest))
+        open_ = written(new)
         sizes = {r["kind"] for r in open_.select(kind(few).alias("kind")).distinct().collect()}
-    every = open_ if done is None else saved(done.unionByName(open_))
+    every = open_ if done is None else done.unionByName(open_)
     found = every.where(kind(few) == "one").select("_k", "i", "up", F.col("a").alias("x"))
     some = every.where(kind(few) == "few")
     ranked = rows_in(rows, some).withColumn("rank", F.row_number().over(W.partitionBy("_k", "a", "b").orderBy("_v")) - 1)

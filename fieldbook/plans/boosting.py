@@ -71,6 +71,8 @@ def split(g: np.ndarray, h: np.ndarray, least: float) -> tuple[float, int, int]:
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = gl**2 / hl + (gt - gl) ** 2 / (ht - hl) - gt**2 / ht
     gain = np.where((hl >= least) & (ht - hl >= least), np.round(gain, 9), 0.0)
+    if not gain.size:
+        return 0.0, 0, 0
     at = int(gain.argmax())
     return float(gain.ravel()[at]), *divmod(at, gain.shape[1])
 

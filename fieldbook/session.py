@@ -46,3 +46,10 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows, computed once into the shared folder; what built them is not needed again. Spark deletes the files with the frame where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet into the shared folder and read again. For small tables of a loop: a checkpoint keeps the plan's estimated size, which joins would multiply round by round."""
+    path = fresh_folder(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
