@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from fieldbook.functions.counts import implied_mean, normal_quantiles, poisson_o
 from fieldbook.functions.scalars import BREAKEVEN, american_decimal, clip, joint_legs
 from fieldbook.operators.joins import main_line
 from fieldbook.operators.windows import top_per_key
+from fieldbook.session import saved
 
 #: Measured correlations of two legs: of one player's pairs of stats, of a stat and a combined one that holds it, of other pairs of one player, of teammates in a game.
 PAIR_RHO = {("hits", "total_bases"): 0.72, ("total_bases", "rbis"): 0.48, ("hits", "runs"): 0.38, ("points", "rebounds"): 0.34, ("rebounds", "assists"): 0.27, ("points", "assists"): 0.26}
@@ -92,17 +94,22 @@ def pair_table() -> dict[str, float]:
     return {"|".join(sorted(k)): v for k, v in (combos | PAIR_RHO).items()}
 
 
-def pair_rho(a: str, b: str, stats: str = "stat_type") -> Column:
-    """Correlation of the legs in structs a and b; opposite sides turn the sign.
+def pair_rho_of(a: Column, b: Column, stats: str = "stat_type") -> Column:
+    """Correlation of two legs (structs); opposite sides turn the sign.
 
     One player: by the pair of stats, 0 for one and the same stat. Different players: teammates in one game, else 0.
     """
-    x, y = F.col(f"{a}.{stats}"), F.col(f"{b}.{stats}")
+    x, y = a[stats], b[stats]
     table = F.create_map(*[F.lit(v) for kv in pair_table().items() for v in kv])
     own = F.when(x == y, 0.0).otherwise(F.coalesce(F.try_element_at(table, F.concat_ws("|", F.least(x, y), F.greatest(x, y))), F.lit(RHO_PLAYER)))
-    team = (F.col(f"{a}.game_id") == F.col(f"{b}.game_id")) & (F.col(f"{a}.team_id") == F.col(f"{b}.team_id"))
-    size = F.when(F.col(f"{a}.player_id") == F.col(f"{b}.player_id"), own).when(team, RHO_TEAM).otherwise(0.0)
-    return F.when(F.col(f"{a}.direction") == F.col(f"{b}.direction"), size).otherwise(0.0 - size)
+    team = (a["game_id"] == b["game_id"]) & (a["team_id"] == b["team_id"])
+    size = F.when(a["player_id"] == b["player_id"], own).when(team, RHO_TEAM).otherwise(0.0)
+    return F.when(a["direction"] == b["direction"], size).otherwise(0.0 - size)
+
+
+def pair_rho(a: str, b: str, stats: str = "stat_type") -> Column:
+    """The same of the structs in columns a and b."""
+    return pair_rho_of(F.col(a), F.col(b), stats)
 
 
 def candidates(legs: DataFrame, slate: str, top: int = CANDIDATES, least_edge: float = LEAST_EDGE) -> DataFrame:
@@ -114,29 +121,46 @@ def candidates(legs: DataFrame, slate: str, top: int = CANDIDATES, least_edge: f
     return ranked.withColumn("_i", F.row_number().over(W.partitionBy(slate).orderBy(*order))).where(F.col("_i") <= top).drop("_r", "_strong")
 
 
-def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top: int = CANDIDATES) -> DataFrame:
-    """All combinations of each slate's candidates: legs (ids), size, joint, ev, probs and rho (flat row-major).
+def slates_of(legs: DataFrame, slate: str, top: int = CANDIDATES) -> DataFrame:
+    """A row for each slate: its candidates in one array `_legs`, their number `_n` and the correlations of all pairs `_rho` (flat row-major)."""
+    one = candidates(legs, slate, top).select(slate, F.struct("_i", "leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob").alias("leg"))
+    pairs = F.flatten(F.transform("_legs", lambda a: F.transform("_legs", lambda b: pair_rho_of(a, b) + F.lit(0.0))))
+    return one.groupBy(slate).agg(F.array_sort(F.collect_list("leg")).alias("_legs")).withColumn("_n", F.size("_legs")).withColumn("_rho", pairs)
+
+
+def combined(slates: DataFrame, sizes: Sequence[int], top: int = CANDIDATES) -> DataFrame:
+    """The slates' rows once for each combination of candidates: size, the legs' places `_at`, their ids `legs`, joint, ev.
 
-    A slate gives C(16,2) + C(16,3) + C(16,4) = 2,500 combinations at most, so the self-joins inside a slate are bounded.
+    The combinations of places come from a constant table, so no leg is joined with another.
     """
-    one = candidates(legs, slate, top).select(slate, F.struct("_i", "leg_id", "player_id", "team_id", "game_id", "stat_type", "direction", "model_prob").alias("leg"))
-    out, rows = None, one.withColumnRenamed("leg", "l1")
-    for k in range(2, max(sizes) + 1):
-        rows = rows.join(one.withColumnRenamed("leg", f"l{k}"), slate).where(F.col(f"l{k}._i") > F.col(f"l{k - 1}._i"))
-        if k not in sizes:
-            continue
-        names = [f"l{i}" for i in range(1, k + 1)]
-        rho = {(i, j): pair_rho(names[i], names[j]) for i in range(k) for j in range(i + 1, k)}
-        matrix = [F.lit(1.0) if i == j else rho[min(i, j), max(i, j)] + F.lit(0.0) for i in range(k) for j in range(k)]
-        joint = joint_legs([F.col(f"{n}.model_prob") for n in names], rho)
-        got = rows.select(slate, F.lit(k).alias("size"), F.array(*[F.col(f"{n}.leg_id") for n in names]).alias("legs"), joint.alias("joint"), (MULTIPLIERS[k] * joint - 1).alias("ev"), F.array(*[F.col(f"{n}.model_prob") for n in names]).alias("probs"), F.array(*matrix).alias("rho"))
+    out = None
+    for k in sizes:
+        places = F.array(*[F.array(*map(F.lit, c)) for c in combinations(range(top), k)])
+        rows = slates.withColumn("_at", F.explode(places)).where(F.col("_at")[k - 1] < F.col("_n"))
+        rho = {(i, j): F.col("_rho")[F.col("_at")[i] * F.col("_n") + F.col("_at")[j]] for i in range(k) for j in range(i + 1, k)}
+        joint = joint_legs([F.col("_legs")[F.col("_at")[i]]["model_prob"] for i in range(k)], rho)
+        got = rows.withColumns({"size": F.lit(k), "legs": F.transform("_at", lambda i: F.col("_legs")[i]["leg_id"]), "joint": joint}).withColumn("ev", MULTIPLIERS[k] * F.col("joint") - 1)
         out = got if out is None else out.unionByName(got)
     return out
 
 
-def best_parlays(combos: DataFrame, slate: str, n: int = 10) -> DataFrame:
-    """The n combinations of each slate with the highest expected value, ties by their legs."""
-    return top_per_key(combos, [slate], [F.desc(F.round("ev", 9)), F.asc("legs")], n)
+def spelled(combos: DataFrame, slate: str) -> DataFrame:
+    """Combinations with the probs and the rho of their legs (flat row-major) instead of places."""
+    each = lambda f: F.transform("_at", f)
+    rho = F.flatten(each(lambda i: each(lambda j: F.when(i == j, 1.0).otherwise(F.col("_rho")[F.least(i, j) * F.col("_n") + F.greatest(i, j)]))))
+    return combos.select(slate, "size", "legs", "joint", "ev", each(lambda i: F.col("_legs")[i]["model_prob"]).alias("probs"), rho.alias("rho"))
+
+
+def parlays(legs: DataFrame, slate: str, sizes: Sequence[int] = (2, 3, 4), top: int = CANDIDATES) -> DataFrame:
+    """All combinations of each slate's candidates: legs (ids), size, joint, ev, probs and rho (flat row-major); C(16,2) + C(16,3) + C(16,4) = 2,500 of a slate at most."""
+    return spelled(combined(slates_of(legs, slate, top), sizes, top), slate)
+
+
+def top_parlays(legs: DataFrame, slate: str, n: int = 10, sizes: Sequence[int] = (2, 3, 4), top: int = CANDIDATES) -> DataFrame:
+    """The n combinations of each slate with the highest expected value, ties by their legs, as `parlays` has them; only those meet their slate's arrays again."""
+    slates = saved(slates_of(legs, slate, top))
+    best = top_per_key(combined(slates, sizes, top).select(slate, "size", "_at", "legs", "joint", "ev"), [slate], [F.desc(F.round("ev", 9)), F.asc("legs")], n)
+    return spelled(best.join(slates, slate), slate)
 
 
 def diversified(legs: DataFrame, slate: str, k: int) -> DataFrame:

@@ -97,7 +97,7 @@ PAYS = "case size when 2 then 3.0::double when 3 then 5.0::double else 10.0::dou
 
 @query("h07_parlays", f"with {TOP}, p as ({' union all '.join(map(parlay_sql, (2, 3, 4)))}), e as (select *, {PAYS} * joint - 1 as ev from p), r as (select *, row_number() over (partition by decided order by round(ev, 9) desc, legs) as k from e) select decided, cast(size as bigint) as size, array_to_string(legs, '-') as legs, round(joint, 10) as joint, round(ev, 10) as ev from r where k <= 10")
 def h07(s, d):
-    out = mk.best_parlays(mk.parlays(legs(s, d), "decided"), "decided")
+    out = mk.top_parlays(legs(s, d), "decided")
     joined = F.array_join(F.transform("legs", lambda x: x.cast("string")), "-")
     return out.select("decided", C("size").cast("bigint").alias("size"), joined.alias("legs"), F.round("joint", 10).alias("joint"), F.round("ev", 10).alias("ev"))
 

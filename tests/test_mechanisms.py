@@ -329,3 +329,63 @@ def test_null_keys_match(spark):
     a = spark.createDataFrame([(None, 1), ("x", 2), ("y", 3)], "k string, v int")
     b = spark.createDataFrame([(None, 10), ("x", 20)], "k string, w int")
     assert rows_of(aggs.matched(a, b, ["k"])) == sorted([(None, 1, 10), ("x", 2, 20), ("y", 3, None)], key=str)
+
+
+def test_slate_plan_is_greedy(spark):
+    rng = random.Random(6)
+    combos = []
+    for slate in ("x", "y"):
+        for size in (2, 3, 4):
+            for _ in range(25):
+                legs = sorted(rng.sample(range(9), size))
+                combos.append((slate, size, legs, 0.3, round(rng.uniform(-0.1, 0.3), 4)))
+    combos = list({(c[0], c[1], tuple(c[2])): c for c in combos}.values())
+    got = {(r["slate"], r["size"]): (r["legs"], round(r["score"], 9)) for r in market.slate_plan(spark.createDataFrame(combos, "slate string, size int, legs array<int>, joint double, ev double"), "slate").collect()}
+    want = {}
+    for slate in ("x", "y"):
+        used: set[int] = set()
+        for size in (4, 3, 2):
+            score, legs = max((c[4] - 0.04 * len(used & set(c[2])), [-x for x in c[2]]) for c in combos if c[0] == slate and c[1] == size)
+            want[slate, size] = ([-x for x in legs], round(score, 9))
+            used |= {-x for x in legs}
+    assert got == want
+
+
+def test_top_parlays_are_the_best_of_all(spark):
+    rng = random.Random(2)
+    stats = ["points", "rebounds", "pts_rebs", "hits"]
+    legs = [(s, 100 * s + i, rng.randrange(4), rng.randrange(2), rng.randrange(2), rng.choice(stats), rng.choice(["over", "under"]), round(rng.uniform(0.5, 0.8), 3), round(rng.uniform(0, 0.2), 3)) for s in range(3) for i in range(10 if s else 2)]
+    df = spark.createDataFrame(legs, "slate int, leg_id int, player_id int, team_id int, game_id int, stat_type string, direction string, model_prob double, edge double")
+    every, best = market.parlays(df, "slate").collect(), market.top_parlays(df, "slate", 5).collect()
+    for s in range(3):
+        order = sorted((r for r in every if r["slate"] == s), key=lambda r: (-round(r["ev"], 9), r["legs"]))[:5]
+        assert [r["legs"] for r in sorted((r for r in best if r["slate"] == s), key=lambda r: (-round(r["ev"], 9), r["legs"]))] == [r["legs"] for r in order]
+    kept = {r["leg_id"]: r for r in market.candidates(df, "slate").collect()}
+    for r in every:
+        p = [kept[i]["model_prob"] for i in r["legs"]]
+        assert p == r["probs"] and len(r["rho"]) == r["size"] ** 2
+        total = math.prod(p)
+        for i in range(len(p)):
+            for j in range(i + 1, len(p)):
+                rest = math.prod(x for k, x in enumerate(p) if k not in (i, j))
+                total += r["rho"][i * len(p) + j] * math.sqrt(p[i] * (1 - p[i]) * p[j] * (1 - p[j])) * rest
+        assert r["joint"] == pytest.approx(min(max(total, 0.01), 0.99))
+
+
+def test_line_calibration_pools_adjacent_violators(spark):
+    rng = np.random.default_rng(4)
+    mean = np.round(rng.uniform(2, 12, 700), 1)
+    actual = rng.poisson(mean * 0.8)
+    df = spark.createDataFrame([(float(m), float(a)) for m, a in zip(mean, actual, strict=True)], "predicted_mean double, y double")
+    model, rows = models.calibrate_lines(df, [3.5, 7.5], "y")
+    assert model is not None
+    cells = sorted((round(r["p"], 12), r["hits"], r["n"]) for r in rows.groupBy("p").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect())
+    pools: list[list[float]] = []
+    for _, hits, n in cells:
+        pools.append([hits, n, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            hits, n, k = pools.pop()
+            pools[-1] = [pools[-1][0] + hits, pools[-1][1] + n, pools[-1][2] + k]
+    want = [h / n for h, n, k in pools for _ in range(k)]
+    got = [r["c"] for r in model.transform(rows.select("p").distinct()).select("p", F.col("calibrated").alias("c")).orderBy("p").collect()]
+    assert got == pytest.approx(want, abs=1e-9)
