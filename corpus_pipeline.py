@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. `run` writes each
 stage's rows as Parquet into the shared folder and reads them again, so that a stage that loses executors
 starts from its predecessor's files. Each row is judged for itself: doc_ids may be null or repeated. quality and secrets carry
-the columns through their operators; near_duplicates and mix write the rows with a key of their own first.
+the columns through their operators; near_duplicates and mix go by the rows' places in their files.
 Null texts have no words, so quality drops them; empty tables go through all stages and give no pieces.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +26,19 @@ SMALL = 2_000_000
 
 
 def keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a key of their own, `_row`, written with them so that it stays the same."""
-    path = fresh_path(spark, "rows")
-    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(path)
-    return spark.read.parquet(path)
+    """The documents with a key of their own, `_row`: the file's number and the row's place in it, which stay the same whenever the files are read.
+
+    Documents that don't come straight from Parquet files are written with a key first.
+    """
+    try:
+        rows = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        path = fresh_path(spark, "rows")
+        docs.select(*COLUMNS, F.monotonically_increasing_id().alias("_row")).write.parquet(path)
+        return spark.read.parquet(path)
+    names = sorted(r["_file"] for r in rows.select("_file").distinct().collect())  # a row for each file
+    files = spark.createDataFrame(list(enumerate(names)), "_number bigint, _file string")
+    return rows.join(F.broadcast(files), "_file").select(*COLUMNS, (F.col("_number") * F.lit(1 << 40) + F.col("_at")).alias("_row"))
 
 
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
