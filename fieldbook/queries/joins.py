@@ -204,7 +204,7 @@ def d16(s, d):
 
 #: Orders as player rows: the customer plays for a team of fifty; seasons as a year or as two, urgent orders in the play-offs. Play types by team and by player come from the lines.
 PLAYED = "select o_orderkey, o_custkey % 50 as team_ext, o_custkey as player_ext, cast(year(o_orderdate) + 10 as varchar) || case when o_orderkey % 2 = 0 then '' else '-' || substr(cast(year(o_orderdate) + 11 as varchar), 3, 2) end as season, case o_orderpriority when '1-URGENT' then 'playoffs' when '2-HIGH' then 'play_in' else 'regular' end as season_type from orders"
-TYPES = "select {} as id, year(l_shipdate) as y, case when l_returnflag = 'R' then 'Playoffs' else 'Regular Season' end as part, round(avg(l_discount), 6) as share from lineitem group by 1, 2, 3"
+TYPES = "select {} as id, year(l_shipdate) as y, case when l_returnflag = 'R' then 'Playoffs' else 'Regular Season' end as part, round(sum(l_discount), 6) as share from lineitem group by 1, 2, 3"
 
 
 @query("d16_play_types", f"with r as ({PLAYED}), k as (select *, cast(substr(season, 1, 4) as bigint) - 10 as y, case when season_type in ('playoffs', 'play_in') then 'Playoffs' else 'Regular Season' end as part from r), t as ({TYPES.format('l_suppkey % 50')}), p as ({TYPES.format('l_partkey')}) select o_orderkey, t.share as team_share, p.share as player_share from k left join t on t.id = team_ext and t.y = k.y and t.part = k.part left join p on p.id = player_ext and p.y = k.y and p.part = k.part where t.share is not null or p.share is not null")
@@ -215,7 +215,7 @@ def d16_types(s, d):
     rows = table(s, d, "orders").select("o_orderkey", (C("o_custkey") % 50).alias("team_ext"), C("o_custkey").alias("player_ext"), season.alias("season"), kind.alias("season_type"))
     line, ship = table(s, d, "lineitem"), F.year("l_shipdate") + 10
     part = F.when(C("l_returnflag") == "R", "Playoffs").otherwise("Regular Season")
-    types = lambda key, name, share: line.groupBy(key.alias(name), F.concat_ws("-", ship.cast("string"), F.substring((ship + 1).cast("string"), 3, 2)).alias("season"), part.alias("part")).agg(F.round(F.avg("l_discount"), 6).alias(share))
+    types = lambda key, name, share: line.groupBy(key.alias(name), F.concat_ws("-", ship.cast("string"), F.substring((ship + 1).cast("string"), 3, 2)).alias("season"), part.alias("part")).agg(F.round(F.sum("l_discount"), 6).alias(share))
     out = features.play_types(rows, types(C("l_suppkey") % 50, "team_ext", "team_share"), types(C("l_partkey"), "player_ext", "player_share"))
     return out.select("o_orderkey", "team_share", "player_share")
 
