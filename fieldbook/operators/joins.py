@@ -140,24 +140,31 @@ def absences(played: DataFrame, *, player: str, team: str, game: str, day: str,
     """For each team and game with absent players: their number, the top one and his recent means, what all leave free, and their share of the rotation's minutes.
 
     Rotation: players of the team with a mean of `least_minutes` or more over their games of the `days` before, of `floor` minutes
-    or more each. Recent means (`top_*`, summed as `freed_*`) are of a player's last games before the day, for any team. Rows become
-    sums by player and day first, and the range join is on blocks of `days` days, so a team's day meets two blocks of its sums.
+    or more each. Recent means (`top_*`, summed as `freed_*`) are of a player's last games before the day, for any team. The range join is
+    on blocks of `days` days: a player's game stands in its block and the next one, so a game meets its whole window in its own
+    block, and the rotation is built where that join left it. Each recent row stands for the days up to the player's next one, no more than `days`
+    of them, as nobody is in a rotation longer after a game: so it is found by player and day, and the rotation is computed once.
     """
     rows = played.where(F.col(minutes) >= floor)
     block = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
-    hist = rows.groupBy(team, F.col(player).alias("_p"), F.col(day).alias("_pd")).agg(F.sum(minutes).alias("_m"), F.count("*").alias("_n")).withColumn("_b", block("_pd"))
-    games = played.groupBy(team, game).agg(F.min(day).alias("_gd"))
-    asked = games.select(team, "_gd").distinct().withColumn("_b", F.explode(F.array(block("_gd"), block("_gd") - 1)))
+    hist = rows.select(team, F.col(player).alias("_p"), F.col(day).alias("_pd"), F.col(minutes).alias("_m")).withColumn("_b", F.explode(F.array(block("_pd"), block("_pd") + 1)))
+    here = F.collect_set(F.when(F.col(minutes) >= floor, F.col(player)))
+    games = played.groupBy(team, game).agg(F.min(day).alias("_gd"), here.alias("_here")).withColumn("_b", block("_gd"))
     gap = F.datediff("_gd", "_pd")
-    rotation = asked.join(hist, [team, "_b"]).where((gap >= 1) & (gap <= days)).groupBy(team, "_gd", "_p").agg((F.sum("_m") / F.sum("_n")).alias("_mean")).where(F.col("_mean") >= least_minutes)
-    rotation = rotation.withColumn("_all", F.sum("_mean").over(W.partitionBy(team, "_gd")))
-    gone = games.join(rotation, [team, "_gd"]).join(rows.select(team, game, F.col(player).alias("_p")).distinct(), [team, game, "_p"], "left_anti")
+    met = games.join(hist, [team, "_b"]).where((gap >= 1) & (gap <= days)).withColumn("_in", F.coalesce(F.array_contains("_here", F.col("_p")), F.lit(False)))
+    rotation = met.groupBy(team, "_b", game, "_gd", "_p", "_in").agg((F.sum("_m") / F.count("*")).alias("_mean")).where(F.col("_mean") >= least_minutes)
+    own = W.partitionBy(team, "_b", game)
+    first = F.row_number().over(own.orderBy("_in", F.desc(F.round("_mean", 9)), F.desc("_p"))) == 1
+    gone = rotation.withColumn("_top", first).withColumn("_all", F.sum("_mean").over(own)).where(~F.col("_in")).select(team, game, "_gd", "_p", "_top", "_mean", "_all")
     means = [*stats, minutes]
     frame = W.partitionBy(player).orderBy(day, game, team).rowsBetween(1 - last, 0)
-    recent = rows.select(F.col(player).alias("_p"), F.col(day).alias("_gd"), game, team, *[F.avg(c).over(frame).alias(f"_a_{c}") for c in means])
-    recent = recent.groupBy("_p", "_gd").agg(F.max_by(F.struct(*[f"_a_{c}" for c in means]), F.struct(game, team)).alias("_r")).select("_p", "_gd", "_r.*")
-    recent = as_of(gone.select("_p", "_gd").distinct(), recent, ["_p"], "_gd", "_gd", [f"_a_{c}" for c in means], inclusive=False).drop("as_of__gd")
-    out = gone.join(recent, ["_p", "_gd"], "left").withColumns({f"_a_{c}": F.coalesce(f"_a_{c}", F.lit(0.0)) for c in means})
-    top = F.max_by(F.struct("_p", *[f"_a_{c}" for c in means]), F.struct(F.round("_mean", 9), "_p"))
-    out = out.groupBy(team, game).agg(F.count("*").alias("absent"), top.alias("_t"), *[F.sum(f"_a_{c}").alias(f"freed_{c}") for c in stats], (F.sum("_mean") / F.max("_all")).alias("usage_bump"))
-    return out.select(team, game, "absent", F.col("_t._p").alias("top_absentee"), *[F.col(f"_t._a_{c}").alias(f"top_{c}") for c in means], *[f"freed_{c}" for c in stats], "usage_bump")
+    recent = rows.select(F.col(player).alias("_p"), F.col(day).cast("date").alias("_pd"), game, team, *[F.avg(c).over(frame).alias(f"_a_{c}") for c in means])
+    recent = recent.groupBy("_p", "_pd").agg(F.max_by(F.struct(*[f"_a_{c}" for c in means]), F.struct(game, team)).alias("_r"))
+    until = F.date_add("_pd", days)
+    until = F.least(until, F.coalesce(F.lead("_pd").over(W.partitionBy("_p").orderBy("_pd")), until))
+    recent = recent.withColumn("_until", until).select("_p", F.explode(F.sequence(F.date_add("_pd", 1), F.col("_until"))).alias("_on"), "_r.*")
+    found = (gone["_p"] == recent["_p"]) & (gone["_gd"].cast("date") == recent["_on"])
+    out = gone.join(recent, found, "left").select(gone["*"], *[F.coalesce(f"_a_{c}", F.lit(0.0)).alias(f"_a_{c}") for c in means])
+    # the top one's values by maximum: only one row of a game has them, and plain numbers need no sort
+    top = lambda c: F.max(F.when(F.col("_top"), F.col(c)))
+    return out.groupBy(team, game).agg(F.count("*").alias("absent"), top("_p").alias("top_absentee"), *[top(f"_a_{c}").alias(f"top_{c}") for c in means], *[F.sum(f"_a_{c}").alias(f"freed_{c}") for c in stats], (F.sum("_mean") / F.max("_all")).alias("usage_bump"))

@@ -389,3 +389,13 @@ def test_line_calibration_pools_adjacent_violators(spark):
     want = [h / n for h, n, k in pools for _ in range(k)]
     got = [r["c"] for r in model.transform(rows.select("p").distinct()).select("p", F.col("calibrated").alias("c")).orderBy("p").collect()]
     assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_absences_compute_the_rotation_once_and_count_unnamed_players(spark):
+    day = lambda i: DAY + datetime.timedelta(i)
+    rows = [("a", 1, "p", day(0), 20.0, 4.0), ("a", 1, "q", day(0), 30.0, 6.0), ("a", 1, None, day(0), 16.0, 1.0), ("b", 2, "p", day(29), 20.0, 8.0), ("a", 3, "q", day(30), 30.0, 2.0), ("a", 4, "p", day(61), 20.0, 0.0)]
+    played = spark.createDataFrame(rows, "team string, game long, player string, day date, minutes double, points double")
+    got = joins.absences(played, player="player", team="team", game="game", day="day", minutes="minutes", stats=["points"])
+    assert {r["game"]: (r["absent"], r["top_absentee"], r["top_points"], r["freed_points"], round(r["usage_bump"], 6)) for r in got.collect()} == {3: (2, "p", 6.0, 6.0, round(36 / 66, 6))}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(array(") == 1
