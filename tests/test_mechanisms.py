@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldbook import session
 from fieldbook.operators import aggs, blocks, identity, joins, quantiles, windows
 from fieldbook.plans import boosting, features, ledger, market, models, quality, reports
 from fieldbook.plans import board as bd
@@ -399,3 +400,19 @@ def test_absences_compute_the_rotation_once_and_count_unnamed_players(spark):
     assert {r["game"]: (r["absent"], r["top_absentee"], r["top_points"], r["freed_points"], round(r["usage_bump"], 6)) for r in got.collect()} == {3: (2, "p", 6.0, 6.0, round(36 / 66, 6))}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(array(") == 1
+
+
+def test_tasks_read_pieces_however_many_rows_there_are(spark):
+    own = {k: spark.conf.get(k, None) for k in session.PIECES}
+    try:
+        for k in session.PIECES:
+            spark.conf.unset(k)
+        session.in_pieces(spark)
+        rows = spark.range(3_000_000).select((F.col("id") % 1_500_000).alias("k"), F.xxhash64("id").alias("x"), F.xxhash64("id", F.lit(1)).alias("y")).groupBy("k").agg(F.sum("x"), F.sum("y"))
+        assert rows.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "32m")
+        session.in_pieces(spark)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "32m"
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
