@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from fieldbook.functions.scalars import wilson
+from fieldbook.operators.joins import small
 from fieldbook.operators.quantiles import quantiles
 from fieldbook.session import saved
 
@@ -127,10 +128,11 @@ def interval_anchors(df: DataFrame, keys: Sequence[str], mean: str, actual: str,
 
 
 def nearest_anchor(df: DataFrame, anchors: DataFrame, keys: Sequence[str], row_id: str, mean: str) -> DataFrame:
-    """low and high of the anchor whose mean is nearest; ties go to the lower anchor. Anchors are a few rows for each key."""
-    own = df.select(row_id, *keys, mean).join(anchors.select(*keys, "anchor", "low", "high"), list(keys))
-    best = own.groupBy(row_id).agg(F.min_by(F.struct("anchor", "low", "high"), F.struct(F.abs(F.col(mean) - F.col("anchor")), "anchor")).alias("_a"))
-    return best.select(row_id, "_a.*")
+    """low and high of the anchor whose mean is nearest; ties go to the lower anchor. Anchors are a few rows for each key: they come to the rows as one array, and a row picks its own."""
+    sets = small(saved(anchors.groupBy(*keys).agg(F.collect_list(F.struct("anchor", "low", "high")).alias("_s"))))
+    near = F.array_min(F.transform("_s", lambda x: F.struct(F.abs(F.col(mean) - x["anchor"]).alias("off"), x["anchor"].alias("anchor"), x["low"].alias("low"), x["high"].alias("high"))))
+    own = df.select(row_id, *keys, mean).join(sets, list(keys)).select(row_id, near.alias("_a"))
+    return own.groupBy(row_id).agg(F.min("_a").alias("_a")).select(row_id, "_a.anchor", "_a.low", "_a.high")
 
 
 def coverage(df: DataFrame, keys: Sequence[str], actual: str, low: str, high: str, expected: float, least: int = 50, tolerance: float = 0.10) -> DataFrame:

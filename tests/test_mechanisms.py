@@ -416,3 +416,13 @@ def test_tasks_read_pieces_however_many_rows_there_are(spark):
     finally:
         for k, v in own.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_nearest_anchor_goes_to_the_rows_of_a_hot_key(spark):
+    rows = spark.createDataFrame([(i, "a", float(i % 9)) for i in range(60)] + [(99, "b", 1.0), (100, "none", 1.0)], "id long, k string, mean double")
+    anchors = spark.createDataFrame([("a", 0.0, 1, 2), ("a", 4.0, 3, 4), ("a", 8.0, 5, 6), ("b", 7.0, 7, 8)], "k string, anchor double, low int, high int")
+    got = aggs.nearest_anchor(rows, anchors, ["k"], "id", "mean")
+    want = {0: (0.0, 1, 2), 4: (4.0, 3, 4), 8: (8.0, 5, 6)}
+    near = [0, 0, 0, 4, 4, 4, 4, 8, 8]  # ties go to the lower one
+    assert {r["id"]: (r["anchor"], r["low"], r["high"]) for r in got.collect()} == {i: want[near[i % 9]] for i in range(60)} | {99: (7.0, 7, 8)}
+    assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
