@@ -426,3 +426,16 @@ def test_nearest_anchor_goes_to_the_rows_of_a_hot_key(spark):
     near = [0, 0, 0, 4, 4, 4, 4, 8, 8]  # ties go to the lower one
     assert {r["id"]: (r["anchor"], r["low"], r["high"]) for r in got.collect()} == {i: want[near[i % 9]] for i in range(60)} | {99: (7.0, 7, 8)}
     assert "strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_a_group_merge_as_one_table():
+    import pandas as pd
+
+    from fieldbook.streaming import closing
+
+    first = pd.DataFrame({"key": ["a", "b", "a"], "at": [5, 1, 2], "value": [9.0, 4.0, 1.0]})
+    held = closing.merge(None, first, 8.0)
+    got = closing.merge(held, pd.DataFrame({"key": ["a", "c", "a"], "at": [7, 7, 9], "value": [1.0, 3.0, 21.0]}), 8.0).set_index("key")
+    assert got.loc["a"].tolist() == [2, 1.0, 9, 21.0, 4, 3, 20.0]  # moves 8, -8 and 20
+    assert held.set_index("key").loc["a", "largest"] == 8.0
+    assert got.loc["b"].tolist()[:6] == [1, 4.0, 1, 4.0, 1, 0] and got.loc["c"].tolist()[:6] == [7, 3.0, 7, 3.0, 1, 0]
