@@ -63,7 +63,9 @@ def resolve(records: DataFrame, players: DataFrame, least: float = 0.8) -> DataF
     asked = rest.where("name is not null")
     near = trigram_matches(asked, known.where("name is not null"), "name", least).withColumnRenamed("match", "other")
     own = known.where("name is not null").groupBy("sport", F.col("name").alias("other")).agg(F.min("player_id").alias("player_id"))
-    take(asked.join(near, "name").join(own, ["sport", "other"]).groupBy("row_id").agg(F.min_by("player_id", F.struct(-F.col("similarity"), "player_id")).alias("player_id")), "similar")
+    # a match depends on sport and name alone, so names meet the players, and records their name's match
+    best = asked.select("sport", "name").distinct().join(near, "name").join(own, ["sport", "other"]).groupBy("sport", "name").agg(F.min_by("player_id", F.struct(-F.col("similarity"), "player_id")).alias("player_id"))
+    take(asked.join(best, ["sport", "name"]), "similar")
 
     real = known.where(F.col("name").isNotNull() & ~F.coalesce(F.startswith(F.col("external_id"), F.lit(PLACEHOLDER)), F.lit(False)))
     alone = real.groupBy("sport", last_word(F.col("name")).alias("_last")).agg(F.count("*").alias("_n"), F.min("player_id").alias("player_id")).where("_n = 1")

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from fieldbook.session import saved
+
 #: Sides of so many rows at most are sent to every task; beyond it Spark shuffles both sides.
 SMALL = 100_000
+#: Names of one gram are dealt into blocks of about so many.
+NAMES = 1_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -80,7 +84,8 @@ def trigram_matches(left: DataFrame, right: DataFrame, key: str, least: float =
     """Pairs of names (columns `key`, already normalized) whose trigram sets have a Jaccard similarity above `least`.
 
     Rare grams first: a pair that is similar enough shares a gram within each side's prefix, so only
-    prefixes meet, and each pair is verified on the full sets.
+    prefixes meet. A gram's names meet in blocks of NAMES by NAMES, and each pair is verified on the full sets where it meets first,
+    so no task holds more than a block of names and the matches.
     """
 
     def grams(df: DataFrame, name: str) -> DataFrame:
@@ -94,12 +99,23 @@ def trigram_matches(left: DataFrame, right: DataFrame, key: str, least: float =
     def prefix(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(name, F.explode("g").alias("gram")).join(count, "gram").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("s"))
         keep = F.size("s") - F.ceil(F.size("s") * least).cast("int") + 1
-        return rows.select(name, F.explode(F.slice("s", F.lit(1), keep)).alias("x")).select(name, F.col("x.gram").alias("gram"))
-
-    pairs = prefix(a, "name").join(prefix(b, "match"), "gram").select("name", "match").distinct()
-    full = pairs.join(a.withColumnRenamed("g", "ga"), "name").join(b.withColumnRenamed("g", "gb"), "match")
-    score = F.size(F.array_intersect("ga", "gb")) / F.size(F.array_union("ga", "gb"))
-    return full.withColumn("similarity", score).where(F.col("similarity") > least).select("name", "match", "similarity")
+        rows = rows.select(name, F.col("s.gram").alias(f"{name}_grams"), keep.alias("_keep"))
+        return saved(rows.select(name, f"{name}_grams", F.posexplode(F.slice(f"{name}_grams", F.lit(1), F.col("_keep"))).alias(f"{name}_at", "gram")))
+
+    x, y = prefix(a, "name"), prefix(b, "match")
+    blocks = [df.groupBy("gram").agg(F.ceil(F.count("*") / NAMES).cast("int").alias(c)) for df, c in ((x, "_i"), (y, "_j"))]
+    blocks = saved(blocks[0].join(blocks[1], "gram"))  # a row for each gram
+
+    def dealt(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
+        rows = df.join(blocks, "gram").withColumn(own, F.pmod(F.xxhash64(name), F.col(own)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+    sizes = F.size("name_grams") + F.size("match_grams")
+    similarity = lambda n: n / (sizes - n)
+    most = F.least(F.size("name_grams") - F.col("name_at"), F.size("match_grams") - F.col("match_at"))  # no grams before the first common one are shared
+    pairs = dealt(x, "name", "_i", "_j").join(dealt(y, "match", "_j", "_i"), ["gram", "_i", "_j"]).where(similarity(most) > least)
+    common = F.array_intersect("name_grams", "match_grams")
+    return pairs.where((F.element_at(common, 1) == F.col("gram")) & (similarity(F.size(common)) > least)).select("name", "match", similarity(F.size(common)).alias("similarity"))
 
 
 def staged_match(rows: DataFrame, id_col: str, stages: Sequence[DataFrame]) -> DataFrame:

@@ -135,6 +135,17 @@ def test_trigram_matches_equal_brute_force(spark):
     assert {(r["name"], r["match"]) for r in joins.trigram_matches(left, right, "name", 0.5).collect()} == want
 
 
+def test_trigram_matches_in_blocks_give_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "NAMES", 3)
+    gram = lambda s: {f"  {s} "[i : i + 3] for i in range(len(s) + 1)}
+    names = [f"customer {i:05d}" for i in range(0, 2000, 37)] + ["", "x", "customer"]
+    others = [f"customer {i:05d}{'x' * (i % 3)}" for i in range(0, 2000, 41)] + ["", "x"]
+    left, right = (spark.createDataFrame([(n,) for n in x], "name string") for x in (names, others))
+    want = sorted((a, b, s) for a in names for b in others if (s := len(gram(a) & gram(b)) / len(gram(a) | gram(b))) > 0.6)
+    assert len(want) > 100
+    assert sorted(map(tuple, joins.trigram_matches(left, right, "name", 0.6).collect())) == want
+
+
 def test_auc_edge_cases(spark):
     cases = {"perfect": ([0.1, 0.2, 0.8, 0.9], [0, 0, 1, 1], 1.0), "reversed": ([0.9, 0.8, 0.2, 0.1], [0, 0, 1, 1], 0.0), "tied": ([0.5] * 4, [0, 1, 0, 1], 0.5), "one class": ([0.1, 0.9], [1, 1], None)}
     rows = [(k, p, y) for k, (ps, ys, _) in cases.items() for p, y in zip(ps, ys, strict=True)]
