@@ -439,3 +439,17 @@ def test_lines_of_a_group_merge_as_one_table():
     assert got.loc["a"].tolist() == [2, 1.0, 9, 21.0, 4, 3, 20.0]  # moves 8, -8 and 20
     assert held.set_index("key").loc["a", "largest"] == 8.0
     assert got.loc["b"].tolist()[:6] == [1, 4.0, 1, 4.0, 1, 0] and got.loc["c"].tolist()[:6] == [7, 3.0, 7, 3.0, 1, 0]
+
+
+def test_line_moves_forget_one_key_of_a_group_and_keep_the_others(spark, tmp_path, monkeypatch):
+    from fieldbook.streaming import jobs
+
+    monkeypatch.setattr(jobs, "GROUPS", 1)
+    batches = [[(1, "2024-01-01 00:00", 1.0), (2, "2024-01-01 00:00", 1.0)], [(2, "2024-01-06 00:00", 2.0)], [(2, "2024-01-06 02:00", 7.0), (None, "2024-01-06 02:00", 1.0)], [(1, "2024-01-07 00:00", 9.0), (None, "2024-01-07 00:00", 8.0), (2, "2024-01-06 23:30", 7.0)]]
+    for rows in batches:
+        frame = spark.createDataFrame(rows, "user bigint, ts string, value double")
+        frame.selectExpr("user", "cast(ts as timestamp) as ts", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lines")
+    moves = jobs.line_moves(jobs.snapshots(spark, f"{tmp_path}/lines", files_per_trigger=1), "user", "ts", "value", 5.0)
+    got = jobs.run_available(moves, "moves_of_a_group", f"file://{tmp_path}/state", "update")
+    assert got.schema["user"].dataType.simpleString() == "bigint"
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, 1.0, 7.0, 6.0), (2, 1.0, 7.0, 6.0), (None, 1.0, 8.0, 7.0)], key=str)
