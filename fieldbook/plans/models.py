@@ -17,6 +17,7 @@ from fieldbook.functions.counts import poisson_over
 from fieldbook.functions.scalars import recency_weight
 from fieldbook.operators.aggs import auc
 from fieldbook.plans.market import COMBOS
+from fieldbook.session import written
 
 
 def training_set(rows: DataFrame, features: Sequence[str], target: Column, appeared: Column, history: Column | None = None, market: str | None = None, binary_over: float | None = None) -> DataFrame:
@@ -113,7 +114,11 @@ def evaluate_winner(rows: DataFrame, prob: str, label: str) -> DataFrame:
 
 
 def out_of_fold(rows: DataFrame, features: Sequence[str], date: str, folds: int = 5) -> DataFrame:
-    """Predictions of each later fold from a model on the folds before it; folds are quantiles of the day."""
+    """Predictions of each later fold from a model on the folds before it; folds are quantiles of the day.
+
+    The rows are written once: a fit reads them in each of its rounds, and would compute what built them each time.
+    """
+    rows = written(rows)
     day = F.unix_date(F.col(date).cast("date"))
     edges = rows.agg(F.percentile(day, F.array(*[F.lit(i / folds) for i in range(1, folds)])).alias("_e"))
     marked = rows.join(F.broadcast(edges)).withColumn("fold", F.size(F.filter("_e", lambda e: day > e))).drop("_e")
@@ -138,6 +143,7 @@ def degenerate(edges: Sequence[float], values: Sequence[float], points: int, tai
 def calibrate_lines(predicted: DataFrame, lines: Sequence[float], actual: str) -> tuple[Transformer | None, DataFrame]:
     """An isotonic map from P(X > line) to the hit rate over all lines pooled, None if it is degenerate; and the pooled rows."""
     rows = predicted.withColumn("line", F.explode(F.array(*map(F.lit, lines)))).withColumn("p", poisson_over(F.col("line"), F.col("predicted_mean"))).withColumn("label", (F.col(actual) > F.col("line")).cast("double"))
+    rows = written(rows)  # counted, fitted and given back
     points, tail = rows.agg(F.count("*"), F.count_if(F.col("p") >= TAIL_FROM)).first()
     if points < LEAST_POINTS:
         return None, rows

@@ -69,7 +69,7 @@ def i05_winner(s, d):
 
 @query("i06_line_calibration")
 def i06(s, d):
-    out = m.out_of_fold(training(s, d), FEATURES, "game_date")
+    out = m.out_of_fold(training(s, d).select("game_date", "points", "label", *FEATURES), FEATURES, "game_date")
     model, rows = m.calibrate_lines(out, [10.5, 20.5, 30.5], "label")
     rows = m.calibrated(model, rows)
     hit = (C("points") > C("line")).cast("double")

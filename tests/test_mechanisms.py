@@ -453,3 +453,15 @@ def test_line_moves_forget_one_key_of_a_group_and_keep_the_others(spark, tmp_pat
     got = jobs.run_available(moves, "moves_of_a_group", f"file://{tmp_path}/state", "update")
     assert got.schema["user"].dataType.simpleString() == "bigint"
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(2, 1.0, 7.0, 6.0), (2, 1.0, 7.0, 6.0), (None, 1.0, 8.0, 7.0)], key=str)
+
+
+def test_out_of_fold_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(400).select(F.udf(touch, "double")("id").alias("x"), (F.col("id") % 5 + 1.0).alias("label"), F.date_add(F.lit(DAY), (F.col("id") % 40).cast("int")).alias("day"))
+    out = models.out_of_fold(rows, ["x"], "day", folds=3)
+    assert 0 < out.count() < 400 and seen.value == 400
