@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from fieldbook.functions.counts import binary_over, poisson_over
 from fieldbook.functions.scalars import blend, half_kelly, platt, side_adjusted
 from fieldbook.operators import windows as win
-from fieldbook.operators.joins import fresh_board
+from fieldbook.operators.joins import fresh_board, small
 from fieldbook.plans.ledger import combo_edges
+from fieldbook.session import written
 from fieldbook.sources.store import upsert_partitions
 from fieldbook.sources.tables import dedup
 
@@ -121,8 +122,10 @@ def weather_note(wind_out: Column, dome: Column) -> Column:
 def graded_form(picks: DataFrame, actuals: DataFrame, games: int = 10) -> DataFrame:
     """pick_id, l5, l10: how often the pick's side would have won over the player's last games ("hits/decided"; exact hits of the line don't count).
 
-    actuals: player_id, stat_type, game_date, game_id, actual. Each player's last games become one array first, so a pick meets one row.
+    actuals: player_id, stat_type, game_date, game_id, actual. Each player's last games become one array first, so a pick meets one row;
+    games of players and stats without a pick are left behind before they are shuffled.
     """
+    actuals = actuals.join(small(picks.select("player_id", "stat_type").distinct()), ["player_id", "stat_type"], "left_semi")
     ranked = win.top_per_key(actuals, ["player_id", "stat_type"], [F.desc("game_date"), F.desc("game_id")], games, "_r").where("actual is not null")
     last = ranked.groupBy("player_id", "stat_type").agg(F.array_sort(F.collect_list(F.struct("_r", "actual"))).alias("_last"))
     rows = picks.select("pick_id", "player_id", "stat_type", "direction", "line_value").join(last, ["player_id", "stat_type"], "left")
@@ -158,6 +161,7 @@ def board_rows(picks: DataFrame, players: DataFrame, teams: DataFrame, games: Da
     rows = picks.where((F.col("picked_on") == day) & (F.coalesce(F.col("leg_result"), F.lit("")) != "void") & F.col("predicted_mean").isNotNull() & F.col("line_value").isNotNull())
     rows = rows.where(F.col("stat_type").isin(*stats)) if stats else rows
     rows = rows.where(F.col("direction") == direction) if direction in ("over", "under") else rows
+    rows = written(rows)  # a day's picks, which the form reads as well
     own = games.where(F.col("game_date") == day)
     own = own.where(F.col("sport") == league.lower()) if league else own
     name = lambda side: teams.select(F.col("team_id").alias(f"{side}_team_id"), F.col("team").alias(f"{side}_team"))

@@ -53,8 +53,11 @@ LEDGER = """
 """
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+def ledger(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """Picks of all orders and lines, or of the given ones."""
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    lines = table(spark, sf_dir, "lineitem") if lines is None else lines
+    rows = lines.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.round(F.col("l_discount") * 100).cast("bigint")
     mark = (F.col("l_orderkey") * 31 + F.col("l_partkey") * 17 + F.col("l_suppkey") * 7 + F.col("l_linenumber") * 13) % 100
     less = F.when(F.col("l_returnflag") == "A", 2).when(F.col("l_returnflag") == "N", 18).otherwise(7)

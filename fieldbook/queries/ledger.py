@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from fieldbook.functions.scalars import clv_points
 from fieldbook.operators import windows as w
+from fieldbook.operators.joins import small
 from fieldbook.plans import board
 from fieldbook.plans import ledger as lg
 from fieldbook.queries.base import DENSE, LEDGER, SNAPSHOTS, dense_rows, ledger, query, r6, rounded, snapshots, table
 from fieldbook.queries.scalars import poisson_over_sql, wilson_sql
-from fieldbook.session import fresh_folder
+from fieldbook.session import fresh_folder, written
 
 C = F.col
 
@@ -292,15 +293,18 @@ SHOWN = f"""t as (select *, case when pick_id % 13 = 0 then 'void' end as leg_re
 
 @query("g28_board_rows", f"with {SHOWN} select pick_id, league as sport, s_name as player, n.n_name as team, coalesce(a.n_name, '?') || ' @ ' || coalesce(h.n_name, '?') as matchup, stat_type, direction, quantity as line_value, round(predicted_mean, 6) as predicted_mean, round(100 * (predicted_mean - quantity) / quantity, 6) as edge_pct, case when dome then 'dome (neutral)' when wind >= 5 then 'wind out +' || cast(round_even(wind, 0) as bigint) when wind <= -5 then 'wind in ' || cast(round_even(wind, 0) as bigint) when wind is not null then 'calm' end as weather, l5, l10, case when len(bits) > 0 then array_to_string(bits, ' · ') else 'model ' || cast(round_even(shown * 100, 0) as bigint) || '% confident' end as insight from i join supplier on s_suppkey = player_id left join nation n on n.n_nationkey = s_nationkey left join nation h on h.n_nationkey = home left join nation a on a.n_nationkey = away")
 def g28(s, d):
-    rows, o, sup = ledger(s, d), table(s, d, "orders"), table(s, d, "supplier")
+    o, sup = table(s, d, "orders"), table(s, d, "supplier")
     pick = C("pick_id")
-    picks = rows.withColumns({"leg_result": F.when(pick % 13 == 0, "void"), "predicted_mean": F.when(pick % 17 != 0, 8 + C("line_id") % 31 * 1.1), "edge": F.round(C("model_prob") - C("market_prob") - 0.2, 6), "line_movement": (C("line_id") % 21 - 10) / 100.0, "line_value": C("quantity"), "picked_on": C("decided")}).drop("sport")
+    last = o.agg(F.date_sub(F.max(C("o_orderdate").cast("date")), 1).alias("d")).first()["d"]
+    of_day = written(ledger(s, d, small(o.where(C("o_orderdate").cast("date") == F.lit(last)))))
+    shown = small(of_day.select(C("player_id").alias("l_suppkey"), C("stat_type").alias("l_linestatus")).distinct())
+    rows = ledger(s, d, lines=table(s, d, "lineitem").join(shown, ["l_suppkey", "l_linestatus"], "left_semi"))  # all that the day's form can read
+    picks = of_day.withColumns({"leg_result": F.when(pick % 13 == 0, "void"), "predicted_mean": F.when(pick % 17 != 0, 8 + C("line_id") % 31 * 1.1), "edge": F.round(C("model_prob") - C("market_prob") - 0.2, 6), "line_movement": (C("line_id") % 21 - 10) / 100.0, "line_value": C("quantity"), "picked_on": C("decided")}).drop("sport")
     league = F.when(C("o_orderstatus") == "F", "mlb").when(C("o_orderstatus") == "O", "nba").otherwise("nhl")
     games = o.select(C("o_orderkey").alias("game_id"), league.alias("sport"), C("o_orderdate").cast("date").alias("game_date"), (C("o_custkey") % 25).alias("home_team_id"), (C("o_custkey") % 31).alias("away_team_id"))
     weather = o.select(C("o_orderkey").alias("game_id"), F.when(C("o_orderkey") % 3 != 0, (C("o_orderkey") % 37 - 18) / 2.0).alias("wind_out"), (C("o_orderkey") % 10 == 0).alias("is_dome"))
     teams = table(s, d, "nation").select(C("n_nationkey").alias("team_id"), C("n_name").alias("team"))
     players = sup.select(C("s_suppkey").alias("player_id"), C("s_name").alias("player"), C("s_nationkey").alias("team_id"))
-    last = o.agg(F.date_sub(F.max(C("o_orderdate").cast("date")), 1).alias("d")).first()["d"]
     actuals = rows.where((C("decided") < F.lit(last)) & (C("settled") == C("decided"))).select("player_id", "stat_type", C("decided").alias("game_date"), F.struct("game_id", "pick_id").alias("game_id"), C("quantity").alias("actual"))
     boards = [board.board_rows(picks, players, teams, games, weather, actuals, F.lit(last), league=x, stats=("O", "F"), display=(0.91, -0.013)) for x in ("MLB", "nba")]
     return rounded(boards[0].unionByName(boards[1]))

@@ -465,3 +465,20 @@ def test_out_of_fold_computes_its_rows_once(spark):
     rows = spark.range(400).select(F.udf(touch, "double")("id").alias("x"), (F.col("id") % 5 + 1.0).alias("label"), F.date_add(F.lit(DAY), (F.col("id") % 40).cast("int")).alias("day"))
     out = models.out_of_fold(rows, ["x"], "day", folds=3)
     assert 0 < out.count() < 400 and seen.value == 400
+
+
+def test_form_leaves_players_without_a_pick_behind(spark):
+    from fieldbook.plans.board import graded_form
+
+    picks = spark.createDataFrame([(1, 7, "hits", "over", 1.5), (2, 8, "hits", "under", 1.5)], "pick_id long, player_id long, stat_type string, direction string, line_value double")
+    games = [(7, "hits", i, i, float(i)) for i in range(1, 5)] + [(9, "hits", i, i, 1.0) for i in range(50)] + [(7, "runs", 1, 1, 9.0)]
+    out = graded_form(picks, spark.createDataFrame(games, "player_id long, stat_type string, game_date int, game_id int, actual double"))
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(1, "3/4", "3/4"), (2, "0/0", "0/0")}
+
+
+def test_board_rows_of_the_ledger_shuffle_no_other_players(spark):
+    from fieldbook.queries.ledger import g28
+
+    plan = g28(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
