@@ -16,7 +16,7 @@ from fieldbook.functions.counts import implied_mean, normal_quantiles, poisson_o
 from fieldbook.functions.scalars import BREAKEVEN, american_decimal, clip, joint_legs
 from fieldbook.operators.joins import main_line
 from fieldbook.operators.windows import top_per_key
-from fieldbook.session import saved
+from fieldbook.session import saved, written
 
 #: Measured correlations of two legs: of one player's pairs of stats, of a stat and a combined one that holds it, of other pairs of one player, of teammates in a game.
 PAIR_RHO = {("hits", "total_bases"): 0.72, ("total_bases", "rbis"): 0.48, ("hits", "runs"): 0.38, ("points", "rebounds"): 0.34, ("rebounds", "assists"): 0.27, ("points", "assists"): 0.26}
@@ -37,14 +37,14 @@ BEFORE_START = 30
 
 
 def with_mean(anchors: DataFrame, line: str, prob: str) -> DataFrame:
-    """`mean` that the anchor implies; the inverse runs on distinct (line, prob) pairs only."""
-    pairs = anchors.select(line, prob).distinct()
+    """`mean` that the anchor implies; the inverse runs on distinct (line, prob) pairs only, which are few bytes but much work: adaptive execution would leave them to one task."""
+    pairs = anchors.select(line, prob).distinct().repartition(4 * anchors.sparkSession.sparkContext.defaultParallelism)
     return anchors.join(pairs.withColumn("mean", implied_mean(F.col(line), F.col(prob))), [line, prob])
 
 
 def soft_lines(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str, least: float = BREAKEVEN) -> DataFrame:
     """Offered lines re-priced from the sharp main line: p_over, better side, its probability and the edge over break-even."""
-    anchor = with_mean(main_line(sharp, keys, line, "over_prob"), "main_line", "main_prob")
+    anchor = with_mean(written(main_line(sharp, keys, line, "over_prob")), "main_line", "main_prob")  # read twice
     rows = board.join(anchor, list(keys)).withColumn("p_over", poisson_over(F.col(line), F.col("mean")))
     side = F.when(F.col("p_over") >= 0.5, "over").otherwise("under")
     best = F.greatest(F.col("p_over"), 1 - F.col("p_over"))
@@ -55,7 +55,7 @@ def arbitrage(board: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str
     """Better side (ties go over) of each offer by expected value, kept within (low, high); with `start` and `now` only offers of games that start later than BEFORE_START minutes from now."""
     if start is not None:
         board = board.where(start > now + F.make_dt_interval(mins=F.lit(BEFORE_START)))
-    anchor = with_mean(main_line(sharp, keys, line, "over_prob"), "main_line", "main_prob")
+    anchor = with_mean(written(main_line(sharp, keys, line, "over_prob")), "main_line", "main_prob")  # read twice
     rows = board.join(anchor, list(keys)).withColumn("p_over", poisson_over(F.col(line), F.col("mean")))
     a, b = F.col("p_over") * F.col(over) - 1, (1 - F.col("p_over")) * F.col(under) - 1
     rows = rows.withColumns({"side": F.when(F.coalesce(a, F.lit(-9.0)) >= F.coalesce(b, F.lit(-9.0)), "over").otherwise("under"), "ev": F.greatest(a, b)})
@@ -67,7 +67,7 @@ def boost_ev(boosts: DataFrame, sharp: DataFrame, keys: Sequence[str], line: str
 
     Run it again on a day's stored boosts to price them against the market of the moment.
     """
-    anchor = main_line(sharp, keys, line, "over_prob", 0.0, 1.0)
+    anchor = written(main_line(sharp, keys, line, "over_prob", 0.0, 1.0))  # read three times
     inside = (F.col("main_prob") >= low) & (F.col("main_prob") <= high)
     priced = with_mean(anchor.where(inside), "main_line", "main_prob").select(*keys, "mean")
     rows = boosts.join(anchor, list(keys), "left").join(priced, list(keys), "left")

@@ -482,3 +482,12 @@ def test_board_rows_of_the_ledger_shuffle_no_other_players(spark):
 
     plan = g28(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftSemi") >= 2
+
+
+def test_anchors_of_offers_are_computed_once(spark, tmp_path):
+    spark.createDataFrame([(1, 5.5, 0.6), (1, 6.5, 0.4), (2, 3.5, 0.5)], "player_id long, line double, over_prob double").write.parquet(f"{tmp_path}/sharp")
+    sharp = spark.read.parquet(f"{tmp_path}/sharp")
+    offers = spark.createDataFrame([(1, 4.5, 2.0, 2.0), (2, 3.5, 2.0, 2.0)], "player_id long, line double, up double, down double")
+    out = market.arbitrage(offers, sharp, ["player_id"], "line", "up", "down", low=-1.0, high=9.0)
+    assert not [f for f in out.inputFiles() if "/sharp/" in f]  # what built the quotes is not in the plan, twice or once
+    assert {r.player_id: r.main_line for r in out.collect()} == {1: 5.5, 2: 3.5}
