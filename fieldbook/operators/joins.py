@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from fieldbook.session import saved
+from fieldbook.session import saved, written
 
 #: Sides of so many rows at most are sent to every task; beyond it Spark shuffles both sides.
 SMALL = 100_000
@@ -57,8 +57,11 @@ def movement(snapshots: DataFrame, keys: Sequence[str], time: str, value: str, n
 
 
 def fresh_board(snapshots: DataFrame, group: Sequence[str], keys: Sequence[str], time: str, hours: int = 2) -> DataFrame:
-    """The latest row of each key within `hours` of the newest snapshot of its group."""
-    newest = snapshots.groupBy(*group).agg(F.max(time).alias("_newest"))
+    """The latest row of each key within `hours` of the newest snapshot of its group.
+
+    Groups' newest times are written first: few groups go to every task by their size, instead of all snapshots to a task for each group.
+    """
+    newest = written(snapshots.groupBy(*group).agg(F.max(time).alias("_newest")))
     near = snapshots.join(newest, list(group)).where(F.col(time) >= F.col("_newest") - F.expr(f"INTERVAL {hours} HOURS")).drop("_newest")
     rest = [c for c in near.columns if c not in {*group, *keys}]
     return near.groupBy(*group, *keys).agg(F.max_by(F.struct(*rest), F.col(time)).alias("_row")).select(*group, *keys, "_row.*")

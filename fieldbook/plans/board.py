@@ -95,6 +95,7 @@ def board(history: DataFrame, ahead: DataFrame, lines: DataFrame, market: DataFr
     and stat. A stat that a model prices itself goes before the same one summed from its parts.
     """
     own = vectors(history, ahead, models.sizes).withColumn("mean", models.mean).select("sport", "player_id", "game_id", "game_date", "stat_type", "mean", F.col("stat_type").isin(*models.binary).alias("is_binary"), F.lit(0).alias("_rank"))
+    own = written(own)  # a row for each coming game and stat, priced as it is and summed into combined stats
     parts = combo_edges(own.where(~F.col("is_binary")), models.combos, ["sport", "player_id", "game_id", "game_date"], "stat_type", "mean")
     summed = parts.select("sport", "player_id", "game_id", "game_date", F.col("combo").alias("stat_type"), F.col("combo_mean").alias("mean"), F.lit(False).alias("is_binary"), F.lit(1).alias("_rank"))
     offered = fresh_board(lines.select("player_id", "stat_type", "line_value", "snapshot_at"), ["stat_type"], ["player_id", "line_value"], "snapshot_at", hours)

@@ -212,10 +212,11 @@ def g19(s, d):
     rows = dense_rows(s, d)
     history = rows.select(C("team_id").alias("player_id"), C("position").alias("stat_type"), C("player_game_id").alias("row_id"), "game_date", "season", C("points").alias("value"))
     last = rows.groupBy(C("team_id").alias("player_id")).agg(F.max("game_date").alias("last"))
-    games = last.select("player_id", C("player_id").alias("game_id"), F.date_add("last", (1 + C("player_id") % 3).cast("int")).alias("game_date"), F.lit("x").alias("sport"))
-    ahead = history.select("player_id", "stat_type").distinct().join(games, "player_id").withColumn("season", F.year("game_date").cast("string"))
+    games = written(last.select("player_id", C("player_id").alias("game_id"), F.date_add("last", (1 + C("player_id") % 3).cast("int")).alias("game_date"), F.lit("x").alias("sport")))
+    ahead = written(history.select("player_id", "stat_type").distinct().join(games, "player_id").withColumn("season", F.year("game_date").cast("string")))
     o = ledger(s, d).select("player_id", F.when(C("line_id") % 5 == 0, "AN").otherwise(C("sport")).alias("stat_type"), (C("line_id") % 8 + 0.5).alias("line_value"), C("decided").cast("timestamp").alias("snapshot_at"), "market_prob")
-    market = o.groupBy("player_id", "stat_type", "line_value").agg(F.avg("market_prob").alias("over_prob"))
+    o = written(o)  # the stored lines, which both runs read
+    market = written(o.groupBy("player_id", "stat_type", "line_value").agg(F.avg("market_prob").alias("over_prob")))
     last5, season = C("last_5_avg_value"), C("season_avg_value")
     models = board.Models(
         mean=F.when(C("stat_type") == "R", F.least(last5 / 61.7, F.lit(0.95))).otherwise((0.6 * last5 + 0.4 * season) / 5), binary=("R",), combos={"AN": ("A", "N")}, calibrators=calibrators(s, "A"),

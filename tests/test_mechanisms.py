@@ -491,3 +491,17 @@ def test_anchors_of_offers_are_computed_once(spark, tmp_path):
     out = market.arbitrage(offers, sharp, ["player_id"], "line", "up", "down", low=-1.0, high=9.0)
     assert not [f for f in out.inputFiles() if "/sharp/" in f]  # what built the quotes is not in the plan, twice or once
     assert {r.player_id: r.main_line for r in out.collect()} == {1: 5.5, 2: 3.5}
+
+
+def test_fresh_board_deals_no_snapshots_by_group(spark, tmp_path):
+    spark.range(20_000).select((F.col("id") % 3).alias("stat"), (F.col("id") % 500).alias("player"), F.timestamp_seconds(F.col("id")).alias("at"), F.xxhash64("id").alias("line")).write.parquet(f"{tmp_path}/lines")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        out = joins.fresh_board(spark.read.parquet(f"{tmp_path}/lines"), ["stat"], ["player"], "at", hours=1)
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        newest = {k: max(i for i in range(20_000) if i % 3 == k) for k in range(3)}
+        assert out.count() == len({(i % 3, i % 500) for i in range(20_000) if i >= newest[i % 3] - 3600})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
