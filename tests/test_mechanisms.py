@@ -15,6 +15,7 @@ from fieldbook.operators import aggs, blocks, identity, joins, quantiles, window
 from fieldbook.plans import boosting, features, ledger, market, models, quality, reports
 from fieldbook.plans import board as bd
 from fieldbook.plans.state import FeatureState
+from fieldbook.queries import base
 from fieldbook.sources import payloads, store, tables
 
 DAY = datetime.date(2024, 1, 1)
@@ -418,6 +419,21 @@ def test_tasks_read_pieces_however_many_rows_there_are(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_scans_are_cut_small_however_large_the_files_are(spark, tmp_path):
+    more = {k: spark.conf.get(k, None) for k in (*session.PIECES, "spark.sql.files.minPartitionNum")}
+    try:
+        for k in session.PIECES:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")  # as if the files were large for the number of cores
+        spark.range(0, 3_000_000, numPartitions=1).select("id", F.xxhash64("id").alias("x")).write.option("parquet.block.size", 1 << 22).parquet(f"{tmp_path}/big.parquet")
+        rows = base.table(spark, str(tmp_path), "big").withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        assert sum(r["count"] for r in rows) == 3_000_000
+        assert len(rows) > 1 and max(r["count"] for r in rows) < 2_000_000
+    finally:
+        for k, v in more.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_nearest_anchor_goes_to_the_rows_of_a_hot_key(spark):
     rows = spark.createDataFrame([(i, "a", float(i % 9)) for i in range(60)] + [(99, "b", 1.0), (100, "none", 1.0)], "id long, k string, mean double")
     anchors = spark.createDataFrame([("a", 0.0, 1, 2), ("a", 4.0, 3, 4), ("a", 8.0, 5, 6), ("b", 7.0, 7, 8)], "k string, anchor double, low int, high int")
