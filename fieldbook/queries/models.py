@@ -7,6 +7,7 @@ from fieldbook.plans import boosting
 from fieldbook.plans import models as m
 from fieldbook.queries.base import DENSE, LEDGER, dense_rows, ledger, query, rounded
 from fieldbook.queries.windows import ORDER, prior
+from fieldbook.session import saved
 
 C = F.col
 FEATURES = ["last_5_avg_points", "last_10_avg_points", "season_avg_points"]
@@ -20,6 +21,11 @@ def training(s, d):
     return m.training_set(rows, FEATURES, C("points"), C("minutes") >= 2, C("games") >= 5)
 
 
+def labelled(s, d, label):
+    """Training rows with another label, computed once: a fit on trees reads them several times before it holds them, and the evaluation again."""
+    return saved(training(s, d).select("game_date", *FEATURES, label.alias("label")))
+
+
 @query("i01_training_set", f"{TRAIN} select player_game_id, round(f5, 6) as last_5_avg_points, points as label from t where minutes >= 2 and n > 5")
 def i01(s, d):
     return rounded(training(s, d).select("player_game_id", "last_5_avg_points", "label"))
@@ -43,14 +49,14 @@ def i03_boosted(s, d):
 
 @query("i04_winner_model")
 def i04(s, d):
-    rows = training(s, d).withColumn("label", (C("points") > 25).cast("double"))
+    rows = labelled(s, d, (C("points") > 25).cast("double"))
     train, test = m.split_at(rows, "game_date", F.lit("2000-06-01").cast("date"))
     return rounded(m.evaluate_winner(m.predict(m.fit_winner(train, FEATURES), test, FEATURES), "prob", "label"))
 
 
 @query("i04_margin_model")
 def i04_margin(s, d):
-    rows = training(s, d).withColumn("label", C("points") - 25)
+    rows = labelled(s, d, C("points") - 25)
     train, test = m.split_at(rows, "game_date", F.lit("2000-06-01").cast("date"))
     out = m.predict(m.fit_margin(train, FEATURES), test, FEATURES).withColumn("zero", F.lit(0.0))
     return rounded(m.evaluate_counts(out, "label", "predicted_margin", "zero"))

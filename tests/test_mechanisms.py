@@ -15,7 +15,8 @@ from fieldbook.operators import aggs, blocks, identity, joins, quantiles, window
 from fieldbook.plans import boosting, features, ledger, market, models, quality, reports
 from fieldbook.plans import board as bd
 from fieldbook.plans.state import FeatureState
-from fieldbook.queries import base
+from fieldbook.queries import QUERIES, base
+from fieldbook.queries import models as model_queries
 from fieldbook.sources import payloads, store, tables
 
 DAY = datetime.date(2024, 1, 1)
@@ -434,6 +435,22 @@ def test_scans_are_cut_small_however_large_the_files_are(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+@pytest.mark.parametrize("name", ["i04_winner_model", "i04_margin_model"])
+def test_tree_models_compute_their_rows_once(spark, monkeypatch, name):
+    computed = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def points(i):
+        computed.add(1)
+        return float(i * 7 % 50)
+
+    rows = spark.range(300).select("id", points("id").alias("points"), (F.col("id") % 9).cast("double").alias("last_5_avg_points"), (F.col("id") % 11).cast("double").alias("last_10_avg_points"), F.lit(1.0).alias("season_avg_points"))
+    cut = F.lit("2000-06-01").cast("date")
+    monkeypatch.setattr(model_queries, "training", lambda *_: rows.withColumn("game_date", F.when(F.col("id") < 200, F.date_sub(cut, 1)).otherwise(cut)))
+    assert QUERIES[name](spark, "").first()["n"] == 100
+    assert computed.value == 300
+
+
 def test_nearest_anchor_goes_to_the_rows_of_a_hot_key(spark):
     rows = spark.createDataFrame([(i, "a", float(i % 9)) for i in range(60)] + [(99, "b", 1.0), (100, "none", 1.0)], "id long, k string, mean double")
     anchors = spark.createDataFrame([("a", 0.0, 1, 2), ("a", 4.0, 3, 4), ("a", 8.0, 5, 6), ("b", 7.0, 7, 8)], "k string, anchor double, low int, high int")
