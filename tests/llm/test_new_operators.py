@@ -48,6 +48,12 @@ def test_marked_articles():
     assert page_text.sorted_out("<aside><article>teaser</article></aside><article>own</article>")[0] == "own"
 
 
+def test_all_marked_blocks_are_text_whatever_marks_them():
+    text, stream = page_text.sorted_out("<main><h1>T</h1><p>By A.</p><article><p>a</p><aside>ad</aside></article><p>after</p><nav>menu</nav></main><p>x</p>")
+    assert text == "T\n\nBy A.\n\na\n\nafter" and stream == "-ad\n-menu\n-x"
+    assert page_text.sorted_out('<div class="entry-content"><p>one</div><article><p>two</article><div itemprop="articleBody">three</div>') == ("one\n\ntwo\n\nthree", "")
+
+
 def test_hostile_markup_takes_linear_time():
     for html in ("<div><b>" * 20000, '<p a="' * 20000, "<a href=x " * 20000, "<![CDATA[>" * 20000, "<!--" * 20000, "</p>" * 20000, "<p><i>" * 20000 + "</p>" * 20000):
         page_text.blocks_of(html)
