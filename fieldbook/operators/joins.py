@@ -12,13 +12,15 @@ from fieldbook.session import saved, written
 
 #: Sides of so many rows at most are sent to every task; beyond it Spark shuffles both sides.
 SMALL = 100_000
+#: Recent means by player and day (six numbers a row) are sent to every task up to so many.
+ON_DAYS = 500_000
 #: Names of one gram are dealt into blocks of about so many.
 NAMES = 1_000
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """The frame with a broadcast hint if a count shows that it is small; for tables that are cheap to count."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def attach_opponent(rows: DataFrame, features: DataFrame, game: str, opponent: str, team: str, columns: Sequence[str], prefix: str = "opp_") -> DataFrame:
@@ -155,26 +157,19 @@ def changed_rows(current: DataFrame, wanted: DataFrame, key: str, columns: Seque
     return wanted.select(key, *columns).join(old, key).where(~same)
 
 
-def absences(played: DataFrame, *, player: str, team: str, game: str, day: str, minutes: str, stats: Sequence[str], days: int = 30, least_minutes: float = 15.0, floor: float = 5.0, last: int = 10) -> DataFrame:
-    """For each team and game with absent players: their number, the top one and his recent means, what all leave free, and their share of the rotation's minutes.
+def absence_rows(played: DataFrame, *, player: str, team: str, game: str, day: str, minutes: str, stats: Sequence[str], keep: Sequence[str] = (), days: int = 30, least_minutes: float = 15.0, floor: float = 5.0, last: int = 10) -> DataFrame:
+    """Each team and game with `_rows`, the columns `keep` of its played rows, and its absent players: see `absences`; without any `absent` is 0 and the rest null.
 
-    Rotation: players of the team with a mean of `least_minutes` or more over their games of the `days` before, of `floor` minutes
-    or more each. Recent means (`top_*`, summed as `freed_*`) are of a player's last games before the day, for any team. The range join is
-    on blocks of `days` days: a player's game stands in its block and the next one, so a game meets its whole window in its own
-    block, and the rotation is built where that join left it. Each recent row stands for the days up to the player's next one, no more than `days`
-    of them, as nobody is in a rotation longer after a game: so it is found by player and day, and the rotation is computed once.
+    Few rows are shuffled, and each of them once: games are written with their rows, a team's games of a block of `days` days and of the block
+    before it are one array, and a game meets its own block's array, where its rotation is built without more rows. Only absent
+    players become rows, which meet the recent means where they are and are summed there. A player's recent row stands for the days up to the
+    player's next one, no more than `days` of them, as nobody is in a rotation longer after a game: so it is found by player and day.
     """
-    rows = played.where(F.col(minutes) >= floor)
-    block = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / days)
-    hist = rows.select(team, F.col(player).alias("_p"), F.col(day).alias("_pd"), F.col(minutes).alias("_m")).withColumn("_b", F.explode(F.array(block("_pd"), block("_pd") + 1)))
-    here = F.collect_set(F.when(F.col(minutes) >= floor, F.col(player)))
-    games = played.groupBy(team, game).agg(F.min(day).alias("_gd"), here.alias("_here")).withColumn("_b", block("_gd"))
-    gap = F.datediff("_gd", "_pd")
-    met = games.join(hist, [team, "_b"]).where((gap >= 1) & (gap <= days)).withColumn("_in", F.coalesce(F.array_contains("_here", F.col("_p")), F.lit(False)))
-    rotation = met.groupBy(team, "_b", game, "_gd", "_p", "_in").agg((F.sum("_m") / F.count("*")).alias("_mean")).where(F.col("_mean") >= least_minutes)
-    own = W.partitionBy(team, "_b", game)
-    first = F.row_number().over(own.orderBy("_in", F.desc(F.round("_mean", 9)), F.desc("_p"))) == 1
-    gone = rotation.withColumn("_top", first).withColumn("_all", F.sum("_mean").over(own)).where(~F.col("_in")).select(team, game, "_gd", "_p", "_top", "_mean", "_all")
+    at = lambda c: F.unix_date(F.col(c).cast("date"))
+    block = lambda c: F.floor(at(c) / days)
+    needed = list(dict.fromkeys([player, day, minutes, *stats, *keep]))
+    games = written(played.groupBy(team, game).agg(F.min(day).alias("_gd"), F.collect_list(F.struct(*needed)).alias("_of")))
+    rows = games.select(team, game, F.explode("_of").alias("_row")).select(team, game, *[F.col("_row")[c].alias(c) for c in needed if c not in (team, game)]).where(F.col(minutes) >= floor)
     means = [*stats, minutes]
     frame = W.partitionBy(player).orderBy(day, game, team).rowsBetween(1 - last, 0)
     recent = rows.select(F.col(player).alias("_p"), F.col(day).cast("date").alias("_pd"), game, team, *[F.avg(c).over(frame).alias(f"_a_{c}") for c in means])
@@ -182,8 +177,36 @@ def absences(played: DataFrame, *, player: str, team: str, game: str, day: str,
     until = F.date_add("_pd", days)
     until = F.least(until, F.coalesce(F.lead("_pd").over(W.partitionBy("_p").orderBy("_pd")), until))
     recent = recent.withColumn("_until", until).select("_p", F.explode(F.sequence(F.date_add("_pd", 1), F.col("_until"))).alias("_on"), "_r.*")
-    found = (gone["_p"] == recent["_p"]) & (gone["_gd"].cast("date") == recent["_on"])
-    out = gone.join(recent, found, "left").select(gone["*"], *[F.coalesce(f"_a_{c}", F.lit(0.0)).alias(f"_a_{c}") for c in means])
-    # the top one's values by maximum: only one row of a game has them, and plain numbers need no sort
-    top = lambda c: F.max(F.when(F.col("_top"), F.col(c)))
-    return out.groupBy(team, game).agg(F.count("*").alias("absent"), top("_p").alias("top_absentee"), *[top(f"_a_{c}").alias(f"top_{c}") for c in means], *[F.sum(f"_a_{c}").alias(f"freed_{c}") for c in stats], (F.sum("_mean") / F.max("_all")).alias("usage_bump"))
+
+    hist = rows.where(F.col(team).isNotNull()).select(team, F.explode(F.array(block(day), block(day) + 1)).alias("_b"), F.col(player).alias("p"), at(day).alias("d"), F.col(minutes).cast("double").alias("m"))
+    hist = hist.repartition(team, "_b").groupBy(team, "_b").agg(F.collect_list(F.struct("p", "d", "m")).alias("_hist"))
+    here = F.transform(F.filter("_of", lambda x: x[minutes] >= floor), lambda x: x[player])
+    own = F.transform("_of", lambda x: F.struct(*[x[c].alias(c) for c in keep])) if keep else F.lit(None)
+    met = games.select(team, game, "_gd", block("_gd").alias("_b"), here.alias("_here"), own.alias("_rows")).join(hist, [team, "_b"], "left")
+    gap = lambda x: F.col("_day") - x["d"]
+    met = met.withColumn("_day", at("_gd")).withColumn("_past", F.filter("_hist", lambda x: (gap(x) >= 1) & (gap(x) <= days))).drop("_hist")
+    each = F.transform(F.array_distinct(F.transform("_past", lambda x: x["p"])), lambda p: F.struct(p.alias("p"), F.transform(F.filter("_past", lambda x: x["p"].eqNullSafe(p)), lambda x: x["m"]).alias("m")))
+    total = lambda c, of: F.aggregate(c, F.lit(0.0), lambda a, x: a + of(x))
+    met = met.withColumn("_each", each).withColumn("_rotation", F.filter(F.transform("_each", lambda x: F.struct(x["p"].alias("p"), (total(x["m"], lambda m: m) / F.size(x["m"])).alias("mean"))), lambda x: x["mean"] >= least_minutes))
+    met = met.withColumn("_gone", F.filter("_rotation", lambda x: ~F.coalesce(F.array_contains("_here", x["p"]), F.lit(False))))
+    met = met.withColumn("_top", F.array_max(F.transform("_gone", lambda x: F.struct(F.round(x["mean"], 9), x["p"].alias("p"))))["p"])
+    share = total("_gone", lambda x: x["mean"]) / total("_rotation", lambda x: x["mean"])
+    of_game = F.struct("_rows", F.coalesce(F.array_size("_gone"), F.lit(0)).cast("bigint").alias("absent"), F.col("_top").alias("top_absentee"), F.when(F.array_size("_gone") > 0, share).alias("usage_bump"))
+    # a game's own columns go with its first row, so that only one of them is held
+    gone = met.select(team, "_b", game, F.col("_gd").cast("date").alias("_on"), "_top", of_game.alias("_game"), F.posexplode_outer(F.transform("_gone", lambda x: x["p"])).alias("_i", "_p"))
+    gone = gone.select(team, "_b", game, "_on", "_p", F.col("_p").eqNullSafe(F.col("_top")).alias("_is_top"), F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_game")).alias("_game"), F.col("_i").isNotNull().alias("_any"))
+    recent = small(written(recent), ON_DAYS)
+    value = lambda c: F.when(F.col("_any"), F.coalesce(f"_a_{c}", F.lit(0.0)))
+    out = gone.join(recent, ["_p", "_on"], "left").groupBy(team, "_b", game)
+    # the top one's values by maximum: only one row of a game has them
+    out = out.agg(F.first("_game", ignorenulls=True).alias("_game"), *[F.max(F.when(F.col("_is_top"), value(c))).alias(f"top_{c}") for c in means], *[F.sum(value(c)).alias(f"freed_{c}") for c in stats])
+    return out.select(team, game, "_game._rows", "_game.absent", "_game.top_absentee", *[f"top_{c}" for c in means], *[f"freed_{c}" for c in stats], "_game.usage_bump")
+
+
+def absences(played: DataFrame, **how) -> DataFrame:
+    """For each team and game with absent players: their number, the top one and his recent means, what all leave free, and their share of the rotation's minutes.
+
+    Rotation: players of the team with a mean of `least_minutes` or more over their games of the `days` before, of `floor` minutes
+    or more each. Recent means (`top_*`, summed as `freed_*`) are of a player's last games before the day, for any team. Options as of `absence_rows`.
+    """
+    return absence_rows(played, **how).where("absent > 0").drop("_rows")

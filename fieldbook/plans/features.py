@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions.scalars import clip, ratio
 from fieldbook.operators import windows as win
 from fieldbook.operators.aggs import share_of_total
-from fieldbook.operators.joins import absences, attach_opponent, both_sides
+from fieldbook.operators.joins import absence_rows, attach_opponent, both_sides
 
 
 @dataclass(frozen=True)
@@ -248,16 +248,17 @@ def goalie_advanced(rows: DataFrame, sizes: Sequence[int] = (5, 10, 20)) -> Data
     return rolled(rows.where(c("position") == "G"), rates, sizes)
 
 
-def teammate_absence(played: DataFrame, stats: Sequence[str] = ("shots", "free_throws", "assists"), **limits: float) -> DataFrame:
-    """Absent teammates of each row: their number, the top one's recent means, what all leave free, and the share of the rotation's minutes.
+def teammate_absence(played: DataFrame, stats: Sequence[str] = ("shots", "free_throws", "assists"), keep: Sequence[str] | None = None, **limits: float) -> DataFrame:
+    """Absent teammates of each row: their number, the top one's recent means, what all leave free, and the share of the rotation's minutes; with the row's columns `keep` (all).
 
     Rows of those who didn't play themselves (fewer than the floor's minutes) get zeros, as do games without an absence.
     """
-    gone = absences(played, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats), **limits)
-    names = [c for c in gone.columns if c not in ("team_id", "game_id", "top_absentee")]
-    out = played.join(gone, ["team_id", "game_id"], "left")
-    active = F.coalesce(F.col("minutes") >= limits.get("floor", 5.0), F.lit(False))
-    return out.withColumns({c: F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for c in names} | {"top_absentee": F.when(active, F.col("top_absentee"))})
+    kept = list(played.columns if keep is None else keep)
+    games = absence_rows(played, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats), keep=list(dict.fromkeys([*kept, "minutes"])), **limits)
+    names = [c for c in games.columns if c not in ("team_id", "game_id", "_rows", "top_absentee")]
+    out = games.withColumn("_row", F.explode("_rows"))
+    active = F.coalesce(F.col("_row.minutes") >= limits.get("floor", 5.0), F.lit(False)) & F.col("game_id").isNotNull()
+    return out.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in names], F.when(active, F.col("top_absentee")).alias("top_absentee"))
 
 
 def team_rest(rows: DataFrame, missing: int = 7, most: int = 14) -> DataFrame:

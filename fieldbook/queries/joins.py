@@ -183,8 +183,9 @@ with p as (select team_id, game_id, opponent_id as player_id, min(game_date) as
  t as (select team_id, game_id, count(*) as absent, arg_max({{'top_absentee': player_id, 'top_shots': shots, 'top_free_throws': free_throws, 'top_assists': assists, 'top_minutes': minutes}}, (round(mean, 9), player_id)) as top, sum(shots) as freed_shots, sum(free_throws) as freed_free_throws, sum(assists) as freed_assists, sum(mean) / max(total) as usage_bump from x group by 1, 2)
 select p.team_id, p.game_id, p.player_id, case when p.minutes >= 5 then coalesce(absent, 0) else 0 end as absent, case when p.minutes >= 5 then top.top_absentee end as top_absentee, {', '.join(f"round(case when p.minutes >= 5 then coalesce({c}, 0) else 0 end, 6) as {c.split('.')[-1]}" for c in ('top.top_shots', 'top.top_free_throws', 'top.top_assists', 'top.top_minutes', 'freed_shots', 'freed_free_throws', 'freed_assists', 'usage_bump'))} from p left join t using (team_id, game_id)""")
 def d14(s, d):
-    p = dense_rows(s, d).groupBy("team_id", "game_id", C("opponent_id").alias("player_id")).agg(F.min("game_date").alias("game_date"), (4 * F.sum("minutes")).cast("double").alias("minutes"), F.sum("points").alias("shots"), F.sum("turnovers").cast("double").alias("free_throws"), F.sum("assists").cast("double").alias("assists"))
-    out = features.teammate_absence(p)
+    # dealt by game: a game's rows and their list come from one shuffle
+    p = dense_rows(s, d).repartition("team_id", "game_id").groupBy("team_id", "game_id", C("opponent_id").alias("player_id")).agg(F.min("game_date").alias("game_date"), (4 * F.sum("minutes")).cast("double").alias("minutes"), F.sum("points").alias("shots"), F.sum("turnovers").cast("double").alias("free_throws"), F.sum("assists").cast("double").alias("assists"))
+    out = features.teammate_absence(p, keep=["team_id", "game_id", "player_id"])
     return rounded(out.select("team_id", "game_id", "player_id", "absent", "top_absentee", "top_shots", "top_free_throws", "top_assists", "top_minutes", "freed_shots", "freed_free_throws", "freed_assists", "usage_bump"))
 
 

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import time
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -404,6 +405,41 @@ def test_absences_compute_the_rotation_once_and_count_unnamed_players(spark):
     assert plan.count("Generate explode(array(") == 1
 
 
+@pytest.mark.parametrize("on_days", [0, 10_000])
+def test_absences_against_brute_force_and_absent_players_are_not_shuffled(spark, monkeypatch, on_days):
+    monkeypatch.setattr(joins, "ON_DAYS", on_days)
+    rng = np.random.default_rng(8)
+    rows, game = [], 0
+    for i in range(0, 100, 3):
+        for team in "ab":
+            for _ in range(rng.integers(1, 3)):
+                game += 1
+                own = [p for p in ["p", "q", "r", "s", None] if rng.random() < 0.5] or ["p"]
+                rows += [(team, game, p, DAY + datetime.timedelta(int(i)), float(rng.integers(1, 40)), float(rng.integers(30))) for p in own]
+    played = spark.createDataFrame(rows, "team string, game long, player string, day date, minutes double, points double")
+    names = dict(player="player", team="team", game="game", day="day", minutes="minutes", stats=["points"])
+    got = joins.absences(played, **names)
+    want = {}
+    for team, game, day in sorted({(r[0], r[1], r[3]) for r in rows}):
+        here = {r[2] for r in rows if r[1] == game and r[4] >= 5} - {None}
+        past = defaultdict(list)
+        for r in rows:
+            if r[0] == team and r[4] >= 5 and 1 <= (day - r[3]).days <= 30:
+                past[r[2]].append(r[4])
+        mean = {p: sum(m) / len(m) for p, m in past.items() if sum(m) / len(m) >= 15}
+        gone = [p for p in mean if p not in here]
+        recent = {}
+        for p in gone:
+            last = sorted((r for r in rows if r[2] == p and r[4] >= 5 and r[3] < day), key=lambda r: (r[3], r[1], r[0]))[-10:]
+            recent[p] = sum(r[5] for r in last) / len(last) if p else 0.0  # rows without a name are no one's own
+        if gone:
+            top = max(gone, key=lambda p: (round(mean[p], 9), p or ""))
+            want[game] = (len(gone), top, round(recent[top], 6), round(sum(recent.values()), 6), round(sum(mean[p] for p in gone) / sum(mean.values()), 6))
+    assert {r["game"]: (r["absent"], r["top_absentee"], round(r["top_points"], 6), round(r["freed_points"], 6), round(r["usage_bump"], 6)) for r in got.collect()} == want and want
+    if on_days:
+        assert joins.absences(played, **names)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
 def test_tasks_read_pieces_however_many_rows_there_are(spark):
     own = {k: spark.conf.get(k, None) for k in session.PIECES}
     try:
