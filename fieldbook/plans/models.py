@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml import Transformer
+from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldbook.functions.counts import poisson_over
 from fieldbook.functions.scalars import recency_weight
 from fieldbook.operators.aggs import auc
+from fieldbook.plans.boosting import bin_edges
 from fieldbook.plans.market import COMBOS
 from fieldbook.session import written
 
@@ -82,19 +83,39 @@ def fit_counts(train: DataFrame, features: Sequence[str], weight: str | None = N
     return (model.setWeightCol(weight) if weight else model).fit(assembled(train, features))
 
 
+#: Bins of a feature, as many as Spark's trees have by default, and the prefix of their columns.
+BINS, BIN = 32, "_bin_"
+
+
+def fit_binned(trees: Estimator, train: DataFrame, features: Sequence[str], keys: Sequence[str], label: Column) -> Transformer:
+    """Trees that are fitted on cells: trees see bins alone, so training rows of the same bins and `keys` are one row with their number as its weight.
+
+    Bins are quantiles of all rows. A tree's steps read the cells then, whose number is bound by the bins for few features (for many there are at most as many as rows).
+    """
+    edges = [[x for x in e if np.isfinite(x)] or [0.0] for e in bin_edges(train, features, BINS)]
+    names = [BIN + f for f in features]
+    bins = Bucketizer(splitsArray=[[-np.inf, *e, np.inf] for e in edges], inputCols=list(features), outputCols=names, handleInvalid="keep")
+    # missing values have the last bin; these columns lose the bins' marks as categories, which have no order for trees
+    cells = [F.coalesce(n, F.lit(len(e) + 1.0)).alias(n) for n, e in zip(names, edges, strict=True)]
+    cells = written(bins.transform(train).groupBy(*cells, *keys).agg(label.alias("_label"), F.count("*").cast("double").alias("_n")))
+    vectors = VectorAssembler(inputCols=names, outputCol=BIN, handleInvalid="keep")
+    return PipelineModel([bins, vectors, trees.copy({trees.maxBins: BINS + 1, trees.labelCol: "_label", trees.featuresCol: BIN, trees.weightCol: "_n"}).fit(vectors.transform(cells))])
+
+
 def fit_winner(train: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 3, seed: int = 7) -> Transformer:
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(assembled(train, features))
+    return fit_binned(GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed), train, features, ["label"], F.first("label"))
 
 
 def fit_margin(train: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 3, seed: int = 7) -> Transformer:
-    return GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features", predictionCol="predicted_margin").fit(assembled(train, features))
+    """A cell's mean stands for its labels, as the squared loss within a cell is the same for all trees."""
+    return fit_binned(GBTRegressor(maxIter=trees, maxDepth=depth, seed=seed, predictionCol="predicted_margin"), train, features, [], F.avg("label"))
 
 
 def predict(model: Transformer, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     out = model.transform(assembled(rows, features))
     if "probability" in out.columns:
         out = out.withColumn("prob", vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction", "probability")
+    return out.drop("features", "rawPrediction", "probability", BIN, *[BIN + f for f in features])
 
 
 def evaluate_counts(rows: DataFrame, actual: str, predicted: str, baseline: str, keys: Sequence[str] = ()) -> DataFrame:

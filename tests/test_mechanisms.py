@@ -487,6 +487,26 @@ def test_tree_models_compute_their_rows_once(spark, monkeypatch, name):
     assert computed.value == 300
 
 
+@pytest.mark.parametrize("fit, trees, out", [(models.fit_winner, models.GBTClassifier, "prob"), (models.fit_margin, models.GBTRegressor, "predicted_margin")])
+def test_trees_of_counted_cells_are_those_of_all_rows(spark, monkeypatch, fit, trees, out):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, [7, 4, 2], size=(2000, 3)).astype(float)
+    y = (rng.random(2000) < 0.1 + x @ [0.08, 0.1, 0.05]).astype(float)
+    names = ["a", "b", "c"]
+    rows = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, c double, label double").persist()
+    more = {"predictionCol": "predicted_margin"} if out == "predicted_margin" else {}
+    plain = trees(maxIter=20, maxDepth=3, seed=7, **more).fit(models.assembled(rows, names))
+    want = {tuple(r)[:3]: r[out] for r in models.predict(plain, rows, names).select(*names, out).distinct().collect()}
+    read, own = [], trees.fit
+    monkeypatch.setattr(trees, "fit", lambda self, df, *more: read.append(df.count()) or own(self, df, *more))
+    model = fit(rows, names)
+    got = {tuple(r)[:3]: r[out] for r in models.predict(model, rows, names).select(*names, out).distinct().collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len({round(v, 6) for v in want.values()}) > 20
+    assert read and read[0] <= 2 * 7 * 4 * 2  # cells, not rows
+    odd = spark.createDataFrame([(None, 1.0, float("nan")), (-9.0, 99.0, float("inf"))], "a double, b double, c double")
+    assert models.predict(model, odd, names).where(F.col(out).isNotNull()).count() == 2
+
+
 def test_nearest_anchor_goes_to_the_rows_of_a_hot_key(spark):
     rows = spark.createDataFrame([(i, "a", float(i % 9)) for i in range(60)] + [(99, "b", 1.0), (100, "none", 1.0)], "id long, k string, mean double")
     anchors = spark.createDataFrame([("a", 0.0, 1, 2), ("a", 4.0, 3, 4), ("a", 8.0, 5, 6), ("b", 7.0, 7, 8)], "k string, anchor double, low int, high int")
