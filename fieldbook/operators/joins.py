@@ -14,6 +14,8 @@ from fieldbook.session import saved, written
 SMALL = 100_000
 #: Recent means by player and day (six numbers a row) are sent to every task up to so many.
 ON_DAYS = 500_000
+#: A block of absences' games is so many times as long as the days that they look back.
+BLOCK = 3
 #: Names of one gram are dealt into blocks of about so many.
 NAMES = 1_000
 
@@ -158,15 +160,15 @@ def changed_rows(current: DataFrame, wanted: DataFrame, key: str, columns: Seque
 
 
 def absence_rows(played: DataFrame, *, player: str, team: str, game: str, day: str, minutes: str, stats: Sequence[str], keep: Sequence[str] = (), days: int = 30, least_minutes: float = 15.0, floor: float = 5.0, last: int = 10) -> DataFrame:
-    """Each team and game with `_rows`, the columns `keep` of its played rows, and its absent players: see `absences`; without any `absent` is 0 and the rest null.
+    """Each team and game with `_rows`, the players, minutes and columns `keep` of its played rows, and its absent players: see `absences`; without any `absent` is 0 and the rest null.
 
-    Few rows are shuffled, and each of them once: games are written with their rows, a team's games of a block of `days` days and of the block
+    Few rows are shuffled, and each of them once: games are written with their rows, a team's rows of a block of BLOCK x `days` days and of the `days`
     before it are one array, and a game meets its own block's array, where its rotation is built without more rows. Only absent
     players become rows, which meet the recent means where they are and are summed there. A player's recent row stands for the days up to the
     player's next one, no more than `days` of them, as nobody is in a rotation longer after a game: so it is found by player and day.
     """
     at = lambda c: F.unix_date(F.col(c).cast("date"))
-    block = lambda c: F.floor(at(c) / days)
+    block = lambda d: F.floor(d / (BLOCK * days))
     needed = list(dict.fromkeys([player, day, minutes, *stats, *keep]))
     games = written(played.groupBy(team, game).agg(F.min(day).alias("_gd"), F.collect_list(F.struct(*needed)).alias("_of")))
     rows = games.select(team, game, F.explode("_of").alias("_row")).select(team, game, *[F.col("_row")[c].alias(c) for c in needed if c not in (team, game)]).where(F.col(minutes) >= floor)
@@ -178,11 +180,13 @@ def absence_rows(played: DataFrame, *, player: str, team: str, game: str, day: s
     until = F.least(until, F.coalesce(F.lead("_pd").over(W.partitionBy("_p").orderBy("_pd")), until))
     recent = recent.withColumn("_until", until).select("_p", F.explode(F.sequence(F.date_add("_pd", 1), F.col("_until"))).alias("_on"), "_r.*")
 
-    hist = rows.where(F.col(team).isNotNull()).select(team, F.explode(F.array(block(day), block(day) + 1)).alias("_b"), F.col(player).alias("p"), at(day).alias("d"), F.col(minutes).cast("double").alias("m"))
+    own_block, ahead = block(at(day)), block(at(day) + days)
+    both = F.array(own_block, F.when(ahead > own_block, ahead))
+    hist = rows.where(F.col(team).isNotNull()).select(team, F.explode(both).alias("_b"), F.col(player).alias("p"), at(day).alias("d"), F.col(minutes).cast("double").alias("m")).where("_b is not null")
     hist = hist.repartition(team, "_b").groupBy(team, "_b").agg(F.collect_list(F.struct("p", "d", "m")).alias("_hist"))
-    here = F.transform(F.filter("_of", lambda x: x[minutes] >= floor), lambda x: x[player])
-    own = F.transform("_of", lambda x: F.struct(*[x[c].alias(c) for c in keep])) if keep else F.lit(None)
-    met = games.select(team, game, "_gd", block("_gd").alias("_b"), here.alias("_here"), own.alias("_rows")).join(hist, [team, "_b"], "left")
+    own = F.transform("_of", lambda x: F.struct(*[x[c].alias(c) for c in dict.fromkeys([player, minutes, *keep]) if c not in (team, game)]))
+    met = games.select(team, game, "_gd", block(at("_gd")).alias("_b"), own.alias("_rows")).join(hist, [team, "_b"], "left")
+    met = met.withColumn("_here", F.transform(F.filter("_rows", lambda x: x[minutes] >= floor), lambda x: x[player]))
     gap = lambda x: F.col("_day") - x["d"]
     met = met.withColumn("_day", at("_gd")).withColumn("_past", F.filter("_hist", lambda x: (gap(x) >= 1) & (gap(x) <= days))).drop("_hist")
     each = F.transform(F.array_distinct(F.transform("_past", lambda x: x["p"])), lambda p: F.struct(p.alias("p"), F.transform(F.filter("_past", lambda x: x["p"].eqNullSafe(p)), lambda x: x["m"]).alias("m")))

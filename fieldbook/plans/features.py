@@ -254,11 +254,11 @@ def teammate_absence(played: DataFrame, stats: Sequence[str] = ("shots", "free_t
     Rows of those who didn't play themselves (fewer than the floor's minutes) get zeros, as do games without an absence.
     """
     kept = list(played.columns if keep is None else keep)
-    games = absence_rows(played, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats), keep=list(dict.fromkeys([*kept, "minutes"])), **limits)
+    games = absence_rows(played, player="player_id", team="team_id", game="game_id", day="game_date", minutes="minutes", stats=list(stats), keep=kept, **limits)
     names = [c for c in games.columns if c not in ("team_id", "game_id", "_rows", "top_absentee")]
     out = games.withColumn("_row", F.explode("_rows"))
     active = F.coalesce(F.col("_row.minutes") >= limits.get("floor", 5.0), F.lit(False)) & F.col("game_id").isNotNull()
-    return out.select(*[F.col("_row")[c].alias(c) for c in kept], *[F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in names], F.when(active, F.col("top_absentee")).alias("top_absentee"))
+    return out.select(*[F.col(c) if c in ("team_id", "game_id") else F.col("_row")[c].alias(c) for c in kept], *[F.when(active, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c) for c in names], F.when(active, F.col("top_absentee")).alias("top_absentee"))
 
 
 def team_rest(rows: DataFrame, missing: int = 7, most: int = 14) -> DataFrame:
